@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import lines, mixing, quality, simhash, tiling
-from claimspark.llm.common import table
+from claimspark.llm import jpeg, licenses, lines, lm, mixing, quality, secret_scan, simhash, tiling, warc
+from claimspark.llm.common import cut, shared_dir, table
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(licenses.background_paragraphs(docs))).withColumnRenamed("id", "doc_id")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +28,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much closer each document is to conversations than to the documents at large."""
+    return lm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")).withColumnRenamed("id", "doc_id")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.sha2(secret_scan.span_text(F.col("spans"), tuple(secret_scan.BASE)), 256)
+    return out.select(F.col("id").alias("doc_id"), *map(number, secret_scan.BASE), base.alias("base_sha256"), secret_scan.span_text(F.col("spans"), tuple(secret_scan.KINDS)).alias("spans"), "n_live", "n_shared", "n_example")
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_features(jpeg.with_media(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "tiles")
@@ -51,6 +72,27 @@ SELECT doc_id, n_lines, n_removed, CAST(length(text) AS BIGINT) AS n_kept_chars,
 """
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spark.range(1).select(F.expr("uuid()")).first()[0]
+    path = f"{shared_dir(spark)}/warc-{made}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    out = warc.resolve(cut(warc.decode(warc.reassemble(warc.read_records(spark, path)))))
+    return out.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers").cast("long").alias("refers_to"))
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS keeper FROM p WHERE payload_bytes >= 100 GROUP BY 1
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN f.keeper IS NULL OR f.keeper = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.keeper <> p.page_id THEN f.keeper END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("source")
 
@@ -58,8 +100,9 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op2_quality, op3_simhash, op7_decontaminate, op8_line_dedup, op10_mix)} | {"pipeline": corpus_pipeline.run}
+    ops = (op1_licenses, op2_quality, op3_simhash, op4_lm_score, op5_secrets, op6_media, op7_decontaminate, op8_line_dedup, op9_warc, op10_mix)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL}
