@@ -76,6 +76,7 @@ NOTICES = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     ),
     "Proprietary": (
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without prior written permission.",
         "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ),
