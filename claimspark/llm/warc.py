@@ -81,31 +81,31 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 32_768, chu
     plan = plan_records(pages, **columns)
     plan = plan.select(F.col("id").cast("string").alias("id"), F.coalesce("url", F.lit("")).alias("url"), "payload", "digest", F.col("refers").cast("string").alias("refers"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             small = [batch.column(c).to_pylist() for c in ("id", "url", "digest", "refers")]
-            rows = zip(*small, utf8_rows(batch.column("payload")), strict=True)
-            for page, url, digest, refers, payload in rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(page_records(str(page), url, payload, digest, refers, segment_bytes, chunk_bytes)), pa.binary())], names=["record"])
+            for page, url, digest, refers, payload in zip(*small, utf8_rows(batch.column("payload")), strict=True):
+                for record in page_records(str(page), url, payload, digest, refers, segment_bytes, chunk_bytes):
+                    yield (record,)
 
-    records = plan.mapInArrow(_gathered(run), "record binary")
+    records = plan.mapInArrow(_batched(run, ["record"], [pa.binary()]), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).mode("overwrite").text(path)
 
 
-def _gathered(run, most: int = 1 << 21):  # noqa: ANN001, ANN202
-    """run, with its small batches put together to about ``most`` bytes."""
+def _batched(run, names: list[str], kinds: list[pa.DataType], most: int = 1 << 21):  # noqa: ANN001, ANN202
+    """The rows that run yields, the last value of each a bytes object, in batches of about ``most`` bytes."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[tuple] = []
         size = 0
-        for batch in run(batches):
-            held.append(batch)
-            size += batch.nbytes
+        for row in run(batches):
+            held.append(row)
+            size += len(row[-1])
             if size >= most:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
                 held, size = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
     return out
 
@@ -131,17 +131,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below path, as RECORD."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 for f, block in parse_records(content.as_py()):
-                    number = lambda key, f=f: int(f[key]) if key in f else None
-                    row = [name, f["warc-record-id"], f["warc-type"], number("warc-segment-number"), f.get("warc-segment-origin-id"), number("warc-segment-total-length"), f.get("warc-refers-to"), f.get("warc-payload-digest"), block]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+                    segment, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+                    yield name, f["warc-record-id"], f["warc-type"], segment and int(segment), f.get("warc-segment-origin-id"), total and int(total), f.get("warc-refers-to"), f.get("warc-payload-digest"), block
 
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in RECORD.split(", ")]
-    return files.mapInArrow(_gathered(run), RECORD)
+    return files.mapInArrow(_batched(run, names, kinds), RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
