@@ -34,23 +34,25 @@ def population_rates(claims: DataFrame, default: float, date: str = "submission_
 
 
 def trailing_rate(claims: DataFrame, keys: list[str], least: int, default: float, name: str, date: str = "submission_date", outcome: str = "adjudication_outcome", days: int = DAYS) -> DataFrame:
-    """claims with ``name`` (own rate from ``least`` known claims on, else the population's) and ``name``_known, _denied and _volume."""
+    """claims with ``name`` (own rate from ``least`` known claims on, else the population's) and ``name``_known, _denied, _volume and _population."""
     counts = trailing_counts(claims, keys, date, outcome, days)
     counts = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(date).alias("_day"), *(F.col(c).alias(f"{name}_{c}") for c in ("known", "denied", "volume")))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(date) == F.col("_day")]
     # the population has a row for each day of history, some tens of thousands at most
     rows = claims.join(counts, on, "left").join(F.broadcast(population_rates(claims, default, date, outcome, days)), F.col(date) == F.col("_date"), "left")
     own = F.col(f"{name}_denied").cast("double") / F.nullif(F.col(f"{name}_known"), F.lit(0))
-    rate = F.when(F.col(f"{name}_known") >= least, own).otherwise(F.coalesce("population", F.lit(default)))
-    return rows.withColumn(name, rate).drop("_day", "_date", "population", *(f"_{k}" for k in keys))
+    everyone = F.coalesce("population", F.lit(default))
+    rows = rows.withColumns({name: F.when(F.col(f"{name}_known") >= least, own).otherwise(everyone), f"{name}_population": everyone})
+    return rows.drop("_day", "_date", "population", *(f"_{k}" for k in keys))
 
 
-def leave_one_out(rated: DataFrame, name: str, least: int = 30, outcome: str = "adjudication_outcome") -> Column:
-    """From trailing_rate() columns: the rate of the other claims where more than ``least`` are known, else what ``name`` has as population."""
+def leave_one_out(name: str, least: int = 30, outcome: str = "adjudication_outcome") -> Column:
+    """From trailing_rate() columns: the rate of the other claims where more than ``least`` are known, else the population's."""
     own_known = F.col(outcome).isin("paid", "denied").cast("int")
     own_denied = F.coalesce((F.col(outcome) == "denied").cast("int"), F.lit(0))
     others = F.col(f"{name}_known") - F.coalesce(own_known, F.lit(0))
-    return F.when(F.col(f"{name}_known") > least, (F.col(f"{name}_denied") - own_denied).cast("double") / F.nullif(others, F.lit(0)))
+    rest = (F.col(f"{name}_denied") - own_denied).cast("double") / F.nullif(others, F.lit(0))
+    return F.when(F.col(f"{name}_known") > least, rest).otherwise(F.col(f"{name}_population"))
 
 
 def anchored_rates(claims: DataFrame, key: str, anchor: str, least: int, default: float, days: int = DAYS, date: str = "submission_date", outcome: str = "adjudication_outcome") -> DataFrame:

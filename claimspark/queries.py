@@ -5,21 +5,219 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimspark.operators import analytics
+from claimspark.functions import scalars as S
+from claimspark.operators import analytics, features, monitoring, notes, scoring, training
+from claimspark.plans import windows
+from claimspark.plans.joins import keyed_upsert, longest_prefix
 from claimspark.plans.oracle import analytics_sql
-from claimspark.plans.views import claims_view
+from claimspark.plans.oracle_features import SQL
+from claimspark.plans.views import claims_view, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+WEIGHTS = {"comorbidity_risk_score": 0.05, "mentions_lack_of_pre_auth": 0.3, "documents_medical_necessity": 0.4}
+CONTRACTS = [("AUTOMOBILE", "1992-01-01", "1996-12-31", True), ("AUTOMOBILE", "1995-06-01", None, False), ("BUILDING", "1994-01-01", None, True), ("FURNITURE", "1992-01-01", "1993-12-31", True), ("FURNITURE", "1993-06-01", "1995-12-31", True)]
+PREFIXES = [("BRAND#1", 1), ("BRAND#12", 2), ("BRAND#2", 1), ("BRAND#34", 3), ("BRAND#5", 6)]
+
+
+def contracts(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(CONTRACTS, "payer_name string, a string, b string, stop_loss boolean")
+    return rows.select("payer_name", F.col("a").cast("date").alias("start"), F.col("b").cast("date").alias("end"), "stop_loss")
+
+
+def era(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remittances: a line's payer is that of its order, its shipping date the payment date; returned lines are denied."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("date").alias("payment_date"), F.when(F.col("l_returnflag") == "R", "denied").otherwise("paid").alias("status"))
+    claims = claims_view(spark, sf_dir).select("claim_id", "payer_name")
+    return lines.withColumn("claim_id", F.concat(F.lit("CLM-"), F.col("l_orderkey").cast("string"))).join(claims, "claim_id").select("claim_id", "payer_name", "payment_date", "status")
+
+
+def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as their encounters, of every third order key."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    return orders.select(F.col("o_custkey").alias("patient_account_number"), F.col("o_orderkey").alias("encounter_id"), F.col("o_orderdate").cast("date").alias("encounter_date"), F.col("o_orderpriority").alias("admitting_department"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").withColumn("claim_id", F.concat(F.lit("CLM-"), F.col("l_orderkey").cast("string")))
+
+
+def claim_level_features(spark, sf_dir):
+    return features.claim_level(claims_view(spark, sf_dir))
+
+
+def provider_features(spark, sf_dir):
+    return features.provider(claims_view(spark, sf_dir)).drop("provider_npi")
+
+
+def payer_features(spark, sf_dir):
+    return features.payer(claims_view(spark, sf_dir), era(spark, sf_dir), contracts(spark))
+
+
+def unknown_payers(spark, sf_dir):
+    return features.unknown_payers(claims_view(spark, sf_dir), contracts(spark))
+
+
+def anchored_provider_rates(spark, sf_dir):
+    return windows.anchored_rates(claims_view(spark, sf_dir), "provider_npi", "1998-03-01", 30, 0.0)
+
+
+def encounter_link(spark, sf_dir):
+    return features.link_encounters(claims_view(spark, sf_dir).select("claim_id", "patient_account_number", "submission_date"), encounters(spark, sf_dir))
+
+
+def encounter_attach(spark, sf_dir):
+    rows = features.attach_encounters(encounter_link(spark, sf_dir), encounters(spark, sf_dir))
+    return rows.select("claim_id", "encounter_id", "encounter_date", "admitting_department")
+
+
+def outcome_link(spark, sf_dir):
+    store = claims_view(spark, sf_dir).filter("claim_status = 'Active'").select("claim_id", "payer_name", "adjudication_outcome")
+    rows = era(spark, sf_dir).select("claim_id", F.col("status").alias("adjudication_status"), F.col("payment_date").alias("processed"))
+    return features.link_outcomes(store, rows)
+
+
+def score_writeback(spark, sf_dir):
+    claims = claims_view(spark, sf_dir)
+    store = claims.select("claim_id", "claim_status", "predicted_denial_score")
+    return scoring.write_scores(store, scoring.linear_score(scoring.active(claims), WEIGHTS).select("claim_id", "predicted_denial_score"))
+
+
+def score_run_stats(spark, sf_dir):
+    scored = scoring.linear_score(scoring.active(claims_view(spark, sf_dir)), WEIGHTS)
+    return scoring.run_stats(scored)
+
+
+def feature_upsert(spark, sf_dir):
+    claims = claims_view(spark, sf_dir)
+    store = claims.filter("comorbidity_risk_score < 6").select("claim_id", "payer_name", "denial_reason")
+    new = claims.filter("comorbidity_risk_score >= 4").select("claim_id", F.lit(None).cast("string").alias("denial_reason"), "department")
+    return keyed_upsert(store, new, "claim_id")
+
+
+def deleted_rows(spark, sf_dir):
+    claims = claims_view(spark, sf_dir)
+    return scoring.delete_rows(claims, scoring.active(claims)).select("claim_id", "claim_status")
+
+
+def procedure_vectors(spark, sf_dir):
+    codes = _lines(spark, sf_dir).select("claim_id", (F.col("l_partkey") % 40).cast("string").alias("cpt"))
+    table_ = spark.range(30).select(F.col("id").cast("string").alias("cpt"), F.col("id").cast("int").alias("idx"))
+    out = features.procedure_vector(claims_view(spark, sf_dir), codes, table_)
+    return out.select("claim_id", F.array_join("procedure_vector", "").alias("bits"))
+
+
+def comorbidity_scores(spark, sf_dir):
+    brands = _lines(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("claim_id", F.col("p_brand").alias("code"))
+    return features.comorbidity(claims_view(spark, sf_dir), brands, spark.createDataFrame(PREFIXES, "prefix string, weight int"))
+
+
+def prefix_matches(spark, sf_dir):
+    codes = claims_view(spark, sf_dir).filter("principal_icd10 is not null").select("claim_id", S.norm_icd10(F.col("principal_icd10")).alias("code"))
+    return longest_prefix(codes, "code", spark.createDataFrame(PREFIXES, "prefix string, weight int"))
+
+
+def provider_lookups(spark, sf_dir):
+    npi = claims_view(spark, sf_dir).select("claim_id", "provider_npi")
+    taxonomy = spark.range(10).select(F.concat(F.lit("NPI-"), F.col("id").cast("string")).alias("npi"), F.when(F.col("id") < 3, F.concat(F.lit("T"), F.col("id").cast("string"))).when(F.col("id") == 3, F.lit("  ")).alias("code"))
+    facility = spark.range(4).select(F.concat(F.lit("NPI-"), F.col("id").cast("string")).alias("npi"), (F.lit(100) + (F.col("id") / 2).cast("int")).alias("bed_size"))
+    return features.bed_size(features.specialty(npi, taxonomy), facility).select("claim_id", "provider_specialty_code", "facility_bed_size")
+
+
+def filtered_claims(spark, sf_dir):
+    return analytics.filter_claims(claims_view(spark, sf_dir), ["BUILDING", "FURNITURE"], ["Professional"], 0.2, 0.8, "1994-01-01", "1997-06-30").select("claim_id", "payer_name", "predicted_denial_score")
+
+
+def missing_features(spark, sf_dir):
+    columns = ("date_of_birth", "provider_npi", "denial_reason")
+    return claims_view(spark, sf_dir).select("claim_id", features.quality_flag(columns).alias("score_quality"))
+
+
+def prepared_notes(spark, sf_dir):
+    rows = notes.prepare_notes(table(spark, sf_dir, "conversations"), "conv_id", ["turn"])
+    return rows.select("conv_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def phrase_flags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.phrase_flag(F.col("text"), (r"licensed\s+under", r"released\s+under\s+the", r"all\s+rights")).alias("flag"))
+
+
+def necessity_scores(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", S.necessity_score(F.transform("embedding", lambda x: F.abs(x))).alias("score"))
+
+
+def _labelled(spark, sf_dir):
+    return training.labelled(claims_view(spark, sf_dir)).select("claim_id", "submission_date", "label", F.col("predicted_denial_score").alias("score"))
+
+
+def training_window(spark, sf_dir):
+    rows = training.labelled(claims_view(spark, sf_dir)).filter(training.in_window("1998-03-01", 90))
+    return rows.select("claim_id", "submission_date", "label")
+
+
+def temporal_split(spark, sf_dir):
+    return training.temporal_split(_labelled(spark, sf_dir)).select("claim_id", "label", "split")
+
+
+def temporal_split3(spark, sf_dir):
+    return training.temporal_split3(_labelled(spark, sf_dir)).select("claim_id", "split")
+
+
+def split_statistics(spark, sf_dir):
+    return training.split_stats(training.temporal_split(_labelled(spark, sf_dir)))
+
+
+def class_weights(spark, sf_dir):
+    return training.class_weight(_labelled(spark, sf_dir))
+
+
+def model_metrics(spark, sf_dir):
+    return training.evaluate(_labelled(spark, sf_dir))
+
+
+def _scored(spark, sf_dir):
+    return claims_view(spark, sf_dir).withColumn("scored_date", F.col("submission_date"))
+
+
+def monitoring_record(spark, sf_dir):
+    return monitoring.monitor(_scored(spark, sf_dir), "1998-03-01")
+
+
+def precision_history(spark, sf_dir):
+    return monitoring.precision_history(_scored(spark, sf_dir))
+
+
+def retention_check(spark, sf_dir):
+    return monitoring.retention_check(_scored(spark, sf_dir), "1998-03-01")
+
+
+def failure_streaks(spark, sf_dir):
+    """Orders of a customer as training runs: F failed, P archived, O staged."""
+    stage = F.when(F.col("o_orderstatus") == "F", "Failed").when(F.col("o_orderstatus") == "P", "Archived").otherwise("Staging")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("model"), F.col("o_orderkey").alias("run_id"), stage.alias("stage"))
+    return monitoring.failure_streak(runs)
+
+
+def feature_table(spark, sf_dir):
+    return features.feature_table(claims_view(spark, sf_dir), era(spark, sf_dir), contracts(spark))
+
+
+MORE = (
+    claim_level_features, provider_features, payer_features, unknown_payers, anchored_provider_rates, encounter_link, encounter_attach, outcome_link, score_writeback, score_run_stats, feature_upsert, deleted_rows,
+    procedure_vectors, comorbidity_scores, prefix_matches, provider_lookups, filtered_claims, missing_features, prepared_notes, phrase_flags, necessity_scores, training_window, temporal_split, temporal_split3,
+    split_statistics, class_weights, model_metrics, monitoring_record, precision_history, retention_check, failure_streaks, feature_table,
+)
+
 
 def _over_claims(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(claims_view(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _over_claims(f) for f in analytics.QUERIES}
+    return {f.__name__: _over_claims(f) for f in analytics.QUERIES} | {f.__name__: f for f in MORE}
 
 
 def oracle_sql() -> dict[str, str]:
-    return analytics_sql()
+    return analytics_sql() | SQL
