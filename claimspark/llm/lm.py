@@ -14,6 +14,8 @@ alone, and differences of 0; repeated rows count each; an empty table gives an e
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +51,14 @@ def models(target: DataFrame, background: DataFrame, min_count: int = 2, mix: fl
     bigrams = in_target.filter(F.col("n") >= min_count).join(known.select("w"), "w").join(known.select(F.col("w").alias("v")).union(known.sparkSession.range(1).select(F.lit(START).cast("long").alias("v"))), "v")
     bigrams = cut(bigrams.select(F.xxhash64("v", "w").alias("key"), "v", "w", F.col("n").alias("n_t")))
     rows = bigrams.count()
-    # the background's counts of the same words and bigrams, from all its tokens
-    words_b = background.join(few(known.select("w"), size), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n_b"))
+    # the background's counts of the same words and bigrams, from all its tokens; those outside the vocabulary are one word, null
+    listed = known.select(F.col("w").alias("k"))
+    counts_b = cut(background.join(few(listed, size), F.col("w") == F.col("k"), "left").groupBy("k").agg(F.count("*").alias("n_b")))
+    words_b = counts_b.filter("k is not null").withColumnRenamed("k", "w")
     pairs_b = background.select(pair.alias("key")).join(few(bigrams.select("key"), rows), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n_b"))
     words = cut(known.join(words_b, "w", "left").select("w", "n_t", F.coalesce("n_b", F.lit(0)).alias("n_b")))
     all_t = in_target.agg(F.sum("n")).first()[0] or 0
-    all_b = background.count()
+    all_b = counts_b.agg(F.sum("n_b")).first()[0] or 0
     seen = words.agg(F.sum("n_t").alias("t"), F.sum("n_b").alias("b")).first()
     chance = lambda n, total: (n + add) / (total + add * (size + 1))
     p = words.select("w", "n_t", "n_b", chance(F.col("n_t"), all_t).alias("p_t"), chance(F.col("n_b"), all_b).alias("p_b"))
@@ -63,8 +67,6 @@ def models(target: DataFrame, background: DataFrame, min_count: int = 2, mix: fl
     part = lambda n, of, p: F.log(mix * F.coalesce(n, F.lit(0)) / F.greatest(F.coalesce(of, F.lit(0)), F.coalesce(n, F.lit(0)), F.lit(1)) + (1 - mix) * p)
     bigram_table = cut(joined.select("key", part(F.col("n_t"), F.col("v_t"), F.col("p_t")).alias("t"), part(F.col("n_b"), F.col("v_b"), F.col("p_b")).alias("b")))
     word_table = cut(p.select("w", F.log("p_t").alias("t"), F.log("p_b").alias("b")))
-    import math
-
     unknown = (math.log(chance(all_t - (seen["t"] or 0), all_t)), math.log(chance(all_b - (seen["b"] or 0), all_b))) if all_t and all_b else (0.0, 0.0)
     return bigram_table, word_table, unknown, max(rows, size) <= send_rows
 
