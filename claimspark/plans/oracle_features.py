@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimspark.plans.oracle import DAILY, with_claims  # noqa: F401
+from claimspark.plans.oracle import with_claims
 
 ERA = "era AS (SELECT c.claim_id, c.payer_name, CAST(l_shipdate AS DATE) AS payment_date, CASE WHEN l_returnflag = 'R' THEN 'denied' ELSE 'paid' END AS status FROM lineitem JOIN claims c ON c.claim_id = 'CLM-' || CAST(l_orderkey AS STRING))"
 ENC = "enc AS (SELECT o_custkey AS acc, o_orderkey AS encounter_id, CAST(o_orderdate AS DATE) AS encounter_date, o_orderpriority AS admitting_department FROM orders WHERE o_orderkey % 3 = 0)"
@@ -103,3 +103,6 @@ SQL: dict[str, str] = {
     "retention_check": with_claims([], "SELECT min(submission_date) AS oldest, COUNT(submission_date) AS dated, DATE '1998-03-01' - 90 AS threshold, min(submission_date) < DATE '1998-03-01' - 90 AND COUNT(submission_date) >= 2 AS alert FROM claims"),
     "failure_streaks": "WITH r AS (SELECT o_custkey AS model, o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'Failed' WHEN 'P' THEN 'Archived' ELSE 'Staging' END AS stage FROM orders), s AS (SELECT a.*, (SELECT COUNT(*) FROM r b WHERE b.model = a.model AND b.run_id <= a.run_id AND b.stage = 'Failed' AND b.run_id > coalesce((SELECT max(c.run_id) FROM r c WHERE c.model = a.model AND c.run_id <= a.run_id AND c.stage = 'Staging'), -1)) AS streak FROM r a) SELECT *, stage = 'Failed' AND streak >= 3 AS escalate FROM s",
 }
+
+READY = "SELECT claim_id, submission_date, claim_status, adjudication_outcome, length_of_stay, comorbidity_risk_score, documents_medical_necessity, mentions_lack_of_pre_auth FROM claims"
+SQL["feature_table"] = f"SELECT * FROM ({with_claims([], READY)}) a" + "".join(f" JOIN ({SQL[k]}) {k} USING (claim_id)" for k in ("claim_level_features", "provider_features", "payer_features"))
