@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.scalars import code5, npi_ok, pad4, sex, trim0, x12_amount, x12_date, x12_units
 
-REQUIRED = {"provider_npi": npi_ok(F.col("provider_npi")), "payer_id": F.col("payer_id") != "", "patient_account_number": F.col("patient_account_number") != "", "principal_icd10_code": F.col("principal_icd10_code") != ""}
+REQUIRED = ("provider_npi", "payer_id", "patient_account_number", "principal_icd10_code")
 ENVELOPE = ("ISA", "GS", "ST", "SE", "GE", "IEA")
 ISA_PARTS = 17  # the name and 16 elements
 
 
 def read_edi(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file_name, content) of whole files, decoded as Latin-1."""
+    """(file_name, content) of whole files, decoded as Latin-1. Spark's reader passes over files of no bytes; those of blanks only are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.decode("content", "ISO-8859-1").alias("content"))
 
@@ -122,7 +122,8 @@ def assemble_claims(segments: DataFrame) -> DataFrame:
 
 def split_required(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(claims with all required fields, a reject row for each missing field of the others)."""
-    missing = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in REQUIRED.items())))
+    fine = lambda c: npi_ok(F.col(c)) if c == "provider_npi" else F.coalesce(F.col(c) != "", F.lit(False))
+    missing = F.array_compact(F.array(*(F.when(~fine(c), F.lit(c)) for c in REQUIRED)))
     rows = claims.withColumn("_missing", missing)
     rejects = rows.select("file_name", F.lit("MISSING_REQUIRED_FIELD").alias("error_type"), F.lit("CLM").alias("segment_ref"), F.explode("_missing").alias("field_name"), F.col("claim_id").alias("claim_segment_ref"))
     return rows.filter(F.size("_missing") == 0).drop("_missing"), rejects
