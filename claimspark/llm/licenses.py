@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimspark.llm.common import bounded_sample
+
 UNKNOWN = "unknown"
 #: Notices by which licences are declared.
 NOTICES = {
@@ -185,9 +187,9 @@ def train(background: list[str], notices: dict[str, tuple[str, ...]] = NOTICES,
 
 def background_paragraphs(docs: DataFrame, text_col: str = "text", bound: int = 3000) -> list[str]:
     """At most ``bound`` paragraphs of documents, those first by hash, that name no licence or rights."""
-    rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).filter("trim(text) <> ''").orderBy("h").limit(bound)
-    line = F.element_at(F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~x.rlike("(?i)licen[sc]|copyright|rights reserved|public domain|creative commons|\\bCC\\b")), 1)
-    return [r["p"] for r in rows.select("h", F.try_element_at(F.array(line), F.lit(1)).alias("p")).filter("p is not null").orderBy("h", "p").collect()]
+    line = F.try_element_at(F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~x.rlike("(?i)licen[sc]|copyright|rights reserved|public domain|creative commons|\\bCC\\b")), F.lit(1))
+    rows = bounded_sample(docs.filter(F.trim(F.col(text_col)) != "").select(F.col(text_col).alias("text")), F.col("text"), bound)
+    return sorted(r["p"] for r in rows.select(line.alias("p")).filter("p is not null").collect())
 
 
 FOUND = "family string, probability double, paragraph int, paragraph_start long, paragraph_end long, similarity double, confirmed boolean, families array<string>, n_paragraphs long"

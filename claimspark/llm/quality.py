@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimspark.llm.common import bounded_sample
+
 FEATURES = ("log_words", "log_lines", "word_length", "long_words", "distinct", "repeated", "upper", "digits", "symbols", "bars", "shouts", "line_repeats", "stops", "letters")
 SYMBOLS = "#$%&*~^@<>{}[]\\+="
 
@@ -71,7 +73,7 @@ def fit_pairs(better: np.ndarray, worse: np.ndarray, penalty: float = 1e-3, roun
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, allowed: Column, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``bound`` labelled documents, those first by a hash of the id, in that order."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
-    known = known.filter(allowed).orderBy(F.xxhash64(id_col), id_col).limit(bound)
+    known = bounded_sample(known.filter(allowed), F.col(id_col), bound)
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     chosen = texts.join(F.broadcast(known), id_col).select(F.xxhash64(id_col).alias("at"), F.col("_label").alias("label"), F.col("_text").alias("text"))
 
