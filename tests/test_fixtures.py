@@ -178,7 +178,7 @@ def test_claim_files(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(text.encode("latin-1"))
     paths = edi.ingest_edi(spark, str(tmp_path / "in"), str(tmp_path / "out"), "2024-01-01")
     bad = {r["file_name"]: r["segment_ref"] for r in spark.read.parquet(paths["quarantine"]).collect()}
-    assert bad == {"cut": "ISA", "empty": "  ", "noiea": "IEA", "nogs": "GS", "other": "ISA"}
+    assert bad == {"cut": "ISA", "empty": "", "noiea": "IEA", "nogs": "GS", "other": "ISA"}
     rows = {r["patient_account_number"]: r for r in spark.read.parquet(paths["parsed"]).filter("file_name = 'good'").collect()}
     a, b = rows["A1"], rows["A2"]
     assert (a["payer_id"], b["payer_id"], a["patient_last_name"], b["patient_last_name"], b["date_of_birth"]) == ("PAY1", "PAY2", "DOE", "ROE", D(1990, 2, 2))
