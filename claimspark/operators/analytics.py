@@ -256,10 +256,12 @@ def high_risk_decile(claims: DataFrame, outstanding_only: bool = False, limit: i
     rows = claims.filter(is_outcome("paid") | F.col("adjudication_outcome").isNull()) if outstanding_only else claims
     risk = rows.groupBy("payer_name").agg(money("revenue_at_risk").alias("payer_total_risk")).withColumnRenamed("payer_name", "_payer")
     columns = ["claim_id", "submission_date", "payer_name", "provider_specialty", "principal_icd10", "charge_amount", "predicted_denial_score", "revenue_at_risk", "mentions_lack_of_pre_auth", "documents_medical_necessity", "denial_reason"]
-    ranked = global_rank(rows.select(*columns), "predicted_denial_score", "claim_id", prefix="score_")
-    ranked = global_rank(ranked, "charge_amount", "claim_id", prefix="charge_")
-    ranked = global_rank(ranked, "predicted_denial_score", "claim_id", descending=True, ntiles=10, prefix="down_").filter("down_ntile = 1")
-    ranked = ranked.withColumnsRenamed({"score_percent_rank": "score_pctrank", "charge_percent_rank": "charge_pctrank", "down_ntile": "score_decile"}).drop("down_percent_rank")
+    # each rank from two columns only, so that their plans stand side by side and don't grow into each other
+    rank = lambda value, **how: global_rank(rows.select("claim_id", value), value, "claim_id", **how)
+    top = rank("predicted_denial_score", descending=True, ntiles=10).filter("ntile = 1").select("claim_id", F.col("ntile").alias("score_decile"))
+    score = rank("predicted_denial_score").select("claim_id", F.col("percent_rank").alias("score_pctrank"))
+    charge = rank("charge_amount").select("claim_id", F.col("percent_rank").alias("charge_pctrank"))
+    ranked = rows.select(*columns).join(top, "claim_id").join(score, "claim_id").join(charge, "claim_id")
     out = ranked.join(risk, F.col("payer_name").eqNullSafe(F.col("_payer"))).drop("_payer")
     return out.orderBy(F.col("predicted_denial_score").desc(), F.col("charge_amount").desc(), "claim_id").limit(limit)
 
