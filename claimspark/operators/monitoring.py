@@ -25,10 +25,18 @@ def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label"
 
 
 def _curve(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """For each distinct score its positives and negatives, and those with a higher or equal score; one row a distinct score."""
+    """For each distinct score its positives and negatives, and those with a higher or equal score; one row a distinct score.
+
+    Sums run within ranges of the score (4,096 in [0, 1]) and the ranges' totals give each its start, so that no task meets all scores.
+    """
     per = scored.filter(F.col(label).isin(0, 1)).groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
-    down = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumns({"pos_up": F.sum("pos").over(down), "neg_up": F.sum("neg").over(down)})
+    per = per.withColumn("_range", F.when(F.col("s").isNull(), -1).otherwise(F.floor(F.greatest(F.least("s", F.lit(1.0)), F.lit(0.0)) * 4096)))
+    above = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = per.groupBy("_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    starts = totals.select(F.col("_range").alias("_r"), *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("_p", "_n")))
+    down = Window.partitionBy("_range").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = per.join(F.broadcast(starts), F.col("_range") == F.col("_r"))  # a row for each of 4,098 ranges at most
+    return rows.select("s", "pos", "neg", (F.sum("pos").over(down) + F.col("_p")).alias("pos_up"), (F.sum("neg").over(down) + F.col("_n")).alias("neg_up"))
 
 
 def auc_roc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:

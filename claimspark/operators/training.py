@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -12,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimspark.functions.scalars import gate_stage
+from claimspark.operators.features import impute
 from claimspark.operators.monitoring import auc_roc, average_precision, binary_metrics, ece
 
 
@@ -80,14 +83,14 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.drop("_features", "rawPrediction", "probability", "prediction")
 
 
-def search(train: DataFrame, validation: DataFrame, features: list[str], trials: int = 50, seed: int = 1, threads: int = 4) -> tuple[dict, float]:
+def search(train: DataFrame, validation: DataFrame, features: list[str], trials: int = 50, seed: int = 1, threads: int = 4, weight: float = 1.0) -> tuple[dict, float]:
     """(parameters, precision) of the best of ``trials`` random settings; a trial that fails counts 0."""
     draw = random.Random(seed)
     settings = [{"maxDepth": draw.randint(3, 8), "maxIter": draw.randint(10, 60), "stepSize": round(10 ** draw.uniform(-2, -0.5), 4), "subsamplingRate": round(draw.uniform(0.6, 1.0), 2), "minInstancesPerNode": draw.randint(1, 20)} for _ in range(trials)]
 
     def run(params: dict) -> float:
         try:
-            return binary_metrics(predict(fit(train, features, **params), validation)).first()["precision"]
+            return binary_metrics(predict(fit(train, features, weight, **params), validation)).first()["precision"]
         except Exception:
             return 0.0
 
@@ -118,3 +121,28 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: list
         mixed = numbered.withColumn(f, F.coalesce(F.lag(f).over(w), F.first(f).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).drop("_i")
         found.append((f, base - auc_roc(predict(model, mixed)).first()["auc_roc"]))
     return spark.createDataFrame(found, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(top)
+
+
+@dataclass(frozen=True)
+class TrainingRun:
+    """What a run gives: the model, its parameters, one row of test metrics with the gate's ``stage``, and the importances."""
+
+    model: PipelineModel
+    params: dict
+    metrics: DataFrame
+    importance: DataFrame
+
+
+def run_training(df: DataFrame, features: list[str], as_of: str, min_records: int = 1000, trials: int = 50, params: dict | None = None, top: int = 20) -> TrainingRun:
+    """Window, split by date, class weight, search (unless ``params`` are given), final fit, and metrics on the test rows.
+
+    InsufficientDataError where the wide window has too few labelled rows. The split rows are checkpointed, as each trial reads them.
+    """
+    rows = temporal_split3(impute(select_window(df, as_of, min_records), tuple(features)))
+    rows = rows.select("label", "split", *features).checkpoint()
+    part = lambda name: rows.filter(F.col("split") == name)
+    weight = class_weight(part("train")).first()["weight"]
+    chosen = search(part("train"), part("validation"), features, trials, weight=weight)[0] if params is None else params
+    model = fit(part("train"), features, weight, **chosen)
+    metrics = evaluate(predict(model, part("test"))).withColumn("stage", gate_stage(F.col("precision"), F.col("ece")))
+    return TrainingRun(model, chosen, metrics, permutation_importance(model, part("test"), features, top))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from claimspark.plans.oracle import with_claims
+from claimspark.functions.scalars import PRIOR_AUTH
+from claimspark.plans.oracle import LABEL, with_claims
 
 ERA = "era AS (SELECT c.claim_id, c.payer_name, CAST(l_shipdate AS DATE) AS payment_date, CASE WHEN l_returnflag = 'R' THEN 'denied' ELSE 'paid' END AS status FROM lineitem JOIN claims c ON c.claim_id = 'CLM-' || CAST(l_orderkey AS STRING))"
 ENC = "enc AS (SELECT o_custkey AS acc, o_orderkey AS encounter_id, CAST(o_orderdate AS DATE) AS encounter_date, o_orderpriority AS admitting_department FROM orders WHERE o_orderkey % 3 = 0)"
@@ -106,3 +107,27 @@ SQL: dict[str, str] = {
 
 READY = "SELECT claim_id, submission_date, claim_status, adjudication_outcome, length_of_stay, comorbidity_risk_score, documents_medical_necessity, mentions_lack_of_pre_auth FROM claims"
 SQL["feature_table"] = f"SELECT * FROM ({with_claims([], READY)}) a" + "".join(f" JOIN ({SQL[k]}) {k} USING (claim_id)" for k in ("claim_level_features", "provider_features", "payer_features"))
+
+LINES = "lines AS (SELECT 'CLM-' || CAST(l_orderkey AS STRING) AS claim_id, l_partkey % 40 AS i, upper(p_brand) AS code, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN part ON p_partkey = l_partkey)"
+SQL["clinical_features"] = with_claims(
+    [
+        LINES, PREFIXES, "per AS (SELECT claim_id, COUNT(*) AS n, max(d) AS d FROM lines GROUP BY 1)", "best AS (SELECT DISTINCT claim_id, arg_max(prefix, length(prefix)) AS prefix FROM (SELECT DISTINCT claim_id, code FROM lines) z JOIN x ON starts_with(code, prefix) GROUP BY claim_id, code)",
+        "com AS (SELECT claim_id, CAST(SUM(weight) AS INTEGER) AS w FROM best JOIN x USING (prefix) GROUP BY 1)", "bits AS (SELECT DISTINCT claim_id, i FROM lines WHERE i < 25)", "r AS (SELECT unnest(range(25)) AS i)",
+        "vec AS (SELECT c.claim_id, string_agg(CASE WHEN b.i IS NULL THEN '0' ELSE '1' END, '' ORDER BY r.i) AS v FROM claims c CROSS JOIN r LEFT JOIN bits b ON b.claim_id = c.claim_id AND b.i = r.i GROUP BY 1)",
+        "cat AS (SELECT claim_id, submission_date, CASE WHEN CAST(substring(principal_icd10, 7) AS INTEGER) % 2 = 0 THEN CAST(substring(principal_icd10, 7) AS INTEGER) % 12 ELSE 0 END AS k FROM claims)",
+    ],
+    "SELECT cat.claim_id, coalesce(k, 0) AS principal_dx_ccs_category, CAST(coalesce(per.n, 0) AS INTEGER) AS secondary_dx_count, CAST(CASE WHEN per.d IS NULL THEN -1 ELSE greatest(per.d - submission_date, 0) END AS INTEGER) AS length_of_stay, "
+    "coalesce(com.w, 0) AS comorbidity_risk_score, vec.v AS procedure_vector, CASE WHEN k IN (2, 4, 6, 8) AND substring(vec.v, k + 1, 2) = '00' THEN 1 ELSE 0 END AS diagnosis_procedure_mismatch FROM cat JOIN vec USING (claim_id) LEFT JOIN per USING (claim_id) LEFT JOIN com USING (claim_id)",
+)
+SQL["leave_last_out_rates"] = with_claims(
+    [f"w AS (SELECT *, CASE WHEN adjudication_outcome = 'denied' THEN 1 ELSE 0 END AS x FROM claims WHERE submission_date BETWEEN DATE '1995-06-30' - 90 AND DATE '1995-06-30' AND {KNOWN})", "o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY provider_npi ORDER BY submission_date DESC, claim_id DESC) AS nth, COUNT(*) OVER (PARTITION BY provider_npi) AS n FROM w)"],
+    "SELECT provider_npi, CASE WHEN max(n) > 3 THEN CAST(SUM(x) FILTER (nth > 1) AS DOUBLE) / (max(n) - 1) ELSE (SELECT AVG(x) FROM w) END AS rate FROM o GROUP BY 1",
+)
+SQL["imputed_features"] = with_claims([], "SELECT claim_id, CASE WHEN comorbidity_risk_score = 3 THEN 0 ELSE comorbidity_risk_score END AS comorbidity_risk_score, CASE WHEN length_of_stay > 4 THEN documents_medical_necessity ELSE 0 END AS documents_medical_necessity FROM claims")
+SQL["claim_risk"] = with_claims([], f"SELECT claim_id, predicted_denial_score >= 0.6 AS predicted_denial, CASE WHEN predicted_denial_score >= 0.6 THEN charge_amount ELSE 0 END AS revenue_at_risk, {LABEL} AS confusion FROM claims")
+NOTES = SQL["prepared_notes"].removesuffix("SELECT conv_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM w").removeprefix("WITH ")
+PHRASES = "|".join(PRIOR_AUTH).replace("'", "''")
+SQL["note_flags"] = with_claims([NOTES], f"SELECT claim_id, CAST(coalesce(regexp_matches(w.t, '(?i){PHRASES}'), FALSE) AS INTEGER) AS mentions_lack_of_pre_auth, CASE WHEN w.t IS NULL THEN 1 ELSE 0 END AS nlp_flag FROM claims LEFT JOIN w ON claim_id = 'CLM-' || CAST(conv_id AS STRING)")
+SQL["gate_decision"] = f"SELECT precision, ece, CASE WHEN precision >= 0.9 AND ece <= 0.05 THEN 'Staging' ELSE 'Failed' END AS stage FROM ({SQL['model_metrics']}) m"
+SQL["metric_comparison"] = f"WITH m AS ({SQL['split_statistics']}) SELECT split AS version, 'denied_share' AS metric, denied_share AS value FROM m UNION ALL SELECT split, 'total', CAST(total AS DOUBLE) FROM m"
+SQL["run_health"] = with_claims([], "SELECT submission_date AS run_ts, COUNT(*) AS minutes, COUNT(predicted_denial_score) AS scored, COUNT(score_quality_flag) AS failed, COUNT(*) > 5 AS sla_breach FROM claims GROUP BY 1 ORDER BY 1 DESC LIMIT 1")

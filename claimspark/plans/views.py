@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -67,6 +69,13 @@ def register_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that spark.checkpoint.dir names; a temporary one where that is unset (tests, one machine)."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
 def run_sql(spark: SparkSession, sql: str, claims: DataFrame) -> DataFrame:
     """Ad-hoc SQL over claims, which the text names ``{claims}``."""
     return spark.sql(sql, claims=claims)

@@ -13,7 +13,7 @@ from claimspark.plans import windows
 from claimspark.plans.joins import keyed_upsert, longest_prefix
 from claimspark.plans.oracle import analytics_sql
 from claimspark.plans.oracle_features import SQL
-from claimspark.plans.views import claims_view, table
+from claimspark.plans.views import claims_view, shared_checkpoints, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -204,7 +204,65 @@ def feature_table(spark, sf_dir):
     return features.feature_table(claims_view(spark, sf_dir), era(spark, sf_dir), contracts(spark))
 
 
+def clinical_features(spark, sf_dir):
+    """Brands as diagnoses, part numbers as procedures, the last shipping date as the discharge."""
+    lines = _lines(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    per = lines.groupBy("claim_id").agg(F.collect_list("p_brand").alias("secondary_icd10_codes"), F.collect_list((F.col("l_partkey") % 40).cast("string")).alias("cpt_codes"), F.max(F.col("l_shipdate").cast("date")).alias("discharge_date"))
+    claims = claims_view(spark, sf_dir).select("claim_id", F.col("principal_icd10").alias("principal_icd10_code"), F.col("submission_date").alias("admission_date")).join(per, "claim_id", "left")
+    brands = table(spark, sf_dir, "part").select(S.norm_icd10(F.col("p_brand")).alias("icd10")).distinct()
+    ccs = brands.withColumn("category", F.substring("icd10", 7, 9).cast("int") % 12).filter("category % 2 = 0")
+    cpt = spark.range(30).select(F.col("id").cast("string").alias("cpt"), F.col("id").cast("int").alias("idx"))
+    expected = spark.range(2, 10, 2).select(F.col("id").cast("int").alias("category"), F.array(F.col("id").cast("int"), F.col("id").cast("int") + 1).alias("indices"))
+    out = features.clinical(claims, ccs, cpt, spark.createDataFrame(PREFIXES, "prefix string, weight int"), expected)
+    return out.withColumn("procedure_vector", F.array_join("procedure_vector", ""))
+
+
+def leave_last_out_rates(spark, sf_dir):
+    return windows.leave_last_out(claims_view(spark, sf_dir), "provider_npi", ["submission_date", "claim_id"], "1995-06-30", 3)
+
+
+def imputed_features(spark, sf_dir):
+    rows = claims_view(spark, sf_dir).select("claim_id", F.nullif("comorbidity_risk_score", F.lit(3)).alias("comorbidity_risk_score"), F.when(F.col("length_of_stay") > 4, F.col("documents_medical_necessity")).alias("documents_medical_necessity"))
+    return features.impute(rows)
+
+
+def claim_risk(spark, sf_dir):
+    rows = analytics.with_risk(claims_view(spark, sf_dir), 0.6)
+    return rows.select("claim_id", "predicted_denial", "revenue_at_risk", analytics.confusion_label().alias("confusion"))
+
+
+def note_flags(spark, sf_dir):
+    """Conversations as the notes of claims."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("CLM-"), F.col("conv_id").cast("string")).alias("claim_id"), "turn", "text")
+    out = notes.note_features(claims_view(spark, sf_dir), turns, order=("turn",))
+    return out.select("claim_id", "mentions_lack_of_pre_auth", "nlp_flag")
+
+
+def gate_decision(spark, sf_dir):
+    return model_metrics(spark, sf_dir).select("precision", "ece", S.gate_stage(F.col("precision"), F.col("ece")).alias("stage"))
+
+
+def metric_comparison(spark, sf_dir):
+    rows = split_statistics(spark, sf_dir).select(F.col("split").alias("version"), "denied_share", F.col("total").cast("double").alias("total"))
+    return analytics.model_comparison(rows)
+
+
+def run_health(spark, sf_dir):
+    """A day's claims as a run that takes a minute a claim."""
+    runs = claims_view(spark, sf_dir).groupBy(F.col("submission_date").alias("run_ts")).agg(F.count("*").alias("minutes"), F.count("predicted_denial_score").alias("scored"), F.count("score_quality_flag").alias("failed"))
+    return monitoring.pipeline_health(runs, 5)
+
+
+def training_run(spark, sf_dir):
+    """Test metrics and gate of a model of the feature table, with set parameters instead of a search."""
+    shared_checkpoints(spark)
+    columns = ["claim_submission_date_doy", "patient_age", "gender", "provider_historical_denial_rate", "payer_historical_denial_rate", "days_since_last_payment", "comorbidity_risk_score", "documents_medical_necessity", "mentions_lack_of_pre_auth"]
+    rows = feature_table(spark, sf_dir)
+    return training.run_training(rows, columns, "1995-07-31", min_records=20, params={"maxDepth": 3, "maxIter": 5}).metrics
+
+
 MORE = (
+    clinical_features, leave_last_out_rates, imputed_features, claim_risk, note_flags, gate_decision, metric_comparison, run_health, training_run,
     claim_level_features, provider_features, payer_features, unknown_payers, anchored_provider_rates, encounter_link, encounter_attach, outcome_link, score_writeback, score_run_stats, feature_upsert, deleted_rows,
     procedure_vectors, comorbidity_scores, prefix_matches, provider_lookups, filtered_claims, missing_features, prepared_notes, phrase_flags, necessity_scores, training_window, temporal_split, temporal_split3,
     split_statistics, class_weights, model_metrics, monitoring_record, precision_history, retention_check, failure_streaks, feature_table,

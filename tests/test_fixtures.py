@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from claimspark import queries
 from claimspark.functions import reference
 from claimspark.functions import scalars as S
 from claimspark.operators import features, monitoring, notes, scoring, training
@@ -124,6 +125,19 @@ def test_metrics_and_training(spark):
     assert training.search(split, split, ["x"], trials=1)[1] == 1.0
 
 
+def test_training_run(spark, sf):
+    r = queries.training_run(spark, sf).first()
+    assert r["tp"] + r["fp"] + r["fn"] + r["tn"] > 0 and 0 <= r["auc_roc"] <= 1 and r["stage"] in ("Staging", "Failed")
+
+
+def test_curve_sums_across_ranges(spark):
+    rows = spark.createDataFrame([(s / 10_000, int(s % 3 == 0)) for s in range(0, 10_000, 7)] + [(None, 1)], "score double, label int")
+    seen = sorted(((r["score"] if r["score"] is not None else -1, r["label"]) for r in rows.collect()), reverse=True)
+    neg = [s for s, y in seen if not y]
+    want = sum(sum(n < s for n in neg) for s, y in seen if y) / (len(neg) * (len(seen) - len(neg)))
+    assert abs(monitoring.auc_roc(rows).first()["auc_roc"] - want) < 1e-12
+
+
 class Picky:
     def predict(self, x):
         if (x > 5).any():
