@@ -8,6 +8,12 @@ and descends four bits at a time over pairs of nodes; a pair whose accumulated d
 everything below it. A node with more than ``node_limit`` fingerprints is not descended in one task: its fingerprints are
 dealt again by all values one flipped bit away, which finds the same links in groups of bounded size.
 
+Few changed words move more than two bits of a short text's fingerprint. With ``similarity`` (a Jaccard similarity of
+five-word shingles), texts also get a fingerprint of 512 bits, for which that similarity means a share of differing bits.
+Each of several tables takes 64 of these bits as a mask and lists the texts in Gray order of the masked bits; texts that
+stand near each other in a list are linked if all 512 bits say so. This search misses some pairs near the limit (recall is
+measured in the tests); a row meets a fixed number of neighbours, so a group of copies never makes all pairs.
+
 Defined results: null or blank text has fingerprint zero and is linked like any other; repeated rows get one row each; an
 empty table gives an empty result; a null id keeps its row, and takes the component of its fingerprint.
 """
@@ -16,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +35,7 @@ from claimspark.llm.common import connected_components, cut, utf8_rows
 
 SEED = 42
 _CHUNK = 1 << 20
+WIDE_BITS, WIDE_SHINGLE, TABLES = 512, 5, 40
 
 
 def _bit_table() -> np.ndarray:
@@ -52,15 +60,38 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * total > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def wide_fingerprint(text: bytes) -> bytes:
+    """WIDE_BITS bits, each the majority over the distinct shingles of WIDE_SHINGLE words; all zero without words."""
+    words = text.lower().split()
+    size, words_of = min(WIDE_SHINGLE, len(words)), WIDE_BITS // 64
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    shingles = (b" ".join(words[i : i + size]) for i in range(len(words) - size + 1))
+    hashed = np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64))
+    factors = np.random.default_rng(SEED).integers(1, 1 << 63, words_of, np.uint64) * np.uint64(2) + np.uint64(1)
+    total, lane = np.zeros((WIDE_BITS // 8, 8)), 256 * np.arange(WIDE_BITS // 8)
+    for at in range(0, len(hashed), 8192):
+        mixed = hashed[at : at + 8192, None] * factors
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= factors
+        mixed ^= mixed >> np.uint64(29)
+        lanes = np.ascontiguousarray(mixed).view(np.uint8).reshape(len(mixed), -1) + lane
+        total += np.bincount(lanes.ravel(), minlength=32 * WIDE_BITS).reshape(-1, 256).astype(float) @ _bit_table()
+    return np.packbits(2 * total > len(hashed)).tobytes()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, wide: bool = False) -> DataFrame:
+    """(id, fp), and with ``wide`` a column of that name: fp is the fingerprint as a signed long."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())])
+    schema = T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())] + wide * [T.StructField("wide", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x, shingle) for x in utf8_rows(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
+            columns = [batch.column("id"), pa.array(found.view(np.int64))]
+            if wide:
+                columns.append(pa.array([wide_fingerprint(x) for x in utf8_rows(batch.column("text"))], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "wide"][: len(columns)])
 
     return rows.mapInArrow(run, schema)
 
@@ -171,18 +202,65 @@ def hamming_links(values: DataFrame, distance: int = 2, node_limit: int = 4096,
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3, node_limit: int = 4096) -> DataFrame:
+def differing_share(similarity: float) -> float:
+    """The share of bits expected to differ between texts whose shingle sets, alike in size, have this Jaccard similarity."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def similar_links(values: DataFrame, similarity: float, neighbours: int = 4, tables: int = TABLES) -> DataFrame:
+    """Edges (u, v) between the longs ``fp`` whose ``wide`` bits, half a deviation allowed, agree with ``similarity``."""
+    share, draw = differing_share(similarity), np.random.default_rng(SEED)
+    slack = (share * (1 - share)) ** 0.5
+    most, first = int(WIDE_BITS * share + 0.5 * slack * WIDE_BITS**0.5), int(64 * share + 2 * slack * 8)
+    masks = [draw.permutation(WIDE_BITS)[:64] for _ in range(tables)]
+    top = np.uint64(1 << 63)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(n, WIDE_BITS // 8), axis=1)
+            for k, mask in enumerate(masks):
+                rank = np.ascontiguousarray(np.packbits(bits[:, mask], axis=1)).view(">u8").ravel().astype(np.uint64)
+                for shift in (1, 2, 4, 8, 16, 32):
+                    rank ^= rank >> np.uint64(shift)
+                place = pa.array((rank ^ top).view(np.int64))  # so that signed order is Gray order
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), place, batch.column("fp"), batch.column("wide")], names=["table", "place", "fp", "wide"])
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None
+        for batch in batches:
+            rank = batch.column("place").to_numpy().view(np.uint64) ^ top
+            bits = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(batch.num_rows, WIDE_BITS // 64)
+            new = (batch.column("table").to_numpy(), rank ^ (rank >> np.uint64(1)), batch.column("fp").to_numpy(), bits)
+            at = new if held is None else tuple(map(np.concatenate, zip(held, new, strict=True)))
+            old = len(at[0]) - len(rank)
+            for step in range(1, neighbours + 1):
+                i = np.arange(max(step, old), len(at[0]))
+                i = i[(at[0][i] == at[0][i - step]) & (np.bitwise_count(at[1][i] ^ at[1][i - step]) <= first)]
+                i = i[np.bitwise_count(at[3][i] ^ at[3][i - step]).sum(axis=1, dtype=np.int64) <= most]
+                yield pa.RecordBatch.from_arrays([pa.array(at[2][i]), pa.array(at[2][i - step])], names=["u", "v"])
+            held = tuple(x[-neighbours:] for x in at)
+
+    lists = values.select("fp", "wide").mapInArrow(listed, "table int, place long, fp long, wide binary")
+    dealt = lists.repartitionByRange("table", "place", "fp").sortWithinPartitions("table", "place", "fp")
+    return dealt.mapInArrow(beside, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3, node_limit: int = 4096, similarity: float | None = None) -> DataFrame:
     """(id, fp, component_id) for each row: component_id is the least id among all fingerprints reachable by links."""
-    marked = cut(fingerprints(docs, id_col, text_col, shingle))
+    marked = cut(fingerprints(docs, id_col, text_col, shingle, similarity is not None))
     own = marked.groupBy("fp").agg(F.min("id").alias("first"))
-    reached = connected_components(hamming_links(own.select("fp"), distance, node_limit)).select(F.col("node").alias("fp"), "root")
+    links = hamming_links(own.select("fp"), distance, node_limit)
+    if similarity is not None:
+        links = links.union(similar_links(marked.groupBy("fp").agg(F.min("wide").alias("wide")), similarity))
+    reached = connected_components(links).select(F.col("node").alias("fp"), "root")
     classes = own.join(reached, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """docs with one document of each component, that with the least id; all columns stay. Rows whose id is null stay only in a component of such rows."""
     found = near_duplicates(docs, id_col, text_col, **options)
     keep = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_keep_id")).distinct()

@@ -71,6 +71,48 @@ def test_components_of_chains_stars_and_nothing(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def shingles_of_five(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    """Groups of changed copies, one of them large, and texts of the same words in other orders."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for group in range(30):
+        first = draw.choices(words, k=draw.randrange(60, 600))
+        for _ in range(300 if group == 0 else 3):
+            copy = list(first)
+            copy[draw.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(draw.sample(first, len(first))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()}
+    sets = list(map(shingles_of_five, texts))
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(sets)) for j in range(i)]
+    alike = [got[i] == got[j] for i, j, x in pairs if x >= 0.8]
+    assert len(alike) > 1000 and sum(alike) >= 0.9 * len(alike)
+    assert not any(got[i] == got[j] for i, j, x in pairs if x < 0.3)
+
+
+def test_recall_of_similar_texts_on_the_table(spark, sf):
+    docs = table(spark, sf, "documents")
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, similarity=0.8).collect()}
+    sets = {r["doc_id"]: shingles_of_five(r["text"]) for r in docs.collect()}
+    ids = sorted(sets)
+    alike = [got[a] == got[b] for n, a in enumerate(ids) for b in ids[:n] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(alike) >= 0.9 * len(alike)
+
+
+def test_similar_texts_of_awkward_rows(spark):
+    df = awkward(spark)
+    assert simhash.near_duplicates(df, similarity=0.8).count() == df.count()
+    assert simhash.keep_first(df, similarity=0.8).columns == df.columns
+    assert simhash.keep_first(empty(spark), similarity=0.8).count() == 0
+
+
 def test_keep_first_keeps_one_of_each_group(spark):
     docs = awkward(spark)
     kept = simhash.keep_first(docs)
