@@ -9,10 +9,11 @@ everything below it. A node with more than ``node_limit`` fingerprints is not de
 dealt again by all values one flipped bit away, which finds the same links in groups of bounded size.
 
 Few changed words move more than two bits of a short text's fingerprint. With ``similarity`` (a Jaccard similarity of
-five-word shingles), texts also get a fingerprint of 512 bits, for which that similarity means a share of differing bits.
-Each of several tables takes 64 of these bits as a mask and lists the texts in Gray order of the masked bits; texts that
-stand near each other in a list are linked if all 512 bits say so. This search misses some pairs near the limit (recall is
-measured in the tests); a row meets a fixed number of neighbours, so a group of copies never makes all pairs.
+five-word shingles), all pairs of texts that are alike by it are linked too, by their exact sets of shingle hashes. Shingles
+have one order, with those of many texts last; two sets that alike share one of the first ``prefix_length`` shingles, so a
+shuffle by these brings each such pair together. Pairs are first made along stars and chains of each shingle's texts; after
+these links are components, only texts of different components are paired in full, so a group of copies doesn't make all
+its pairs. Every candidate is verified on the full sets, in joins.
 
 Defined results: null or blank text has fingerprint zero and is linked like any other; repeated rows get one row each; an
 empty table gives an empty result; a null id keeps its row, and takes the component of its fingerprint.
@@ -22,12 +23,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
-from math import acos, pi
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +36,9 @@ from claimspark.llm.common import connected_components, cut, utf8_rows
 
 SEED = 42
 _CHUNK = 1 << 20
-WIDE_BITS, WIDE_SHINGLE, TABLES = 512, 5, 40
+_BITMAP = 1 << 15
+_PLACES = 4096
+SET_SHINGLE = 5
 
 
 def _bit_table() -> np.ndarray:
@@ -60,42 +63,79 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * total > n).tolist()))
 
 
-def wide_fingerprint(text: bytes) -> bytes:
-    """WIDE_BITS bits, each the majority over the distinct shingles of WIDE_SHINGLE words; all zero without words."""
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct hashes of the shingles of SET_SHINGLE words (of all words where there are fewer), sorted; none without words."""
     words = text.lower().split()
-    size, words_of = min(WIDE_SHINGLE, len(words)), WIDE_BITS // 64
+    size, hashed = min(SET_SHINGLE, len(words)), xxhash.xxh64_intdigest
     if not words:
-        return bytes(WIDE_BITS // 8)
+        return np.zeros(0, np.int64)
     shingles = (b" ".join(words[i : i + size]) for i in range(len(words) - size + 1))
-    hashed = np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64))
-    factors = np.random.default_rng(SEED).integers(1, 1 << 63, words_of, np.uint64) * np.uint64(2) + np.uint64(1)
-    total, lane = np.zeros((WIDE_BITS // 8, 8)), 256 * np.arange(WIDE_BITS // 8)
-    for at in range(0, len(hashed), 8192):
-        mixed = hashed[at : at + 8192, None] * factors
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= factors
-        mixed ^= mixed >> np.uint64(29)
-        lanes = np.ascontiguousarray(mixed).view(np.uint8).reshape(len(mixed), -1) + lane
-        total += np.bincount(lanes.ravel(), minlength=32 * WIDE_BITS).reshape(-1, 256).astype(float) @ _bit_table()
-    return np.packbits(2 * total > len(hashed)).tobytes()
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, wide: bool = False) -> DataFrame:
-    """(id, fp), and with ``wide`` a column of that name: fp is the fingerprint as a signed long."""
+    return np.unique(np.fromiter((hashed(x, SEED) for x in shingles), np.uint64).view(np.int64))
+
+
+def least_overlap(n: int, similarity: float) -> int:
+    """The least number of shingles that a set of n shares with any set that is alike."""
+    return ceil(similarity * n - 1e-9)
+
+
+def _occupied(found: np.ndarray) -> bytes:
+    places = np.zeros(_PLACES, bool)
+    places[found & (_PLACES - 1)] = True
+    return np.packbits(places).tobytes()
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - least_overlap(n, similarity) + 1 if n else 0
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None, late: np.ndarray | None = None) -> DataFrame:
+    """(id, fp): fp is the fingerprint as a signed long. With ``similarity`` also text_key, and of the set of shingles its key, its size n, its first shingles and the places that it occupies of _PLACES.
+
+    ``late`` lists the shingles that come last in the order, the later the further back.
+    """
+    wide = similarity is not None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())] + wide * [T.StructField("wide", T.BinaryType())])
+    rows = rows.withColumn("text_key", F.xxhash64("text")) if wide else rows
+    more = [T.StructField(c, T.LongType()) for c in ("text_key", "key", "n")] + [T.StructField("first", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())]
+    schema = T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())] + wide * more)
+    late = np.zeros(0, np.int64) if late is None else late
+    sorter = np.argsort(late)
+    known = late[sorter]
+
+    def leading(found: np.ndarray) -> np.ndarray:
+        place = np.zeros(len(found), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            place = np.where(known[at] == found, sorter[at] + 1, 0)
+        return found[np.lexsort((found, place))][: prefix_length(len(found), similarity)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x, shingle) for x in utf8_rows(batch.column("text"))], np.uint64)
             columns = [batch.column("id"), pa.array(found.view(np.int64))]
             if wide:
-                columns.append(pa.array([wide_fingerprint(x) for x in utf8_rows(batch.column("text"))], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "wide"][: len(columns)])
+                sets = [shingle_set(x) for x in utf8_rows(batch.column("text"))]
+                key = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                columns += [batch.column("text_key"), pa.array(key), pa.array([len(x) for x in sets], pa.int64()), pa.array(map(leading, sets), pa.list_(pa.int64())), pa.array(map(_occupied, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def frequent_shingles(docs: DataFrame, text_col: str, share: int = 16, least: int = 4, most: int = 100_000) -> np.ndarray:
+    """The most frequent shingles of a sample of the texts, rarer ones first. They only settle the order of shingles: any order finds the same pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in utf8_rows(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text))], names=["shingle"])
+
+    sample = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    counted = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= least)
+    rows = counted.orderBy(F.desc("count"), "shingle").limit(most).select("shingle").collect()
+    return np.array([r["shingle"] for r in rows], np.int64)[::-1].copy()
+
+
 def near_pairs(group: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of distinct fingerprints of one group with at most ``distance`` differing bits, by a descent in Gray order."""
     rank = fp.copy()
@@ -202,58 +242,124 @@ def hamming_links(values: DataFrame, distance: int = 2, node_limit: int = 4096,
     return out
 
 
-def differing_share(similarity: float) -> float:
-    """The share of bits expected to differ between texts whose shingle sets, alike in size, have this Jaccard similarity."""
-    return acos(2 * similarity / (1 + similarity)) / pi
+def _may_be_alike(n: Column, m: Column, i: Column, j: Column, similarity: float) -> Column:
+    """Whether sets of sizes n and m whose first common shingle is at places i and j can be alike."""
+    return F.least(n - i, m - j) * (1 + similarity) >= similarity * (n + m) - 1e-9
+
+
+def sharing(sets: DataFrame, chunk: int = 65536) -> DataFrame:
+    """(h, key, n, i) of the leading shingles h that several sets have, with the key, n and i of two others: the least by a hash and the one before."""
+    columns = ("h", "key", "n", "i")
+    dealt = sets.select("key", "n", F.posexplode("first").alias("i", "h")).select("h", "key", "n", F.col("i").cast("long").alias("i"))
+    names = [*columns, *(f"{c}_{k}" for k in (1, 2) for c in columns[1:])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def several(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            new = np.append(True, rows[1:, 0] != rows[:-1, 0])
+            group = np.cumsum(new) - 1
+            start = np.flatnonzero(new)[group]
+            many = np.bincount(group)[group] > 1
+            before = np.maximum(np.arange(len(rows)) - 1, start)
+            out = np.concatenate([rows, rows[start, 1:], rows[before, 1:]], axis=1)[many]
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in out.T], names=names)
+
+        size = 0
+        for batch in batches:
+            held.append(np.stack([batch.column(c).to_numpy() for c in columns], axis=1))
+            size += len(held[-1])
+            if size >= chunk:
+                rows = np.concatenate(held)
+                starts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+                last = int(starts[-1]) if len(starts) else 0  # the last group may go on in the next batch
+                yield from several(rows[:last]) if last else ()
+                held, size = [rows[last:]], len(rows) - last
+        if size:
+            yield from several(np.concatenate(held))
+
+    return dealt.repartition("h").withColumn("place", F.xxhash64("key", "h")).sortWithinPartitions("h", "place").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def similar_links(values: DataFrame, similarity: float, neighbours: int = 4, tables: int = TABLES) -> DataFrame:
-    """Edges (u, v) between the longs ``fp`` whose ``wide`` bits, half a deviation allowed, agree with ``similarity``."""
-    share, draw = differing_share(similarity), np.random.default_rng(SEED)
-    slack = (share * (1 - share)) ** 0.5
-    most, first = int(WIDE_BITS * share + 0.5 * slack * WIDE_BITS**0.5), int(64 * share + 2 * slack * 8)
-    masks = [draw.permutation(WIDE_BITS)[:64] for _ in range(tables)]
-    top = np.uint64(1 << 63)
+def possible(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that may be alike: a shingle at a place that the other set leaves free is not in that set. No pair that is alike is lost."""
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(n, WIDE_BITS // 8), axis=1)
-            for k, mask in enumerate(masks):
-                rank = np.ascontiguousarray(np.packbits(bits[:, mask], axis=1)).view(">u8").ravel().astype(np.uint64)
-                for shift in (1, 2, 4, 8, 16, 32):
-                    rank ^= rank >> np.uint64(shift)
-                place = pa.array((rank ^ top).view(np.int64))  # so that signed order is Gray order
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), place, batch.column("fp"), batch.column("wide")], names=["table", "place", "fp", "wide"])
-
-    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
+            n = {c: batch.column(f"n_{c}").to_numpy() for c in "ab"}
+            bits = {c: np.frombuffer(b"".join(batch.column(f"bits_{c}").to_pylist()), np.uint64).reshape(batch.num_rows, _PLACES // 64) for c in "ab"}
+            most = [n[c] - np.bitwise_count(bits[c] & ~bits[d]).sum(axis=1, dtype=np.int64) for c, d in ("ab", "ba")]
+            keep = np.flatnonzero(np.minimum(*most) * (1 + similarity) >= similarity * (n["a"] + n["b"]) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in "ab"], names=["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def verified(docs: DataFrame, text_col: str, sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose full sets of shingles are alike."""
+
+    pairs = cut(possible(sets, pairs, similarity))
+    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    needed = cut(sets.join(needed, "key", "left_semi").select("key", "text_key"))
+    # a bitmap of fixed size, so that few other texts are taken apart and shuffled; the join settles it
+    place = F.pmod("text_key", F.lit(64 * _BITMAP))
+    words = needed.select(F.shiftright(place, 6).alias("at"), F.expr("shiftleft(1L, cast(text_key & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
+    bitmap = np.zeros(_BITMAP, np.int64)
+    for r in words:
+        bitmap[r["at"]] = r["bits"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank = batch.column("place").to_numpy().view(np.uint64) ^ top
-            bits = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(batch.num_rows, WIDE_BITS // 64)
-            new = (batch.column("table").to_numpy(), rank ^ (rank >> np.uint64(1)), batch.column("fp").to_numpy(), bits)
-            at = new if held is None else tuple(map(np.concatenate, zip(held, new, strict=True)))
-            old = len(at[0]) - len(rank)
-            for step in range(1, neighbours + 1):
-                i = np.arange(max(step, old), len(at[0]))
-                i = i[(at[0][i] == at[0][i - step]) & (np.bitwise_count(at[1][i] ^ at[1][i - step]) <= first)]
-                i = i[np.bitwise_count(at[3][i] ^ at[3][i - step]).sum(axis=1, dtype=np.int64) <= most]
-                yield pa.RecordBatch.from_arrays([pa.array(at[2][i]), pa.array(at[2][i - step])], names=["u", "v"])
-            held = tuple(x[-neighbours:] for x in at)
-
-    lists = values.select("fp", "wide").mapInArrow(listed, "table int, place long, fp long, wide binary")
-    dealt = lists.repartitionByRange("table", "place", "fp").sortWithinPartitions("table", "place", "fp")
-    return dealt.mapInArrow(beside, "u long, v long")
+            at = np.mod(batch.column("text_key").to_numpy(), 64 * _BITMAP)
+            few = batch.take(pa.array(np.flatnonzero((bitmap[at >> 6] >> (at & 63)) & 1)))
+            found = pa.array([shingle_set(x) for x in utf8_rows(few.column("text"))], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([few.column("text_key"), found], names=["text_key", "found"])
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    full = cut(texts.mapInArrow(run, "text_key long, found array<long>").dropDuplicates(["text_key"]).join(needed, "text_key").select("key", "found"))
+    side = lambda c: full.select(F.col("key").alias(c), F.col("found").alias(f"found_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("found_a", "found_b"))
+    return both.filter(common * (1 + similarity) >= similarity * (F.size("found_a") + F.size("found_b")) - 1e-9).select("a", "b")
+
+
+def similar_components(docs: DataFrame, text_col: str, marked: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """connected_components of ``links`` and of all fingerprints whose texts have sets of shingles alike by ``similarity``."""
+    sets = cut(marked.groupBy("key").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("first").alias("first"), F.min("bits").alias("bits")))
+    own = sets.select("key", "fp")
+    same = marked.select("key", F.col("fp").alias("u")).distinct().join(own, "key").filter("u <> fp").select("u", F.col("fp").alias("v"))
+    end = lambda c, name: own.select(F.col("key").alias(c), F.col("fp").alias(name))
+    edges = lambda pairs: pairs.join(end("a", "u"), "a").join(end("b", "v"), "b").select("u", "v")
+    shared = cut(sharing(sets))
+    # a few candidates of each key: they only have to make most of the components, not all links
+    beside = F.array(*(F.struct(*(F.col(f"{c}_{k}").alias(c) for c in ("key", "n", "i"))) for k in (1, 2)))
+    starts = shared.select("key", "n", "i", "h", F.explode(beside).alias("to")).filter(F.col("key") != F.col("to.key")).filter(_may_be_alike(F.col("n"), F.col("to.n"), F.col("i"), F.col("to.i"), similarity))
+    chosen = starts.groupBy("key").agg(*(F.min_by("to.key", F.xxhash64("h", "to.key", F.lit(k))).alias(f"to_{k}") for k in range(3)))
+    tries = chosen.select("key", F.explode(F.array_distinct(F.array("to_0", "to_1", "to_2"))).alias("to"))
+    near = edges(verified(docs, text_col, sets, cut(tries.select(F.least("key", "to").alias("a"), F.greatest("key", "to").alias("b")).distinct()), similarity))
+    reached = connected_components(links.union(same).union(near))
+    roots = own.join(reached.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
+    open_ = shared.select("h", "key", "n", "i").join(roots, "key")
+    mixed = open_.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
+    left = cut(open_.join(mixed, "h"))
+    right = left.select("h", *(F.col(c).alias(f"{c}_2") for c in ("key", "n", "i", "root")))
+    across = left.join(right, (left["h"] == right["h"]) & (F.col("root") < F.col("root_2")) & _may_be_alike(F.col("n"), F.col("n_2"), F.col("i"), F.col("i_2"), similarity))
+    pairs = cut(across.select(F.col("key").alias("a"), F.col("key_2").alias("b")).distinct())
+    if pairs.isEmpty():
+        return reached
+    return connected_components(reached.select(F.col("node").alias("u"), F.col("root").alias("v")).union(edges(verified(docs, text_col, sets, pairs, similarity))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3, node_limit: int = 4096, similarity: float | None = None) -> DataFrame:
     """(id, fp, component_id) for each row: component_id is the least id among all fingerprints reachable by links."""
-    marked = cut(fingerprints(docs, id_col, text_col, shingle, similarity is not None))
+    late = None if similarity is None else frequent_shingles(docs, text_col)
+    marked = cut(fingerprints(docs, id_col, text_col, shingle, similarity, late))
     own = marked.groupBy("fp").agg(F.min("id").alias("first"))
     links = hamming_links(own.select("fp"), distance, node_limit)
-    if similarity is not None:
-        links = links.union(similar_links(marked.groupBy("fp").agg(F.min("wide").alias("wide")), similarity))
-    reached = connected_components(links).select(F.col("node").alias("fp"), "root")
+    found = connected_components(links) if similarity is None else similar_components(docs, text_col, marked, links, similarity)
+    reached = found.select(F.col("node").alias("fp"), "root")
     classes = own.join(reached, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")

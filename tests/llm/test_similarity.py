@@ -106,6 +106,28 @@ def test_recall_of_similar_texts_on_the_table(spark, sf):
     assert sum(alike) >= 0.9 * len(alike)
 
 
+def test_all_similar_texts_are_linked_and_no_others(spark):
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    passage = draw.choices(words, k=40)
+    texts = []
+    for _ in range(120):
+        first = draw.choices(words, k=draw.randrange(6, 120)) + passage
+        for _ in range(3):
+            copy = list(first)
+            for _ in range(draw.randrange(1, 4)):
+                copy[draw.randrange(len(copy))] = draw.choice(words)
+            texts.append(" ".join(copy))
+    hub = draw.choices(words, k=60)
+    texts += [" ".join([*hub[:i], draw.choice(words), *hub[i + 1 :]]) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()}
+    sets = list(map(shingles_of_five, texts))
+    prints = [simhash.fingerprint(x.encode()) for x in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 2
+    assert classes(range(len(texts)), [(i, j) for i, j in got.items() if i != j]) == classes(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j)])
+
+
 def test_similar_texts_of_awkward_rows(spark):
     df = awkward(spark)
     assert simhash.near_duplicates(df, similarity=0.8).count() == df.count()
