@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from claimspark.llm import lines, mixing, quality, simhash, tiling
 from claimspark.llm.common import table
 
+#: At sf0.1, lines that are only parts of copied documents, or short by chance, are on up to 4 of the 20 sources.
+LINE_SITES = 5
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the Bradley-Terry model accepts; it learns from labels of documents in ``docs`` outside the held-out rows."""
@@ -16,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without boilerplate lines; n_chars follows the text."""
-    out = lines.remove_boilerplate(docs)
+    out = lines.remove_boilerplate(docs, min_sites=LINE_SITES)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

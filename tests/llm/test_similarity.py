@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from claimspark.llm import lines, mixing, queries, simhash, tiling
 from claimspark.llm.common import connected_components, table
 
@@ -172,6 +173,15 @@ def test_line_removal_on_the_table(spark, sf):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == slow_lines(docs.collect(), 5)
 
 
+def test_pipeline_removes_a_passage_of_few_sources(spark):
+    draw = random.Random(5)
+    rows = [(i, f"own text {i}\nthe passage that many documents share" if i % 2 else f"own text {i}", "en", "hot" if draw.random() < 0.6 else f"s{draw.randrange(7)}", 0) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert 5 <= len({r[3] for r in rows if r[0] % 2}) < 10
+    kept = [r["doc_id"] for r in corpus_pipeline.line_stage(spark, docs, "").collect() if "passage" in r["text"]]
+    assert kept == [1]
+
+
 def slow_tokens(text):
     return re.findall(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
