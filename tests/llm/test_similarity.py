@@ -1,5 +1,6 @@
 """SimHash, line dedup, decontamination and the mix against brute force."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -258,22 +259,76 @@ def slow_targets(sizes, weights=(3, 1, 2)):
         capped |= set(over)
 
 
-@pytest.mark.parametrize("block", [1, 64, 5000])
-def test_mix(spark, sf, block):
+def hashed_order(docs, seed=11):
+    """Ids, sizes, sources and texts of docs in the mix's order."""
+    rows = docs.select("doc_id", "text", "source", F.xxhash64(F.lit(seed), "doc_id", "text").alias("at")).collect()
+    return sorted(rows, key=lambda r: (r["at"], r["doc_id"] is not None, r["doc_id"] or 0))
+
+
+def slow_mix(docs, block, least_blocks=1024):
+    """The mix by its definition: every point of the schedule in turn takes the next block of the source it falls on."""
+    placed, sizes = defaultdict(list), defaultdict(int)
+    for n, r in enumerate(hashed_order(docs)):
+        size = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        placed[r["source"]] += [n] * size
+        sizes[r["source"]] += size
+    goal = slow_targets(dict(sizes))
+    full = [x for x in sizes.values() if x]
+    length = max(1, min(block, int(sum(full) / max(1, len(full)) // least_blocks)))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    long = {s: max(1, math.ceil(sizes[s] / max(1, math.floor(sizes[s] / length + 0.5)))) for s in names}
+    blocks = {s: [placed[s][i : i + long[s]] for i in range(0, sizes[s], long[s])] for s in names}
+    weight = {s: goal[s] / long[s] for s in names}
+    total, taken, first, rank = sum(weight.values()), defaultdict(int), {}, defaultdict(int)
+    for t in range(math.ceil(total - 1e-9)):
+        u, low = ((t + 1) * mixing.GOLDEN % 2**64) / 2**64, 0.0
+        for s in names:
+            if low <= u * total < low + weight[s]:
+                if rank[s] < 2 * len(blocks[s]):
+                    for n in blocks[s][rank[s] % len(blocks[s])]:
+                        taken[n] += 1
+                        first.setdefault(n, t)
+                rank[s] += 1
+                break
+            low += weight[s]
+    return goal, sorted(((r["doc_id"], taken[n], first.get(n)) for n, r in enumerate(hashed_order(docs))), key=str)
+
+
+@pytest.mark.parametrize("options", [{}, {"block_words": 64, "least_blocks": 4}, {"block_words": 7, "least_blocks": 1, "range_rows": 20}])
+def test_mix_equals_the_schedule_played_slot_by_slot(spark, sf, options):
     for docs in (awkward(spark), table(spark, sf, "documents")):
-        out = mixing.mix(docs, block_words=block, bucket_rows=20) if block > 1 else mixing.mix(docs.filter("length(text) < 300"), block_words=1)
+        docs = docs.filter("length(text) < 50000 or text is null").dropDuplicates(["doc_id", "text"])
+        rows = mixing.mix(docs, **options).collect()
+        goal, want = slow_mix(docs, options.get("block_words", 128), options.get("least_blocks", 1024))
+        assert sorted(((r["id"], r["taken"], r["first_slot"]) for r in rows), key=str) == want
+        for s, t in goal.items():
+            assert {round(r["target"], 3) for r in rows if r["source"] == s} == {round(t, 3)}
+
+
+def test_mix_is_near_its_targets(spark, sf):
+    for docs in (awkward(spark), table(spark, sf, "documents")):
+        out = mixing.mix(docs)
         rows = out.collect()
-        sizes = defaultdict(int)
         taken = defaultdict(int)
         for r in rows:
-            sizes[r["source"]] += r["size"]
             taken[r["source"]] += r["taken"]
             assert 0 <= r["taken"] <= 2 * r["size"]
-        for s, t in slow_targets(dict(sizes)).items():
-            assert {round(r["target"], 3) for r in rows if r["source"] == s} == {round(t, 3)}
-            assert taken[s] == int(t + 1e-6)
-        key = lambda r: (str(r["id"]), r["size"], str(r["source"]), r["taken"])
-        assert sorted(map(key, rows)) == sorted(map(key, out.collect()))
+        sizes = {r["source"]: r["source_size"] for r in rows if r["source_size"]}
+        block = max(1, sum(sizes.values()) // len(sizes) // 1024)
+        for r in rows:
+            assert abs(taken[r["source"]] - r["target"]) <= max(3 * block, 0.01 * r["target"])
+        key = lambda r: (str(r["id"]), r["size"], str(r["source"]), r["taken"], r["first_slot"])
+        assert sorted(map(key, rows), key=str) == sorted(map(key, out.collect()), key=str)
+
+
+def test_mix_comes_through_its_schedule(spark, sf, monkeypatch):
+    docs, true = table(spark, sf, "documents"), mixing.schedule
+    taken = lambda: sum(r["taken"] for r in mixing.mix(docs).collect())
+    whole = taken()
+    monkeypatch.setattr(mixing, "schedule", lambda *a: true(*a).filter("slot % 2 = 0"))
+    assert 0 < taken() < whole
+    monkeypatch.setattr(mixing, "schedule", lambda *a: true(*a).limit(0))
+    assert taken() == 0
 
 
 def test_mix_of_nothing(spark):
@@ -283,7 +338,7 @@ def test_mix_of_nothing(spark):
 
 
 def test_schedule_is_even(spark):
-    quotas = spark.createDataFrame([("a", 50.0), ("b", 30.0), ("c", 20.0), ("d", 0.0)], "source string, target double")
+    quotas = spark.createDataFrame([("a", 50.0), ("b", 30.0), ("c", 20.0), ("d", 0.0)], "source string, weight double")
     rows = mixing.schedule(quotas, 1000, range_rows=64).orderBy("slot").collect()
     seen = defaultdict(int)
     for n, r in enumerate(rows, 1):
