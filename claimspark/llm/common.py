@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process (tests); else it raises."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not known:
         current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(known)
@@ -35,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet, and read from there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/saved-{uuid4()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
     """At most ``bound`` rows of df, those first by a hash of ``key``; ties in the hash fall to the smaller key.
 

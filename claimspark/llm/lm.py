@@ -1,88 +1,249 @@
 """Cross-entropy difference of a target and a background language model (Moore and Lewis, 2010).
 
-Both models are bigram models interpolated with unigrams, over one shared vocabulary: the words that the target corpus has
-at least ``min_count`` times, and a word for all others. Counts cover both corpora whole. Each token of a document gets its
-loss under either model; where its bigram is not in the target's table, the unigram's loss stands in, and outside the
-vocabulary the unknown word's. The score is the mean difference; low means like the target.
-
-The tables of bigrams and words grow with the target corpus. They are sent to the tasks while their rows are at most
-``send_rows``; beyond that the same joins are shuffle joins, which Spark splits where a word is frequent.
-
-Defined results: null or blank text has 0 tokens and null scores; an empty target gives a vocabulary of the unknown word
-alone, and differences of 0; repeated rows count each; an empty table gives an empty result.
+Both models are bigram models over one shared vocabulary: the most frequent words of the two corpora together, at least
+``min_count`` times there and at most ``vocabulary`` of them, and one word for all others. They are smoothed alike, by
+absolute discounting with a discount of one: p(w|v) = (max(c(v,w) - 1, 0) + types(v) p(w)) / c(v), where types(v) is the
+number of different words after v and p(w) = (c(w) + add) / (N + add words); after a word never seen before, p(w) stands.
+So p(.|v) sums to one for every v, and a pair of words seen once tells nothing that the single words don't: a document that
+is in its own background, as all are here, isn't known to it by heart. Counts cover both corpora whole. The score is the
+mean difference of the losses per token; low means like the target.
+
+Tokens are lower-cased runs of ASCII letters and digits and of all other non-ASCII characters. Word tables have a bound, the
+vocabulary. Of the pairs with a count over one, the most frequent (at most ``hot_pairs``) are sent to the tasks; documents
+send only their tokens of the others, through a bitmap of fixed size first, to a join by pair, so that no pair of words is
+a hot key there.
+
+Defined results: null or blank text has 0 tokens and null scores; an empty target gives a model in which all words are
+equally likely; repeated rows count each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from claimspark.llm.common import cut
-
-START = 0  # stands before the first token
-
-
-def _words(text: Column) -> Column:
-    """Hashes of the lower-cased runs of letters and digits."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
-
-
-def tokens(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
-    """A row for each token: ``keep``, v (the word before it) and w."""
-    words = df.select(*keep, _words(F.col(text_col)).alias("_words"))
-    pairs = F.arrays_zip(F.concat(F.array(F.lit(START).cast("long")), F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0)))).alias("v"), F.col("_words").alias("w"))
-    names = [c for c in words.columns if c != "_words"]
-    return words.filter(F.size("_words") > 0).select(*names, F.explode(pairs).alias("t")).select(*names, "t.v", "t.w")
-
-
-def models(target: DataFrame, background: DataFrame, min_count: int = 2, mix: float = 0.7, add: float = 0.5, send_rows: int = 3_000_000) -> tuple[DataFrame, DataFrame, tuple[float, float], bool]:
-    """(bigrams: key, t, b; words: w, t, b; the unknown word's (t, b); whether the tables may be sent): log probabilities under both models.
-
-    ``target`` and ``background`` are tokens(): v and w.
-    """
-    few = lambda df, rows: F.broadcast(df) if rows <= send_rows else df
-    pair = F.xxhash64("v", "w")
-    in_target = cut(target.groupBy("v", "w").agg(F.count("*").alias("n")))
-    known = cut(in_target.groupBy("w").agg(F.sum("n").alias("n_t")).filter(F.col("n_t") >= min_count))
-    size = known.count()
-    bigrams = in_target.filter(F.col("n") >= min_count).join(known.select("w"), "w").join(known.select(F.col("w").alias("v")).union(known.sparkSession.range(1).select(F.lit(START).cast("long").alias("v"))), "v")
-    bigrams = cut(bigrams.select(F.xxhash64("v", "w").alias("key"), "v", "w", F.col("n").alias("n_t")))
-    rows = bigrams.count()
-    # the background's counts of the same words and bigrams, from all its tokens; those outside the vocabulary are one word, null
-    listed = known.select(F.col("w").alias("k"))
-    counts_b = cut(background.join(few(listed, size), F.col("w") == F.col("k"), "left").groupBy("k").agg(F.count("*").alias("n_b")))
-    words_b = counts_b.filter("k is not null").withColumnRenamed("k", "w")
-    pairs_b = background.select(pair.alias("key")).join(few(bigrams.select("key"), rows), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n_b"))
-    words = cut(known.join(words_b, "w", "left").select("w", "n_t", F.coalesce("n_b", F.lit(0)).alias("n_b")))
-    all_t = in_target.agg(F.sum("n")).first()[0] or 0
-    all_b = counts_b.agg(F.sum("n_b")).first()[0] or 0
-    seen = words.agg(F.sum("n_t").alias("t"), F.sum("n_b").alias("b")).first()
-    chance = lambda n, total: (n + add) / (total + add * (size + 1))
-    p = words.select("w", "n_t", "n_b", chance(F.col("n_t"), all_t).alias("p_t"), chance(F.col("n_b"), all_b).alias("p_b"))
-    before = p.select(F.col("w").alias("v"), F.col("n_t").alias("v_t"), F.col("n_b").alias("v_b"))
-    joined = bigrams.join(pairs_b, "key", "left").join(p.select("w", "p_t", "p_b"), "w").join(before, "v", "left")
-    part = lambda n, of, p: F.log(mix * F.coalesce(n, F.lit(0)) / F.greatest(F.coalesce(of, F.lit(0)), F.coalesce(n, F.lit(0)), F.lit(1)) + (1 - mix) * p)
-    bigram_table = cut(joined.select("key", part(F.col("n_t"), F.col("v_t"), F.col("p_t")).alias("t"), part(F.col("n_b"), F.col("v_b"), F.col("p_b")).alias("b")))
-    word_table = cut(p.select("w", F.log("p_t").alias("t"), F.log("p_b").alias("b")))
-    unknown = (math.log(chance(all_t - (seen["t"] or 0), all_t)), math.log(chance(all_b - (seen["b"] or 0), all_b))) if all_t and all_b else (0.0, 0.0)
-    return bigram_table, word_table, unknown, max(rows, size) <= send_rows
+from pyspark.sql import types as T
+
+from claimspark.llm.common import cut, saved, utf8_rows
+from claimspark.llm.tiling import token_hashes_of
+
+START, OTHER, FIRST = 0, 1, 2  # ids: before the first token, a word outside the vocabulary, the vocabulary's first
+_SHIFT = 21
+_HELD = 1 << 21
+_BITS = 1 << 26
+
+
+def _documents(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, row of each token within these, hash of each token) for stretches of about ``most`` bytes of the column."""
+    held, size, at = [], 0, 0
+    texts = list(utf8_rows(pc.utf8_lower(column.cast(pa.large_string()))))
+    for k, text in enumerate(texts, 1):
+        held.append(text)
+        size += len(text) + 1
+        if size >= most or k == len(texts):
+            begins = np.cumsum([0, *(len(x) + 1 for x in held[:-1])])
+            hashed, start = token_hashes_of(b" ".join(held))
+            yield at, len(held), np.searchsorted(begins, start, "right") - 1, hashed
+            held, size, at = [], 0, k
+
+
+def _pairs(vocabulary: np.ndarray, row: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(v, w) of each token as ids; vocabulary: sorted hashes."""
+    w = np.full(len(hashed), OTHER, np.int64)
+    if len(vocabulary):
+        at = np.minimum(np.searchsorted(vocabulary, hashed), len(vocabulary) - 1)
+        w = np.where(vocabulary[at] == hashed, at + FIRST, OTHER)
+    v = np.roll(w, 1)
+    v[np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])] = START
+    return v, w
+
+
+def _partial_counts(texts: DataFrame, text_col: str, vocabulary: np.ndarray | None, side: str) -> DataFrame:
+    """(key, n_t, n_b): counts of word hashes, or of pairs of the vocabulary's ids, within parts of a task; of ``side`` t or b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                key, n = np.unique(np.concatenate(held), return_counts=True)
+                zero = np.zeros(len(key), np.int64)
+                for i in range(0, len(key), 1 << 16):
+                    part = [pa.array(x[i : i + (1 << 16)]) for x in (key, *((n, zero) if side == "t" else (zero, n)))]
+                    yield pa.RecordBatch.from_arrays(part, names=["key", "n_t", "n_b"])
+
+        for batch in batches:
+            for _, _, row, hashed in _documents(batch.column(0)):
+                if vocabulary is None:
+                    held.append(hashed.view(np.int64))
+                else:
+                    v, w = _pairs(vocabulary, row, hashed)
+                    held.append(v << _SHIFT | w)
+                size += len(hashed)
+                if size >= _HELD:
+                    yield from flush()
+                    held, size = [], 0
+        yield from flush()
+
+    return texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, n_t long, n_b long")
+
+
+def _counts(target: DataFrame, target_text: str, background: DataFrame, text_col: str, vocabulary: np.ndarray | None = None) -> DataFrame:
+    both = _partial_counts(target, target_text, vocabulary, "t").union(_partial_counts(background, text_col, vocabulary, "b"))
+    return both.groupBy("key").agg(F.sum("n_t").alias("n_t"), F.sum("n_b").alias("n_b"))
+
+
+def _at_least(counted: DataFrame, most: int, least: int) -> int:
+    """The smallest number, ``least`` or above, that at most ``most`` rows of counted reach in n_t + n_b."""
+    sizes = counted.select((F.col("n_t") + F.col("n_b")).alias("n")).filter(F.col("n") >= least)
+    # one row for each count below 4096, one for each eighth of a power of two above
+    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 8) / 8)) + 1)
+    rows = sizes.groupBy(level.cast("long").alias("level")).count().orderBy(F.desc("level")).collect()
+    total = 0
+    for r in rows:
+        total += r["count"]
+        if total > most:
+            return r["level"] + 1 if r["level"] < 4096 else int(2 ** (round(np.log2(r["level"]) * 8 + 1) / 8)) + 1
+    return least
+
+
+@dataclass(frozen=True)
+class Models:
+    """Both models over one vocabulary; arrays have a row for each id, or a column for target and background."""
+
+    vocabulary: np.ndarray  # sorted hashes
+    words: np.ndarray  # p(w)
+    after: np.ndarray  # c(v)
+    types: np.ndarray  # types(v)
+    hot: np.ndarray  # sorted pairs
+    gain: np.ndarray  # what each saves over its words alone, in nats
+
+    def base(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log p(w|v) under both models of pairs whose count is one or none."""
+        seen = self.after[v]
+        return np.log(np.where(seen > 0, self.types[v] / np.maximum(seen, 1), 1.0) * self.words[w])
+
+    def gains(self, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
+        seen = self.after[v]
+        back = np.where(seen > 0, self.types[v] / np.maximum(seen, 1), 1.0) * self.words[w]
+        return np.log1p(np.maximum(n - 1, 0) / np.maximum(seen, 1) / back)
+
+
+def models(target: DataFrame, background: DataFrame, target_text: str = "text", text_col: str = "text", min_count: int = 2, vocabulary: int = 1 << 16, hot_pairs: int = 1 << 19, add: float = 0.5) -> tuple[Models, DataFrame]:
+    """The models, and (key, t, b): the gains of the pairs that aren't hot."""
+    if vocabulary + FIRST >= 1 << _SHIFT:
+        raise ValueError(f"vocabulary must be below {(1 << _SHIFT) - FIRST}")
+    words = saved(_counts(target, target_text, background, text_col))
+    total = np.array(words.agg(F.coalesce(F.sum("n_t"), F.lit(0)), F.coalesce(F.sum("n_b"), F.lit(0))).first(), float)
+    known = words.filter(F.col("n_t") + F.col("n_b") >= _at_least(words, vocabulary, min_count)).toArrow()
+    hashed = known["key"].to_numpy().view(np.uint64)
+    order = np.argsort(hashed)
+    hashed = hashed[order]
+    count = np.zeros((len(hashed) + FIRST, 2))
+    count[FIRST:] = np.stack([known["n_t"].to_numpy(), known["n_b"].to_numpy()], axis=1)[order]
+    count[OTHER] = total - count.sum(axis=0)
+    p = (count + add) / (total + add * (len(count) - 1))
+    p[START] = 1.0  # no word; never asked for
+    width = len(count)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs with a count over one, and the sums of all pairs by their first word."""
+        names, after = ["v", "key", "n_t", "n_b", "types_t", "types_b"], np.zeros((width, 4), np.int64)
+        for batch in batches:
+            key, *n = (batch.column(c).to_numpy() for c in ("key", "n_t", "n_b"))
+            for i, x in enumerate((*n, n[0] > 0, n[1] > 0)):
+                after[:, i] += np.bincount(key >> _SHIFT, x, width).astype(np.int64)
+            many = pa.array(np.flatnonzero((n[0] > 1) | (n[1] > 1)))
+            none = pa.nulls(len(many), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, *(batch.column(c).take(many) for c in ("key", "n_t", "n_b")), none, none], names=names)
+        there = np.flatnonzero(after.any(axis=1))
+        columns = [pa.array(after[there, i]) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.nulls(len(there), pa.int64()), *columns], names=names)
+
+    pairs = _counts(target, target_text, background, text_col, hashed).mapInArrow(sums, "v long, key long, n_t long, n_b long, types_t long, types_b long")
+    pairs = saved(pairs)
+    first = pairs.filter("v is not null").groupBy("v").agg(*(F.sum(c).alias(c) for c in ("n_t", "n_b", "types_t", "types_b"))).toArrow()
+    by_first = np.zeros((width, 4))
+    by_first[first["v"].to_numpy()] = np.stack([first[c].to_numpy() for c in ("n_t", "n_b", "types_t", "types_b")], axis=1)
+    made = Models(hashed, p, by_first[:, :2], by_first[:, 2:], np.zeros(0, np.int64), np.zeros((0, 2)))
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n_t, n_b = (batch.column(c).to_numpy() for c in ("key", "n_t", "n_b"))
+            gain = made.gains(key >> _SHIFT, key & ((1 << _SHIFT) - 1), np.stack([n_t, n_b], axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gain[:, 0].copy()), pa.array(gain[:, 1].copy())], names=["key", "t", "b"])
+
+    many = pairs.filter("v is null").select("key", "n_t", "n_b")
+    least = _at_least(many, hot_pairs, 2)
+    hot = many.filter(F.col("n_t") + F.col("n_b") >= least).mapInArrow(gains, "key long, t double, b double").toArrow()
+    order = np.argsort(hot["key"].to_numpy())
+    table = np.stack([hot["t"].to_numpy(), hot["b"].to_numpy()], axis=1)[order]
+    made_hot = Models(hashed, p, made.after, made.types, hot["key"].to_numpy()[order], table)
+    return made_hot, many.filter(F.col("n_t") + F.col("n_b") < least).mapInArrow(gains, "key long, t double, b double")
+
+
+def _spot(key: np.ndarray) -> np.ndarray:
+    """The place of each pair among _BITS bits."""
+    mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(38)).astype(np.int64)
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """_BITS bits in words of 64, set at the places of all keys; its size is fixed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(_BITS >> 6, np.uint64)
+        for batch in batches:
+            spot = _spot(batch.column("key").to_numpy())
+            np.bitwise_or.at(bits, spot >> 6, np.uint64(1) << (spot & 63).astype(np.uint64))
+        at = np.flatnonzero(bits)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(bits[part].view(np.int64))], names=["at", "bits"])
+
+    rows = keys.select("key").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(_BITS >> 6, np.int64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return out
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", **options) -> DataFrame:  # noqa: ANN003
-    """(id, n_tokens, ce_target, ce_background, ce_difference) for each row of docs."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
-    bigrams, words, unknown, send = models(tokens(target, target_text), tokens(base, "text"), **options)
-    few = F.broadcast if send else lambda df: df
-    mine = tokens(base, "text", F.col("row")).withColumn("key", F.xxhash64("v", "w"))
-    met = mine.join(few(bigrams), "key", "left").select("row", "w", F.col("t").alias("t2"), F.col("b").alias("b2")).join(few(words), "w", "left")
-    loss = lambda c, u: -F.coalesce(f"{c}2", c, F.lit(u))
-    sums = met.groupBy("row").agg(F.count("*").alias("n"), F.sum(loss("t", unknown[0])).alias("t"), F.sum(loss("b", unknown[1])).alias("b"))
-    # a row that is there n times has each token n times: counts and sums are shared out again
-    same = base.select("id", "row", F.count("*").over(Window.partitionBy("row")).alias("copies"))
-    out = same.join(sums, "row", "left")
-    n = F.coalesce("n", F.lit(0))
-    mean = lambda c: F.col(c) / F.col("n")
-    return out.select("id", (n / F.col("copies")).cast("long").alias("n_tokens"), mean("t").alias("ce_target"), mean("b").alias("ce_background"), (mean("t") - mean("b")).alias("ce_difference"))
+    """(id, n_tokens, ce_target, ce_background, ce_difference) for each row of docs; docs are the background too."""
+    made, cold = models(target, docs, target_text, text_col, **options)
+    cold = saved(cold)
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((made, _bitmap(cold)))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], rows.schema["id"], *(T.StructField(c, t) for c, t in (("n", T.LongType()), ("t", T.DoubleType()), ("b", T.DoubleType()), ("rest", T.ArrayType(T.LongType()))))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, bits = sent.value
+        for batch in batches:
+            for at, many, row, hashed in _documents(batch.column("text")):
+                v, w = _pairs(m.vocabulary, row, hashed)
+                key, loss = v << _SHIFT | w, -m.base(v, w)
+                rest = np.ones(len(key), bool)
+                if len(m.hot):
+                    place = np.minimum(np.searchsorted(m.hot, key), len(m.hot) - 1)
+                    hit = m.hot[place] == key
+                    loss[hit] -= m.gain[place[hit]]
+                    rest = ~hit
+                spot = _spot(key)
+                rest &= (bits[spot >> 6] >> (spot & 63) & 1) == 1
+                counts = np.bincount(row[rest], minlength=many)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(key[rest]))
+                sums = [np.bincount(row, x, many) for x in loss.T] if len(row) else [np.zeros(many)] * 2
+                part = batch.slice(at, many)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(np.bincount(row, minlength=many)), *map(pa.array, sums), lists], names=schema.names)
+
+    found = cut(rows.mapInArrow(run, schema))
+    met = found.select("row", F.explode("rest").alias("key")).join(cold, "key").groupBy("row").agg(F.sum("t").alias("more_t"), F.sum("b").alias("more_b"))
+    out = found.select("row", "id", "n", "t", "b").join(met, "row", "left")
+    mean = lambda c: F.when(F.col("n") > 0, (F.col(c) - F.coalesce(f"more_{c}", F.lit(0.0))) / F.col("n"))
+    return out.select("id", F.col("n").alias("n_tokens"), mean("t").alias("ce_target"), mean("b").alias("ce_background"), (mean("t") - mean("b")).alias("ce_difference"))

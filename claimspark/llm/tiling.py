@@ -41,20 +41,24 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def token_hashes(text: bytes) -> np.ndarray:
-    """The tokens of UTF-8 text as 64-bit hashes, from prefix sums of a polynomial in its bytes."""
+def token_hashes_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of UTF-8 text as 64-bit hashes, from prefix sums of a polynomial in its bytes, and where each begins."""
     value = _byte_table()[np.frombuffer(text, np.uint8)]
     inside = np.concatenate(([0], (value > 0).view(np.int8), [0]))
     turn = np.diff(inside)
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     if not len(start):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), start
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * _powers(len(value), _BASE), dtype=np.uint64)))
     inverse = _powers(len(value), pow(_BASE, -1, 1 << 64))
     hashed = (prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)
     hashed ^= hashed >> np.uint64(29)
     hashed *= np.uint64(_MIX)
-    return hashed ^ (hashed >> np.uint64(32))
+    return hashed ^ (hashed >> np.uint64(32)), start
+
+
+def token_hashes(text: bytes) -> np.ndarray:
+    return token_hashes_of(text)[0]
 
 
 def windows(tokens: np.ndarray, size: int) -> np.ndarray:

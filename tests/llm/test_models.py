@@ -60,42 +60,71 @@ def test_licences_of_the_table(spark):
         assert set(r["families"]) == {f for f, m in marks.items() if m in texts[r["doc_id"]]}
 
 
-def slow_lm(docs, target, min_count=2, mix=0.7, add=0.5):
-    words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
-    pairs = lambda ws: list(zip(["<s>", *ws], ws, strict=False))
-    t2, b2 = (Counter(p for x in rows for p in pairs(words(x))) for rows in (target, docs))
-    t1, b1 = (Counter(w for x in rows for w in words(x)) for rows in (target, docs))
-    known = {w for w, n in t1.items() if n >= min_count}
-    nt, nb = sum(t1.values()), sum(b1.values())
-    p = lambda n, total: (n + add) / (total + add * (len(known) + 1))
-    shared = {(v, w) for (v, w), n in t2.items() if n >= min_count and w in known and (v in known or v == "<s>")}
-    unk = [p(c - sum(n for w, n in k.items() if w in known), c) for k, c in ((t1, nt), (b1, nb))]
-    out = []
-    for x in docs:
-        sums, ws = [0.0, 0.0], words(x)
-        for v, w in pairs(ws):
-            for i, (c2, c1, total) in enumerate(((t2, t1, nt), (b2, b1, nb))):
-                if (v, w) in shared:
-                    of = c1[v] if v in known else 0
-                    q = mix * c2[v, w] / max(of, c2[v, w], 1) + (1 - mix) * p(c1[w], total)
-                else:
-                    q = p(c1[w], total) if w in known else unk[i]
-                sums[i] -= math.log(q)
-        out.append((len(ws), *(round(s / len(ws), 9) if ws else None for s in sums)))
-    return sorted(out, key=str)
+def slow_models(docs, target, min_count=2, size=1 << 16, add=0.5):
+    """p(w | v) under the target's and the background's model, by their definition."""
+    words = lambda t: re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (t or "").lower())
+    both = [[words(x) for x in rows] for rows in (target, docs)]
+    total = Counter(w for rows in both for x in rows for w in x)
+    least = min_count
+    while sum(n >= least for n in total.values()) > size:
+        least += 1
+    known = {w for w, n in total.items() if n >= least}
+    mapped = [[[w if w in known else None for w in x] for x in rows] for rows in both]
+    one = [Counter(w for x in rows for w in x) for rows in mapped]
+    two = [Counter(p for x in rows for p in zip(["<s>", *x], x, strict=False)) for rows in mapped]
+    after = [Counter(), Counter()]
+    types = [Counter(), Counter()]
+    for i in (0, 1):
+        for (v, _), n in two[i].items():
+            after[i][v] += n
+            types[i][v] += 1
+
+    def p(i, w, v):
+        alone = (one[i][w] + add) / (sum(one[i].values()) + add * (len(known) + 1))
+        return (max(two[i][v, w] - 1, 0) + types[i][v] * alone) / after[i][v] if after[i][v] else alone
+
+    return p, mapped[1], known
+
+
+def slow_lm(docs, target, **options):
+    p, rows, _ = slow_models(docs, target, **options)
+    mean = lambda i, x: round(sum(-math.log(p(i, w, v)) for v, w in zip(["<s>", *x], x, strict=False)) / len(x), 9) if x else None
+    return sorted(((len(x), mean(0, x), mean(1, x)) for x in rows), key=str)
+
+
+LM_TARGET = [PROSE, "a b a b", None, "the quick brown fox", "a b c d a b"]
+
+
+def test_each_history_sums_to_one(spark):
+    docs = [r["text"] for r in awkward(spark, ["a b a b a c", "the quick fox"]).collect()]
+    p, _, known = slow_models(docs, LM_TARGET)
+    assert len(known) > 20
+    for i in (0, 1):
+        assert all(abs(sum(p(i, w, v) for w in [*known, None]) - 1) < 1e-9 for v in ["<s>", None, *known])
 
 
 def test_lm_scores_equal_brute_force(spark):
-    docs = awkward(spark, ["a b a b a c", "the quick fox"])
-    target = spark.createDataFrame([(PROSE,), ("a b a b",), (None,), ("the quick brown fox",)], "text string")
-    want = slow_lm([r["text"] for r in docs.collect()], [r["text"] for r in target.collect()])
-    for send in (3_000_000, 0):
-        got = lm.score(docs, target, send_rows=send).collect()
-        assert sorted(((r["n_tokens"], *(None if r[c] is None else round(r[c], 9) for c in ("ce_target", "ce_background"))) for r in got), key=str) == want
-    assert {r["ce_difference"] for r in lm.score(docs, target.limit(0)).collect() if r["n_tokens"]} == {0.0}
+    docs = awkward(spark, ["a b a b a c", "the quick fox", PROSE + " a b"])
+    target = spark.createDataFrame([(x,) for x in LM_TARGET], "text string")
+    texts = [r["text"] for r in docs.collect()]
+    for size, hot in ((1 << 16, 1 << 19), (1 << 16, 0), (9, 3)):
+        got = lm.score(docs, target, vocabulary=size, hot_pairs=hot).collect()
+        figures = [(r["n_tokens"], *(None if r[c] is None else round(r[c], 9) for c in ("ce_target", "ce_background"))) for r in got]
+        assert sorted(figures, key=str) == slow_lm(texts, LM_TARGET, size=size)
+    alone = lm.score(docs, target.limit(0)).collect()
+    assert len(alone) == len(texts) and len({round(r["ce_target"], 9) for r in alone if r["n_tokens"]}) == 1
     assert lm.score(empty(spark), target).collect() == []
 
 
+def test_documents_that_occur_twice_are_told_apart(spark):
+    draw = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in draw.integers(60, size=40)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:30]])), "doc_id long, text string")
+    target = spark.createDataFrame([(" ".join(f"w{i}" for i in draw.integers(60, size=400)),)], "text string")
+    loss = {r["id"]: r["ce_background"] for r in lm.score(docs, target).collect()}
+    assert np.mean([loss[i] for i in range(30)]) < np.mean([loss[i] for i in range(30, 300)]) - 0.05
+
+
 def test_pipeline(spark, sf):
     docs = table(spark, sf, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
