@@ -4,9 +4,13 @@ A HyperLogLog sketch of the sites is kept for each line's hash; sketches merge b
 clearly at or above ``min_sites`` are boilerplate; those near the threshold get exact distinct counts. The document with
 the least id keeps its boilerplate lines, every other document loses them, so that no content is lost from the whole.
 
-Lines are compared without surrounding blanks; blank lines are never removed. Defined results: null text stays null; null
-sites count as one site; rows with a null id keep boilerplate only where all its rows have null ids; repeated rows are
-treated alike; an empty table gives an empty result.
+Lines are compared without surrounding blanks; blank lines are never removed. Where at most ``send_lines`` lines are
+boilerplate, their hashes are sent to the tasks and lines are dropped where they stand, without a shuffle of texts; beyond
+that, the places of the bad lines are joined to the documents.
+
+Defined results: null text stays null; null sites count as one site; rows with a null id keep boilerplate only where all its
+rows have null ids; repeated rows are treated alike; input columns may have any names but ``n_lines`` and ``n_removed``,
+which are added (columns of these names in the input are replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,15 +21,20 @@ from pyspark.sql import functions as F
 from claimspark.llm.common import cut
 
 
-def _key(id_col: str, text_col: str) -> list[Column]:
-    return [F.xxhash64(id_col, text_col).alias("__line_key"), F.hash(text_col, id_col).alias("__line_key2")]
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    return [F.xxhash64(id_col, text_col).alias("key"), F.hash(text_col, id_col).alias("key2")]
+
+
+def _line_hash(line: Column) -> Column:
+    """The two hashes of a line without its surrounding blanks; null for a blank line."""
+    bare = F.trim(line)
+    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.hash(bare).alias("b")))
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """A row for each distinct document: its keys, id, site hash and the two hashes of each line (0 and 0 for blank lines)."""
-    bare = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda line: F.trim(line))
-    hashed = F.transform(bare, lambda line: F.when(line != "", F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))).otherwise(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).alias("b"))))
-    return docs.filter(F.col(text_col).isNotNull()).select(*_key(id_col, text_col), F.col(id_col).alias("_id"), F.xxhash64(site_col).alias("_site"), hashed.alias("_lines"))
+    """A row for each document with text: its keys, id, site hash and the hashes of each line."""
+    hashed = F.transform(F.split(F.col(text_col), "\n"), _line_hash)
+    return docs.filter(F.col(text_col).isNotNull()).select(*_keys(id_col, text_col), F.col(id_col).alias("_id"), F.xxhash64(site_col).alias("_site"), hashed.alias("_lines"))
 
 
 def boilerplate(rows: DataFrame, min_sites: int, lg_k: int = 12, margin: float = 4.0) -> DataFrame:
@@ -40,16 +49,33 @@ def boilerplate(rows: DataFrame, min_sites: int, lg_k: int = 12, margin: float =
     return spread.filter(F.col("sites") > high).select("a", "b", "keeper").union(near.join(exact.select("a", "b"), ["a", "b"]).select("a", "b", "keeper"))
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10) -> DataFrame:
-    """docs with boilerplate lines taken out of ``text_col``, and the columns ``__lines`` and ``__removed`` with their numbers added."""
+def _keeps(line: Column, id_: Column) -> Column:
+    """What tells one document's right to keep one boilerplate line."""
+    return F.xxhash64(F.xxhash64(F.trim(line)), id_)
+
+
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, send_lines: int = 2000) -> DataFrame:
+    """docs with boilerplate lines taken out of ``text_col``, and the columns ``n_lines`` and ``n_removed`` with their numbers added."""
+    inside = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    id_, text = F.col(f"doc.`{id_col}`"), F.col(f"doc.`{text_col}`")
     per_doc = cut(line_hashes(docs, id_col, text_col, site_col))
-    rows = per_doc.select("__line_key", "__line_key2", "_id", "_site", F.posexplode("_lines").alias("_at", "_line")).filter("_line.a <> 0 or _line.b <> 0").select("__line_key", "__line_key2", "_id", "_site", "_at", F.col("_line.a").alias("a"), F.col("_line.b").alias("b"))
-    found = boilerplate(rows, min_sites)
-    hits = rows.join(found, ["a", "b"]).filter(~F.col("_id").eqNullSafe(F.col("keeper")))
-    bad = hits.groupBy("__line_key", "__line_key2").agg(F.collect_set("_at").alias("__line_bad"))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    marked = docs.withColumns({"__line_key": _key(id_col, text_col)[0], "__line_key2": _key(id_col, text_col)[1]}).join(bad, ["__line_key", "__line_key2"], "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_bad"))
-    text = F.when(F.col("__line_bad").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return marked.select(*columns, text.alias(text_col), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__lines"), F.coalesce(F.size("__line_bad"), F.lit(0)).cast("long").alias("__removed"))
+    rows = per_doc.select("key", "key2", "_id", "_site", F.posexplode("_lines").alias("_at", "_line")).filter("_line is not null")
+    rows = rows.select("key", "key2", "_id", "_site", "_at", "_line.a", "_line.b")
+    found = cut(boilerplate(rows, min_sites))
+    lines = F.split(text, "\n")
+    few = found.select("a", F.xxhash64("a", "keeper").alias("keeps")).limit(send_lines + 1).collect()
+    if len(few) <= send_lines:
+        gone, kept = [r["a"] for r in few], [r["keeps"] for r in few]
+        bad = lambda line: (F.trim(line) != "") & F.xxhash64(F.trim(line)).isin(gone) & ~_keeps(line, id_).isin(kept)
+        left = F.filter(lines, lambda line: ~bad(line))
+        marked = inside.select("doc", lines.alias("lines"), (left if few else lines).alias("left"))
+    else:
+        hits = rows.join(found, ["a", "b"]).filter(~F.col("_id").eqNullSafe(F.col("keeper")))
+        places = hits.groupBy("key", "key2").agg(F.collect_set("_at").alias("places"))
+        keyed = inside.select("doc", F.xxhash64(id_, text).alias("key"), F.hash(text, id_).alias("key2"))
+        good = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("places", F.array().cast("array<int>")))
+        marked = keyed.join(places, ["key", "key2"], "left").select("doc", lines.alias("lines"), F.transform(good, lambda i: F.get(lines, i)).alias("left"))
+    number = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    whole = F.when(F.size("lines") == F.size("left"), text).otherwise(F.array_join("left", "\n"))
+    columns = [whole.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed") or c == text_col]
+    return marked.select(*columns, number("lines").alias("n_lines"), (number("lines") - number("left")).alias("n_removed"))

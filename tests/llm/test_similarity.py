@@ -158,12 +158,16 @@ def slow_lines(rows, least):
     return sorted(((r["doc_id"], None if r["text"] is None else "\n".join(x for x in r["text"].split("\n") if not gone(r, x))) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("least", [1, 2, 3])
-def test_line_removal_equals_brute_force(spark, least):
+@pytest.mark.parametrize(("least", "send"), [(1, 2000), (2, 2000), (2, 0), (3, 2000), (3, 1)])
+def test_line_removal_equals_brute_force(spark, least, send):
     more = ["footer\nown one", " footer \n\nown two\nfooter", "own three\nfooter", "footer", "a\nb\nfooter\nb"]
     docs = awkward(spark, more)
-    out = lines.remove_boilerplate(docs, min_sites=least)
+    for name in ("__line_bad", "__lines", "key", "lines", "doc", "places", "a"):
+        docs = docs.withColumn(name, F.lit(f"data of {name}"))
+    out = lines.remove_boilerplate(docs, min_sites=least, send_lines=send)
     assert set(docs.columns) <= set(out.columns)
+    others = [c for c in docs.columns if c != "text"]
+    assert sorted(map(str, out.select(others).collect())) == sorted(map(str, docs.select(others).collect()))
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == slow_lines(docs.collect(), least)
     assert lines.remove_boilerplate(empty(spark)).collect() == []
 
