@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.llm import lines, mixing, quality, simhash, tiling
-from claimspark.llm.common import table
-
-#: At sf0.1, 5,481 different lines are on 2 of the 20 sources, 294 on 3, 31 on 4 and 15 on 5.
-LINE_SITES = 5
+from claimspark.llm.common import shared_dir, table
+from claimspark.llm.queries import LINE_SITES
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +50,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each is written to the shared folder before the next begins."""
-    from claimspark.llm.common import shared_dir
-
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpus-{spark.sparkContext.applicationId}"
     made = spark.range(1).select(F.expr("uuid()")).first()[0]
     for k, (_, stage) in enumerate(STAGES[:-1]):
