@@ -1,33 +1,33 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items become arrays of token hashes (lower-cased runs of letters and digits). Runs of ``seed``
-tokens that an item shares with a document join the two; running Karp-Rabin then marks the longest matches that don't
-overlap, again and again, down to ``seed`` tokens, in any order of the passages. An item leaks when the marked tokens reach
-``coverage`` of it.
+tokens that an item shares with a text join the two; running Karp-Rabin then marks the longest matches that don't overlap,
+again and again, down to ``seed`` tokens, in any order of the passages. Of equally long matches the one that begins first
+in the item is marked first, then the one first in the text. An item leaks when the marked tokens reach ``coverage`` of it.
 
-The items are taken in blocks of ``block_chars`` characters, so that what is sent to the tasks has a fixed bound; each block
-meets all documents. Defined results: null or blank texts and items have no tokens and match nothing; an item shorter than
-the seed must occur whole; repeated rows of either side are compared each; empty tables give an empty result.
+Both sides stay in Spark: a bitmap of fixed size tells which seeds can be an item's, texts send only such seeds and the
+stretches around them, and a join by seed makes the pairs of texts and items. A tile of n tokens has n - seed + 1 seeds, so
+an item that leaks of n tokens shares at least coverage * n / seed of its seeds; each item leaves its most frequent seeds out of the join,
+as many as can be spared, so that a phrase of many items and texts makes no pairs by itself. Equal texts are tiled once.
+
+Defined results: null or blank texts and items have no tokens and match nothing; an item shorter than the seed must occur
+whole; repeated rows of either side are compared each; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
-from math import ceil
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import utf8_rows
+from claimspark.llm.common import saved, utf8_rows
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xD6E8FEB86659FD93
-_ALL = (1 << 64) - 1
+_PLACE_BITS = 24
 
 
 def _byte_table() -> np.ndarray:
@@ -54,7 +54,8 @@ def token_hashes_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     hashed = (prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)
     hashed ^= hashed >> np.uint64(29)
     hashed *= np.uint64(_MIX)
-    return hashed ^ (hashed >> np.uint64(32)), start
+    hashed ^= hashed >> np.uint64(32)
+    return np.maximum(hashed, np.uint64(1)), start  # zero ends a stretch of tokens
 
 
 def token_hashes(text: bytes) -> np.ndarray:
@@ -101,109 +102,129 @@ def _runs(free: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True))
 
 
-@dataclass(frozen=True)
-class Block:
-    """Some items of the benchmark: their tokens, and (seed length, sorted seed hashes, the items that have each)."""
-
-    ids: list
-    tokens: list[np.ndarray]
-    seeds: list[tuple[int, np.ndarray, np.ndarray]]
-
-
-def index_items(ids: list, texts: list[bytes], seed: int) -> Block:
-    tokens = [token_hashes(x) for x in texts]
-    pairs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for i, t in enumerate(tokens):
-        if len(t):
-            found = np.unique(windows(t, k := min(seed, len(t))))
-            pairs.setdefault(k, []).append((found, np.full(len(found), i)))
-    seeds = []
-    for k, found in sorted(pairs.items()):
-        hashed, item = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-        order = np.argsort(hashed, kind="stable")
-        seeds.append((k, hashed[order], item[order]))
-    return Block(ids, tokens, seeds)
-
-
-def leaks(text: bytes, block: Block, seed: int, coverage: float) -> list[tuple[int, float, int]]:
-    """(item's position, coverage, tiles) of the block's items that the text leaks."""
-    tokens, hits = token_hashes(text), {}
-    for size, hashed, item in block.seeds:
-        at = windows(tokens, size)
-        first, last = np.searchsorted(hashed, at, "left"), np.searchsorted(hashed, at, "right")
-        for t in np.flatnonzero(last > first).tolist():
-            for i in set(item[first[t] : last[t]].tolist()):
-                hits.setdefault(i, []).append((t, t + size))
-    out = []
-    for i, spans in hits.items():
-        pattern = block.tokens[i]
-        # only tokens in a shared seed can be in a tile: the text is cut to those stretches, kept apart by a value no token has
-        seen = np.zeros(len(tokens), bool)
-        for a, b in spans:
-            seen[a:b] = True
-        size = min(seed, len(pattern))
-        shared = np.flatnonzero(np.isin(windows(pattern, size), windows(tokens, size)))
-        if len(np.unique(shared[:, None] + np.arange(size))) < coverage * len(pattern):
-            continue  # tiles can't cover more than the shared seeds do
-        apart, parts = np.setdiff1d(np.arange(len(pattern) + 1, dtype=np.uint64), pattern)[:1], []
-        for a, b in _runs(seen):
-            parts += [tokens[a:b], apart]
-        tiles = greedy_tiles(pattern, np.concatenate(parts), size)
-        if (share := sum(n for _, _, n in tiles) / len(pattern)) >= coverage:
-            out.append((i, share, len(tiles)))
-    return sorted(out)
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str, seed: int, block_chars: int) -> list[Block]:
-    """The items in blocks of about ``block_chars`` characters each, read one block at a time."""
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("trim(text) <> ''")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, ceil(total / block_chars))
-    found = []
-    for k in range(n if total else 0):
-        some = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()
-        found.append(index_items([r["id"] for r in some], [r["text"].encode() for r in some], seed))
-    return found
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = 5, coverage: float = 0.8, block_chars: int = 8_000_000) -> DataFrame:
-    """(id, item, coverage, tiles) for each pair of a document and an item that it leaks."""
+def _seeds(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` tokens, others for each size."""
+    return (windows(tokens, size) ^ np.uint64(size)) * np.uint64(_MIX)
+
+
+def _place(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(64 - _PLACE_BITS)).astype(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def item_seeds(benchmark: DataFrame, item_id: str, item_text: str, seed: int) -> DataFrame:
+    """(key, item, tokens, size, seeds) of each item with tokens: its seeds are of ``size`` tokens, one for each place."""
+    items = benchmark.select(F.monotonically_increasing_id().alias("key"), F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text"))
+    long = T.ArrayType(T.LongType())
+    schema = T.StructType([items.schema["key"], items.schema["item"], T.StructField("tokens", long), T.StructField("size", T.IntegerType()), T.StructField("seeds", long)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [token_hashes(x) for x in utf8_rows(batch.column("text"))]
+            some = np.flatnonzero([len(t) > 0 for t in tokens])
+            tokens = [tokens[i] for i in some]
+            sizes = [min(seed, len(t)) for t in tokens]
+            seeds = [_seeds(t, k) for t, k in zip(tokens, sizes, strict=True)]
+            kept = batch.take(pa.array(some, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column("key"), kept.column("item"), _lists(tokens), pa.array(sizes, pa.int32()), _lists(seeds)], names=schema.names)
+
+    return saved(items.mapInArrow(run, schema))
+
+
+def _seed_bitmap(seeds: DataFrame) -> np.ndarray:
+    """A bit for each place of ``seed`` values, in words of 64; its size is fixed."""
+    place = F.shiftrightunsigned("seed", 64 - _PLACE_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - _PLACE_BITS}) & 63 as int))")
+    rows = seeds.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (_PLACE_BITS - 6), np.int64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
+def _stretches(tokens: np.ndarray, sizes: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct seeds of a text that may be an item's, and the tokens of runs of these, each run ended by a zero."""
+    seen, found = np.zeros(len(tokens), bool), []
+    for size in sizes:
+        hashed = _seeds(tokens, size)
+        place = _place(hashed)
+        at = np.flatnonzero(bits[place >> 6] >> (place & 63) & 1)
+        found.append(hashed[at])
+        for k in range(size):
+            seen[at + k] = True
+    parts = [x for a, b in _runs(seen) for x in (tokens[a:b], np.zeros(1, np.uint64))]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64), np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def leaking_texts(texts: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", seed: int = 5, coverage: float = 0.8) -> DataFrame:
+    """(text_key, text_key2, item, coverage, tiles) for each different text of ``texts`` (column text) and each item that it leaks."""
+    items = item_seeds(benchmark, item_id, item_text, seed)
+    by_seed = items.select("key", F.size("tokens").alias("n"), F.explode("seeds").alias("seed")).groupBy("key", "n", "seed").agg(F.count("*").alias("places"))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+    bitmap = texts.sparkSession.sparkContext.broadcast(_seed_bitmap(by_seed))
+    keyed = texts.select("text", *text_keys(F.col("text")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            found = [_stretches(token_hashes(x), sizes, bits) for x in utf8_rows(batch.column("text"))]
+            some = np.flatnonzero([len(s) > 0 for s, _ in found])
+            kept = batch.take(pa.array(some, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column("text_key"), kept.column("text_key2"), *(_lists([found[i][c] for i in some]) for c in (0, 1))], names=["text_key", "text_key2", "seeds", "tokens"])
+
+    keys = ["text_key", "text_key2"]
+    hits = saved(keyed.mapInArrow(search, "text_key long, text_key2 int, seeds array<long>, tokens array<long>").dropDuplicates(keys))
+    use = hits.select(F.explode("seeds").alias("seed")).join(by_seed.select("seed").distinct(), "seed", "left_semi").groupBy("seed").agg(F.count("*").alias("uses"))
+    # tiles have at least so many places of the item; the most frequent seeds, with fewer places together, can be spared
+    least = F.ceil((F.lit(coverage) * F.col("n") - 1e-9) / F.least(F.lit(seed), F.col("n")))
+    often_first = Window.partitionBy("key").orderBy(F.desc("uses"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    joined = saved(by_seed.join(use, "seed").withColumn("so_far", F.sum("places").over(often_first)).filter(F.col("so_far") >= least).select("seed", "key"))
+    pairs = hits.select(*keys, F.explode("seeds").alias("seed")).join(joined, "seed").select(*keys, "key").distinct()
+    items_of = items.select("key", "item", F.col("tokens").alias("pattern"), "size")
+    met = pairs.join(items_of, "key").join(hits.select(*keys, "tokens"), keys).select(*keys, "item", "pattern", "size", "tokens")
+    schema = T.StructType([met.schema["text_key"], met.schema["text_key2"], met.schema["item"], T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.IntegerType())])
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, share, tiles = [], [], []
+            for k, size in enumerate(batch.column("size").to_pylist()):
+                pattern, tokens = (batch.column(c)[k].values.to_numpy().view(np.uint64) for c in ("pattern", "tokens"))
+                # tiles can't cover more than the shared seeds do
+                shared = np.flatnonzero(np.isin(windows(pattern, size), windows(tokens, size)))
+                if len(np.unique(shared[:, None] + np.arange(size))) >= coverage * len(pattern):
+                    found = greedy_tiles(pattern, tokens, size)
+                    if (c := sum(n for _, _, n in found) / len(pattern)) >= coverage:
+                        at.append(k), share.append(c), tiles.append(len(found))
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in schema.names[:3]), pa.array(share, pa.float64()), pa.array(tiles, pa.int32())], names=schema.names)
+
+    return saved(met.mapInArrow(tile, schema))
+
+
+def text_keys(text: Column) -> list[Column]:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64(text).alias("text_key"), F.hash(text).alias("text_key2")]
+
+
+def _few(leaks: DataFrame, send_rows: int) -> DataFrame:
+    return F.broadcast(leaks) if leaks.count() <= send_rows else leaks
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", send_rows: int = 500_000, **options) -> DataFrame:  # noqa: ANN003
+    """(id, item, coverage, tiles) for each pair of a document and an item that it leaks. Only ids and hashes of texts are shuffled, and at most ``send_rows`` leaks are sent to the tasks."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = benchmark.schema[item_id].dataType
-    schema = T.StructType([rows.schema["id"], T.StructField("item", kind), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.IntegerType())])
-    spark, parts = docs.sparkSession, []
-    for block in _blocks(benchmark, item_id, item_text, seed, block_chars):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            items = sent.value
-            for batch in batches:
-                take, item, share, tiles = [], [], [], []
-                for k, text in enumerate(utf8_rows(batch.column("text"))):
-                    for i, c, n in leaks(text, items, seed, coverage):
-                        take.append(k), item.append(items.ids[i]), share.append(c), tiles.append(n)
-                ids = batch.column("id").take(pa.array(take, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64() if kind.typeName() in ("long", "integer") else None).cast(_arrow(kind)), pa.array(share, pa.float64()), pa.array(tiles, pa.int32())], names=["id", "item", "coverage", "tiles"])
-
-        parts.append(rows.mapInArrow(run, schema))
-    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
-
-
-def _arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = 5, coverage: float = 0.8, block_chars: int = 8_000_000) -> DataFrame:
-    """docs without those that leak an item; all columns stay, and no row is moved."""
-    for block in _blocks(benchmark, item_id, item_text, seed, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def clean(texts, sent=sent):  # noqa: ANN001, ANN202
-            items = sent.value
-            return texts.fillna("").map(lambda x: not leaks(x.encode(), items, seed, coverage))
-
-        docs = docs.filter(clean(F.col(text_col)))
-    return docs
+    leaks = leaking_texts(rows.select("text"), benchmark, **options)
+    return rows.select("id", *text_keys(F.col("text"))).join(_few(leaks, send_rows), ["text_key", "text_key2"]).select("id", "item", "coverage", "tiles")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", send_rows: int = 500_000, **options) -> DataFrame:  # noqa: ANN003
+    """docs without those that leak an item; all columns stay. Up to ``send_rows`` leaking texts no row is moved."""
+    text = F.col(f"`{text_col}`").cast("string")
+    bad = leaking_texts(docs.select(text.alias("text")), benchmark, **options).select(F.col("text_key").alias("_bad"), F.col("text_key2").alias("_bad2")).distinct()
+    key, key2 = text_keys(text)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), key, key2)
+    clean = whole.join(_few(bad, send_rows), (F.col("text_key") == F.col("_bad")) & (F.col("text_key2") == F.col("_bad2")), "left_anti")
+    return clean.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
