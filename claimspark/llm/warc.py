@@ -6,10 +6,15 @@ the others are continuation records that name their origin and number, the last
 continuations are grouped by origin, ordered by number, checked against the total length and joined to their first record;
 then the chunked framing is decoded.
 
-Archives are plain records, one after the other, in gzip files below a folder all executors share. Defined results: null
-pages are empty payloads; payloads under ``least`` bytes are always responses; of equal payloads the least page id is the
-response, and every row with that id; if all ids are null, all are responses. Repeated rows get a record each. An empty
-table gives an empty archive and an empty result.
+Archives are plain records, one after the other, in gzip files of at most ``records_per_file`` records below a folder all
+executors share. A record's id is a hash of the page's id, address and payload, so rows that share an id and differ don't
+meet; the page's id stands in a field of its own. To find equal payloads only ids and digests are shuffled; the responses
+that others refer to are sent to the tasks up to ``send_rows``, and joined by digest beyond that.
+
+Defined results: null pages are empty payloads; payloads under ``least`` bytes are always responses; of equal payloads the
+least page id is the response, and every row with that id; a null id has no field and comes back null, as a revisit where
+another row with an id has its payload; if all ids are null, all are responses. Repeated rows get a record each, and are
+read back as many. An empty table gives an empty archive and an empty result.
 """
 
 from __future__ import annotations
@@ -22,21 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import utf8_rows
+from claimspark.llm.common import cut, utf8_rows
 
 END = "\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
-RECORD = "file string, id string, kind string, segment int, origin string, total long, refers string, digest string, block binary"
+RECORD = "file string, id string, page string, kind string, segment int, origin string, total long, refers string, digest string, block binary"
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> DataFrame:
-    """(id, url, payload, digest, refers): refers is the page that a revisit refers to, null for responses."""
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, send_rows: int = 200_000) -> DataFrame:
+    """(id, name, url, payload, digest, refers): name is the record's, refers the name of the record that a revisit refers to, null for responses."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    first = rows.filter(F.length("payload") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    refers = F.when((F.length("payload") >= least) & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(first, "digest", "left").select("id", "url", "payload", "digest", refers.alias("refers"))
+    rows = rows.withColumn("name", F.sha2(F.concat_ws(" ", F.to_json(F.struct("id", "url")), "digest"), 256))
+    answer = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "name"))).alias("first")
+    first = rows.filter(F.length("payload") >= least).groupBy("digest").agg(answer, F.count("*").alias("n")).filter("n > 1 and first is not null")
+    first = cut(first.select("digest", "first"))
+    refers = F.when((F.length("payload") >= least) & ~F.col("id").eqNullSafe(F.col("first.id")), F.col("first.name"))
+    first = F.broadcast(first) if first.count() <= send_rows else first
+    return rows.join(first, "digest", "left").select("id", "name", "url", "payload", "digest", refers.alias("refers"))
 
 
 def chunked(payload: bytes, size: int) -> bytes:
@@ -59,37 +68,42 @@ def unchunk(body: bytes) -> bytes:
         at += 2
 
 
-def page_records(page: str, url: str, payload: bytes, digest: str, refers: str | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+def page_records(name: str, page: str | None, url: str, payload: bytes, digest: str, refers: str | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
     """The WARC records of one page, each without the two line ends that follow a record."""
-    name = f"<urn:page:{page}>"
+    urn = lambda x, *part: "<urn:sha256:" + ":".join([x, *map(str, part)]) + ">"
     common = [("WARC-Date", DATE), ("WARC-Target-URI", re.sub(r"[\r\n]", " ", url)), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    if page is not None:
+        common.append(("Page-ID", page))
     head = lambda fields: ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
+    content = ("Content-Type", "application/http; msgtype=response")
     if refers is not None:
-        block = HTTP
-        yield head([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]) + block
+        profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        yield head([("WARC-Type", "revisit"), ("WARC-Record-ID", urn(name)), *common, ("WARC-Refers-To", urn(refers)), profile, content, ("Content-Length", len(HTTP))]) + HTTP
         return
     block = HTTP + chunked(payload, chunk_bytes)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     for k, part in enumerate(parts, 1):
-        fields = [("WARC-Type", "response"), ("WARC-Record-ID", name), *common] if k == 1 else [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page}:{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name)]
+        if k == 1:
+            fields = [("WARC-Type", "response"), ("WARC-Record-ID", urn(name)), *common]
+        else:
+            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", urn(name, k)), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", urn(name))]
         fields += [("WARC-Segment-Number", k)] * (len(parts) > 1) + [("WARC-Segment-Total-Length", len(block))] * (1 < k == len(parts))
-        yield head([*fields, ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(part))]) + part
+        yield head([*fields, content, ("Content-Length", len(part))]) + part
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = 32_768, chunk_bytes: int = 8_192, records_per_file: int = 20_000, **columns) -> None:  # noqa: ANN003
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = 32_768, chunk_bytes: int = 8_192, records_per_file: int = 2_000, **options) -> None:  # noqa: ANN003
     """Writes a record for each row of pages below path. Records end in two line ends, which is the text writer's separator."""
-    plan = plan_records(pages, **columns)
-    plan = plan.select(F.col("id").cast("string").alias("id"), F.coalesce("url", F.lit("")).alias("url"), "payload", "digest", F.col("refers").cast("string").alias("refers"))
+    plan = plan_records(pages, **options).select("name", F.col("id").cast("string").alias("id"), F.coalesce("url", F.lit("")).alias("url"), "payload", "digest", "refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            small = [batch.column(c).to_pylist() for c in ("id", "url", "digest", "refers")]
-            for page, url, digest, refers, payload in zip(*small, utf8_rows(batch.column("payload")), strict=True):
-                for record in page_records(str(page), url, payload, digest, refers, segment_bytes, chunk_bytes):
+            small = [batch.column(c).to_pylist() for c in ("name", "id", "url", "digest", "refers")]
+            for name, page, url, digest, refers, payload in zip(*small, utf8_rows(batch.column("payload")), strict=True):
+                for record in page_records(name, page, url, payload, digest, refers, segment_bytes, chunk_bytes):
                     yield (record,)
 
-    records = plan.mapInArrow(_batched(run, ["record"], [pa.binary()]), "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).mode("overwrite").text(path)
+    records = plan.mapInArrow(_batched(run, ["record"], [pa.binary()]), "record binary").select(F.col("record").cast("string").alias("value"))
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).mode("overwrite").text(path)
 
 
 def _batched(run, names: list[str], kinds: list[pa.DataType], most: int = 1 << 21):  # noqa: ANN001, ANN202
@@ -136,7 +150,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 for f, block in parse_records(content.as_py()):
                     segment, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
-                    yield name, f["warc-record-id"], f["warc-type"], segment and int(segment), f.get("warc-segment-origin-id"), total and int(total), f.get("warc-refers-to"), f.get("warc-payload-digest"), block
+                    numbers = segment and int(segment), f.get("warc-segment-origin-id"), total and int(total)
+                    yield name, f["warc-record-id"], f.get("page-id"), f["warc-type"], *numbers, f.get("warc-refers-to"), f.get("warc-payload-digest"), block
 
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in RECORD.split(", ")]
@@ -144,48 +159,49 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """(id, kind, refers, digest, blocks, total): one row a logical record, its blocks in order of segment numbers.
+    """(id, page, kind, refers, digest, blocks, total): one row a logical record, its blocks in order of segment numbers.
 
     Only segmented records are shuffled. Copies of a continuation are one; a gap in the numbers or a missing total shows as
     a null total, which decode() refuses.
     """
-    later = records.filter("kind = 'continuation'").select(F.col("origin").alias("of"), "segment", "block", "total").groupBy("of").agg(F.array_sort(F.collect_set(F.struct("segment", "block", "total"))).alias("parts"))
-    first = records.filter("kind <> 'continuation'").drop("origin", "total")
-    whole = first.filter("segment is null").select("id", "kind", "refers", "digest", F.array("block").alias("blocks"), F.length("block").cast("long").alias("total"))
+    part = F.struct("segment", "block", "total")
+    later = records.filter("kind = 'continuation'").groupBy(F.col("origin").alias("of")).agg(F.array_sort(F.collect_set(part)).alias("parts"))
+    first = records.filter("kind <> 'continuation'").select("id", "page", "kind", "refers", "digest", "segment", "block")
+    same = ["id", "page", "kind", "refers", "digest"]
+    whole = first.filter("segment is null").select(*same, F.array("block").alias("blocks"), F.length("block").cast("long").alias("total"))
     met = first.filter("segment is not null").join(later, F.col("id") == F.col("of"), "left")
     complete = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(2), F.size("parts") + 1)
     total = F.when(complete, F.element_at("parts", -1)["total"])
-    return whole.union(met.select("id", "kind", "refers", "digest", F.concat(F.array("block"), F.coalesce(F.transform("parts", lambda p: p["block"]), F.array())).alias("blocks"), total.alias("total")))
+    blocks = F.concat(F.array("block"), F.coalesce(F.transform("parts", lambda p: p["block"]), F.array()))
+    return whole.union(met.select(*same, blocks.alias("blocks"), total.alias("total")))
 
 
 def decode(logical: DataFrame, with_payload: bool = False) -> DataFrame:
-    """(page, kind, refers, payload_bytes, digest, stated[, payload]) of reassembled records; a wrong total length or framing raises."""
-    schema = "page string, kind string, refers string, payload_bytes long, digest string, stated string" + ", payload binary" * with_payload
+    """(id, page, kind, refers, payload_bytes, digest, stated[, payload]) of reassembled records; a wrong total length or framing raises."""
+    schema = "id string, page string, kind string, refers string, payload_bytes long, digest string, stated string" + ", payload binary" * with_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
-            ids, kinds, refers, stated, totals = (batch.column(c).to_pylist() for c in ("id", "kind", "refers", "digest", "total"))
             sizes, digests, payloads = [], [], []
-            for name, total, blocks in zip(ids, totals, batch.column("blocks"), strict=True):
+            for name, total, blocks in zip(batch.column("id").to_pylist(), batch.column("total").to_pylist(), batch.column("blocks"), strict=True):
                 message = b"".join(x.as_py() for x in blocks)
                 if total != len(message):
                     raise ValueError(f"{name}: {len(message)} bytes of {total}")
-                head, _, body = message.partition(b"\r\n\r\n")
+                head, _, body = message.partition(END.encode())
                 payload = unchunk(body) if b"chunked" in head.lower() and body else body
                 sizes.append(len(payload)), digests.append(hashlib.sha256(payload).hexdigest()), payloads.append(payload)
-            page = [re.fullmatch(r"<urn:page:(.*)>", x)[1] for x in ids]
-            target = [x and re.fullmatch(r"<urn:page:(.*)>", x)[1] for x in refers]
-            out = [pa.array(page), pa.array(kinds), pa.array(target, pa.string()), pa.array(sizes, pa.int64()), pa.array(digests), pa.array([x and x.removeprefix("sha256:") for x in stated], pa.string())]
-            yield pa.RecordBatch.from_arrays([x.cast(pa.string()) if pa.types.is_null(x.type) else x for x in out] + [pa.array(payloads, pa.binary())] * with_payload, names=[x.split()[0] for x in schema.split(", ")])
+            stated = [x and x.removeprefix("sha256:") for x in batch.column("digest").to_pylist()]
+            out = [*(batch.column(c) for c in ("id", "page", "kind", "refers")), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(stated, pa.string())]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(payloads, pa.binary())] * with_payload, names=[x.split()[0] for x in schema.split(", ")])
 
     return logical.mapInArrow(run, schema)
 
 
 def resolve(decoded: DataFrame) -> DataFrame:
-    """(page, payload_bytes, digest, record_type, refers): a revisit takes its payload's length from the response that it refers to."""
-    answers = decoded.filter("kind = 'response'").select(F.col("page").alias("_page"), F.col("digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
-    revisits = decoded.filter("kind = 'revisit'").join(answers, (F.col("refers") == F.col("_page")) & (F.col("stated") == F.col("_digest")), "left")
-    whole = decoded.filter("kind = 'response'").select("page", "payload_bytes", "digest", F.col("kind").alias("record_type"), "refers")
-    return whole.union(revisits.select("page", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("digest"), F.col("kind").alias("record_type"), "refers"))
+    """(page, payload_bytes, digest, record_type, refers): a revisit takes its payload's length from the response that it refers to; refers is that one's page."""
+    answers = decoded.filter("kind = 'response'").select(F.col("id").alias("_id"), F.col("page").alias("_page"), F.col("digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
+    revisits = decoded.filter("kind = 'revisit'").join(answers, (F.col("refers") == F.col("_id")) & (F.col("stated") == F.col("_digest")), "left")
+    whole = decoded.filter("kind = 'response'").select("page", "payload_bytes", "digest", F.col("kind").alias("record_type"), F.lit(None).cast("string").alias("refers"))
+    return whole.union(revisits.select("page", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("digest"), F.col("kind").alias("record_type"), F.col("_page").alias("refers")))

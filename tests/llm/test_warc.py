@@ -3,7 +3,7 @@ import hashlib
 
 import pytest
 
-from claimspark.llm import warc
+from claimspark.llm import queries, warc
 
 PAGES = "page_id long, url string, html string, id string, block binary"
 
@@ -26,23 +26,32 @@ def expected(rows):
         p = (html or "").encode()
         keeper = first.get(p) if len(p) >= 100 else None
         again = keeper is not None and keeper != i
-        out.append((str(i), len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", str(keeper) if again else None))
+        out.append((None if i is None else str(i), len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", str(keeper) if again else None))
     return sorted(out, key=str)
 
 
 ROWS = [
     (5, "http://a/\r\nX: 1", "é" * 300, "x", b"z"), (3, "http://b/", "é" * 300, "x", None), (9, None, "é" * 300, None, None), (4, "u", "short", None, None), (2, "u", "short", None, None),
     (7, "u", None, None, None), (8, "u", "", None, None), (10, "u", "WARC/1.1\r\n\r\n\r\n" * 60, None, None), (11, "u", "0\r\n\r\n" * 9000, None, None), (12, "u", "𝒳" * 50_000, None, None),
-    (None, "u", "n" * 500, None, None), (13, "u", "z" * 120, None, None), (13, "u", "z" * 120, None, None),
+    (None, "u", "n" * 500, None, None), (None, "u", "N" * 40_000, None, None), (None, "v", "M" * 40_000, None, None), (14, "u", "q" * 50_000, None, None), (14, "u", "Q" * 50_000, None, None),
+    (14, "u", "q" * 50_000, None, None), (None, "u", "q" * 50_000, None, None), (13, "u", "z" * 120, None, None), (13, "u", "z" * 120, None, None),
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"segment_bytes": 1000, "chunk_bytes": 7}, {"segment_bytes": 64, "records_per_file": 3}])
+@pytest.mark.parametrize("options", [{}, {"segment_bytes": 1000, "chunk_bytes": 7}, {"segment_bytes": 64, "records_per_file": 3}, {"send_rows": 0}])
 def test_round_trip(spark, tmp_path, options):
     _, out = run(spark, ROWS, tmp_path, **options)
     assert sorted((tuple(r) for r in out), key=str) == expected(ROWS)
 
 
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_query_on_awkward_and_empty_tables(spark, tmp_path, rows):
+    spark.createDataFrame(rows, PAGES).write.parquet(str(tmp_path / "sf" / "pages.parquet"))
+    text = lambda x: None if x is None else str(x)
+    out = queries.op9_warc(spark, str(tmp_path / "sf")).collect()
+    assert sorted(((text(r["page_id"]), *r[1:4], text(r["refers_to"])) for r in out), key=str) == expected(rows)
+
+
 def test_empty_table(spark, tmp_path):
     assert run(spark, [], tmp_path)[1] == []
 
