@@ -37,7 +37,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan(table(spark, sf_dir, "documents"))
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.sha2(secret_scan.span_text(F.col("spans"), tuple(secret_scan.BASE)), 256)
-    return out.select(F.col("id").alias("doc_id"), *map(number, secret_scan.BASE), base.alias("base_sha256"), secret_scan.span_text(F.col("spans"), tuple(secret_scan.KINDS)).alias("spans"), "n_live", "n_shared", "n_example")
+    spans = secret_scan.span_text(F.col("spans"), tuple(secret_scan.KINDS))
+    spread = ("n_live", "n_shared", "n_example", "most_repos", "most_owners")
+    return out.select(F.col("id").alias("doc_id"), *map(number, secret_scan.BASE), base.alias("base_sha256"), spans.alias("spans"), *spread)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

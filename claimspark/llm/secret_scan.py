@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidate spans are found in every text; each candidate's value is hashed, and the hashes are counted by distinct
-repositories and owners over the whole corpus. A value held by one owner looks live; one that many owners carry is a copied
-example. Everything is DataFrame expressions: positions come from the lengths of the pieces between matches.
+repositories and owners over the whole corpus. A value that one owner holds in few repositories looks live; one that many
+owners carry, or that is copied over many repositories, is an example; anything between is shared. Everything is DataFrame expressions: positions come from the lengths of the pieces between matches.
 
 Base kinds: ``assign`` (a keyword, an assignment sign and a value of 8 or more characters), ``access`` (AKIA key ids of 16 or
 more) and ``hex`` (32 or more hex digits). Added kinds: ``pem`` (private key headers), ``token`` (prefixed service tokens)
@@ -56,29 +56,35 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select("id", F.monotonically_increasing_id().alias("row"), "owner", "repo", found.alias("spans"))
 
 
-def ownership(found: DataFrame, example_owners: int = 3) -> DataFrame:
-    """(hash, n_repos, n_owners, verdict) of each candidate value, over the whole corpus.
+def ownership(found: DataFrame, example_owners: int = 3, example_repos: int = 6, live_repos: int = 2) -> DataFrame:
+    """(hash, n_repos, n_owners, n_uses, verdict) of each candidate value, over the whole corpus.
 
     Repeats within a repository fall together before they are dealt out by hash, so a value that fills the corpus costs its
-    hash one row a repository. ``verdict``: live for one owner, example from ``example_owners`` on, else shared.
+    hash one row a repository. ``verdict``: example from ``example_owners`` owners or ``example_repos`` repositories on; live
+    for one owner with at most ``live_repos`` repositories; else shared.
     """
     values = found.select("owner", "repo", F.explode("spans").alias("span")).select(F.sha2(F.col("span.value"), 256).alias("hash"), "owner", "repo")
     per_repo = values.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     per_owner = per_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     out = per_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n").alias("n_uses"))
-    verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
+    copied = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    verdict = F.when(copied, "example").when((F.col("n_owners") == 1) & (F.col("n_repos") <= live_repos), "live").otherwise("shared")
     return out.withColumn("verdict", verdict)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), example_owners: int = 3) -> DataFrame:
-    """(id, spans, n_live, n_shared, n_example) for each row of docs."""
+VERDICTS = ("live", "shared", "example")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), **limits: int) -> DataFrame:
+    """(id, spans, n_live, n_shared, n_example, most_repos, most_owners) for each row of docs; the last two are 0 without candidates."""
     found = cut(find_secrets(docs, id_col, text_col, owner_col, repo_cols))
-    verdicts = ownership(found, example_owners)
+    verdicts = ownership(found, **limits)
     each = found.select("row", F.explode("spans").alias("span")).select("row", F.sha2(F.col("span.value"), 256).alias("hash")).groupBy("row", "hash").agg(F.count("*").alias("n"))
     count = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n"))).alias(f"n_{v}")
-    judged = each.join(verdicts.select("hash", "verdict"), "hash").groupBy("row").agg(*map(count, ("live", "shared", "example")))
-    out = found.join(judged, "row", "left")
-    return out.select("id", "spans", *(F.coalesce(f"n_{v}", F.lit(0)).cast("long").alias(f"n_{v}") for v in ("live", "shared", "example")))
+    spread = [F.max("n_repos").alias("most_repos"), F.max("n_owners").alias("most_owners")]
+    judged = each.join(verdicts, "hash").groupBy("row").agg(*map(count, VERDICTS), *spread)
+    numbers = [*(f"n_{v}" for v in VERDICTS), "most_repos", "most_owners"]
+    return found.join(judged, "row", "left").select("id", "spans", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers))
 
 
 def span_text(spans: Column, kinds: tuple[str, ...]) -> Column:

@@ -49,10 +49,12 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_ownership_tells_examples_from_live(spark):
-    one, many = "token = " + "a1b2" * 8, "secret: " + "examplevalue99"
-    rows = [(1, one, "x", "p"), (2, one, "x", "q")] + [(10 + i, many, "x", f"o{i}") for i in range(5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("lang", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("en"))
-    got = {r["n_owners"]: r["verdict"] for r in secret_scan.ownership(secret_scan.find_secrets(docs)).collect()}
-    assert got == {2: "shared", 5: "example"}
-    counts = {r["id"]: (r["n_live"], r["n_shared"], r["n_example"]) for r in secret_scan.scan(docs).collect()}
-    assert counts[10] == (0, 0, 1) and counts[1][0] == 0 and counts[1][1] == 2
+    secrets = {k: f"token = {k * 20}" for k in ("aone", "btwo", "cown", "drep")}
+    rows = [(1, "aone", "x", "p"), (2, "aone", "y", "p"), (3, "btwo", "x", "p"), (4, "btwo", "x", "q"), *((10 + i, "cown", "x", f"o{i}") for i in range(5))]
+    rows += [(20 + i, "drep", f"l{i}", "p") for i in range(6)] + [(30 + i, "drep", "l0", "p") for i in range(9)]
+    docs = spark.createDataFrame([(i, secrets[k], lang, source) for i, k, lang, source in rows], "doc_id long, text string, lang string, source string")
+    got = sorted((r["n_owners"], r["n_repos"], r["n_uses"], r["verdict"]) for r in secret_scan.ownership(secret_scan.find_secrets(docs)).collect())
+    assert got == [(1, 2, 2, "live"), (1, 6, 15, "example"), (2, 2, 2, "shared"), (5, 5, 5, "example")]
+    counts = {r["id"]: tuple(r)[2:] for r in secret_scan.scan(docs).collect()}
+    assert (counts[1], counts[3], counts[10], counts[20]) == ((1, 0, 0, 2, 1), (0, 1, 0, 2, 2), (0, 0, 1, 5, 5), (0, 0, 1, 6, 1))
+    assert {r["id"]: tuple(r)[2:] for r in secret_scan.scan(docs, example_repos=100).collect()}[20] == (0, 1, 0, 6, 1)
