@@ -2,13 +2,20 @@
 
 A multinomial logistic regression on sparse word n-grams (one to three words) tells licence families apart. It is trained
 here on notices of each family, cut and thinned at random, and on paragraphs of the corpus and shuffled notices as the
-unknown class. Its probabilities are calibrated by one temperature on rows it didn't train on. A prediction is confirmed
-when enough of a template's five-word shingles are in the paragraph.
+unknown class. Its probabilities are calibrated by one temperature, from the scores of notices (with all their variants)
+and of background paragraphs that models without them give. A prediction is confirmed when enough of a template's
+five-word shingles are in the paragraph.
 
+Paragraphs are lines, and runs of lines between blank ones, marks of comments left out and lines joined: a wrapped notice
+is one paragraph. A run of several lines counts only where its template confirms it, for it also holds other words.
 Features that the unknown class has often are left out, so that a text without any licence word needs no scoring: it has
-the probability that no features give. Paragraphs are lines. Defined results: null text is empty; a document without a
-licence has family null and the highest probability any of its paragraphs gives to one; ties go to the earlier paragraph,
-then to the family first in order; repeated rows get one row each; an empty table gives an empty result.
+the probability that no features give, which no other text goes below.
+
+Defined results: null text is empty; a document without a licence has family null and the highest probability any of its
+paragraphs gives to one; confirmed paragraphs go before others, then the likelier one, then the earlier one, then the
+family first in order; paragraph numbers count lines, and spans count characters from the first line of the paragraph to
+the last; repeated rows get one row each; an empty table gives an empty result. The unknown class is learned from at most
+``bound`` paragraphs of the corpus, the first line without a licence word of each of so many texts.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -136,49 +144,60 @@ def _thinned(words: list[str], draw: np.random.Generator) -> list[str]:
     return cut
 
 
-def train(background: list[str], notices: dict[str, tuple[str, ...]] = NOTICES, copies: int = 24, accept: float = 0.7, similar: float = 0.8, seed: int = 5, rounds: int = 300) -> Model:
-    """A model from ``copies`` variants of each notice against the background paragraphs and shuffled notices."""
+def _fit(x: np.ndarray, y: np.ndarray, families: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bias) of a multinomial logistic regression in which each family weighs the same."""
+    w, b = np.zeros((x.shape[1], families), np.float32), np.zeros(families, np.float32)
+    target = np.eye(families, dtype=np.float32)[y]
+    each = (1 / target.sum(axis=0).clip(1))[y][:, None] * len(y) / families
+    for _ in range(rounds):
+        z = x @ w + b
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        error = (p - target) * each / len(y)
+        w -= 20 * (x.T @ error + 2e-5 * w)
+        b -= 2 * error.sum(axis=0)
+    return w, b
+
+
+def train(background: list[str], notices: dict[str, tuple[str, ...]] = NOTICES, copies: int = 24, accept: float = 0.7, similar: float = 0.8, seed: int = 5, rounds: int = 300, folds: int = 3) -> Model:
+    """A model from ``copies`` variants of each notice against the background paragraphs and shuffled notices.
+
+    The temperature comes from ``folds`` models, each without a part of the notices and of the background.
+    """
     draw = np.random.default_rng(seed)
     families = (*notices, UNKNOWN)
     plain = [words_of(x) for x in background]
-    rows: list[tuple[list[str], int]] = [(w, len(notices)) for w in plain]
+    # (words, family, fold): all variants of a notice are in one fold, and a family's notices in different ones
+    rows: list[tuple[list[str], int, int]] = [(w, len(notices), i % folds) for i, w in enumerate(plain)]
     for k, texts in enumerate(notices.values()):
-        for text in texts:
+        for i, text in enumerate(texts):
             words = words_of(text)
-            rows += [(words, k)] * (copies // 3)
+            rows += [(words, k, i % folds)] * (copies // 3)
             for _ in range(copies):
                 around = plain[draw.integers(len(plain))] if plain else []
-                rows.append((_thinned(words, draw) + around[: int(draw.integers(0, 12))], k))
+                rows.append((_thinned(words, draw) + around[: int(draw.integers(0, 12))], k, i % folds))
                 if len(words) > 3:
-                    rows.append(([words[i] for i in draw.permutation(len(words))][: max(2, len(words) // 2)], len(notices)))
+                    rows.append(([words[i] for i in draw.permutation(len(words))][: max(2, len(words) // 2)], len(notices), i % folds))
     common = Counter(g for w in plain for g in set(grams(w)))
     often = max(2, 0.002 * len(plain))
-    vocabulary = sorted({g for w, k in rows if k < len(notices) for g in grams(w)} & {g for t in notices.values() for x in t for g in grams(words_of(x))})
+    vocabulary = sorted({g for t in notices.values() for x in t for g in grams(words_of(x))})
     index = {g: i for i, g in enumerate(g for g in vocabulary if common[g] < often)}
     x = np.zeros((len(rows), len(index)), np.float32)
-    y = np.array([k for _, k in rows])
-    for i, (w, _) in enumerate(rows):
-        at = sorted({index[g] for g in grams(w) if g in index})
+    y, fold = np.array([k for _, k, _ in rows]), np.array([f for _, _, f in rows])
+    for i, (words, _, _) in enumerate(rows):
+        at = sorted({index[g] for g in grams(words) if g in index})
         x[i, at] = 1 / max(1.0, np.sqrt(len(at)))
-    held = draw.random(len(rows)) < 0.25
-    target = np.eye(len(families), dtype=np.float32)[y]
-    w, b = np.zeros((len(index), len(families)), np.float32), np.zeros(len(families), np.float32)
-    xs, ts = x[~held], target[~held]
-    share = ts.sum(axis=0).clip(1)
-    each = (1 / share)[ts.argmax(axis=1)][:, None] * len(ts) / len(families)
-    for _ in range(rounds):
-        z = xs @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        error = (p - ts) * each / len(ts)
-        w -= 20 * (xs.T @ error + 2e-5 * w)
-        b -= 2 * error.sum(axis=0)
-    z = x[held] @ w + b
+    z = np.zeros((len(rows), len(families)))
+    for f in range(folds):
+        held = fold == f
+        wf, bf = _fit(x[~held], y[~held], len(families), rounds)
+        z[held] = x[held] @ wf + bf
+    w, b = _fit(x, y, len(families), rounds)
 
     def loss(t: float) -> float:
         s = z / t
         s = s - s.max(axis=1, keepdims=True)
-        return float(-(s - np.log(np.exp(s).sum(axis=1, keepdims=True)))[np.arange(len(s)), y[held]].mean()) if len(s) else 0.0
+        return float(-(s - np.log(np.exp(s).sum(axis=1, keepdims=True)))[np.arange(len(s)), y].mean())
 
     temperature = min(np.geomspace(0.25, 4, 33).tolist(), key=loss)
     templates = {f: tuple((t, frozenset(shingles(words_of(t)))) for t in texts) for f, texts in notices.items()}
@@ -192,6 +211,24 @@ def background_paragraphs(docs: DataFrame, text_col: str = "text", bound: int =
     return sorted(r["p"] for r in rows.select(line.alias("p")).filter("p is not null").collect())
 
 
+_MARKS = re.compile(r"^\s*(?://+|#+|/?\*+/?|--|;+|%+|<!--|-->|\"\"\")?\s*|\s*(?:\*/|-->)\s*$")
+
+
+def paragraphs(lines: list[str], keys: frozenset[str]) -> Iterator[tuple[int, int, int, str]]:
+    """(line, start, end, text) of each line with a word of ``keys``, and of each run of several lines with one; runs end at blank lines or lines of marks alone."""
+    bare = [_MARKS.sub("", x) for x in lines]
+    at = [0, *accumulate(len(x) + 1 for x in lines)]
+    first = 0
+    for k in range(len(lines) + 1):
+        if k < len(lines) and not keys.isdisjoint(words_of(lines[k])):
+            yield k, at[k], at[k] + len(lines[k]), lines[k]
+        if k == len(lines) or not bare[k]:
+            joined = " ".join(bare[first:k])
+            if k - first > 1 and not keys.isdisjoint(words_of(joined)):
+                yield first, at[first], at[k] - 1, joined
+            first = k + 1
+
+
 FOUND = "family string, probability double, paragraph int, paragraph_start long, paragraph_end long, similarity double, confirmed boolean, families array<string>, n_paragraphs long"
 
 
@@ -200,22 +237,27 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL(FOUND).fields])
 
+    floor = float(1 - model.probabilities([])[-1])
+
     def judge(text: str) -> tuple:
         lines = text.split("\n")
-        best, named, at = None, set(), 0
-        floor = float(1 - model.probabilities([])[-1])
-        if not model.keys.isdisjoint(words_of(text)):
-            for k, line in enumerate(lines):
-                if not model.keys.isdisjoint(words_of(line)):
-                    family, p, similarity, confirmed = model.judge(line)
-                    if family != UNKNOWN:
-                        named.add(family)
-                    rank = (family != UNKNOWN, p)
-                    if best is None or rank > best[0]:
-                        where = (None, None, None) if family == UNKNOWN else (k, at, at + len(line))
-                        best = (rank, (None if family == UNKNOWN else family, p, *where, similarity, confirmed))
-                at += len(line) + 1
-        return (*(best[1] if best else (None, floor, None, None, None, 0.0, False)), sorted(named), len(lines))
+        if model.keys.isdisjoint(words_of(text)):
+            return None, floor, None, None, None, 0.0, False, [], len(lines)
+        best, named = (False, False, floor), set()
+        found = None, floor, None, None, None, 0.0, False
+        for k, start, end, paragraph in paragraphs(lines, model.keys):
+            family, p, similarity, confirmed = model.judge(paragraph)
+            if family == UNKNOWN:
+                family, confirmed = None, False
+            elif "\n" in text[start:end] and not confirmed:
+                continue
+            else:
+                named.add(family)
+            rank = confirmed, family is not None, p
+            if rank > best:
+                where = (None, None, None) if family is None else (k, start, end)
+                best, found = rank, (family, p, *where, similarity, confirmed)
+        return *found, sorted(named), len(lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.string()), pa.int64()]

@@ -2,9 +2,11 @@
 
 import math
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from claimspark.llm import licenses, lm, quality, queries
@@ -52,6 +54,56 @@ def test_licences(spark):
     assert licenses.scan(empty(spark), model).collect() == [] and licenses.background_paragraphs(empty(spark)) == []
 
 
+MIT = licenses.NOTICES["MIT"][2]
+
+
+@pytest.mark.parametrize("mark", ["", "// ", "# ", " * ", "-- "])
+def test_a_wrapped_notice_is_confirmed(spark, mark):
+    wrapped = "\n".join(mark + x for x in textwrap.wrap(MIT, 72))
+    text = f"{mark}Copyright the authors\n{mark.rstrip()}\n{wrapped}\n\n{PROSE}\n{PROSE}"
+    docs = spark.createDataFrame([(1, text), (2, f"{PROSE}\n{PROSE}"), (3, "zzz qqq\ncode prior on"), (4, "zzz qqq")], "doc_id long, text string")
+    rows = {r["id"]: r for r in licenses.scan(docs, licenses.train([PROSE, "some other words that are not about rights at all"] * 40)).collect()}
+    assert rows[1]["family"] == "MIT" and rows[1]["confirmed"] and rows[1]["families"] == ["MIT"]
+    assert text[rows[1]["paragraph_start"] : rows[1]["paragraph_end"]] == wrapped
+    assert rows[2]["family"] is None and rows[3]["probability"] >= rows[4]["probability"]
+
+
+def test_licences_equal_a_plain_reading_of_the_model(spark):
+    """Features, probabilities and the choice of a paragraph, from the weights by their definition."""
+    model = licenses.train([PROSE, "some other words that are not about rights at all"] * 40)
+    texts = [PROSE, f"{PROSE}\n{MIT}", "Released under the MIT license.\nAll rights reserved.", "", None, "the public licence", f"// {MIT[:90]}\n// {MIT[90:]}", "All rights reserved."]
+
+    def probabilities(line):
+        words = re.findall(r"\w+", line.lower())
+        there = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)} & set(model.index)
+        z = [(model.bias[k] + sum(model.weights[model.index[g], k] for g in there) / max(1, len(there)) ** 0.5) / model.temperature for k in range(len(model.families))]
+        return [math.exp(x - max(z)) / sum(math.exp(y - max(z)) for y in z) for x in z]
+
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        lines = (texts[r["id"]] or "").split("\n")
+        likely = [(max(p[:-1]), model.families[p.index(max(p))]) for p in map(probabilities, lines) if p.index(max(p)) < len(p) - 1 and max(p) >= 0.7]
+        if not r["confirmed"]:
+            assert r["family"] == (max(likely, key=lambda x: x[0])[1] if likely else None)
+            want = max(likely, key=lambda x: x[0])[0] if likely else max(1 - probabilities(x)[-1] for x in [*lines, ""])
+            assert abs(r["probability"] - want) < 1e-9
+        assert {f for _, f in likely} <= set(r["families"])
+
+
+def test_quality_scores_equal_their_definition(spark):
+    rows = [(i, " ".join([PROSE, "#" * (i % 7), "word, " * (i % 5)])) for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 < 3)) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    z = lambda t: sum((x - m) / s * w for x, m, s, w in zip(quality.features(t or ""), model.mean, model.scale, model.weight, strict=True))
+    known = sorted(z(t) for _, t in rows[:60])
+    at = sum(i % 7 >= 3 for i in range(60)) / 60 * 59
+    threshold = known[int(at)] + (at - int(at)) * (known[int(at) + 1] - known[int(at)])
+    assert abs(model.threshold - threshold) < 1e-9
+    for r in quality.scores(docs, model).collect():
+        assert abs(r["score"] - 1 / (1 + math.exp(-(z(dict(rows)[r["id"]]) - threshold) - math.log(0.7 / 0.3)))) < 1e-9
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs, model).collect()) == sorted(i for i, t in rows if z(t) >= threshold - 1e-12)
+
+
 def test_licences_of_the_table(spark):
     d = "/root/testdata/sf0.01"
     marks = {"Apache-2.0": "Apache License", "MIT": "MIT License", "GPL": "General Public License", "CC-BY-NC": "CC BY-NC", "Proprietary": "All rights reserved"}
@@ -143,6 +195,18 @@ def test_pipeline(spark, sf):
 
 def test_stages_take_awkward_rows(spark, sf):
     docs = awkward(spark)
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, docs, sf).count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.count() > 0 and (stage is corpus_pipeline.mixing_stage or out.columns == docs.columns)
         stage(spark, empty(spark), sf).collect()
+
+
+def test_queries_take_awkward_and_empty_tables(spark, sf, tmp_path):
+    for name, docs in (("awkward", awkward(spark)), ("empty", empty(spark))):
+        d = tmp_path / name
+        docs.write.parquet(str(d / "documents.parquet"))
+        for other in ("labels", "benchmark", "conversations"):
+            table(spark, sf, other).write.parquet(str(d / f"{other}.parquet"))
+        for op in (queries.op1_licenses, queries.op2_quality, queries.op4_lm_score, queries.op6_media, queries.op7_decontaminate, queries.op8_line_dedup, queries.op10_mix):
+            rows = op(spark, str(d)).collect()
+            assert op is queries.op7_decontaminate or len(rows) == docs.count()
