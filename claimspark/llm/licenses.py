@@ -116,6 +116,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     templates: dict[str, tuple[tuple[str, frozenset], ...]]
+    parts: frozenset[tuple[str, ...]]  # all shingles of templates
     accept: float
     similar: float
 
@@ -125,9 +126,8 @@ class Model:
         z = np.exp(z - z.max())
         return z / z.sum()
 
-    def judge(self, text: str) -> tuple[str, float, float, bool]:
+    def judge(self, words: list[str]) -> tuple[str, float, float, bool]:
         """(family, probability, similarity of the family's best template, confirmed) of one paragraph."""
-        words = words_of(text)
         p = self.probabilities(words)
         family = self.families[int(p.argmax())]
         if family == UNKNOWN or p.max() < self.accept:
@@ -201,7 +201,7 @@ def train(background: list[str], notices: dict[str, tuple[str, ...]] = NOTICES,
 
     temperature = min(np.geomspace(0.25, 4, 33).tolist(), key=loss)
     templates = {f: tuple((t, frozenset(shingles(words_of(t)))) for t in texts) for f, texts in notices.items()}
-    return Model(families, index, frozenset(g.split(" ", 1)[0] for g in index), w.astype(float), b.astype(float), temperature, templates, accept, similar)
+    return Model(families, index, frozenset(g.split(" ", 1)[0] for g in index), w.astype(float), b.astype(float), temperature, templates, frozenset(x for t in templates.values() for _, part in t for x in part), accept, similar)
 
 
 def background_paragraphs(docs: DataFrame, text_col: str = "text", bound: int = 3000) -> list[str]:
@@ -211,21 +211,20 @@ def background_paragraphs(docs: DataFrame, text_col: str = "text", bound: int =
     return sorted(r["p"] for r in rows.select(line.alias("p")).filter("p is not null").collect())
 
 
-_MARKS = re.compile(r"^\s*(?://+|#+|/?\*+/?|--|;+|%+|<!--|-->|\"\"\")?\s*|\s*(?:\*/|-->)\s*$")
+def paragraphs(lines: list[list[str]], model: Model) -> Iterator[tuple[int, int, list[str]]]:
+    """(first line, last line, words) of each line with a word of the model's, and of each run of several lines with a part of a template.
 
-
-def paragraphs(lines: list[str], keys: frozenset[str]) -> Iterator[tuple[int, int, int, str]]:
-    """(line, start, end, text) of each line with a word of ``keys``, and of each run of several lines with one; runs end at blank lines or lines of marks alone."""
-    bare = [_MARKS.sub("", x) for x in lines]
-    at = [0, *accumulate(len(x) + 1 for x in lines)]
+    ``lines`` are their words, which marks of comments aren't; a run ends at a line without words.
+    """
     first = 0
     for k in range(len(lines) + 1):
-        if k < len(lines) and not keys.isdisjoint(words_of(lines[k])):
-            yield k, at[k], at[k] + len(lines[k]), lines[k]
-        if k == len(lines) or not bare[k]:
-            joined = " ".join(bare[first:k])
-            if k - first > 1 and not keys.isdisjoint(words_of(joined)):
-                yield first, at[first], at[k] - 1, joined
+        if k < len(lines) and not model.keys.isdisjoint(lines[k]):
+            yield k, k, lines[k]
+        if k == len(lines) or not lines[k]:
+            if k - first > 1:
+                joined = [w for x in lines[first:k] for w in x]
+                if not model.parts.isdisjoint(zip(*(joined[i:] for i in range(5)), strict=False)):
+                    yield first, k - 1, joined
             first = k + 1
 
 
@@ -240,22 +239,24 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     floor = float(1 - model.probabilities([])[-1])
 
     def judge(text: str) -> tuple:
-        lines = text.split("\n")
-        if model.keys.isdisjoint(words_of(text)):
+        parts = text.split("\n")
+        lines = list(map(words_of, parts))
+        if all(map(model.keys.isdisjoint, lines)):
             return None, floor, None, None, None, 0.0, False, [], len(lines)
+        at = [0, *accumulate(len(x) + 1 for x in parts)]
         best, named = (False, False, floor), set()
         found = None, floor, None, None, None, 0.0, False
-        for k, start, end, paragraph in paragraphs(lines, model.keys):
-            family, p, similarity, confirmed = model.judge(paragraph)
+        for first, last, words in paragraphs(lines, model):
+            family, p, similarity, confirmed = model.judge(words)
             if family == UNKNOWN:
                 family, confirmed = None, False
-            elif "\n" in text[start:end] and not confirmed:
+            elif last > first and not confirmed:
                 continue
             else:
                 named.add(family)
             rank = confirmed, family is not None, p
             if rank > best:
-                where = (None, None, None) if family is None else (k, start, end)
+                where = (None, None, None) if family is None else (first, at[first], at[last + 1] - 1)
                 best, found = rank, (family, p, *where, similarity, confirmed)
         return *found, sorted(named), len(lines)
 
