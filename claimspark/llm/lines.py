@@ -37,7 +37,7 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> D
     return docs.filter(F.col(text_col).isNotNull()).select(*_keys(id_col, text_col), F.col(id_col).alias("_id"), F.xxhash64(site_col).alias("_site"), hashed.alias("_lines"))
 
 
-def boilerplate(rows: DataFrame, min_sites: int, lg_k: int = 12, margin: float = 4.0) -> DataFrame:
+def boilerplate(rows: DataFrame, min_sites: int, lg_k: int = 12, margin: float = 4.0, send_near: int = 500_000) -> DataFrame:
     """(a, b, keeper): the line hashes on at least ``min_sites`` sites, with the least id that has them. rows: id, site and line of each occurrence."""
     sketched = rows.groupBy("a", "b").agg(F.hll_sketch_agg("_site", F.lit(lg_k)).alias("sketch"), F.count("*").alias("n"), F.min("_id").alias("keeper"))
     spread = sketched.filter(F.col("n") >= min_sites).select("a", "b", "keeper", F.hll_sketch_estimate("sketch").alias("sites"))
@@ -45,7 +45,10 @@ def boilerplate(rows: DataFrame, min_sites: int, lg_k: int = 12, margin: float =
     low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
     spread = cut(spread.filter(F.col("sites") >= low))
     near = spread.filter(F.col("sites") <= high)
-    exact = rows.join(near.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "_site").distinct().groupBy("a", "b").count().filter(F.col("count") >= min_sites)
+    sites, wanted = rows.select("a", "b", "_site"), near.select("a", "b")
+    # few lines go to the rows; many meet what is left of these, a row for each line and site
+    of_near = sites.join(F.broadcast(wanted), ["a", "b"], "left_semi").distinct() if near.count() <= send_near else sites.distinct().join(wanted, ["a", "b"], "left_semi")
+    exact = of_near.groupBy("a", "b").count().filter(F.col("count") >= min_sites)
     return spread.filter(F.col("sites") > high).select("a", "b", "keeper").union(near.join(exact.select("a", "b"), ["a", "b"]).select("a", "b", "keeper"))
 
 
