@@ -52,12 +52,7 @@ def boilerplate(rows: DataFrame, min_sites: int, lg_k: int = 12, margin: float =
     return spread.filter(F.col("sites") > high).select("a", "b", "keeper").union(near.join(exact.select("a", "b"), ["a", "b"]).select("a", "b", "keeper"))
 
 
-def _keeps(line: Column, id_: Column) -> Column:
-    """What tells one document's right to keep one boilerplate line."""
-    return F.xxhash64(F.xxhash64(F.trim(line)), id_)
-
-
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, send_lines: int = 2000) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, send_lines: int = 20_000) -> DataFrame:
     """docs with boilerplate lines taken out of ``text_col``, and the columns ``n_lines`` and ``n_removed`` with their numbers added."""
     inside = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     id_, text = F.col(f"doc.`{id_col}`"), F.col(f"doc.`{text_col}`")
@@ -68,10 +63,12 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines = F.split(text, "\n")
     few = found.select("a", F.xxhash64("a", "keeper").alias("keeps")).limit(send_lines + 1).collect()
     if len(few) <= send_lines:
-        gone, kept = [r["a"] for r in few], [r["keeps"] for r in few]
-        bad = lambda line: (F.trim(line) != "") & F.xxhash64(F.trim(line)).isin(gone) & ~_keeps(line, id_).isin(kept)
-        left = F.filter(lines, lambda line: ~bad(line))
-        marked = inside.select("doc", lines.alias("lines"), (left if few else lines).alias("left"))
+        # as text, for thousands of values are slow to build one by one; ``line`` is the lambda's, ``i`` the document's id
+        gone, kept = (", ".join(str(r[c]) for r in few) for c in ("a", "keeps"))
+        bad = f"trim(line) <> '' and xxhash64(trim(line)) in ({gone}) and xxhash64(xxhash64(trim(line)), i) not in ({kept})"
+        named = inside.select("doc", id_.alias("i"), lines.alias("lines"))
+        left = F.expr(f"filter(lines, line -> not ({bad}))") if few else F.col("lines")
+        marked = named.select("doc", "lines", left.alias("left"))
     else:
         hits = rows.join(found, ["a", "b"]).filter(~F.col("_id").eqNullSafe(F.col("keeper")))
         places = hits.groupBy("key", "key2").agg(F.collect_set("_at").alias("places"))
