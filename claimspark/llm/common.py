@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from math import ceil
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,10 +70,38 @@ def utf8_rows(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, root) for every node of the undirected edges (u, v), both of one ordered type; root is the component's least node.
+def least_of_component(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n positions the least one that the links (i, j) reach."""
+    label = np.arange(n)
+    while True:
+        low, new = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
-    Alternates large-star and small-star rounds (Kiveris et al., 2014); each round is two shuffles with map-side minima, so a
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components: within each partition, every node to the least node that it reaches there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [[batch.column(c).to_numpy() for c in "uv"] for batch in batches]
+        if ends:
+            u, v = (np.concatenate(x) for x in zip(*ends, strict=True))
+            nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            least = least_of_component(len(nodes), at[: len(u)], at[len(u) :])
+            far = np.flatnonzero(least != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[least[far]])], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 40, part_rows: int = 200_000) -> DataFrame:
+    """(node, root) for every node of the undirected edges (u, v), both longs; root is the component's least node.
+
+    Tasks contract ``part_rows`` edges each; if that is more than one task, what is left alternates large-star and small-star rounds (Kiveris et al., 2014); each round is two shuffles with map-side minima, so a
     hub costs a group no more than one row a task, and the joins back are sort-merge joins that Spark splits when skewed.
     Nodes without edges don't appear; an empty input gives an empty result; repeated edges and loops are harmless.
     """
@@ -81,7 +111,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         return row["n"], row["h"]
 
     at = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    before = mark(at)
+    parts = ceil(at.count() / part_rows)
+    at = cut(_contracted(at.coalesce(max(1, parts))))
+    before = mark(at) if parts > 1 else (0, None)
     for _ in range(max_rounds):
         if not before[0]:
             break

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import connected_components, cut, utf8_rows
+from claimspark.llm.common import connected_components, cut, least_of_component, utf8_rows
 
 SEED = 42
 _CHUNK = 1 << 20
@@ -165,18 +165,6 @@ def near_pairs(group: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.nda
     return order[a[linked]], order[b[linked]]
 
 
-def _least_of_component(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        low, new = np.minimum(label[i], label[j]), label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def hamming_links(values: DataFrame, distance: int = 2, node_limit: int = 4096, chunk: int = 65536) -> DataFrame:
     """Edges (u, v) between the distinct longs ``fp`` that join all within ``distance`` bits of each other.
 
@@ -217,7 +205,7 @@ def hamming_links(values: DataFrame, distance: int = 2, node_limit: int = 4096,
                 fp, group = rows[many, 2], group[many]
                 order = np.argsort(fp, kind="stable")  # so that the least position of a component is its least fingerprint
                 fp, group = fp[order], group[order]
-                root = _least_of_component(len(fp), *near_pairs(group, fp.view(np.uint64), distance))
+                root = least_of_component(len(fp), *near_pairs(group, fp.view(np.uint64), distance))
                 far = root != np.arange(len(fp))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[far]), pa.array(fp[root[far]])], names=["u", "v"])
 
@@ -325,9 +313,13 @@ def verified(docs: DataFrame, text_col: str, sets: DataFrame, pairs: DataFrame,
     return both.filter(common * (1 + similarity) >= similarity * (F.size("found_a") + F.size("found_b")) - 1e-9).select("a", "b")
 
 
-def similar_components(docs: DataFrame, text_col: str, marked: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+def similar_components(docs: DataFrame, text_col: str, marked: DataFrame, links: DataFrame, similarity: float, send_rows: int = 1_000_000) -> DataFrame:
     """connected_components of ``links`` and of all fingerprints whose texts have sets of shingles alike by ``similarity``."""
-    sets = cut(marked.groupBy("key").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("first").alias("first"), F.min("bits").alias("bits")))
+    # one row of each set: only the other rows' numbers are shuffled, and sent where they are at most send_rows
+    numbered = marked.withColumn("row", F.monotonically_increasing_id())
+    least = numbered.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+    extra = cut(numbered.select("key", "row").join(least, "key").filter("row <> least").select("row"))
+    sets = numbered.join(F.broadcast(extra) if extra.count() <= send_rows else extra, "row", "left_anti").drop("row")
     own = sets.select("key", "fp")
     same = marked.select("key", F.col("fp").alias("u")).distinct().join(own, "key").filter("u <> fp").select("u", F.col("fp").alias("v"))
     end = lambda c, name: own.select(F.col("key").alias(c), F.col("fp").alias(name))
@@ -366,8 +358,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """docs with one document of each component, that with the least id; all columns stay. Rows whose id is null stay only in a component of such rows."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_keep_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep_id"]), "left_semi")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", send_rows: int = 1_000_000, **options: float) -> DataFrame:
+    """docs (which have no column _gone_id) with one document of each component, that with the least id; all columns stay. Rows whose id is null stay only in a component of such rows. No text is moved while at most ``send_rows`` ids go."""
+    found = cut(near_duplicates(docs, id_col, text_col, **options).select("id", F.col("id").eqNullSafe(F.col("component_id")).alias("first")))
+    gone = cut(found.groupBy("id").agg(F.max("first").alias("first")).filter("not first").select(F.col("id").alias("_gone_id")))
+    gone = F.broadcast(gone) if gone.count() <= send_rows else gone
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left_anti")

@@ -68,8 +68,9 @@ def test_links_in_dense_and_random_groups(spark, limit):
 
 def test_components_of_chains_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (300, 301), (300, 301)]
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 300: 300, 301: 300}
+    for size in (200_000, 7):
+        got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long"), part_rows=size).collect()}
+        assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 300: 300, 301: 300}
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
