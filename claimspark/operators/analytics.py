@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimspark.functions.scalars import age_years
+from claimspark.plans.views import cut
 from claimspark.plans.windows import global_rank
 
 BANDS = ("0.0–0.1", "0.1–0.2", "0.2–0.3", "0.3–0.4", "0.4–0.5", "0.5–0.6", "0.6–0.7", "0.7–0.8", "0.8–0.9", "0.9–1.0")
@@ -174,7 +176,8 @@ def calibration_analysis(claims: DataFrame) -> DataFrame:
 
 
 def nlp_feature_impact(claims: DataFrame) -> DataFrame:
-    ranked = global_rank(claims, "documents_medical_necessity", "claim_id", ntiles=4, prefix="necessity_").withColumnRenamed("necessity_ntile", "necessity_quartile")
+    needed = ["claim_id", "documents_medical_necessity", "mentions_lack_of_pre_auth", "predicted_denial_score", "adjudication_outcome"]
+    ranked = global_rank(cut(claims.select(*needed)), "documents_medical_necessity", "claim_id", ntiles=4, prefix="necessity_").withColumnRenamed("necessity_ntile", "necessity_quartile")
     return _by(ranked.filter(known()), "necessity_quartile", "mentions_lack_of_pre_auth", total=F.count("*"), denied=denied(), denial_rate=ratio(denied(), F.count("*")), avg_necessity_score=mean("documents_medical_necessity"), avg_risk_score=mean("predicted_denial_score")).orderBy("necessity_quartile", "mentions_lack_of_pre_auth")
 
 
@@ -213,7 +216,8 @@ def provider_performance(claims: DataFrame, top_n: int = 20) -> DataFrame:
 
 
 def high_risk_claims(claims: DataFrame, threshold: float = 0.70, limit: int = 100) -> DataFrame:
-    columns = ["claim_id", "submission_date", "payer_name", "provider_specialty", "provider_state", "claim_type", "admission_type", "comorbidity_risk_score", "length_of_stay", "charge_amount", F.col("predicted_denial_score").alias("denial_score"), "documents_medical_necessity", "mentions_lack_of_pre_auth", "score_quality_flag", "adjudication_outcome"]
+    age = age_years(F.col("date_of_birth"), F.col("submission_date")).alias("patient_age")
+    columns = ["claim_id", "submission_date", "payer_name", "provider_specialty", "provider_state", "claim_type", "admission_type", age, "comorbidity_risk_score", "length_of_stay", "charge_amount", F.col("predicted_denial_score").alias("denial_score"), "documents_medical_necessity", "mentions_lack_of_pre_auth", "score_quality_flag", "adjudication_outcome"]
     rows = claims.filter((F.col("predicted_denial_score") >= threshold) & is_outcome("pending"))
     return rows.orderBy(F.col("predicted_denial_score").desc(), "claim_id").limit(limit).select(*columns)
 
@@ -257,7 +261,8 @@ def high_risk_decile(claims: DataFrame, outstanding_only: bool = False, limit: i
     risk = rows.groupBy("payer_name").agg(money("revenue_at_risk").alias("payer_total_risk")).withColumnRenamed("payer_name", "_payer")
     columns = ["claim_id", "submission_date", "payer_name", "provider_specialty", "principal_icd10", "charge_amount", "predicted_denial_score", "revenue_at_risk", "mentions_lack_of_pre_auth", "documents_medical_necessity", "denial_reason"]
     # each rank from two columns only, so that their plans stand side by side and don't grow into each other
-    rank = lambda value, **how: global_rank(rows.select("claim_id", value), value, "claim_id", **how)
+    narrow = cut(rows.select("claim_id", "predicted_denial_score", "charge_amount"))
+    rank = lambda value, **how: global_rank(narrow.select("claim_id", value), value, "claim_id", **how)
     top = rank("predicted_denial_score", descending=True, ntiles=10).filter("ntile = 1").select("claim_id", F.col("ntile").alias("score_decile"))
     score = rank("predicted_denial_score").select("claim_id", F.col("percent_rank").alias("score_pctrank"))
     charge = rank("charge_amount").select("claim_id", F.col("percent_rank").alias("charge_pctrank"))
@@ -355,7 +360,8 @@ def preset_score_calibration(claims: DataFrame) -> DataFrame:
 
 
 def preset_high_risk(claims: DataFrame, limit: int = 50) -> DataFrame:
-    rows = global_rank(claims.select("claim_id", "payer_name", "provider_specialty", "charge_amount", "predicted_denial_score"), "predicted_denial_score", "claim_id")
+    rows = cut(claims.select("claim_id", "payer_name", "provider_specialty", "charge_amount", "predicted_denial_score"))
+    rows = global_rank(rows, "predicted_denial_score", "claim_id")
     rows = global_rank(rows, "predicted_denial_score", "claim_id", descending=True, ntiles=10, prefix="down_").filter("down_ntile = 1")
     return rows.withColumnsRenamed({"percent_rank": "pct_rank", "down_ntile": "risk_decile"}).drop("down_percent_rank").orderBy(F.col("predicted_denial_score").desc(), "claim_id").limit(limit)
 

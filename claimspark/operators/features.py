@@ -10,6 +10,7 @@ from claimspark.functions.reference import PROCEDURES
 from claimspark.plans.joins import any_interval, asof, keyed_upsert, longest_prefix
 from claimspark.plans.windows import leave_one_out, trailing_rate
 
+# The names of the features.
 INS = ("ins_type_medicare", "ins_type_medicaid", "ins_type_commercial", "ins_type_tricare", "ins_type_champva", "ins_type_other")
 TYP = ("claim_type_professional", "claim_type_institutional")
 ADM = ("adm_type_emergency", "adm_type_elective", "adm_type_urgent", "adm_type_trauma")
@@ -70,6 +71,11 @@ def bed_size(rows: DataFrame, facility: DataFrame) -> DataFrame:
     return rows.join(own, F.col("provider_npi") == F.col("_npi"), "left").crossJoin(F.broadcast(mean)).withColumn("facility_bed_size", F.coalesce("_bed", "_mean")).drop("_npi", "_bed", "_mean")
 
 
+def provider_facility(claims: DataFrame, taxonomy: DataFrame, facility: DataFrame) -> DataFrame:
+    """(claim_id, provider_specialty_code, facility_bed_size) of each claim's provider."""
+    return bed_size(specialty(claims.select("claim_id", "provider_npi"), taxonomy), facility).select("claim_id", "provider_specialty_code", "facility_bed_size")
+
+
 def provider(claims: DataFrame) -> DataFrame:
     """Trailing 90-day features by provider, on each claim's own date. The claim's own outcome counts, but for the encoding."""
     name = "provider_historical_denial_rate"
@@ -81,18 +87,20 @@ def days_since_payment(claims: DataFrame, era: DataFrame) -> DataFrame:
     """claims with ``days_since_last_payment``: from the payer's last paid day on or before the claim; 0 if paid only later; -1 if never."""
     paid = era.filter("status = 'paid'").select("payer_name", "payment_date").distinct()
     ever = paid.groupBy(F.col("payer_name").alias("_payer")).agg(F.min("payment_date").alias("_first"))
-    rows = asof(claims, paid, ["payer_name"], "submission_date", "payment_date", F.col("payment_date"), "_paid", strict=False)
-    rows = rows.join(ever, F.col("payer_name") == F.col("_payer"), "left")
+    # a payer's days, not its claims, meet in one window
+    seen = asof(claims.select("payer_name", "submission_date").distinct(), paid, ["payer_name"], "submission_date", "payment_date", F.col("payment_date"), "_paid", strict=False)
+    seen = seen.join(ever, F.col("payer_name") == F.col("_payer"), "left")
     days = F.when(F.col("_paid").isNotNull(), F.datediff("submission_date", "_paid")).when(F.col("_first").isNotNull(), 0).otherwise(-1)
-    return rows.withColumn("days_since_last_payment", days).drop("_paid", "_payer", "_first")
+    seen = seen.select(F.col("payer_name").alias("_payer"), F.col("submission_date").alias("_day"), days.alias("days_since_last_payment"))
+    return claims.join(seen, F.col("payer_name").eqNullSafe(F.col("_payer")) & F.col("submission_date").eqNullSafe(F.col("_day")), "left").drop("_payer", "_day")
 
 
 def payer(claims: DataFrame, era: DataFrame, contracts: DataFrame) -> DataFrame:
     """era: payer_name, payment_date, status; contracts: payer_name, start, end (null: open), stop_loss."""
-    typed = claims.select("claim_id", "payer_name", "submission_date", "adjudication_outcome", F.coalesce(F.lower("claim_type"), F.lit("")).alias("type"))
+    typed = claims.select("claim_id", "payer_name", "submission_date", F.lower("adjudication_outcome").alias("adjudication_outcome"), F.coalesce(F.lower("claim_type"), F.lit("")).alias("type"))
     rows = trailing_rate(typed, ["payer_name"], 50, 0.5, "payer_historical_denial_rate")
     rows = trailing_rate(rows, ["payer_name", "type"], 50, 0.5, "payer_historical_denial_rate_by_type")
-    rows = any_interval(days_since_payment(rows, era), contracts, "payer_name", "submission_date", "stop_loss", "payer_contract_stop_loss", "claim_id")
+    rows = any_interval(days_since_payment(rows, era), contracts, "payer_name", "submission_date", "stop_loss", "payer_contract_stop_loss")
     return rows.select("claim_id", "payer_historical_denial_rate", "payer_historical_denial_rate_by_type", "days_since_last_payment", "payer_contract_stop_loss")
 
 
@@ -127,11 +135,21 @@ def quality_flag(columns: tuple[str, ...] = NUMERIC) -> Column:
 
 
 def impute(df: DataFrame, columns: tuple[str, ...] = NUMERIC) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in columns if c in df.columns})
+    """df with nulls of ``columns`` as 0, and null arrays of any column as empty ones."""
+    empty = {f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) for f in df.schema if f.dataType.typeName() == "array"}
+    return df.withColumns(empty | {c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in columns if c in df.columns})
+
 
+def feature_table(claims: DataFrame, era: DataFrame, contracts: DataFrame, *groups: DataFrame) -> DataFrame:
+    """One wide row a claim of the claims view: all groups, joined by claim_id. What the view has ready is taken over.
 
-def feature_table(claims: DataFrame, era: DataFrame, contracts: DataFrame) -> DataFrame:
-    """One wide row a claim of the claims view: all groups, joined by claim_id. What the view has ready is taken over."""
+    ``groups`` are more frames with a row a claim, as clinical() and provider_facility() give them; where they have a column
+    that the view has ready, theirs is taken. With both, the table has all of NUMERIC.
+    """
     ready = claims.select("claim_id", "submission_date", "claim_status", "adjudication_outcome", "length_of_stay", "comorbidity_risk_score", "documents_medical_necessity", "mentions_lack_of_pre_auth")
+    ready = ready.drop(*(c for g in groups for c in g.columns if c != "claim_id"))
     out = ready.join(claim_level(claims), "claim_id").join(provider(claims).drop("provider_npi"), "claim_id")
-    return out.join(payer(claims, era, contracts), "claim_id")
+    out = out.join(payer(claims, era, contracts), "claim_id")
+    for group in groups:
+        out = out.join(group, "claim_id")
+    return out

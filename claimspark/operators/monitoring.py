@@ -46,9 +46,10 @@ def auc_roc(scored: DataFrame, score: str = "score", label: str = "label") -> Da
 
 
 def average_precision(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """The step sum of precision over the gains in recall."""
+    """The step sum of precision over the gains in recall; 0 with one class only."""
     precision = F.col("pos_up").cast("double") / (F.col("pos_up") + F.col("neg_up"))
-    return _curve(scored, score, label).agg(F.coalesce(F.sum(F.col("pos") * precision) / F.nullif(F.sum("pos"), F.lit(0)), F.lit(0.0)).alias("auc_pr"))
+    area = F.when(F.sum("neg") > 0, F.sum(F.col("pos") * precision) / F.nullif(F.sum("pos"), F.lit(0)))
+    return _curve(scored, score, label).agg(F.coalesce(area, F.lit(0.0)).alias("auc_pr"))
 
 
 def ece(scored: DataFrame, score: str = "score", label: str = "label", bins: int = 10) -> DataFrame:

@@ -18,7 +18,7 @@ DIMENSION = 768
 
 def prepare_notes(notes: DataFrame, key: str, order: list[str], text: str = "text", most: int = TOKENS) -> DataFrame:
     """(key, text): the notes of a key in order, blank ones left out, cut to ``most`` tokens joined by one space."""
-    rows = notes.filter(F.trim(F.coalesce(text, F.lit(""))) != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("_n"))
+    rows = notes.filter(F.col(text).rlike(r"\S")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("_n"))
     whole = F.concat_ws(" ", F.transform("_n", lambda n: n[text]))
     tokens = F.filter(F.split(whole, r"\s+"), lambda t: t != "")
     return rows.select(key, F.concat_ws(" ", F.slice(tokens, 1, most)).alias(text))

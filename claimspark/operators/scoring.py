@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,12 +53,12 @@ def score(claims: DataFrame, model: object, features: tuple[str, ...] = NUMERIC)
     if model is None:
         raise PipelineBlockedError("no production model")
     rows = impute(claims.withColumn("score_quality_flag", quality_flag(features)), features).drop("predicted_denial_score", "score_error")
-    sent = claims.sparkSession.sparkContext.broadcast(model)
+    sent = claims.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # any callable, lambdas too
     schema = T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("score_error", T.StringType())])
     names = list(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = call_model(sent.value)
+        predict = call_model(cloudpickle.loads(sent.value))
         for batch in batches:
             x = batch[names].astype(float)
             try:
@@ -135,8 +136,9 @@ def read_rows(spark, path: str, schema: str) -> tuple[DataFrame, DataFrame]:  #
     from pyspark.sql import types
 
     fields = types.StructType.fromDDL(schema + ", _corrupt_record string")
-    rows = spark.read.schema(fields).option("mode", "PERMISSIVE").json(path).cache()
-    return rows.filter("_corrupt_record is null").drop("_corrupt_record"), rows.filter("_corrupt_record is not null").select("_corrupt_record")
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", fields, {"mode": "PERMISSIVE"}).alias("row"))
+    bad = F.col("row._corrupt_record").isNotNull()
+    return rows.filter(~bad).select("row.*").drop("_corrupt_record"), rows.filter(bad).select("row._corrupt_record")
 
 
 def write_by_day(df: DataFrame, path: str, date: str) -> None:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.scalars import gate_stage
 from claimspark.operators.features import impute
 from claimspark.operators.monitoring import auc_roc, average_precision, binary_metrics, ece
+from claimspark.plans.views import cut
 
 
 class InsufficientDataError(ValueError):
@@ -83,25 +84,30 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.drop("_features", "rawPrediction", "probability", "prediction")
 
 
-def search(train: DataFrame, validation: DataFrame, features: list[str], trials: int = 50, seed: int = 1, threads: int = 4, weight: float = 1.0) -> tuple[dict, float]:
-    """(parameters, precision) of the best of ``trials`` random settings; a trial that fails counts 0."""
+def search(train: DataFrame, validation: DataFrame, features: list[str], trials: int = 50, seed: int = 1, threads: int = 4, weight: float = 1.0, errors: list[tuple[dict, str]] | None = None) -> tuple[dict, float]:
+    """(parameters, precision) of the best of ``trials`` random settings. A trial that fails counts 0, and its setting and reason go to ``errors``; if all fail, the last reason is raised."""
+    failed = [] if errors is None else errors
     draw = random.Random(seed)
     settings = [{"maxDepth": draw.randint(3, 8), "maxIter": draw.randint(10, 60), "stepSize": round(10 ** draw.uniform(-2, -0.5), 4), "subsamplingRate": round(draw.uniform(0.6, 1.0), 2), "minInstancesPerNode": draw.randint(1, 20)} for _ in range(trials)]
 
     def run(params: dict) -> float:
         try:
             return binary_metrics(predict(fit(train, features, weight, **params), validation)).first()["precision"]
-        except Exception:
+        except Exception as e:
+            failed.append((params, f"{type(e).__name__}: {e}"))
             return 0.0
 
     with ThreadPoolExecutor(threads) as pool:
         found = list(pool.map(run, settings))
+    if trials and len(failed) >= trials:
+        raise RuntimeError(f"all {trials} trials failed; the last one: {failed[-1][1]}")
     best = max(range(trials), key=lambda i: (found[i], -i))
     return settings[best], found[best]
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
-    """One row: precision, recall, f1, auc_roc, auc_pr, ece."""
+    """One row: precision, recall, f1, auc_roc, auc_pr, ece. The scores are computed once."""
+    scored = cut(scored.select("score", "label"))
     out = binary_metrics(scored).crossJoin(F.broadcast(auc_roc(scored))).crossJoin(F.broadcast(average_precision(scored)))
     return out.crossJoin(F.broadcast(ece(scored)))
 

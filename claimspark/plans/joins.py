@@ -23,12 +23,12 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, rig
     return found.select("_row.*", F.when(usable, F.col(name)).alias(name))
 
 
-def any_interval(left: DataFrame, ranges: DataFrame, key: str, date: str, flag: str, name: str, id_col: str) -> DataFrame:
+def any_interval(left: DataFrame, ranges: DataFrame, key: str, date: str, flag: str, name: str) -> DataFrame:
     """left with ``name``: 1 if any range of the key that covers the date, ends included and open ends allowed, has its flag."""
     r = ranges.select(F.col(key).alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col(flag).alias("_flag"))
-    met = left.select(id_col, key, date).join(r, (F.col(key) == F.col("_key")) & (F.col("_start") <= F.col(date)) & (F.col("_end").isNull() | (F.col(date) <= F.col("_end"))))
-    hits = met.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("_flag").cast("int")).alias("_hit"))
-    return left.join(hits, F.col(id_col) == F.col("_id"), "left").withColumn(name, F.coalesce("_hit", F.lit(0))).drop("_id", "_hit")
+    met = left.select(key, date).distinct().join(r, (F.col(key) == F.col("_key")) & (F.col("_start") <= F.col(date)) & (F.col("_end").isNull() | (F.col(date) <= F.col("_end"))))
+    hits = met.groupBy(F.col(key).alias("_key"), F.col(date).alias("_at")).agg(F.max(F.col("_flag").cast("int")).alias("_hit"))
+    return left.join(hits, (F.col(key) == F.col("_key")) & (F.col(date) == F.col("_at")), "left").withColumn(name, F.coalesce("_hit", F.lit(0))).drop("_key", "_at", "_hit")
 
 
 def keyed_upsert(store: DataFrame, new: DataFrame, key: str, insert: bool = True) -> DataFrame:

@@ -50,7 +50,7 @@ COHORT = (
 )
 PAYERS = f"p AS (SELECT payer_name, COUNT(*) AS total_claims, {D} AS denied, {SCORE} AS avg_score, {RISK} AS revenue_at_risk, {CHARGE} AS avg_charge FROM claims GROUP BY 1)"
 SPECIALTIES = f"s AS (SELECT provider_specialty, COUNT(*) AS total_claims, {D} AS denied, {mean('comorbidity_risk_score')} AS avg_comorbidity, {mean('length_of_stay')} AS avg_los, {RISK} AS revenue_at_risk, {mean('documents_medical_necessity')} AS avg_necessity FROM claims GROUP BY 1)"
-WORKLIST = "claim_id, submission_date, payer_name, provider_specialty, provider_state, claim_type, admission_type, comorbidity_risk_score, length_of_stay, charge_amount, predicted_denial_score AS denial_score, documents_medical_necessity, mentions_lack_of_pre_auth, score_quality_flag, adjudication_outcome"
+WORKLIST = "claim_id, submission_date, payer_name, provider_specialty, provider_state, claim_type, admission_type, CAST(coalesce(year(submission_date) - year(date_of_birth) - CASE WHEN month(submission_date) * 100 + day(submission_date) < month(date_of_birth) * 100 + day(date_of_birth) THEN 1 ELSE 0 END, -1) AS INTEGER) AS patient_age, comorbidity_risk_score, length_of_stay, charge_amount, predicted_denial_score AS denial_score, documents_medical_necessity, mentions_lack_of_pre_auth, score_quality_flag, adjudication_outcome"
 
 #: name: (more common table expressions, the query)
 TEXTS: dict[str, tuple[list[str], str]] = {

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from claimspark.functions.scalars import PRIOR_AUTH
+from claimspark.operators.features import NUMERIC
 from claimspark.plans.oracle import LABEL, with_claims
 
 ERA = "era AS (SELECT c.claim_id, c.payer_name, CAST(l_shipdate AS DATE) AS payment_date, CASE WHEN l_returnflag = 'R' THEN 'denied' ELSE 'paid' END AS status FROM lineitem JOIN claims c ON c.claim_id = 'CLM-' || CAST(l_orderkey AS STRING))"
-ENC = "enc AS (SELECT o_custkey AS acc, o_orderkey AS encounter_id, CAST(o_orderdate AS DATE) AS encounter_date, o_orderpriority AS admitting_department FROM orders WHERE o_orderkey % 3 = 0)"
+ENC = "enc AS (SELECT o_custkey AS acc, o_orderkey AS encounter_id, CAST(o_orderdate AS DATE) AS encounter_date, o_orderpriority AS admitting_department FROM orders)"
 LINKED = "linked AS (SELECT c.claim_id, c.patient_account_number, c.submission_date, (SELECT arg_min(e.encounter_id, (-(e.encounter_date - DATE '1970-01-01')) * 1000000000 + e.encounter_id) FROM enc e WHERE e.acc = c.patient_account_number AND e.encounter_date < c.submission_date) AS encounter_id FROM claims c)"
 CONTRACTS = "k AS (SELECT * FROM (VALUES ('AUTOMOBILE', DATE '1992-01-01', DATE '1996-12-31', TRUE), ('AUTOMOBILE', DATE '1995-06-01', NULL, FALSE), ('BUILDING', DATE '1994-01-01', NULL, TRUE), ('FURNITURE', DATE '1992-01-01', DATE '1993-12-31', TRUE), ('FURNITURE', DATE '1993-06-01', DATE '1995-12-31', TRUE)) t(payer_name, a, b, stop_loss))"
 PREFIXES = "x AS (SELECT * FROM (VALUES ('BRAND#1', 1), ('BRAND#12', 2), ('BRAND#2', 1), ('BRAND#34', 3), ('BRAND#5', 6)) t(prefix, weight))"
@@ -43,7 +44,7 @@ def trailing(name: str, keys: list[str], source: str = "claims") -> str:
     )
 
 
-TYPED = "typed AS (SELECT claim_id, payer_name, submission_date, adjudication_outcome, coalesce(lower(claim_type), '') AS type FROM claims)"
+TYPED = "typed AS (SELECT claim_id, payer_name, submission_date, lower(adjudication_outcome) AS adjudication_outcome, coalesce(lower(claim_type), '') AS type FROM claims)"
 PROVIDER = (
     "SELECT c.claim_id, CASE WHEN p.k >= 30 THEN CAST(p.x AS DOUBLE) / p.k ELSE coalesce(pop.rate, 0.0) END AS provider_historical_denial_rate, "
     "CASE WHEN p.k > 30 THEN CAST(p.x - CASE WHEN adjudication_outcome = 'denied' THEN 1 ELSE 0 END AS DOUBLE) / (p.k - CASE WHEN adjudication_outcome IN ('denied','paid') THEN 1 ELSE 0 END) ELSE coalesce(pop.rate, 0.0) END AS billing_provider_id_encoded, "
@@ -82,7 +83,7 @@ SQL: dict[str, str] = {
     "provider_lookups": with_claims([], "SELECT claim_id, CASE provider_npi WHEN 'NPI-0' THEN 'T0' WHEN 'NPI-1' THEN 'T1' WHEN 'NPI-2' THEN 'T2' ELSE 'UNKNOWN' END AS provider_specialty_code, CASE WHEN provider_npi IN ('NPI-2', 'NPI-3') THEN 101 ELSE 100 END AS facility_bed_size FROM claims"),
     "filtered_claims": with_claims([], "SELECT claim_id, payer_name, predicted_denial_score FROM claims WHERE payer_name IN ('BUILDING', 'FURNITURE') AND claim_type = 'Professional' AND predicted_denial_score BETWEEN 0.2 AND 0.8 AND submission_date BETWEEN DATE '1994-01-01' AND DATE '1997-06-30'"),
     "missing_features": with_claims([], "SELECT claim_id, CASE WHEN date_of_birth IS NULL OR provider_npi IS NULL OR denial_reason IS NULL THEN 'degraded' END AS score_quality FROM claims"),
-    "prepared_notes": "WITH n AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS t FROM conversations WHERE trim(coalesce(text, '')) <> '' GROUP BY 1), w AS (SELECT conv_id, array_to_string(([x FOR x IN regexp_split_to_array(t, '\\s+') IF x <> ''])[1:10000], ' ') AS t FROM n) SELECT conv_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM w",
+    "prepared_notes": "WITH n AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS t FROM conversations WHERE regexp_matches(coalesce(text, ''), '\\S') GROUP BY 1), w AS (SELECT conv_id, array_to_string(([x FOR x IN regexp_split_to_array(t, '\\s+') IF x <> ''])[1:10000], ' ') AS t FROM n) SELECT conv_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM w",
     "phrase_flags": "SELECT doc_id, CAST(coalesce(regexp_matches(text, '(?i)licensed\\s+under|released\\s+under\\s+the|all\\s+rights'), FALSE) AS INTEGER) AS flag FROM documents",
     "necessity_scores": "SELECT vec_id, round_even(greatest(least(list_sum([CAST(abs(x) AS DOUBLE) FOR x IN embedding]) / len(embedding), 1), 0), 4) AS score FROM embeddings",
     "training_window": with_claims([LABELLED], "SELECT claim_id, submission_date, label FROM lab WHERE submission_date BETWEEN DATE '1998-03-01' - 90 AND DATE '1998-03-01'"),
@@ -105,8 +106,7 @@ SQL: dict[str, str] = {
     "failure_streaks": "WITH r AS (SELECT o_custkey AS model, o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'Failed' WHEN 'P' THEN 'Archived' ELSE 'Staging' END AS stage FROM orders), s AS (SELECT a.*, (SELECT COUNT(*) FROM r b WHERE b.model = a.model AND b.run_id <= a.run_id AND b.stage = 'Failed' AND b.run_id > coalesce((SELECT max(c.run_id) FROM r c WHERE c.model = a.model AND c.run_id <= a.run_id AND c.stage = 'Staging'), -1)) AS streak FROM r a) SELECT *, stage = 'Failed' AND streak >= 3 AS escalate FROM s",
 }
 
-READY = "SELECT claim_id, submission_date, claim_status, adjudication_outcome, length_of_stay, comorbidity_risk_score, documents_medical_necessity, mentions_lack_of_pre_auth FROM claims"
-SQL["feature_table"] = f"SELECT * FROM ({with_claims([], READY)}) a" + "".join(f" JOIN ({SQL[k]}) {k} USING (claim_id)" for k in ("claim_level_features", "provider_features", "payer_features"))
+READY = "SELECT claim_id, submission_date, claim_status, adjudication_outcome, documents_medical_necessity, mentions_lack_of_pre_auth FROM claims"
 
 LINES = "lines AS (SELECT 'CLM-' || CAST(l_orderkey AS STRING) AS claim_id, l_partkey % 40 AS i, upper(p_brand) AS code, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN part ON p_partkey = l_partkey)"
 SQL["clinical_features"] = with_claims(
@@ -119,6 +119,14 @@ SQL["clinical_features"] = with_claims(
     "SELECT cat.claim_id, coalesce(k, 0) AS principal_dx_ccs_category, CAST(coalesce(per.n, 0) AS INTEGER) AS secondary_dx_count, CAST(CASE WHEN per.d IS NULL THEN -1 ELSE greatest(per.d - submission_date, 0) END AS INTEGER) AS length_of_stay, "
     "coalesce(com.w, 0) AS comorbidity_risk_score, vec.v AS procedure_vector, CASE WHEN k IN (2, 4, 6, 8) AND substring(vec.v, k + 1, 2) = '00' THEN 1 ELSE 0 END AS diagnosis_procedure_mismatch FROM cat JOIN vec USING (claim_id) LEFT JOIN per USING (claim_id) LEFT JOIN com USING (claim_id)",
 )
+GROUPS = ("claim_level_features", "provider_features", "payer_features", "clinical_features", "provider_lookups")
+SQL["feature_table"] = f"SELECT * FROM ({with_claims([], READY)}) a" + "".join(f" JOIN ({SQL[k]}) {k} USING (claim_id)" for k in GROUPS)
+STEPS = " + ".join(f"coalesce(CAST({c} AS DOUBLE), 0) * CAST({i / 4096!r} AS DOUBLE)" for i, c in enumerate(NUMERIC))
+MISSING = " OR ".join(f"{c} IS NULL" for c in NUMERIC)
+SQL["scored_claims"] = (
+    f"SELECT claim_id, round(greatest(least({STEPS}, 1), 0), 6) AS predicted_denial_score, CASE WHEN {MISSING} THEN 'degraded' END AS score_quality_flag, "
+    f"CAST(NULL AS STRING) AS score_error FROM ({SQL['feature_table']}) t"
+)
 SQL["leave_last_out_rates"] = with_claims(
     [f"w AS (SELECT *, CASE WHEN adjudication_outcome = 'denied' THEN 1 ELSE 0 END AS x FROM claims WHERE submission_date BETWEEN DATE '1995-06-30' - 90 AND DATE '1995-06-30' AND {KNOWN})", "o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY provider_npi ORDER BY submission_date DESC, claim_id DESC) AS nth, COUNT(*) OVER (PARTITION BY provider_npi) AS n FROM w)"],
     "SELECT provider_npi, CASE WHEN max(n) > 3 THEN CAST(SUM(x) FILTER (nth > 1) AS DOUBLE) / (max(n) - 1) ELSE (SELECT AVG(x) FROM w) END AS rate FROM o GROUP BY 1",

@@ -70,10 +70,19 @@ def register_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that spark.checkpoint.dir names; a temporary one where that is unset (tests, one machine)."""
+    """Checkpoints go to the folder that spark.checkpoint.dir names; a temporary one where that is unset and all runs in one process (tests)."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        known = spark.conf.get("spark.checkpoint.dir", None)
+        if not known and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(known or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once to the checkpoint folder, for plans that would read it several times."""
+    shared_checkpoints(df.sparkSession)
+    return df.checkpoint()
 
 
 def run_sql(spark: SparkSession, sql: str, claims: DataFrame) -> DataFrame:

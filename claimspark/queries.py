@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ def era(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders as their encounters, of every third order key."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    """A customer's orders as their encounters."""
+    orders = table(spark, sf_dir, "orders")
     return orders.select(F.col("o_custkey").alias("patient_account_number"), F.col("o_orderkey").alias("encounter_id"), F.col("o_orderdate").cast("date").alias("encounter_date"), F.col("o_orderpriority").alias("admitting_department"))
 
 
@@ -120,10 +121,9 @@ def prefix_matches(spark, sf_dir):
 
 
 def provider_lookups(spark, sf_dir):
-    npi = claims_view(spark, sf_dir).select("claim_id", "provider_npi")
     taxonomy = spark.range(10).select(F.concat(F.lit("NPI-"), F.col("id").cast("string")).alias("npi"), F.when(F.col("id") < 3, F.concat(F.lit("T"), F.col("id").cast("string"))).when(F.col("id") == 3, F.lit("  ")).alias("code"))
     facility = spark.range(4).select(F.concat(F.lit("NPI-"), F.col("id").cast("string")).alias("npi"), (F.lit(100) + (F.col("id") / 2).cast("int")).alias("bed_size"))
-    return features.bed_size(features.specialty(npi, taxonomy), facility).select("claim_id", "provider_specialty_code", "facility_bed_size")
+    return features.provider_facility(claims_view(spark, sf_dir), taxonomy, facility)
 
 
 def filtered_claims(spark, sf_dir):
@@ -201,7 +201,15 @@ def failure_streaks(spark, sf_dir):
 
 
 def feature_table(spark, sf_dir):
-    return features.feature_table(claims_view(spark, sf_dir), era(spark, sf_dir), contracts(spark))
+    """All 37 numeric features, the specialty and the procedure vector."""
+    return features.feature_table(claims_view(spark, sf_dir), era(spark, sf_dir), contracts(spark), clinical_features(spark, sf_dir), provider_lookups(spark, sf_dir))
+
+
+def scored_claims(spark, sf_dir):
+    """The whole table through the scorer, with a model that is a function of the 37 features: each counts its place in 4,096ths."""
+    steps = np.arange(len(features.NUMERIC)) / 4096
+    scored = scoring.score(feature_table(spark, sf_dir), lambda x: x @ steps)
+    return scored.select("claim_id", F.round("predicted_denial_score", 6).alias("predicted_denial_score"), "score_quality_flag", "score_error")
 
 
 def clinical_features(spark, sf_dir):
@@ -262,7 +270,7 @@ def training_run(spark, sf_dir):
 
 
 MORE = (
-    clinical_features, leave_last_out_rates, imputed_features, claim_risk, note_flags, gate_decision, metric_comparison, run_health, training_run,
+    clinical_features, scored_claims, leave_last_out_rates, imputed_features, claim_risk, note_flags, gate_decision, metric_comparison, run_health, training_run,
     claim_level_features, provider_features, payer_features, unknown_payers, anchored_provider_rates, encounter_link, encounter_attach, outcome_link, score_writeback, score_run_stats, feature_upsert, deleted_rows,
     procedure_vectors, comorbidity_scores, prefix_matches, provider_lookups, filtered_claims, missing_features, prepared_notes, phrase_flags, necessity_scores, training_window, temporal_split, temporal_split3,
     split_statistics, class_weights, model_metrics, monitoring_record, precision_history, retention_check, failure_streaks, feature_table,

@@ -7,10 +7,13 @@ the subscriber loop of the claim, service dates to the line that they stand in.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.scalars import code5, npi_ok, pad4, sex, trim0, x12_amount, x12_date, x12_units
+from claimspark.plans.views import cut
 
 REQUIRED = ("provider_npi", "payer_id", "patient_account_number", "principal_icd10_code")
 ENVELOPE = ("ISA", "GS", "ST", "SE", "GE", "IEA")
@@ -99,7 +102,7 @@ def assemble_claims(segments: DataFrame) -> DataFrame:
         F.max("prov").alias("prov"), F.max("sub").alias("sub"), _first(seg == "CLM", _e(1), "patient_account_number"), _first(seg == "CLM", x12_amount(_e(2)), "charge_amount"), _first(seg == "CLM", facility, "facility_code"),
         date("291").alias("statement_period_start"), date("292").alias("statement_period_end"), date("435").alias("admission_date"), date("096").alias("discharge_date"),
     )
-    codes = mine.filter(seg == "HI").select("file_name", "clm", "pos", F.posexplode(F.slice("e", 2, 64)).alias("i", "c")).withColumn("c", F.split("c", ":"))
+    codes = mine.filter(seg == "HI").select("file_name", "clm", "pos", F.posexplode(F.slice("e", F.lit(2), F.size("e"))).alias("i", "c")).withColumn("c", F.split("c", ":"))
     codes = codes.select("file_name", "clm", "pos", "i", F.trim(F.get("c", F.lit(0))).alias("q"), F.trim(F.get("c", F.lit(1))).alias("code"))
     diagnoses = codes.groupBy("file_name", "clm").agg(
         _first(F.col("q").isin("ABK", "BK"), F.col("code"), "principal_icd10_code"),
@@ -130,19 +133,27 @@ def split_required(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ingest_edi(spark: SparkSession, path: str, out: str, ingestion_date: str, glob: str = "*") -> dict[str, str]:
-    """Reads all files below path and writes raw, parsed, quarantine and rejects below out, one partition a date."""
-    return ingest_files(read_edi(spark, path, glob), out, ingestion_date)
+    """Reads all files below path and writes raw, parsed, quarantine and rejects below out. Once more the same day, it replaces what it wrote."""
+    return ingest_files(read_edi(spark, path, glob), out, ingestion_date, hashlib.md5(f"{path}|{glob}".encode()).hexdigest()[:12])
 
 
-def ingest_files(files: DataFrame, out: str, ingestion_date: str) -> dict[str, str]:
-    checked = validate_envelope(files)
-    tag = {"retention_years": F.lit(7), "retention_policy": F.lit("HIPAA"), "ingestion_ts": F.current_timestamp(), "ingestion_date": F.lit(ingestion_date).cast("date")}
+def ingest_files(files: DataFrame, out: str, ingestion_date: str, batch: str) -> dict[str, str]:
+    """The four sinks, partitioned by date and batch; a batch that is tried again replaces its own partitions and no others."""
+    dated = {"ingestion_date": F.lit(ingestion_date).cast("date"), "batch": F.lit(f"b{batch}")}
+    tag = {"retention_years": F.lit(7), "retention_policy": F.lit("HIPAA"), "ingestion_ts": F.current_timestamp(), **dated}
     paths = {k: f"{out}/{k}" for k in ("raw", "parsed", "quarantine", "rejects")}
-    dated = {"ingestion_date": F.lit(ingestion_date).cast("date")}
-    checked.select("file_name", "content").withColumns(tag).write.mode("append").partitionBy("ingestion_date").parquet(paths["raw"])
-    checked.filter("not is_valid").select("file_name", "content", "segment_ref", "description").withColumns(dated).write.mode("append").partitionBy("ingestion_date").parquet(paths["quarantine"])
-    good, missing = split_required(assemble_claims(explode_segments(checked.filter("is_valid"))))
-    good.withColumns(dated).write.mode("append").partitionBy("ingestion_date").parquet(paths["parsed"])
-    bad = checked.filter("not is_valid").select("file_name", F.lit("INVALID_ENVELOPE").alias("error_type"), "segment_ref", F.lit(None).cast("string").alias("field_name"), F.lit(None).cast("string").alias("claim_segment_ref"))
-    bad.unionByName(missing).withColumns({"failure_timestamp": F.current_timestamp(), **dated}).write.mode("append").partitionBy("ingestion_date").json(paths["rejects"])
+
+    def write(df: DataFrame, kind: str, form: str = "parquet") -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*dated).format(form).save(paths[kind])
+
+    checked = validate_envelope(files)
+    write(checked.select("file_name", "content").withColumns(tag), "raw")
+    invalid = checked.filter("not is_valid")
+    write(invalid.select("file_name", "content", "segment_ref", "description").withColumns(dated), "quarantine")
+    # parsed once, for the claims and for their rejects
+    good, missing = split_required(cut(assemble_claims(explode_segments(checked.filter("is_valid")))))
+    write(good.withColumns(dated), "parsed")
+    none = F.lit(None).cast("string")
+    bad = invalid.select("file_name", F.lit("INVALID_ENVELOPE").alias("error_type"), "segment_ref", none.alias("field_name"), none.alias("claim_segment_ref"))
+    write(bad.unionByName(missing).withColumns({"failure_timestamp": F.current_timestamp(), **dated}), "rejects", "json")
     return paths

@@ -15,9 +15,9 @@ def stream_edi(spark: SparkSession, landing: str, out: str, checkpoint: str) ->
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(landing)
     rows = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.decode("content", "ISO-8859-1").alias("content"))
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         today = df.sparkSession.sql("select cast(current_date() as string)").first()[0]
-        ingest_files(df, out, today)
+        ingest_files(df, out, today, str(number))
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

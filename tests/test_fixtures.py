@@ -11,7 +11,7 @@ from claimspark import queries
 from claimspark.functions import reference
 from claimspark.functions import scalars as S
 from claimspark.operators import features, monitoring, notes, scoring, training
-from claimspark.plans import windows
+from claimspark.plans import views, windows
 from claimspark.plans.joins import asof, keyed_upsert
 from claimspark.sources import edi, ehr
 from claimspark.streaming import incremental
@@ -123,6 +123,11 @@ def test_metrics_and_training(spark):
     assert training.evaluate(training.predict(model, split.filter("split = 'test'"))).first()["auc_roc"] == 1.0
     assert training.permutation_importance(model, split, ["x"]).first()["importance"] > 0.2
     assert training.search(split, split, ["x"], trials=1)[1] == 1.0
+    assert training.evaluate(rows.filter("label = 1")).first()["auc_pr"] == 0.0 and training.evaluate(rows.filter("label = 0")).first()["auc_pr"] == 0.0
+    errors = []
+    with pytest.raises(RuntimeError, match="all 2 trials failed"):
+        training.search(split, split, ["absent"], trials=2, errors=errors)
+    assert len(errors) == 2 and "maxDepth" in errors[0][0]
 
 
 def test_training_run(spark, sf):
@@ -158,7 +163,7 @@ def test_scoring_and_versions(spark):
 
 
 def test_notes(spark):
-    rows = [("1", 2, "second note"), ("1", 1, "  first\n\nprior auth "), ("1", 3, None), ("2", 1, "boom"), ("3", 1, " ")]
+    rows = [("1", 2, "second note"), ("1", 1, "  first\n\nprior auth "), ("1", 3, None), ("2", 1, "boom"), ("3", 1, " "), ("3", 2, "\n\t"), ("4", 1, "\n")]
     df = spark.createDataFrame(rows, "claim_id string, note_datetime int, text string")
     assert {r["claim_id"]: r["text"] for r in notes.prepare_notes(df, "claim_id", ["note_datetime"], most=3).collect()} == {"1": "first prior auth", "2": "boom"}
 
@@ -184,6 +189,41 @@ def claim_file(*, npi="1234567890", payer="PAY1", principal="ABK:I10"):
     return ISA + f"GS*HC~ST*837~HL*1**20*1~NM1*85*2*CLINIC*****XX*{npi}~N3*1 MAIN~N4*TOWN*NY*10001~{loops}SE*1~GE*1~IEA*1~"
 
 
+def test_all_diagnoses_of_a_long_segment_are_read(spark):
+    text = claim_file().replace("*ABF:E119*ABF:I500", "".join(f"*ABF:E{i:03d}" for i in range(90)))
+    files = spark.createDataFrame([("long", text)], "file_name string, content string")
+    rows = edi.assemble_claims(edi.explode_segments(edi.validate_envelope(files).filter("is_valid"))).collect()
+    assert rows and all(r["secondary_icd10_codes"] == [f"E{i:03d}" for i in range(90)] for r in rows)
+
+
+def test_rows_that_cannot_be_read_and_days_replaced(spark, tmp_path):
+    (tmp_path / "rows.json").write_text('{"claim_id": "1", "a": 2}\n{"claim_id": \n\n{"claim_id": "3"}\n')
+    good, bad = scoring.read_rows(spark, str(tmp_path / "rows.json"), "claim_id string, a int")
+    assert sorted(map(tuple, good.collect())) == [("1", 2), ("3", None)] and [r[0] for r in bad.collect()] == ['{"claim_id": ']
+    days = lambda *rows: spark.createDataFrame([(D(2024, 1, d), n) for d, n in rows], "day date, n int")
+    out = str(tmp_path / "days")
+    scoring.write_by_day(days((1, 1), (2, 2)), out, "day")
+    scoring.write_by_day(days((2, 5), (2, 6)), out, "day")
+    assert sorted((r["n"], str(r["day"])) for r in spark.read.parquet(out).collect()) == [(1, "2024-01-01"), (5, "2024-01-02"), (6, "2024-01-02")]
+    assert scoring.get_row(good, "3").count() == 1 and scoring.get_row(good, "9").count() == 0
+
+
+def test_ad_hoc_sql_and_imputed_arrays(spark, sf):
+    claims = views.register_views(spark, sf)
+    assert spark.sql("select count(*) from claims").first()[0] == views.run_sql(spark, "select * from {claims}", claims).count() > 0
+    row = features.impute(spark.createDataFrame([(None, None)], "patient_age int, v array<int>")).first()
+    assert (row["patient_age"], row["v"]) == (0, [])
+
+
+def test_payer_outcomes_in_any_case(spark):
+    rows = [(str(i), "p", "professional", D(2024, 1, 1), "DENIED" if i % 2 else "Paid") for i in range(60)]
+    claims = spark.createDataFrame(rows, "claim_id string, payer_name string, claim_type string, submission_date date, adjudication_outcome string")
+    era = spark.createDataFrame([("p", D(2023, 12, 30), "paid")], "payer_name string, payment_date date, status string")
+    contracts = spark.createDataFrame([("p", D(2023, 1, 1), None, True)], "payer_name string, start date, end date, stop_loss boolean")
+    got = {tuple(r)[1:] for r in features.payer(claims, era, contracts).collect()}
+    assert got == {(0.5, 0.5, 2, 1)}
+
+
 def test_claim_files(spark, tmp_path):
     assert len(ISA) == 106
     files = {"good": claim_file(), "nopayer": claim_file(payer=""), "cut": ISA[:50], "empty": "  ", "noiea": claim_file().replace("IEA*1~", ""), "nogs": claim_file().replace("GS*HC~", ""), "other": "hello", "latin": claim_file().replace("DOE", "DO\xcb")}
@@ -191,6 +231,9 @@ def test_claim_files(spark, tmp_path):
     for name, text in files.items():
         (tmp_path / "in" / name).write_bytes(text.encode("latin-1"))
     paths = edi.ingest_edi(spark, str(tmp_path / "in"), str(tmp_path / "out"), "2024-01-01")
+    before = {k: spark.read.format("json" if k == "rejects" else "parquet").load(p).count() for k, p in paths.items()}
+    assert edi.ingest_edi(spark, str(tmp_path / "in"), str(tmp_path / "out"), "2024-01-01") == paths  # a retry doubles nothing
+    assert before == {k: spark.read.format("json" if k == "rejects" else "parquet").load(p).count() for k, p in paths.items()}
     bad = {r["file_name"]: r["segment_ref"] for r in spark.read.parquet(paths["quarantine"]).collect()}
     assert bad == {"cut": "ISA", "empty": "", "noiea": "IEA", "nogs": "GS", "other": "ISA"}
     rows = {r["patient_account_number"]: r for r in spark.read.parquet(paths["parsed"]).filter("file_name = 'good'").collect()}
