@@ -63,6 +63,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches cut to ``rows`` rows each, so that what is made of a batch's texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8_rows(column: pa.Array) -> Iterator[bytes]:
     """The values of a string or binary column as UTF-8 bytes, null as empty, without decoding."""
     column = column.cast(pa.large_binary())

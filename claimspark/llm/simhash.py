@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import connected_components, cut, least_of_component, utf8_rows
+from claimspark.llm.common import connected_components, cut, least_of_component, slices, utf8_rows
 
 SEED = 42
 _CHUNK = 1 << 20
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return found[np.lexsort((found, place))][: prefix_length(len(found), similarity)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(x, shingle) for x in utf8_rows(batch.column("text"))], np.uint64)
             columns = [batch.column("id"), pa.array(found.view(np.int64))]
             if wide:
@@ -275,7 +275,7 @@ def possible(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4096):
             n = {c: batch.column(f"n_{c}").to_numpy() for c in "ab"}
             bits = {c: np.frombuffer(b"".join(batch.column(f"bits_{c}").to_pylist()), np.uint64).reshape(batch.num_rows, _PLACES // 64) for c in "ab"}
             most = [n[c] - np.bitwise_count(bits[c] & ~bits[d]).sum(axis=1, dtype=np.int64) for c, d in ("ab", "ba")]
@@ -299,7 +299,7 @@ def verified(docs: DataFrame, text_col: str, sets: DataFrame, pairs: DataFrame,
         bitmap[r["at"]] = r["bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = np.mod(batch.column("text_key").to_numpy(), 64 * _BITMAP)
             few = batch.take(pa.array(np.flatnonzero((bitmap[at >> 6] >> (at & 63)) & 1)))
             found = pa.array([shingle_set(x) for x in utf8_rows(few.column("text"))], pa.list_(pa.int64()))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import saved, utf8_rows
+from claimspark.llm.common import saved, slices, utf8_rows
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xD6E8FEB86659FD93
@@ -169,7 +169,7 @@ def leaking_texts(texts: DataFrame, benchmark: DataFrame, item_id: str = "item_i
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [_stretches(token_hashes(x), sizes, bits) for x in utf8_rows(batch.column("text"))]
             some = np.flatnonzero([len(s) > 0 for s, _ in found])
             kept = batch.take(pa.array(some, pa.int64()))
@@ -188,7 +188,7 @@ def leaking_texts(texts: DataFrame, benchmark: DataFrame, item_id: str = "item_i
     schema = T.StructType([met.schema["text_key"], met.schema["text_key2"], met.schema["item"], T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.IntegerType())])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, share, tiles = [], [], []
             for k, size in enumerate(batch.column("size").to_pylist()):
                 pattern, tokens = (batch.column(c)[k].values.to_numpy().view(np.uint64) for c in ("pattern", "tokens"))
