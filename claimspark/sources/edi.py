@@ -44,16 +44,16 @@ def _parts() -> Column:
 def validate_envelope(files: DataFrame) -> DataFrame:
     """with_delimiters() and is_valid, segment_ref and description of the first rule that a file breaks."""
     rows = with_delimiters(files).withColumn("_s", _parts())
-    names = F.transform("_s", lambda s: F.get(F.split(s, _quoted("element")), F.lit(0)))
+    rows = rows.withColumn("_names", F.transform("_s", lambda s: F.call_function("substring_index", s, F.col("element"), F.lit(1))))
     broken = lambda test, ref, text: F.when(test, F.struct(F.lit(ref).alias("ref"), F.lit(text).alias("text")))
     first = F.coalesce(
         broken(F.trim(F.coalesce("content", F.lit(""))) == "", "", "empty file"),
         broken(F.substring("content", 1, 3) != "ISA", "ISA", "does not begin with ISA"),
         broken(F.length("content") < 106, "ISA", "ISA is cut short"),
         broken(F.size(F.split(F.get("_s", F.lit(0)), _quoted("element"))) != ISA_PARTS, "ISA", "ISA has the wrong number of elements"),
-        *(broken(~F.array_contains(names, n), n, f"{n} is missing") for n in ENVELOPE),
+        *(broken(~F.array_contains("_names", n), n, f"{n} is missing") for n in ENVELOPE),
     )
-    return rows.withColumn("_broken", first).withColumns({"is_valid": F.col("_broken").isNull(), "segment_ref": F.col("_broken.ref"), "description": F.col("_broken.text")}).drop("_s", "_broken")
+    return rows.withColumn("_broken", first).withColumns({"is_valid": F.col("_broken").isNull(), "segment_ref": F.col("_broken.ref"), "description": F.col("_broken.text")}).drop("_s", "_names", "_broken")
 
 
 def explode_segments(files: DataFrame) -> DataFrame:
@@ -86,6 +86,8 @@ def assemble_claims(segments: DataFrame) -> DataFrame:
     within = Window.partitionBy("file_name", "clm").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("line", F.sum(F.when(seg.isin("SV1", "SV2"), 1).otherwise(0)).over(within))
 
+    # numbered once, for the five groupings
+    rows = cut(rows)
     nm1 = lambda *q: (seg == "NM1") & _e(1).isin(*q)
     provider = rows.filter("prov > 0").groupBy("file_name", "prov").agg(
         _first(nm1("85"), _e(9), "provider_npi"), _first((seg == "N3") & (F.col("nm1") == "85"), _e(1), "billing_provider_street"),
@@ -146,7 +148,8 @@ def ingest_files(files: DataFrame, out: str, ingestion_date: str, batch: str) ->
     def write(df: DataFrame, kind: str, form: str = "parquet") -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*dated).format(form).save(paths[kind])
 
-    checked = validate_envelope(files)
+    # each file is checked once, for its three sinks and its claims
+    checked = cut(validate_envelope(files))
     write(checked.select("file_name", "content").withColumns(tag), "raw")
     invalid = checked.filter("not is_valid")
     write(invalid.select("file_name", "content", "segment_ref", "description").withColumns(dated), "quarantine")
