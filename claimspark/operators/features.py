@@ -120,6 +120,14 @@ def attach_encounters(linked: DataFrame, encounters: DataFrame) -> DataFrame:
     return linked.join(encounters, ["patient_account_number", "encounter_id"], "left")
 
 
+def attach_notes(linked: DataFrame, notes: DataFrame, order: tuple[str, ...] = ("note_datetime",), columns: tuple[str, ...] = ("note_type", "text")) -> DataFrame:
+    """linked claims with ``clinical_notes``, the notes of the matched encounter in order; an empty array where there are none."""
+    fields = list(dict.fromkeys((*order, *columns)))
+    per = notes.groupBy("encounter_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("clinical_notes"))
+    rows = linked.join(per, "encounter_id", "left")
+    return rows.withColumn("clinical_notes", F.coalesce("clinical_notes", F.array().cast(per.schema["clinical_notes"].dataType)))
+
+
 def link_outcomes(store: DataFrame, era: DataFrame) -> DataFrame:
     """store with outcome and its time from the last era row of each claim; unknown claims get a row. era: claim_id, adjudication_status, processed."""
     last = era.groupBy("claim_id").agg(F.max(F.struct("processed", "adjudication_status")).alias("x")).select("claim_id", F.col("x.adjudication_status").alias("adjudication_outcome"), F.col("x.processed").alias("adjudication_timestamp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.plans.views import cut, shared_checkpoints, table
+from claimspark.plans.views import cut, new_folder, table
 from claimspark.sources import edi
 
 HEAD = "SA*00*          *00*          *ZZ*CLAIMS         *ZZ*PAYER          *240101*1200*^*00501*"
@@ -64,9 +64,7 @@ def interchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sinks(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """The four sinks of all interchanges, below the shared folder."""
-    shared_checkpoints(spark)
-    out = f"{spark.sparkContext.getCheckpointDir()}/intake-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-    return edi.ingest_files(interchanges(spark, sf_dir), out, "2024-01-01", "tables")
+    return edi.ingest_files(interchanges(spark, sf_dir), new_folder(spark, "intake"), "2024-01-01", "tables")
 
 
 def envelope_checks(spark, sf_dir):

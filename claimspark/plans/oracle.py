@@ -75,10 +75,10 @@ TEXTS: dict[str, tuple[list[str], str]] = {
     "rolling_denial_trend": ([DAILY], f"SELECT dt AS day, total_claims, denied AS denied_claims, {ratio('denied', 'total_claims')} AS daily_denial_rate, AVG({ratio('denied', 'total_claims')}) OVER (ORDER BY dt ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS rolling_7d_denial_rate, {running('risk', 'ORDER BY dt ROWS BETWEEN 6 PRECEDING AND CURRENT ROW')} AS rolling_7d_revenue_risk, total_charges AS total_charge, risk AS revenue_at_risk FROM daily"),
     "payer_ranking": ([PAYERS], f"SELECT *, {integer('RANK() OVER (ORDER BY denied DESC)')} AS denial_rank, PERCENT_RANK() OVER (ORDER BY denied DESC) AS denial_pct_rank, {integer('DENSE_RANK() OVER (ORDER BY revenue_at_risk DESC)')} AS risk_rank, {integer('NTILE(4) OVER (ORDER BY denied DESC, payer_name)')} AS denial_quartile FROM p"),
     "monthly_cohort": ([COHORT], f"SELECT *, {ratio('claims - COALESCE(prev_month_claims, claims)', 'prev_month_claims')} AS mom_claims_change, {ratio('denials - COALESCE(prev_month_denials, denials)', 'prev_month_denials')} AS mom_denial_change FROM r"),
-    "high_risk_decile": ([f"s AS (SELECT *, PERCENT_RANK() OVER (ORDER BY predicted_denial_score) AS score_pctrank, PERCENT_RANK() OVER (ORDER BY charge_amount) AS charge_pctrank, {integer('NTILE(10) OVER (ORDER BY predicted_denial_score DESC, claim_id)')} AS score_decile, {running('revenue_at_risk', 'PARTITION BY payer_name')} AS payer_total_risk FROM claims)"], "SELECT claim_id, submission_date, payer_name, provider_specialty, principal_icd10, charge_amount, predicted_denial_score, score_decile, score_pctrank, charge_pctrank, revenue_at_risk, payer_total_risk, mentions_lack_of_pre_auth, documents_medical_necessity, denial_reason FROM s WHERE score_decile = 1 ORDER BY predicted_denial_score DESC, charge_amount DESC, claim_id LIMIT 200"),
+    "high_risk_decile": ([f"s AS (SELECT *, PERCENT_RANK() OVER (ORDER BY predicted_denial_score) AS score_pctrank, PERCENT_RANK() OVER (ORDER BY charge_amount) AS charge_pctrank, {integer('NTILE(10) OVER (ORDER BY predicted_denial_score DESC, claim_id)')} AS score_decile, {running('revenue_at_risk', 'PARTITION BY payer_name')} AS payer_total_risk FROM claims)"], "SELECT claim_id, submission_date, payer_name, provider_specialty, principal_icd10, diagnosis_description, charge_amount, predicted_denial_score, score_decile, score_pctrank, charge_pctrank, revenue_at_risk, payer_total_risk, mentions_lack_of_pre_auth, documents_medical_necessity, denial_reason FROM s WHERE score_decile = 1 ORDER BY predicted_denial_score DESC, charge_amount DESC, claim_id LIMIT 200"),
     "specialty_analysis": ([SPECIALTIES], f"SELECT *, {ratio('denied', 'total_claims')} AS denial_rate, {integer('RANK() OVER (ORDER BY denied DESC)')} AS denial_rank, {running('revenue_at_risk', 'ORDER BY revenue_at_risk DESC, provider_specialty NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS cumulative_revenue_risk FROM s"),
     "model_performance": ([f"p AS (SELECT {LABEL} AS classification, COUNT(*) AS count, {money('charge_amount')} AS total_charge, {RISK} AS revenue_at_risk FROM claims GROUP BY 1)"], "SELECT *, CAST(count AS DOUBLE) * 100 / SUM(count) OVER () AS pct_of_total FROM p"),
-    "icd10_hotspots": ([f"p AS (SELECT principal_icd10, COUNT(*) AS total, {D} AS denied, {SCORE} AS avg_score, {RISK} AS revenue_at_risk FROM claims GROUP BY 1)"], f"SELECT *, {ratio('denied', 'total')} AS denial_rate, {integer('RANK() OVER (ORDER BY denied DESC)')} AS denial_rank, revenue_at_risk * 100 / NULLIF({running('revenue_at_risk', '')}, 0) AS pct_total_risk FROM p"),
+    "icd10_hotspots": ([f"p AS (SELECT principal_icd10, diagnosis_description, COUNT(*) AS total, {D} AS denied, {SCORE} AS avg_score, {RISK} AS revenue_at_risk FROM claims GROUP BY 1, 2)"], f"SELECT *, {ratio('denied', 'total')} AS denial_rate, {integer('RANK() OVER (ORDER BY denied DESC)')} AS denial_rank, revenue_at_risk * 100 / NULLIF({running('revenue_at_risk', '')}, 0) AS pct_total_risk FROM p"),
     "score_bucket_distribution": ([], f"SELECT {BAND} AS score_bucket, COUNT(*) AS total, {D} AS actual_denied, {ratio(D, 'COUNT(*)')} AS actual_denial_rate FROM claims GROUP BY 1"),
     "provider_summary": ([f"p AS (SELECT provider_specialty, department, COUNT(*) AS claims, {D} AS denied, {CHARGE} AS avg_charge, {RISK} AS total_risk FROM claims GROUP BY 1, 2)"], f"SELECT *, {ratio('denied', 'claims')} AS denial_rate, FIRST_VALUE(provider_specialty) OVER (PARTITION BY department ORDER BY denied DESC, provider_specialty NULLS LAST) AS highest_risk_specialty_in_dept, {running('total_risk', 'PARTITION BY department')} AS dept_total_risk FROM p"),
     "preauth_impact": ([], f"SELECT mentions_lack_of_pre_auth, COUNT(*) AS total, {D} AS denied, {ratio(D, 'COUNT(*)')} AS denial_rate, {CHARGE} AS avg_charge, {RISK} AS revenue_at_risk FROM claims GROUP BY 1"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -17,7 +18,7 @@ WITH li AS (
 ), base AS (
   SELECT o.o_orderkey, o.o_custkey, CAST(o.o_orderdate AS DATE) AS submission_date,
     c.c_mktsegment AS payer_name, o.o_totalprice AS charge_amount, o.o_orderpriority, o.o_orderstatus,
-    COALESCE(li.n_ret, 0) AS n_ret, li.suppkey, p.p_type, p.p_brand, n.n_name, r.r_name,
+    COALESCE(li.n_ret, 0) AS n_ret, li.suppkey, p.p_type, p.p_brand, p.p_name, n.n_name, r.r_name,
     CAST((o.o_orderkey * 7919 + CASE o.o_orderstatus WHEN 'F' THEN 2500 ELSE 0 END) % 10000 AS DOUBLE)
       / CAST(10000 AS DOUBLE) AS score
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
@@ -31,7 +32,7 @@ SELECT 'CLM-' || CAST(o_orderkey AS STRING) AS claim_id, o_custkey AS patient_ac
   submission_date, payer_name,
   CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'Institutional' ELSE 'Professional' END AS claim_type,
   'NPI-' || CAST(suppkey % 10 AS STRING) AS provider_npi, p_type AS provider_specialty,
-  n_name AS provider_state, r_name AS department, p_brand AS principal_icd10,
+  n_name AS provider_state, r_name AS department, p_brand AS principal_icd10, p_name AS diagnosis_description,
   charge_amount, score AS predicted_denial_score,
   CASE o_orderstatus WHEN 'F' THEN 'denied' WHEN 'O' THEN 'paid' ELSE 'pending' END AS adjudication_outcome,
   CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS denial_reason,
@@ -79,6 +80,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(known or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the checkpoint folder, for plans that would read it several times."""
     shared_checkpoints(df.sparkSession)

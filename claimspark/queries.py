@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions import scalars as S
 from claimspark.operators import analytics, features, monitoring, notes, scoring, training
-from claimspark.plans import intake, windows
+from claimspark.plans import exchange, intake, windows
 from claimspark.plans.joins import keyed_upsert, longest_prefix
 from claimspark.plans.oracle import analytics_sql
 from claimspark.plans.oracle_features import SQL
@@ -282,8 +282,8 @@ def _over_claims(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _over_claims(f) for f in analytics.QUERIES} | {f.__name__: f for f in (*MORE, *intake.QUERIES)}
+    return {f.__name__: _over_claims(f) for f in analytics.QUERIES} | {f.__name__: f for f in (*MORE, *intake.QUERIES, *exchange.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return analytics_sql() | SQL | intake.SQL
+    return analytics_sql() | SQL | intake.SQL | exchange.SQL

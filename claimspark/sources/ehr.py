@@ -13,9 +13,12 @@ ERA = "transaction_date string, payer_id string, claims array<struct<claim_id: s
 NOTE_TYPES = ("discharge_summary", "progress_note", "operative_report")
 
 
-def read_fhir_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """(encounter_id, encounter_date, patient_account_number) of Encounter entries with an id and a readable start."""
-    each = spark.read.schema(BUNDLE).option("multiLine", True).json(path).select(F.explode("entry.resource").alias("r")).filter("r.resourceType = 'Encounter' and r.id is not null")
+def read_fhir_bundles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(encounter_id, encounter_date, patient_account_number) of Encounter entries with an id and a readable start.
+
+    ``multi_line``: a bundle a file; otherwise a bundle a line, so that large files are split.
+    """
+    each = spark.read.schema(BUNDLE).option("multiLine", multi_line).json(path).select(F.explode("entry.resource").alias("r")).filter("r.resourceType = 'Encounter' and r.id is not null")
     account = F.element_at(F.split("r.subject.reference", "/"), -1)
     rows = each.select(F.col("r.id").alias("encounter_id"), F.try_to_date(F.substring("r.period.start", 1, 10), "yyyy-MM-dd").alias("encounter_date"), account.alias("patient_account_number"))
     return rows.filter("encounter_date is not null")
@@ -26,9 +29,9 @@ def write_ehr(df: DataFrame, path: str) -> None:
     df.repartition("encounter_date").sortWithinPartitions("patient_account_number").write.mode("append").partitionBy("encounter_date").parquet(path)
 
 
-def read_era(spark: SparkSession, path: str) -> DataFrame:
+def read_era(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(payer_id, payment_date, claim_id, adjudication_status, paid_amount, denial_reason), a row for each claim of a remittance."""
-    rows = spark.read.schema(ERA).option("multiLine", True).json(path).select("payer_id", F.try_to_date(F.substring("transaction_date", 1, 10), "yyyy-MM-dd").alias("payment_date"), F.explode("claims").alias("c"))
+    rows = spark.read.schema(ERA).option("multiLine", multi_line).json(path).select("payer_id", F.try_to_date(F.substring("transaction_date", 1, 10), "yyyy-MM-dd").alias("payment_date"), F.explode("claims").alias("c"))
     return rows.select("payer_id", "payment_date", "c.*")
 
 

@@ -22,16 +22,24 @@ def stream_edi(spark: SparkSession, landing: str, out: str, checkpoint: str) ->
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_outcomes(spark: SparkSession, era: str, store: str, out: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
-    """Links remittances (claim_id, adjudication_status, processed) to the store; repeats within ``late`` are dropped.
+REMITTANCE = "claim_id string, adjudication_status string, processed timestamp"
 
-    Each batch writes a new version of the table below out, named by its number, from the version before it.
+
+def stream_outcomes(spark: SparkSession, era: str, out: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
+    """Collects remittances (claim_id, adjudication_status, processed) below out; repeats within ``late`` are dropped.
+
+    A batch writes its own rows in a folder named by its number, so the work grows with the batch and not with the store,
+    and a batch that is tried again replaces itself. linked_store() gives the store with them.
     """
-    rows = spark.readStream.schema("claim_id string, adjudication_status string, processed timestamp").json(era)
+    rows = spark.readStream.schema(REMITTANCE).json(era)
     fresh = rows.withWatermark("processed", late).dropDuplicatesWithinWatermark(["claim_id", "processed"])
 
     def batch(df: DataFrame, number: int) -> None:
-        before = store if number == 0 else f"{out}/version={number - 1}"
-        link_outcomes(df.sparkSession.read.parquet(before), df).write.mode("overwrite").parquet(f"{out}/version={number}")
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def linked_store(spark: SparkSession, store: str, out: str) -> DataFrame:
+    """The store with the outcomes that stream_outcomes() collected: of each claim the last one by its time, whichever batch it came in."""
+    return link_outcomes(spark.read.parquet(store), spark.read.schema(REMITTANCE).parquet(f"{out}/batch=*"))

@@ -260,9 +260,13 @@ def test_bundles_remittances_and_stream(spark, tmp_path):
     (tmp_path / "era").mkdir()
     line = json.dumps({"claim_id": "1", "adjudication_status": "denied", "processed": "2024-01-01T00:00:00Z"})
     (tmp_path / "era" / "x.json").write_text(f"{line}\n{line}\n" + line.replace('"1"', '"7"') + "\n")
-    incremental.stream_outcomes(spark, str(tmp_path / "era"), str(tmp_path / "store"), str(tmp_path / "o"), str(tmp_path / "cp")).awaitTermination(120)
-    last = sorted((tmp_path / "o").glob("version=*"), key=lambda p: int(p.name.split("=")[1]))[-1]
-    assert sorted((r["claim_id"], r["adjudication_outcome"]) for r in spark.read.parquet(str(last)).collect()) == [("1", "denied"), ("2", "paid"), ("7", "denied")]
+    run = lambda: incremental.stream_outcomes(spark, str(tmp_path / "era"), str(tmp_path / "o"), str(tmp_path / "cp")).awaitTermination(120)
+    linked = lambda: sorted((r["claim_id"], r["adjudication_outcome"]) for r in incremental.linked_store(spark, str(tmp_path / "store"), str(tmp_path / "o")).collect())
+    run()
+    assert linked() == [("1", "denied"), ("2", "paid"), ("7", "denied")]
+    (tmp_path / "era" / "y.json").write_text(line.replace("denied", "paid").replace("2024-01-01", "2024-01-03") + "\n")
+    run()
+    assert linked() == [("1", "paid"), ("2", "paid"), ("7", "denied")]
     assert ehr.LakeLayout("/lake/").path("raw", "2024-1-5") == "/lake/raw/year=2024/month=01/day=05"
     flagged = ehr.partial_ehr_flag(spark.createDataFrame(pd.DataFrame({"age": [1, 2], "sex": ["F", None]})))
     assert [r["partial_ehr_flag"] for r in flagged.collect()] == [None, "sex"]
