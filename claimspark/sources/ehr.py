@@ -25,8 +25,12 @@ def read_fhir_bundles(spark: SparkSession, path: str, multi_line: bool = True) -
 
 
 def write_ehr(df: DataFrame, path: str) -> None:
-    """Partitioned by date; the account is too fine a key for folders and stays a sorted column."""
-    df.repartition("encounter_date").sortWithinPartitions("patient_account_number").write.mode("append").partitionBy("encounter_date").parquet(path)
+    """Partitioned by date; the account is too fine a key for folders and stays a sorted column.
+
+    The number of partitions is given, as many small days would otherwise be gathered in one task, which writes a file for each.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, "encounter_date").sortWithinPartitions("patient_account_number").write.mode("append").partitionBy("encounter_date").parquet(path)
 
 
 def read_era(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
