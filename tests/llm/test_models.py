@@ -201,6 +201,24 @@ def test_stages_take_awkward_rows(spark, sf):
         stage(spark, empty(spark), sf).collect()
 
 
+def test_pipeline_takes_awkward_and_empty_tables(spark, sf, tmp_path):
+    for name, docs in (("awkward", awkward(spark)), ("empty", empty(spark))):
+        d = tmp_path / name
+        docs.write.parquet(str(d / "documents.parquet"))
+        for other in ("labels", "benchmark"):
+            table(spark, sf, other).write.parquet(str(d / f"{other}.parquet"))
+        rows = corpus_pipeline.run(spark, str(d)).collect()
+        assert (len(rows) > 0) == (name == "awkward") and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.collect()}
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+
+
+def test_quality_without_pairs_accepts_all(spark):
+    docs = awkward(spark)
+    for labels in ([], [(5, 1), (9, 1)], [(None, None)]):
+        model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        assert quality.keep_good(docs, model).count() == docs.count()
+
+
 def test_queries_take_awkward_and_empty_tables(spark, sf, tmp_path):
     for name, docs in (("awkward", awkward(spark)), ("empty", empty(spark))):
         d = tmp_path / name
