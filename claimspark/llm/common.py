@@ -40,11 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df written to the shared folder as Parquet, and read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/saved-{uuid4()}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.parquet(path)
 
 
@@ -59,6 +59,20 @@ def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
     return df.orderBy(place, key).limit(bound)
 
 
+def least_count(counted: DataFrame, most: int, least: int = 1) -> int:
+    """The smallest number, ``least`` or above, that at most ``most`` rows of counted reach in column n; to an eighth of a power of two above 4096."""
+    sizes = counted.select("n").filter(F.col("n") >= least)
+    # one row for each count below 4096, one for each eighth of a power of two above
+    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 8) / 8)) + 1)
+    rows = sizes.groupBy(level.cast("long").alias("level")).count().orderBy(F.desc("level")).collect()
+    total = 0
+    for r in rows:
+        total += r["count"]
+        if total > most:
+            return r["level"] + 1 if r["level"] < 4096 else int(2 ** (round(np.log2(r["level"]) * 8 + 1) / 8)) + 1
+    return least
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
 

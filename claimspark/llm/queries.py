@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import jpeg, licenses, lines, lm, mainhtml, mixing, quality, secret_scan, simhash, tiling, warc
+from claimspark.llm import crosstok, jpeg, licenses, lines, lm, mainhtml, mixing, quality, secret_scan, simhash, tiling, warc
 from claimspark.llm.common import cut, shared_dir, table
 
 
@@ -104,6 +104,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("source")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.alignment(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -111,7 +115,7 @@ def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_licenses, op2_quality, op3_simhash, op4_lm_score, op5_secrets, op6_media, op7_decontaminate, op8_line_dedup, op9_warc, op10_mix, op13_html)
+    ops = (op1_licenses, op2_quality, op3_simhash, op4_lm_score, op5_secrets, op6_media, op7_decontaminate, op8_line_dedup, op9_warc, op10_mix, op12_alignment, op13_html)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
