@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import crosstok, jpeg, licenses, lines, lm, mainhtml, mixing, quality, secret_scan, simhash, tiling, warc
+from claimspark.llm import crosstok, hardneg, jpeg, licenses, lines, lm, mainhtml, mixing, quality, secret_scan, simhash, tiling, warc
 from claimspark.llm.common import cut, shared_dir, table
 
 
@@ -104,6 +104,33 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("source")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = hardneg.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+    return out.drop("anchor", "positive")
+
+
+#: Every pair of anchor and row, by definition.
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY rank <= 10
+"""
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.alignment(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -115,9 +142,9 @@ def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_licenses, op2_quality, op3_simhash, op4_lm_score, op5_secrets, op6_media, op7_decontaminate, op8_line_dedup, op9_warc, op10_mix, op12_alignment, op13_html)
+    ops = (op1_licenses, op2_quality, op3_simhash, op4_lm_score, op5_secrets, op6_media, op7_decontaminate, op8_line_dedup, op9_warc, op10_mix, op11_hard_negatives, op12_alignment, op13_html)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op11_hard_negatives": OP11_SQL}
