@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import bounded_sample
+from claimspark.llm.common import bounded_sample, saved
 
 FEATURES = ("log_words", "log_lines", "word_length", "long_words", "distinct", "repeated", "upper", "digits", "symbols", "bars", "shouts", "line_repeats", "stops", "letters")
 SYMBOLS = "#$%&*~^@<>{}[]\\+="
@@ -71,7 +71,10 @@ def fit_pairs(better: np.ndarray, worse: np.ndarray, penalty: float = 1e-3, roun
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, allowed: Column, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``bound`` labelled documents, those first by a hash of the id, in that order."""
+    """Features and labels of at most ``bound`` rows, of labelled documents that are first by a hash of the id, in that order.
+
+    Where such documents are repeated, the rows themselves are sampled again by a hash, before any comes to the driver.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
     known = bounded_sample(known.filter(allowed), F.col(id_col), bound)
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -82,7 +85,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             found = pa.array([features(x) for x in batch.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("label"), found], names=["at", "label", "x"])
 
-    rows = chosen.mapInArrow(run, "at long, label int, x array<double>").toPandas().sort_values("at", kind="stable")
+    found = saved(chosen.mapInArrow(run, "at long, label int, x array<double>"))
+    rows = bounded_sample(found, F.struct("at", "label", "x"), bound).toPandas()
     rows["key"] = rows["x"].map(tuple)
     rows = rows.sort_values(["at", "label", "key"])
     return np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES)), rows["label"].to_numpy(int)
