@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import cut, saved, utf8_rows
+from claimspark.llm.common import cut, least_count, saved, utf8_rows
 from claimspark.llm.tiling import token_hashes_of
 
 START, OTHER, FIRST = 0, 1, 2  # ids: before the first token, a word outside the vocabulary, the vocabulary's first
@@ -99,20 +99,6 @@ def _counts(target: DataFrame, target_text: str, background: DataFrame, text_col
     return both.groupBy("key").agg(F.sum("n_t").alias("n_t"), F.sum("n_b").alias("n_b"))
 
 
-def _at_least(counted: DataFrame, most: int, least: int) -> int:
-    """The smallest number, ``least`` or above, that at most ``most`` rows of counted reach in n_t + n_b."""
-    sizes = counted.select((F.col("n_t") + F.col("n_b")).alias("n")).filter(F.col("n") >= least)
-    # one row for each count below 4096, one for each eighth of a power of two above
-    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 8) / 8)) + 1)
-    rows = sizes.groupBy(level.cast("long").alias("level")).count().orderBy(F.desc("level")).collect()
-    total = 0
-    for r in rows:
-        total += r["count"]
-        if total > most:
-            return r["level"] + 1 if r["level"] < 4096 else int(2 ** (round(np.log2(r["level"]) * 8 + 1) / 8)) + 1
-    return least
-
-
 @dataclass(frozen=True)
 class Models:
     """Both models over one vocabulary; arrays have a row for each id, or a column for target and background."""
@@ -135,13 +121,14 @@ class Models:
         return np.log1p(np.maximum(n - 1, 0) / np.maximum(seen, 1) / back)
 
 
-def models(target: DataFrame, background: DataFrame, target_text: str = "text", text_col: str = "text", min_count: int = 2, vocabulary: int = 1 << 16, hot_pairs: int = 1 << 19, add: float = 0.5) -> tuple[Models, DataFrame]:
+def models(target: DataFrame, background: DataFrame, target_text: str = "text", text_col: str = "text", min_count: int = 2, vocabulary: int = 1 << 20, hot_pairs: int = 1 << 19, add: float = 0.5) -> tuple[Models, DataFrame]:
     """The models, and (key, t, b): the gains of the pairs that aren't hot."""
     if vocabulary + FIRST >= 1 << _SHIFT:
         raise ValueError(f"vocabulary must be below {(1 << _SHIFT) - FIRST}")
+    both = F.col("n_t") + F.col("n_b")
     words = saved(_counts(target, target_text, background, text_col))
     total = np.array(words.agg(F.coalesce(F.sum("n_t"), F.lit(0)), F.coalesce(F.sum("n_b"), F.lit(0))).first(), float)
-    known = words.filter(F.col("n_t") + F.col("n_b") >= _at_least(words, vocabulary, min_count)).toArrow()
+    known = words.filter(both >= least_count(words.select(both.alias("n")), vocabulary, min_count)).toArrow()
     hashed = known["key"].to_numpy().view(np.uint64)
     order = np.argsort(hashed)
     hashed = hashed[order]
@@ -158,7 +145,7 @@ def models(target: DataFrame, background: DataFrame, target_text: str = "text",
         for batch in batches:
             key, *n = (batch.column(c).to_numpy() for c in ("key", "n_t", "n_b"))
             for i, x in enumerate((*n, n[0] > 0, n[1] > 0)):
-                after[:, i] += np.bincount(key >> _SHIFT, x, width).astype(np.int64)
+                np.add.at(after[:, i], key >> _SHIFT, x)
             many = pa.array(np.flatnonzero((n[0] > 1) | (n[1] > 1)))
             none = pa.nulls(len(many), pa.int64())
             yield pa.RecordBatch.from_arrays([none, *(batch.column(c).take(many) for c in ("key", "n_t", "n_b")), none, none], names=names)
@@ -180,12 +167,12 @@ def models(target: DataFrame, background: DataFrame, target_text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gain[:, 0].copy()), pa.array(gain[:, 1].copy())], names=["key", "t", "b"])
 
     many = pairs.filter("v is null").select("key", "n_t", "n_b")
-    least = _at_least(many, hot_pairs, 2)
-    hot = many.filter(F.col("n_t") + F.col("n_b") >= least).mapInArrow(gains, "key long, t double, b double").toArrow()
+    least = least_count(many.select(both.alias("n")), hot_pairs, 2)
+    hot = many.filter(both >= least).mapInArrow(gains, "key long, t double, b double").toArrow()
     order = np.argsort(hot["key"].to_numpy())
     table = np.stack([hot["t"].to_numpy(), hot["b"].to_numpy()], axis=1)[order]
     made_hot = Models(hashed, p, made.after, made.types, hot["key"].to_numpy()[order], table)
-    return made_hot, many.filter(F.col("n_t") + F.col("n_b") < least).mapInArrow(gains, "key long, t double, b double")
+    return made_hot, many.filter(both < least).mapInArrow(gains, "key long, t double, b double")
 
 
 def _spot(key: np.ndarray) -> np.ndarray:
