@@ -6,7 +6,8 @@ owners carry, or that is copied over many repositories, is an example; anything
 
 Base kinds: ``assign`` (a keyword, an assignment sign and a value of 8 or more characters), ``access`` (AKIA key ids of 16 or
 more) and ``hex`` (32 or more hex digits). Added kinds: ``pem`` (private key headers), ``token`` (prefixed service tokens)
-and ``jwt``. Spans of different kinds may overlap. Defined results: null text is empty and has no spans; repeated rows get
+and ``jwt``. A private key's value is its header with the body up to the end line, white space left out, though its span is
+the header alone. Spans of different kinds may overlap. Defined results: null text is empty and has no spans; repeated rows get
 one row each, and count once for a repository; null owners or repositories count as one owner or repository of their own;
 an empty table gives an empty result.
 """
@@ -32,6 +33,8 @@ ADDED = {
     "jwt": ("eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1),
 }
 KINDS = {**BASE, **ADDED}
+#: The header of a private key and, looked ahead to, the text up to the next five dashes.
+PEM_BODY = ADDED["pem"][0] + "(?=([^-]*+(?:-(?!----)[^-]*+)*+))"
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -39,6 +42,8 @@ def _spans(text: Column, kind: str) -> Column:
     pattern, group, least = KINDS[kind]
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+    if kind == "pem":
+        values = F.zip_with(hits, F.regexp_extract_all(text, F.lit(PEM_BODY), F.lit(1)), lambda h, body: F.concat(h, F.regexp_replace(body, r"\s+", "")))
     lengths = F.zip_with(F.transform(gaps, F.length), F.transform(hits, F.length), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
     laid = F.aggregate(lengths, zero, lambda acc, x: F.struct((acc["at"] + x["gap"] + F.coalesce(x["hit"], F.lit(0))).alias("at"), F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.coalesce(x["hit"], F.lit(0))).alias("end")))).alias("spans")))["spans"]
