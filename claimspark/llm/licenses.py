@@ -4,7 +4,7 @@ A multinomial logistic regression on sparse word n-grams (one to three words) te
 here on notices of each family, cut and thinned at random, and on paragraphs of the corpus and shuffled notices as the
 unknown class. Its probabilities are calibrated by one temperature, from the scores of notices (with all their variants)
 and of background paragraphs that models without them give. A prediction is confirmed when enough of a template's
-five-word shingles are in the paragraph.
+five-word shingles are in the paragraph; a template of fewer words is one shingle.
 
 Paragraphs are lines, and runs of lines between blank ones, marks of comments left out and lines joined: a wrapped notice
 is one paragraph. A run of several lines counts only where its template confirms it, for it also holds other words.
@@ -85,6 +85,29 @@ NOTICES = {
         "This work is dedicated to the public domain under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     ),
+    "ISC": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    ),
+    "Zlib": (
+        "Licensed under the zlib License.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    ),
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software',
+    ),
+    "EPL-2.0": (
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
     "Proprietary": (
         "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without prior written permission.",
@@ -103,7 +126,10 @@ def grams(words: list[str], most: int = 3) -> Iterator[str]:
             yield " ".join(words[i : i + n])
 
 
-def shingles(words: list[str], size: int = 5) -> set[tuple[str, ...]]:
+SHINGLE = 5
+
+
+def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
@@ -117,6 +143,7 @@ class Model:
     temperature: float
     templates: dict[str, tuple[tuple[str, frozenset], ...]]
     parts: frozenset[tuple[str, ...]]  # all shingles of templates
+    sizes: tuple[int, ...]  # the lengths of these
     accept: float
     similar: float
 
@@ -132,8 +159,8 @@ class Model:
         family = self.families[int(p.argmax())]
         if family == UNKNOWN or p.max() < self.accept:
             return UNKNOWN, float(1 - p[-1]), 0.0, False
-        mine = shingles(words)
-        best = max(len(mine & t) / len(t) for _, t in self.templates[family])
+        mine = {n: shingles(words, n) for n in self.sizes}
+        best = max(len(mine[len(next(iter(t)))] & t) / len(t) for _, t in self.templates[family])
         return family, float(p.max()), best, best >= self.similar
 
 
@@ -201,7 +228,9 @@ def train(background: list[str], notices: dict[str, tuple[str, ...]] = NOTICES,
 
     temperature = min(np.geomspace(0.25, 4, 33).tolist(), key=loss)
     templates = {f: tuple((t, frozenset(shingles(words_of(t)))) for t in texts) for f, texts in notices.items()}
-    return Model(families, index, frozenset(g.split(" ", 1)[0] for g in index), w.astype(float), b.astype(float), temperature, templates, frozenset(x for t in templates.values() for _, part in t for x in part), accept, similar)
+    parts = frozenset(x for t in templates.values() for _, part in t for x in part)
+    keys, sizes = frozenset(g.split(" ", 1)[0] for g in index), tuple(sorted({len(x) for x in parts}))
+    return Model(families, index, keys, w.astype(float), b.astype(float), temperature, templates, parts, sizes, accept, similar)
 
 
 def background_paragraphs(docs: DataFrame, text_col: str = "text", bound: int = 3000) -> list[str]:
@@ -223,7 +252,7 @@ def paragraphs(lines: list[list[str]], model: Model) -> Iterator[tuple[int, int,
         if k == len(lines) or not lines[k]:
             if k - first > 1:
                 joined = [w for x in lines[first:k] for w in x]
-                if not model.parts.isdisjoint(zip(*(joined[i:] for i in range(5)), strict=False)):
+                if any(not model.parts.isdisjoint(zip(*(joined[i:] for i in range(n)), strict=False)) for n in model.sizes):
                     yield first, k - 1, joined
             first = k + 1
 
