@@ -79,8 +79,17 @@ def greedy_tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tupl
         used = np.concatenate(([0], np.cumsum(~free)))
         return np.flatnonzero(used[size:] == used[: len(used) - size]) if len(hashed) else np.empty(0, np.int64)
 
-    size = min(len(pattern), len(text))
-    while size >= least:
+    def meet(size: int) -> bool:
+        """Whether a run of this length is free and the same on both sides; if so, one of every smaller length is too."""
+        hash_p, hash_t = windows(pattern, size), windows(text, size)
+        return bool(np.isin(hash_t[open_runs(hash_t, free_t, size)], hash_p[open_runs(hash_p, free_p, size)]).any())
+
+    most = min(len(pattern), len(text))
+    while most >= least and meet(least):
+        size, past = least, most + 1  # the longest such run, by halving
+        while past - size > 1:
+            middle = (size + past) // 2
+            size, past = (middle, past) if meet(middle) else (size, middle)
         hash_p, hash_t = windows(pattern, size), windows(text, size)
         at_t = open_runs(hash_t, free_t, size)
         where: dict[int, list[int]] = {}
@@ -93,7 +102,7 @@ def greedy_tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tupl
                     free_p[p : p + size] = free_t[t : t + size] = False
                     tiles.append((p, t, size))
                     break
-        size = min(size - 1, max((b - a for a, b in _runs(free_p)), default=0))
+        most = size - 1
     return tiles
 
 
