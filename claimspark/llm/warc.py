@@ -9,7 +9,8 @@ then the chunked framing is decoded.
 Archives are plain records, one after the other, in gzip files of at most ``records_per_file`` records below a folder all
 executors share. A record's id is a hash of the page's id, address and payload, so rows that share an id and differ don't
 meet; the page's id stands in a field of its own. To find equal payloads only ids and digests are shuffled; the responses
-that others refer to are sent to the tasks up to ``send_rows``, and joined by digest beyond that.
+that others refer to are sent to the tasks up to ``send_rows``; beyond that, names are joined by digest, and pages to these
+by name, so that the bodies of a popular page don't meet.
 
 Defined results: null pages are empty payloads; payloads under ``least`` bytes are always responses; of equal payloads the
 least page id is the response, and every row with that id; a null id has no field and comes back null, as a revisit where
@@ -44,8 +45,12 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     first = rows.filter(F.length("payload") >= least).groupBy("digest").agg(answer, F.count("*").alias("n")).filter("n > 1 and first is not null")
     first = cut(first.select("digest", "first"))
     refers = F.when((F.length("payload") >= least) & ~F.col("id").eqNullSafe(F.col("first.id")), F.col("first.name"))
-    first = F.broadcast(first) if first.count() <= send_rows else first
-    return rows.join(first, "digest", "left").select("id", "name", "url", "payload", "digest", refers.alias("refers"))
+    if first.count() <= send_rows:
+        return rows.join(F.broadcast(first), "digest", "left").select("id", "name", "url", "payload", "digest", refers.alias("refers"))
+    # names meet by digest, and pages only by their own names
+    slim = rows.select("id", "name", "digest", F.substring("payload", 1, least).alias("payload")).join(first, "digest")
+    named = slim.select(F.col("name").alias("_name"), refers.alias("refers")).filter("refers is not null").distinct()
+    return rows.join(named, F.col("name") == F.col("_name"), "left").select("id", "name", "url", "payload", "digest", "refers")
 
 
 def chunked(payload: bytes, size: int) -> bytes:
