@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from claimspark.llm import licenses, lm, quality, queries
@@ -68,6 +69,25 @@ def test_a_wrapped_notice_is_confirmed(spark, mark):
     assert rows[2]["family"] is None and rows[3]["probability"] >= rows[4]["probability"]
 
 
+def test_short_templates_and_further_families_are_confirmed(spark):
+    texts = [
+        "Copyright 2020 Acme Inc. All rights reserved.", "(c) Acme. All rights reserved worldwide, always.", "some rights are reserved and all of the rights are not",
+        *(licenses.NOTICES[f][-1] for f in ("ISC", "Zlib", "BSL-1.0", "EPL-2.0", "Unlicense")), "// Copyright Acme\n// All rights\n// reserved.",
+    ]
+    rows = {r["id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licenses.train([PROSE, "some other words that are not about rights at all"] * 40)).collect()}
+    assert [(rows[i]["family"], rows[i]["confirmed"]) for i in (0, 1)] == [("Proprietary", True)] * 2 and not rows[2]["confirmed"]
+    assert [(rows[i]["family"], rows[i]["confirmed"]) for i in range(3, 8)] == [(f, True) for f in ("ISC", "Zlib", "BSL-1.0", "EPL-2.0", "Unlicense")]
+    assert rows[8]["family"] == "Proprietary" and rows[8]["confirmed"]
+
+
+def test_few_rows_train_however_often_they_are_repeated(spark):
+    docs = spark.createDataFrame([(i % 9, f"{PROSE} {i % 9}") for i in range(450)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    x, y = quality.training_rows(docs, labels, "doc_id", "text", "quality", F.lit(True), 6)
+    assert x.shape == (6, len(quality.FEATURES)) and len(y) == 6
+    assert quality.training_rows(docs, labels, "doc_id", "text", "quality", F.lit(True), 10_000)[0].shape[0] == 450
+
+
 def test_licences_equal_a_plain_reading_of_the_model(spark):
     """Features, probabilities and the choice of a paragraph, from the weights by their definition."""
     model = licenses.train([PROSE, "some other words that are not about rights at all"] * 40)

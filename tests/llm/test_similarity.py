@@ -222,6 +222,17 @@ def test_tiles_equal_brute_force():
         assert sum(n for _, _, n in got) == slow_tiles(p, t, 3)
 
 
+def test_tiles_of_a_long_shuffled_item_are_found_fast():
+    import time
+
+    rng = np.random.default_rng(4)
+    sentences = [rng.integers(1, 1 << 40, rng.integers(8, 60)).astype(np.uint64) for _ in range(150)]
+    whole, other = np.concatenate(sentences), np.concatenate([sentences[i] for i in rng.permutation(150)])
+    start = time.time()
+    tiles = tiling.greedy_tiles(whole, other, 5)
+    assert time.time() - start < 5 and sum(n for _, _, n in tiles) == len(whole) > 4_000
+
+
 def test_decontamination(spark, sf, tmp_path):
     items = table(spark, sf, "benchmark").collect()
     words = items[3]["text"].split()
