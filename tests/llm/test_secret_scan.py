@@ -51,7 +51,7 @@ def test_empty_table(spark, tmp_path):
 def test_private_keys_are_told_apart_by_their_bodies(spark):
     head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
     key = lambda c: f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC\n\n{c * 64}\n{c * 30}==\n{end}"
-    texts = [key(c) for c in "abcd"] + [f"see {key('e')} here"] * 3 + [key("e").replace("e" * 64 + "\n", "e" * 32 + "\n" + "e" * 32 + "\n"), head, f"{head} cut off {'x-' * 40_000}"]
+    texts = [key(c) for c in "ghij"] + [f"see {key('k')} here"] * 3 + [key("k").replace("k" * 64 + "\n", "k" * 32 + "\n" + "k" * 32 + "\n"), head, f"{head} cut off {'x-' * 40_000}"]
     docs = spark.createDataFrame([(i, t, "x", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     got = {r["id"]: r for r in secret_scan.scan(docs).collect()}
     assert all([(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "pem"] == [(4 if 4 <= i < 7 else 0, len(head) + (4 if 4 <= i < 7 else 0))] for i, r in got.items())

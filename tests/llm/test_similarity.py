@@ -167,7 +167,7 @@ def test_line_removal_equals_brute_force(spark, least, send):
         docs = docs.withColumn(name, F.lit(f"data of {name}"))
     out = lines.remove_boilerplate(docs, min_sites=least, send_lines=send)
     assert set(docs.columns) <= set(out.columns)
-    others = [c for c in docs.columns if c != "text"]
+    others = [f"`{c}`" for c in docs.columns if c != "text"]
     assert sorted(map(str, out.select(others).collect())) == sorted(map(str, docs.select(others).collect()))
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == slow_lines(docs.collect(), least)
     assert lines.remove_boilerplate(empty(spark)).collect() == []
