@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from claimspark.functions.scalars import to_pretty_json
 from claimspark.operators import analytics, features, scoring, training
 from claimspark.plans.oracle import TEXTS, with_claims
+from claimspark.plans.oracle_features import SQL as FEATURES
 from claimspark.plans.views import claims_view, new_folder, register_views, run_sql, table
 from claimspark.sources import ehr
-from claimspark.streaming.incremental import linked_store, stream_outcomes
+from claimspark.sources.store import ClaimStore
+from claimspark.streaming.incremental import fold_outcomes, linked_store, stream_outcomes
 
 
 def _write_lines(rows: DataFrame, path: str) -> str:
@@ -26,12 +28,15 @@ def _resource(kind: str, key: Column, start: Column, patient: Column) -> Column:
 
 
 def bundle_encounters(spark, sf_dir):
-    """A bundle for each order: an encounter and its patient. Some lack an id and some a date; read, then through the sink of encounters."""
+    """A bundle for each order: an encounter and its patient. Some lack an id and some a date; read, then through the sink of encounters in two batches, one of them tried again."""
     key, patient, out = F.col("o_orderkey"), F.col("o_custkey"), new_folder(spark, "bundles")
     start = F.when(key % 19 == 3, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     entries = F.array(_resource("Encounter", F.when(key % 17 != 5, key), start, patient), _resource("Patient", patient, start, patient))
     _write_lines(table(spark, sf_dir, "orders").select(F.lit("Bundle").alias("resourceType"), entries.alias("entry")), f"{out}/in")
-    ehr.write_ehr(ehr.read_fhir_bundles(spark, f"{out}/in", multi_line=False), f"{out}/encounters")
+    rows = ehr.read_fhir_bundles(spark, f"{out}/in", multi_line=False)
+    for half in (0, 1):
+        ehr.write_ehr(rows.filter(F.crc32("encounter_id") % 2 == half), f"{out}/encounters", str(half))
+    ehr.write_ehr(rows.filter(F.crc32("encounter_id") % 2 == 1), f"{out}/encounters", "1")  # tried again
     return spark.read.parquet(f"{out}/encounters").select("encounter_id", "encounter_date", "patient_account_number")
 
 
@@ -47,9 +52,13 @@ def remittance_lines(spark, sf_dir):
 
 
 def partial_records(spark, sf_dir):
-    """Claims as encounter records, with the names of what they lack."""
-    los = F.nullif("length_of_stay", F.lit(0)).alias("length_of_stay_days")
-    rows = claims_view(spark, sf_dir).select("claim_id", F.year("date_of_birth").alias("age"), F.col("gender").alias("sex"), F.col("department").alias("admitting_department"), los)
+    """Claims as encounter records that have no column for race, with the names of what they lack."""
+    fields = {
+        "age": F.year("date_of_birth"), "sex": F.col("gender"), "ethnicity": F.when(F.col("length_of_stay") % 3 != 0, "known"), "vitals": F.when(F.col("charge_amount") >= 100000, "taken"),
+        "lab_results": F.col("denial_reason"), "problem_list": F.col("principal_icd10"), "medications": F.col("admission_type"), "admitting_department": F.col("department"),
+        "admitting_physician_id": F.col("provider_npi"), "length_of_stay_days": F.nullif("length_of_stay", F.lit(0)),
+    }
+    rows = claims_view(spark, sf_dir).select("claim_id", *(c.alias(name) for name, c in fields.items()))
     return ehr.partial_ehr_flag(rows).select("claim_id", "partial_ehr_flag")
 
 
@@ -127,9 +136,11 @@ def exported_claims(spark, sf_dir):
 
 
 def lake_months(spark, sf_dir):
-    """Orders in the lake's raw layer, filed under the first day of their month."""
+    """Orders in the lake's raw layer, in two batches, filed under the first day of their month."""
     lake = ehr.LakeLayout(new_folder(spark, "lake"))
-    lake.write(table(spark, sf_dir, "orders").withColumn("ingestion_date", F.trunc("o_orderdate", "month")), "raw")
+    rows = table(spark, sf_dir, "orders").withColumn("ingestion_date", F.trunc("o_orderdate", "month"))
+    for batch in ("1", "2", "1"):  # the first is tried again
+        lake.write(rows.filter(F.col("o_orderkey") % 2 == int(batch) - 1), "raw", batch=batch)
     return spark.read.parquet(lake.path("raw")).groupBy("year", "month", "day").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("customers"))
 
 
@@ -151,21 +162,80 @@ def widened_window(spark, sf_dir):
     return training.select_window(claims_view(spark, sf_dir), "1998-03-01", 20, 60, 720).select("claim_id", "submission_date", "label")
 
 
+def _remittances(spark, sf_dir, out: str) -> list[str]:
+    """Three folders of remittances, each row twice: those of the last years first, and the oldest last."""
+    status = F.when(F.col("l_returnflag") == "R", "denied").otherwise("paid").alias("adjudication_status")
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("CLM-"), F.col("l_orderkey")).alias("claim_id"), status, F.col("l_shipdate").alias("processed"))
+    parts = ("processed >= '1997-01-01'", "processed >= '1994-01-01' and processed < '1997-01-01'", "processed < '1994-01-01'")
+    return [_write_lines(lines.unionAll(lines).filter(part), f"{out}/part{i}") for i, part in enumerate(parts)]
+
+
+def _streamed(spark, sf_dir, out: str, after) -> None:  # noqa: ANN001
+    """The remittances through the stream, folder by folder, and ``after`` each of them."""
+    for number, part in enumerate(_remittances(spark, sf_dir, out)):
+        spark.read.text(part).write.mode("append").text(f"{out}/era")
+        stream_outcomes(spark, f"{out}/era", f"{out}/changes", f"{out}/checkpoint", files_per_batch=3 + number).awaitTermination()
+        after()
+
+
+def _active(spark, sf_dir, *columns: str) -> DataFrame:
+    return claims_view(spark, sf_dir).filter("claim_status = 'Active'").select("claim_id", "payer_name", "adjudication_outcome", *columns)
+
+
 def streamed_outcomes(spark, sf_dir):
-    """Remittances, each sent twice, streamed into the store of active claims."""
+    """Remittances, each sent twice and the oldest last, streamed in many batches beside the store of active claims."""
     out = new_folder(spark, "outcomes")
-    claims_view(spark, sf_dir).filter("claim_status = 'Active'").select("claim_id", "payer_name", "adjudication_outcome").write.parquet(f"{out}/store")
-    status = F.when(F.col("l_returnflag") == "R", "denied").otherwise("paid")
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("CLM-"), F.col("l_orderkey")).alias("claim_id"), F.col("l_shipdate").alias("processed")).agg(F.max(status).alias("adjudication_status"))
-    _write_lines(lines.unionAll(lines), f"{out}/era")
-    stream_outcomes(spark, f"{out}/era", f"{out}/changes", f"{out}/checkpoint").awaitTermination()
+    _active(spark, sf_dir).write.parquet(f"{out}/store")
+    _streamed(spark, sf_dir, out, lambda: None)
     rows = linked_store(spark, f"{out}/store", f"{out}/changes")
     return rows.select("claim_id", "payer_name", "adjudication_outcome", F.to_date("adjudication_timestamp").alias("day"))
 
 
+def folded_outcomes(spark, sf_dir):
+    """The same remittances, merged into a stored table of the active claims after each part, once more than there is need."""
+    out = new_folder(spark, "folded")
+    store = ClaimStore.create(_active(spark, sf_dir, "claim_status"), f"{out}/table", buckets=8)
+    _streamed(spark, sf_dir, out, lambda: fold_outcomes(spark, store, f"{out}/changes"))
+    fold_outcomes(spark, store, f"{out}/changes")
+    return store.rows().select("claim_id", "payer_name", "adjudication_outcome", F.to_date("adjudication_timestamp").alias("day"))
+
+
+def stored_features(spark, sf_dir):
+    """Claims of low risk in a stored table; those of some risk merged into it, with a column that it lacks."""
+    claims = claims_view(spark, sf_dir)
+    old = claims.filter("comorbidity_risk_score < 6").select("claim_id", "payer_name", "denial_reason")
+    store = ClaimStore.create(old, new_folder(spark, "features"), status="payer_name", buckets=16)
+    store.upsert(claims.filter("comorbidity_risk_score >= 4").select("claim_id", F.lit(None).cast("string").alias("denial_reason"), "department"))
+    return store.rows()
+
+
+def stored_deletes(spark, sf_dir):
+    """A stored table without the claims that were active."""
+    store = ClaimStore.create(claims_view(spark, sf_dir).select("claim_id", "claim_status"), new_folder(spark, "deletes"), buckets=16)
+    store.delete(store.scan("Active"))
+    return store.rows()
+
+
+def stored_scores(spark, sf_dir):
+    """Scores of the stored table's active claims, written back into it."""
+    claims = claims_view(spark, sf_dir)
+    store = ClaimStore.create(claims.select("claim_id", "claim_status", "predicted_denial_score"), new_folder(spark, "scores"), buckets=16)
+    features_of = claims.select("claim_id", "comorbidity_risk_score", "documents_medical_necessity", "mentions_lack_of_pre_auth")
+    weights = {"comorbidity_risk_score": 0.05, "mentions_lack_of_pre_auth": 0.3, "documents_medical_necessity": 0.4}
+    store.write_scores(scoring.linear_score(store.scan("Active").drop("predicted_denial_score").join(features_of, "claim_id"), weights))
+    return store.rows()
+
+
+def stored_active(spark, sf_dir):
+    """The active claims of a stored table, from the folders of that status."""
+    columns = ("claim_id", "payer_name", "claim_status", "charge_amount")
+    return ClaimStore.create(claims_view(spark, sf_dir).select(*columns), new_folder(spark, "active"), buckets=16).scan("Active")
+
+
 QUERIES = (
     bundle_encounters, remittance_lines, partial_records, clinical_notes, attached_notes, replaced_days, migrated_rows, stored_lines, pretty_customers,
     ad_hoc_totals, exported_claims, lake_months, page_rows, presented_payers, widened_window, streamed_outcomes,
+    folded_outcomes, stored_features, stored_deletes, stored_scores, stored_active,
 )
 
 _PAGE = ("rolling_denial_trend", "payer_ranking", "monthly_cohort", "high_risk_decile", "specialty_analysis", "model_performance", "icd10_hotspots", "score_bucket_distribution", "provider_summary", "preauth_impact")
@@ -180,7 +250,10 @@ SQL = {
         CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS claim_id, CASE WHEN l_returnflag = 'R' THEN 'denied' ELSE 'paid' END AS adjudication_status,
         CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END AS paid_amount, CASE WHEN l_returnflag = 'R' THEN 'returned' END AS denial_reason FROM lineitem""",
     "partial_records": with_claims([], """SELECT claim_id, nullif(concat_ws(',', CASE WHEN date_of_birth IS NULL THEN 'age' END, CASE WHEN gender IS NULL THEN 'sex' END,
-        CASE WHEN department IS NULL THEN 'admitting_department' END, CASE WHEN coalesce(length_of_stay, 0) = 0 THEN 'length_of_stay_days' END), '') AS partial_ehr_flag FROM claims"""),
+        'race', CASE WHEN length_of_stay % 3 = 0 THEN 'ethnicity' END, CASE WHEN charge_amount < 100000 THEN 'vitals' END, CASE WHEN denial_reason IS NULL THEN 'lab_results' END,
+        CASE WHEN principal_icd10 IS NULL THEN 'problem_list' END, CASE WHEN admission_type IS NULL THEN 'medications' END,
+        CASE WHEN department IS NULL THEN 'admitting_department' END, CASE WHEN provider_npi IS NULL THEN 'admitting_physician_id' END,
+        CASE WHEN coalesce(length_of_stay, 0) = 0 THEN 'length_of_stay_days' END), '') AS partial_ehr_flag FROM claims"""),
     "clinical_notes": f"""WITH {_NOTES} SELECT conv_id, turn, note_type, note_date,
         CASE conv_id % 2 WHEN 0 THEN '2024-06-01 10:00' ELSE strftime(note_date, '%Y-%m-%d') || ' 00:00' END AS written, author_id FROM n""",
     "attached_notes": f"""WITH {_NOTES} SELECT o_orderkey AS claim_id, coalesce(string_agg(note_type || ':' || author_id, ',' ORDER BY turn, note_type), '') AS notes
@@ -208,4 +281,7 @@ SQL = {
          "e AS (SELECT 'CLM-' || CAST(l_orderkey AS VARCHAR) AS claim_id, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_returnflag = 'R' THEN 'denied' ELSE 'paid' END AS status FROM lineitem)",
          "t AS (SELECT claim_id, MAX(day) AS day, arg_max(status, CAST(day AS VARCHAR) || status) AS status FROM e GROUP BY 1)"],
         "SELECT coalesce(s.claim_id, t.claim_id) AS claim_id, payer_name, coalesce(status, adjudication_outcome) AS adjudication_outcome, day FROM s FULL JOIN t ON s.claim_id = t.claim_id"),
+    "stored_active": with_claims([], "SELECT claim_id, payer_name, claim_status, charge_amount FROM claims WHERE claim_status = 'Active'"),
 }
+# the same rows, whether frames are merged or a stored table
+SQL |= {"folded_outcomes": SQL["streamed_outcomes"], "stored_features": FEATURES["feature_upsert"], "stored_deletes": FEATURES["deleted_rows"], "stored_scores": FEATURES["score_writeback"]}

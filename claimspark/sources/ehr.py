@@ -24,13 +24,15 @@ def read_fhir_bundles(spark: SparkSession, path: str, multi_line: bool = True) -
     return rows.filter("encounter_date is not null")
 
 
-def write_ehr(df: DataFrame, path: str) -> None:
-    """Partitioned by date; the account is too fine a key for folders and stays a sorted column.
+def write_ehr(df: DataFrame, path: str, batch: str = "0") -> None:
+    """Partitioned by batch and date; the account is too fine a key for folders and stays a sorted column.
 
-    The number of partitions is given, as many small days would otherwise be gathered in one task, which writes a file for each.
+    A batch that is written again replaces what it wrote, and nothing of other batches. The number of partitions is given, as
+    many small days would otherwise be gathered in one task, which writes a file for each.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(parts, "encounter_date").sortWithinPartitions("patient_account_number").write.mode("append").partitionBy("encounter_date").parquet(path)
+    rows = df.repartition(parts, "encounter_date").sortWithinPartitions("patient_account_number")
+    rows.write.mode("overwrite").partitionBy("encounter_date").parquet(f"{path}/batch=b{batch}")
 
 
 def read_era(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -40,7 +42,9 @@ def read_era(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
 
 
 def partial_ehr_flag(df: DataFrame) -> DataFrame:
-    return df.withColumn("partial_ehr_flag", missing_list(df, [c for c in STRUCTURED if c in df.columns]))
+    """df with the names of the structured fields that a record lacks; those that df has no column for are lacking everywhere."""
+    here = df.withColumns({c: F.lit(None).cast("string") for c in STRUCTURED if c not in df.columns})
+    return here.withColumn("partial_ehr_flag", missing_list(here, list(STRUCTURED))).select(*df.columns, "partial_ehr_flag")
 
 
 def normalize_notes(notes: DataFrame) -> DataFrame:
@@ -63,9 +67,10 @@ class LakeLayout:
         year, month, day = date.split("-")
         return f"{self.base}/{layer}/year={year}/month={int(month):02d}/day={int(day):02d}"
 
-    def write(self, df: DataFrame, layer: str, date: str = "ingestion_date") -> None:
-        parts = {"year": F.date_format(date, "yyyy"), "month": F.date_format(date, "MM"), "day": F.date_format(date, "dd")}
-        df.withColumns(parts).write.mode("append").partitionBy("year", "month", "day").parquet(self.path(layer))
+    def write(self, df: DataFrame, layer: str, date: str = "ingestion_date", batch: str = "0") -> None:
+        """Files the rows under their dates; a batch that is written again replaces its own folders of these dates, and no others."""
+        parts = {"year": F.date_format(date, "yyyy"), "month": F.date_format(date, "MM"), "day": F.date_format(date, "dd"), "batch": F.lit(f"b{batch}")}
+        df.withColumns(parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(self.path(layer))
 
 
 def export_csv(df: DataFrame, path: str) -> None:

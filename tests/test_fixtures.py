@@ -269,4 +269,5 @@ def test_bundles_remittances_and_stream(spark, tmp_path):
     assert linked() == [("1", "paid"), ("2", "paid"), ("7", "denied")]
     assert ehr.LakeLayout("/lake/").path("raw", "2024-1-5") == "/lake/raw/year=2024/month=01/day=05"
     flagged = ehr.partial_ehr_flag(spark.createDataFrame(pd.DataFrame({"age": [1, 2], "sex": ["F", None]})))
-    assert [r["partial_ehr_flag"] for r in flagged.collect()] == [None, "sex"]
+    lacking = [c for c in ehr.STRUCTURED if c not in ("age", "sex")]
+    assert [r["partial_ehr_flag"] for r in flagged.collect()] == [",".join(lacking), ",".join(["sex", *lacking])] and flagged.columns == ["age", "sex", "partial_ehr_flag"]
