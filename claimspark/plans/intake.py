@@ -29,8 +29,8 @@ def _service(line: Column, institutional: Column) -> Column:
     return F.concat(_seg("LX", line["l_linenumber"]), F.when(institutional, two).otherwise(one), _seg("DTP", "472", "D8", _day(line["l_shipdate"])))
 
 
-def interchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_name, content). Some files break a rule of the envelope and some claims lack a required field; half use other delimiters."""
+def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_custkey, loops): the segments of each customer's claims, those of provider and subscriber before them."""
     fields = F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(fields)).alias("lines"))
     orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
@@ -47,19 +47,41 @@ def interchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     files = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", claim.alias("text")))).alias("claims"))
     number = F.lpad(cust.cast("string"), 9, "0")
-    content = F.concat(
-        _seg(F.concat(F.when(cust % 13 == 5, "X").otherwise("I"), F.lit(HEAD), number, F.lit("*0*P*:"))), _seg("GS", "HC"), _seg("ST", "837", number), _seg("HL", "1", "", "20", "1"),
+    loops = F.concat(
+        _seg("HL", "1", "", "20", "1"),
         _seg("NM1", "85", "2", "CLINIC", "", "", "", "", "XX", F.when(cust % 5 == 2, "12345").otherwise((cust + 1000000000).cast("string"))),
         _seg("N3", F.concat(cust.cast("string"), F.lit(" MAIN ST"))), _seg("N4", "SPRINGFIELD", "IL", "62701"), _seg("HL", "2", "1", "22", "0"),
         _seg("NM1", "IL", "1", "DOE", "JO", "", "", "", "MI", F.concat(F.lit("M"), number)), _seg("DMG", "D8", _day(F.date_add(F.lit("1930-01-01").cast("date"), (cust * 37 % 23000).cast("int"))), F.when(cust % 3 == 0, "f").when(cust % 3 == 1, "M")),
         _seg("NM1", "PR", "2", "PAYER", "", "", "", "", "PI", F.when(cust % 19 != 3, F.concat(F.lit("P"), (cust % 7).cast("string")))),
         F.array_join(F.transform("claims", lambda x: x["text"]), ""),
+    )
+    return files.select("o_custkey", loops.alias("loops"))
+
+
+def interchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_name, content). Some files break a rule of the envelope and some claims lack a required field; half use other delimiters."""
+    cust = F.col("o_custkey")
+    number = F.lpad(cust.cast("string"), 9, "0")
+    content = F.concat(
+        _seg(F.concat(F.when(cust % 13 == 5, "X").otherwise("I"), F.lit(HEAD), number, F.lit("*0*P*:"))), _seg("GS", "HC"), _seg("ST", "837", number), F.col("loops"),
         _seg("SE", "1", number), _seg("GE", "1"), F.when(cust % 11 == 0, "").otherwise(_seg("IEA", "1", number)),
     )
     delimiters = F.when(cust % 2 == 0, "|\n").otherwise("*~")
     content = F.when(cust % 23 == 7, "  ").otherwise(F.call_function("translate", content, F.lit("*~"), delimiters))
     # written once, as files are: the readers refer to the content many times
-    return cut(files.select(F.concat(F.lit("customer-"), cust.cast("string")).alias("file_name"), content.alias("content")))
+    return cut(_loops(spark, sf_dir).select(F.concat(F.lit("customer-"), cust.cast("string")).alias("file_name"), content.alias("content")))
+
+
+def one_interchange(spark: SparkSession, sf_dir: str) -> str:
+    """The path of one file with the claims of all customers; as any one file, it is written by one task."""
+    out = new_folder(spark, "interchange")
+    number, ends = F.lit("000000001"), "o_custkey long, text string"
+    head, tail = F.concat(_seg(F.concat(F.lit("I" + HEAD), number, F.lit("*0*P*:"))), _seg("GS", "HC"), _seg("ST", "837", number)), F.concat(_seg("SE", "1", number), _seg("GE", "1"), _seg("IEA", "1", number))
+    around = spark.range(2).select(F.when(F.col("id") == 0, -1).otherwise((1 << 62)).alias("o_custkey"), F.when(F.col("id") == 0, head).otherwise(tail).alias("text"))
+    rows = _loops(spark, sf_dir).select(F.col("o_custkey").cast("long"), F.col("loops").alias("text")).unionAll(around.to(spark.createDataFrame([], ends).schema))
+    # the writer ends each row with the terminator
+    rows.orderBy("o_custkey").select(F.expr("substring(text, 1, length(text) - 1)").alias("value")).coalesce(1).write.option("lineSep", "~").text(out)
+    return out
 
 
 def _sinks(spark: SparkSession, sf_dir: str) -> dict[str, str]:
@@ -75,10 +97,13 @@ def envelope_checks(spark, sf_dir):
 
 def ingested_claims(spark, sf_dir):
     """The parsed sink, a row for each claim that has all required fields."""
-    rows = spark.read.parquet(_sinks(spark, sf_dir)["parsed"])
+    return _claim_columns(spark.read.parquet(_sinks(spark, sf_dir)["parsed"]), "file_name")
+
+
+def _claim_columns(rows: DataFrame, *more: str) -> DataFrame:
     amounts = F.expr("aggregate(service_lines, cast(0 as decimal(28,2)), (a, x) -> cast(a + x.charge_amount as decimal(28,2)))")
     return rows.select(
-        "file_name", "patient_account_number", "provider_npi", "payer_id", "member_id", "gender", "date_of_birth", "claim_type", "admission_date", "discharge_date", "billing_provider_street", "billing_provider_state",
+        *more, "patient_account_number", "provider_npi", "payer_id", "member_id", "gender", "date_of_birth", "claim_type", "admission_date", "discharge_date", "billing_provider_street", "billing_provider_state",
         "principal_icd10_code", F.concat_ws(",", "secondary_icd10_codes").alias("secondary_codes"), F.col("charge_amount").cast("double").alias("charge_amount"),
         F.coalesce(F.size("service_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(amounts, F.lit(0)).cast("double").alias("lines_amount"),
     )
@@ -87,10 +112,25 @@ def ingested_claims(spark, sf_dir):
 def ingested_lines(spark, sf_dir):
     """The service lines of all claims of valid files, before the check of required fields."""
     valid = cut(edi.validate_envelope(interchanges(spark, sf_dir))).filter("is_valid")
-    rows = edi.assemble_claims(edi.explode_segments(valid)).select("patient_account_number", F.explode("service_lines").alias("l"))
+    return _line_columns(edi.assemble_claims(edi.explode_segments(valid)))
+
+
+def _line_columns(claims: DataFrame) -> DataFrame:
+    rows = claims.select("patient_account_number", F.explode("service_lines").alias("l"))
     return rows.select("patient_account_number", "l.revenue_code", "l.cpt_hcpcs_code", "l.service_date", F.col("l.charge_amount").cast("double").alias("charge_amount"), F.col("l.units_of_service").cast("long").alias("units"))
 
 
+def huge_interchange_claims(spark, sf_dir):
+    """One file with all customers' claims through its sinks, split by Spark and numbered chunk by chunk."""
+    paths = edi.ingest_huge(spark, one_interchange(spark, sf_dir), new_folder(spark, "huge"), "2024-01-01")
+    return _claim_columns(spark.read.parquet(paths["parsed"]))
+
+
+def huge_interchange_lines(spark, sf_dir):
+    """The service lines of all claims of that file."""
+    return _line_columns(edi.assemble_claims(edi.segments_of(edi.read_segments(spark, one_interchange(spark, sf_dir)))))
+
+
 def ingest_rejects(spark, sf_dir):
     """The reject sink, with how often each file breaks each rule."""
     schema = "file_name string, error_type string, segment_ref string, field_name string, claim_segment_ref string"
@@ -101,12 +141,12 @@ def ingest_rejects(spark, sf_dir):
 def ingest_sinks(spark, sf_dir):
     """Rows of the raw and quarantine sinks by sink and by what was wrong."""
     paths = _sinks(spark, sf_dir)
-    raw = spark.read.parquet(paths["raw"]).select(F.lit("raw").alias("sink"), F.concat_ws(" ", "retention_policy", "retention_years").alias("note"))
+    raw = spark.read.parquet(paths["raw"]).select(F.lit("raw").alias("sink"), F.concat_ws(" ", *edi.RETENTION).alias("note"))
     bad = spark.read.parquet(paths["quarantine"]).select(F.lit("quarantine").alias("sink"), F.concat_ws(" ", "segment_ref", "description").alias("note"))
     return raw.unionAll(bad).groupBy("sink", "note").agg(F.count("*").alias("n"))
 
 
-QUERIES = (envelope_checks, ingested_claims, ingested_lines, ingest_rejects, ingest_sinks)
+QUERIES = (envelope_checks, ingested_claims, ingested_lines, ingest_rejects, ingest_sinks, huge_interchange_claims, huge_interchange_lines)
 
 _FILES = """files AS (SELECT DISTINCT o_custkey AS k, 'customer-' || CAST(o_custkey AS VARCHAR) AS file_name,
     CASE WHEN o_custkey % 23 = 7 THEN '' WHEN o_custkey % 13 = 5 THEN 'ISA' WHEN o_custkey % 11 = 0 THEN 'IEA' END AS ref,
@@ -137,6 +177,12 @@ SQL = {
         SELECT file_name, 'payer_id' FROM c WHERE no_payer UNION ALL SELECT file_name, 'principal_icd10_code' FROM c WHERE no_code)
         SELECT file_name, 'MISSING_REQUIRED_FIELD' AS error_type, 'CLM' AS segment_ref, field_name, COUNT(*) AS n FROM m GROUP BY 1, 4
         UNION ALL SELECT file_name, 'INVALID_ENVELOPE', ref, NULL, 1 FROM files WHERE ref IS NOT NULL""",
-    "ingest_sinks": f"""WITH {_FILES} SELECT 'raw' AS sink, 'HIPAA 7' AS note, COUNT(*) AS n FROM files
+    "ingest_sinks": f"""WITH {_FILES} SELECT 'raw' AS sink, 'regulatory 7 HIPAA / CMS 7-year raw EDI retention 7' AS note, COUNT(*) AS n FROM files
         UNION ALL SELECT 'quarantine', ref || ' ' || description, COUNT(*) FROM files WHERE ref IS NOT NULL GROUP BY 2""",
 }
+# the same claims and lines, from the customers of all files
+_ALL = _CLAIMS.replace("WHERE ref IS NULL", "")
+SQL |= {
+    "huge_interchange_claims": SQL["ingested_claims"].replace(_CLAIMS, _ALL).replace("SELECT file_name, CAST(o_orderkey", "SELECT CAST(o_orderkey"),
+    "huge_interchange_lines": SQL["ingested_lines"].replace(_CLAIMS, _ALL),
+}

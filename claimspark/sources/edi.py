@@ -1,8 +1,13 @@
 """X12 837 files to claims: delimiters, envelope checks, segments, loops and lines, rejects, and the sinks.
 
-A file is one row until it is split into segments; loops are numbered by running counts in segment order, and claims are
-grouped by those numbers, so no parser state is carried. Fields go to the loop that holds them: patient, payer and member to
-the subscriber loop of the claim, service dates to the line that they stand in.
+Loops are numbered by running counts in segment order, and claims are grouped by those numbers, so no parser state is
+carried. Fields go to the loop that holds them: patient, payer and member to the subscriber loop of the claim, service dates
+to the line that they stand in.
+
+Files come in two ways. Small ones are a row each until they are split into segments. A huge one is read by its terminator as
+line separator, so Spark splits it as it splits any text, and its segments are never together. The running counts are a scan
+in two levels: within a chunk of segments (a split of a huge file, ``CHUNK`` segments of a small one), and over one row of
+totals for each chunk, which carries counts and last values into the next. No window holds more segments than a chunk.
 """
 
 from __future__ import annotations
@@ -14,7 +19,11 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.scalars import code5, npi_ok, pad4, sex, trim0, x12_amount, x12_date, x12_units
 from claimspark.plans.views import cut
+from claimspark.sources.files import names, read_head
 
+CHUNK = 50_000
+# How long raw files are kept, and by what rule.
+RETENTION = {"retention_policy": "regulatory", "retention_years": 7, "retention_rule": "HIPAA / CMS 7-year raw EDI retention", "purge_after_years": 7}
 REQUIRED = ("provider_npi", "payer_id", "patient_account_number", "principal_icd10_code")
 ENVELOPE = ("ISA", "GS", "ST", "SE", "GE", "IEA")
 ISA_PARTS = 17  # the name and 16 elements
@@ -26,6 +35,49 @@ def read_edi(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.decode("content", "ISO-8859-1").alias("content"))
 
 
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, element, terminator, chunk, at, text) of huge files, a row for each segment, not trimmed; decoded as Latin-1.
+
+    The driver reads the first 106 bytes of each file, which tell its delimiters; files that don't begin with a whole ISA segment
+    are left out (read_edi() and the quarantine are for them). Then files with the same terminator are read together, split
+    where Spark splits text; ``chunk`` is a split's first byte and ``at`` grows within it. The rows are stored once, so that a
+    task that is tried again finds the same numbers.
+    """
+    found: dict[str, list[tuple[str, str]]] = {}
+    for name in names(spark, path) or [""]:
+        place = f"{path}/{name}" if name else path
+        head = read_head(spark, place, 106).decode("latin-1") if not name.startswith(("_", ".")) else ""
+        if len(head) == 106 and head.startswith("ISA"):
+            found.setdefault(head[105], []).append((place, head[3]))
+    out = None
+    for terminator, some in found.items():
+        # lineSep is one character; the text source hands bytes on as they are
+        raw = spark.read.option("lineSep", terminator).text([p for p, _ in some])
+        rows = raw.select("_metadata.file_name", F.lit(terminator).alias("terminator"), F.col("_metadata.file_block_start").alias("chunk"), F.monotonically_increasing_id().alias("at"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("text"))
+        heads = spark.createDataFrame([(p.rsplit("/", 1)[-1], e) for p, e in some], "file_name string, element string")
+        rows = rows.join(F.broadcast(heads), "file_name").select("file_name", "element", "terminator", "chunk", "at", "text")
+        out = rows if out is None else out.unionAll(rows)
+    schema = "file_name string, element string, terminator string, chunk long, at long, text string"
+    return cut(out) if out is not None else spark.createDataFrame([], schema)
+
+
+def check_segments(raw: DataFrame) -> DataFrame:
+    """(file_name, is_valid, segment_ref, description) of files as read_segments() gives them, by the rules of validate_envelope()."""
+    rows = raw.select("file_name", "chunk", "at", F.split(_bare(F.col("text")), _quoted("element")).alias("e")).withColumn("name", F.get("e", F.lit(0)))
+    per = rows.filter(F.col("name") != "").groupBy("file_name").agg(
+        F.min(F.struct("chunk", "at", F.size("e").alias("n")))["n"].alias("n"), *(F.max((F.col("name") == n).cast("int")).alias(n) for n in ENVELOPE)
+    )
+    broken = lambda test, ref, text: F.when(test, F.struct(F.lit(ref).alias("ref"), F.lit(text).alias("text")))
+    first = F.coalesce(broken(F.col("n") != ISA_PARTS, "ISA", "ISA has the wrong number of elements"), *(broken(F.col(n) == 0, n, f"{n} is missing") for n in ENVELOPE))
+    return per.withColumn("_b", first).select("file_name", F.col("_b").isNull().alias("is_valid"), F.col("_b.ref").alias("segment_ref"), F.col("_b.text").alias("description"))
+
+
+def segments_of(raw: DataFrame) -> DataFrame:
+    """As explode_segments(), from read_segments(); ``pos`` grows within a chunk."""
+    each = raw.withColumn("text", _bare(F.col("text"))).filter("text <> ''")
+    return each.select("file_name", "chunk", F.col("at").alias("pos"), F.split("text", _quoted("element")).alias("e")).withColumn("seg_id", F.upper(F.trim(F.get("e", F.lit(0)))))
+
+
 def with_delimiters(files: DataFrame) -> DataFrame:
     """files with ``element`` and ``terminator``, null unless the content begins with a whole ISA segment."""
     usable = F.substring("content", 1, 3).eqNullSafe("ISA") & (F.length("content") >= 106)
@@ -36,9 +88,12 @@ def _quoted(c: str) -> Column:
     return F.concat(F.lit("\\Q"), F.col(c), F.lit("\\E"))
 
 
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\s]+|[\s]+$", "")
+
+
 def _parts() -> Column:
-    whole = F.transform(F.split(F.col("content"), _quoted("terminator")), lambda s: F.regexp_replace(s, r"^[\s]+|[\s]+$", ""))
-    return F.filter(whole, lambda s: s != "")
+    return F.filter(F.transform(F.split(F.col("content"), _quoted("terminator")), _bare), lambda s: s != "")
 
 
 def validate_envelope(files: DataFrame) -> DataFrame:
@@ -57,9 +112,10 @@ def validate_envelope(files: DataFrame) -> DataFrame:
 
 
 def explode_segments(files: DataFrame) -> DataFrame:
-    """(file_name, pos, seg_id, e): the segments in order, e their elements with the name at 0."""
+    """(file_name, chunk, pos, seg_id, e): the segments in order of chunk and pos, e their elements with the name at 0."""
     each = files.select("file_name", "element", F.posexplode(_parts()).alias("pos", "_s"))
-    return each.select("file_name", "pos", F.split(F.col("_s"), _quoted("element")).alias("e")).withColumn("seg_id", F.upper(F.trim(F.get("e", F.lit(0)))))
+    chunk = F.floor(F.col("pos") / CHUNK).alias("chunk")
+    return each.select("file_name", chunk, F.col("pos").cast("long").alias("pos"), F.split(F.col("_s"), _quoted("element")).alias("e")).withColumn("seg_id", F.upper(F.trim(F.get("e", F.lit(0)))))
 
 
 def _e(i: int) -> Column:
@@ -70,21 +126,46 @@ def _first(test: Column, value: Column, name: str) -> Column:
     return F.min_by(F.when(test, value), F.when(test, F.col("pos"))).alias(name)
 
 
-def assemble_claims(segments: DataFrame) -> DataFrame:
-    """One row a CLM segment, with nested service lines and secondary diagnoses in file order."""
-    order = Window.partitionBy("file_name").orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+def number_segments(segments: DataFrame) -> DataFrame:
+    """segments with what came before each in its file: ``prov``, ``sub`` and ``clm`` (how many such loops have begun), ``nm1`` (the last
+    entity), ``start`` and ``loop`` (where the last CLM and the last HL stand), ``inside`` (in a claim); ``pos`` counts from the file's begin.
+
+    Stored once, as five groupings read it.
+    """
     seg = F.col("seg_id")
-    count = lambda test: F.sum(F.when(test, 1).otherwise(0)).over(upto)
-    rows = segments.withColumns({
-        "prov": count((seg == "NM1") & (_e(1) == "85")), "sub": count((seg == "HL") & (_e(3) == "22")), "clm": count(seg == "CLM"),
-        "nm1": F.last(F.when(seg == "NM1", _e(1)), ignorenulls=True).over(upto),
+    marks = {"prov": (seg == "NM1") & (_e(1) == "85"), "sub": (seg == "HL") & (_e(3) == "22"), "clm": seg == "CLM"}
+    upto = Window.partitionBy("file_name", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    counts = {c: F.sum(F.coalesce(test.cast("long"), F.lit(0))).over(upto) for c, test in marks.items()}
+    rows = segments.withColumns({**counts, "nm1": F.last(F.when(seg == "NM1", _e(1)), ignorenulls=True).over(upto), "_n": F.row_number().over(upto).cast("long") - 1})
+    rows = cut(rows.withColumns({"start": F.max(F.when(seg == "CLM", F.col("_n"))).over(upto), "loop": F.max(F.when(seg == "HL", F.col("_n"))).over(upto)}))
+
+    # one row a chunk: what it adds, and from all before it what it starts with
+    totals = rows.groupBy("file_name", "chunk").agg(F.count("*").alias("_rows"), *(F.max(c).alias(f"_{c}") for c in (*counts, "start", "loop")), F.max_by("nm1", F.col("pos")).alias("_nm1"))
+    before = Window.partitionBy("file_name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    carried = {
+        **{f"_{c}": F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)) for c in counts}, "_nm1": F.last("_nm1", ignorenulls=True).over(before),
+        **{f"_{c}": F.max(F.col(f"_{c}") + F.col("_base")).over(before) for c in ("start", "loop")},
+    }
+    carry = totals.select(F.col("file_name").alias("_file"), F.col("chunk").alias("_chunk"), "_base", *(c.alias(name) for name, c in carried.items()))
+    met = rows.join(carry, (F.col("file_name") == F.col("_file")) & (F.col("chunk") == F.col("_chunk")))
+    met = met.withColumns({
+        **{c: F.col(c) + F.col(f"_{c}") for c in counts}, "nm1": F.coalesce("nm1", "_nm1"), "pos": F.col("_n") + F.col("_base"),
+        **{c: F.coalesce(F.col(c) + F.col("_base"), F.col(f"_{c}")) for c in ("start", "loop")},
     })
     # headers of the next loop come after a claim: from the next HL on, a segment belongs to no claim
-    rows = rows.withColumns({"start": F.max(F.when(seg == "CLM", F.col("pos"))).over(upto), "loop": F.max(F.when(seg == "HL", F.col("pos"))).over(upto)})
-    rows = rows.withColumn("inside", F.coalesce(F.col("start") > F.coalesce("loop", F.lit(-1)), F.lit(False)))
+    met = met.withColumn("inside", F.coalesce(F.col("start") > F.coalesce("loop", F.lit(-1)), F.lit(False)))
+    return met.select("file_name", "pos", "seg_id", "e", *counts, "nm1", "inside")
+
+
+def assemble_claims(segments: DataFrame) -> DataFrame:
+    """One row a CLM segment, with nested service lines and secondary diagnoses in file order."""
+    seg = F.col("seg_id")
+    rows = number_segments(segments)
+    # a claim's segments; those outside of claims are numbered nowhere
     within = Window.partitionBy("file_name", "clm").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("line", F.sum(F.when(seg.isin("SV1", "SV2"), 1).otherwise(0)).over(within))
+    lined = rows.filter("inside").withColumn("line", F.sum(F.when(seg.isin("SV1", "SV2"), 1).otherwise(0)).over(within))
+    rows = rows.filter("not inside").withColumn("line", F.lit(0).cast("long")).unionByName(lined)
 
     # numbered once, for the five groupings
     rows = cut(rows)
@@ -141,22 +222,37 @@ def ingest_edi(spark: SparkSession, path: str, out: str, ingestion_date: str, gl
 
 def ingest_files(files: DataFrame, out: str, ingestion_date: str, batch: str) -> dict[str, str]:
     """The four sinks, partitioned by date and batch; a batch that is tried again replaces its own partitions and no others."""
-    dated = {"ingestion_date": F.lit(ingestion_date).cast("date"), "batch": F.lit(f"b{batch}")}
-    tag = {"retention_years": F.lit(7), "retention_policy": F.lit("HIPAA"), "ingestion_ts": F.current_timestamp(), **dated}
+    # each file is checked once, for its three sinks and its claims
+    checked = cut(validate_envelope(files))
     paths = {k: f"{out}/{k}" for k in ("raw", "parsed", "quarantine", "rejects")}
+    invalid = checked.filter("not is_valid").select("file_name", "content", "segment_ref", "description")
+    _write_sinks(paths, checked.select("file_name", "content"), invalid, explode_segments(checked.filter("is_valid")), ingestion_date, batch)
+    return paths
+
+
+def ingest_huge(spark: SparkSession, path: str, out: str, ingestion_date: str) -> dict[str, str]:
+    """As ingest_edi(), for files that are split: the raw sink has a row for each segment, and the quarantine no content."""
+    raw = read_segments(spark, path)
+    checked = cut(check_segments(raw))
+    paths = {"raw": f"{out}/raw_segments", **{k: f"{out}/{k}" for k in ("parsed", "quarantine", "rejects")}}
+    invalid = checked.filter("not is_valid").select("file_name", F.lit(None).cast("string").alias("content"), "segment_ref", "description")
+    valid = raw.join(checked.filter("is_valid").select("file_name"), "file_name", "left_semi")
+    _write_sinks(paths, raw, invalid, segments_of(valid), ingestion_date, hashlib.md5(path.encode()).hexdigest()[:12])
+    return paths
+
+
+def _write_sinks(paths: dict[str, str], raw: DataFrame, invalid: DataFrame, segments: DataFrame, ingestion_date: str, batch: str) -> None:
+    dated = {"ingestion_date": F.lit(ingestion_date).cast("date"), "batch": F.lit(f"b{batch}")}
+    tag = {**{name: F.lit(value) for name, value in RETENTION.items()}, "ingestion_ts": F.current_timestamp(), **dated}
 
     def write(df: DataFrame, kind: str, form: str = "parquet") -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*dated).format(form).save(paths[kind])
 
-    # each file is checked once, for its three sinks and its claims
-    checked = cut(validate_envelope(files))
-    write(checked.select("file_name", "content").withColumns(tag), "raw")
-    invalid = checked.filter("not is_valid")
-    write(invalid.select("file_name", "content", "segment_ref", "description").withColumns(dated), "quarantine")
+    write(raw.withColumns(tag), "raw")
+    write(invalid.withColumns(dated), "quarantine")
     # parsed once, for the claims and for their rejects
-    good, missing = split_required(cut(assemble_claims(explode_segments(checked.filter("is_valid")))))
+    good, missing = split_required(cut(assemble_claims(segments)))
     write(good.withColumns(dated), "parsed")
     none = F.lit(None).cast("string")
     bad = invalid.select("file_name", F.lit("INVALID_ENVELOPE").alias("error_type"), "segment_ref", none.alias("field_name"), none.alias("claim_segment_ref"))
     write(bad.unionByName(missing).withColumns({"failure_timestamp": F.current_timestamp(), **dated}), "rejects", "json")
-    return paths

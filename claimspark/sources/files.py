@@ -22,6 +22,18 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def read_head(spark: SparkSession, path: str, length: int) -> bytes:
+    """The file's first bytes, fewer if it is shorter."""
+    store, place = _at(spark, path)
+    if store.getFileStatus(place).isDirectory():
+        return b""
+    stream = store.open(place)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, length)))
+    finally:
+        stream.close()
+
+
 def create_text(spark: SparkSession, path: str, text: str) -> bool:
     """Creates the file; False, and nothing is changed, where it is there already."""
     store, place = _at(spark, path)

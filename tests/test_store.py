@@ -197,3 +197,41 @@ def test_encounters_and_lake_batches_are_replaced(spark, tmp_path):
     for batch in ("1", "2", "1"):
         lake.write(rows((batch, 4)).withColumn("ingestion_date", F.col("encounter_date")), "raw", batch=batch)
     assert sorted(r["encounter_id"] for r in spark.read.parquet(lake.path("raw", "2024-1-4")).collect()) == ["1", "2"]
+
+
+def claims_of(rows):
+    return sorted(str(r.asDict(recursive=True)) for r in rows.drop("batch", "ingestion_date").collect())
+
+
+@pytest.mark.parametrize("size", [150, 400, 100_000])
+def test_huge_files_give_the_rows_of_small_ones(spark, tmp_path, size):
+    """The same files read whole and split at any byte, with loops that reach over many splits; other delimiters, broken envelopes."""
+    many = claim_file()
+    body = many[many.index("HL*") : many.index("SE*")]
+    texts = {"one": many, "many": many.replace(body, body * 7), "lines": many.replace(body, body * 3).replace("*", "|").replace("~", "\n"), "noiea": many.replace("IEA*1~", ""), "nopayer": claim_file(payer=""), "latin": many.replace("DOE", "DO\xcb")}
+    (tmp_path / "in").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_bytes(text.encode("latin-1"))
+    whole = edi.ingest_edi(spark, str(tmp_path / "in"), str(tmp_path / "whole"), "2024-01-01")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        split = edi.ingest_huge(spark, str(tmp_path / "in"), str(tmp_path / "split"), "2024-01-01")
+        chunks = edi.read_segments(spark, str(tmp_path / "in")).groupBy("file_name").agg(F.countDistinct("chunk").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert (max(r["n"] for r in chunks) > 5) == (size < 1000)
+    assert claims_of(spark.read.parquet(split["parsed"])) == claims_of(spark.read.parquet(whole["parsed"]))
+    rejects = lambda p: claims_of(spark.read.json(p).drop("failure_timestamp"))
+    assert rejects(split["rejects"]) == rejects(whole["rejects"])
+    assert [(r["file_name"], r["segment_ref"]) for r in spark.read.parquet(split["quarantine"]).collect()] == [("noiea", "IEA")]
+
+
+def test_chunks_of_whole_files(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("f", claim_file()), ("g", claim_file(payer="") * 1)], "file_name string, content string")
+    want = claims_of(edi.assemble_claims(edi.explode_segments(edi.with_delimiters(rows))))
+    monkeypatch.setattr(edi, "CHUNK", 4)
+    segments = edi.explode_segments(edi.with_delimiters(rows))
+    assert segments.groupBy("file_name", "chunk").count().agg(F.max("count")).first()[0] == 4
+    assert claims_of(edi.assemble_claims(segments)) == want
