@@ -126,9 +126,9 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     """The rows of docs whose score reaches the model's cut, with all their columns."""
     cut_at = model.cut_at
 
-    @F.pandas_udf("boolean")
-    def good(texts):  # noqa: ANN001, ANN202
-        return texts.fillna("").map(lambda x: model.score(x) >= cut_at)
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(x.as_py() or "") >= cut_at for x in texts], pa.bool_())
 
     return docs.filter(good(F.col(text_col)))
 
