@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimspark.functions import scalars as S
 from claimspark.functions.reference import PROCEDURES
 from claimspark.plans.joins import any_interval, asof, keyed_upsert, longest_prefix
-from claimspark.plans.windows import leave_one_out, trailing_rate
+from claimspark.plans.windows import leave_one_out, trailing_cube, trailing_rate
 
 # The names of the features.
 INS = ("ins_type_medicare", "ins_type_medicaid", "ins_type_commercial", "ins_type_tricare", "ins_type_champva", "ins_type_other")
@@ -23,12 +23,21 @@ NUMERIC = (
 )
 
 
+#: What a claim carries from the link to its encounter.
+FLAGS = ("partial_ehr_flag", "ehr_null_match_flag")
+
+
 def claim_level(claims: DataFrame, at: str = "submission_date") -> DataFrame:
+    """The claim's own features, and those of FLAGS that the claims have."""
+    return claims.select("claim_id", *claim_level_columns(at), *(c for c in FLAGS if c in claims.columns))
+
+
+def claim_level_columns(at: str = "submission_date") -> list[Column]:
     doy, month = S.date_features(F.col("submission_date"))
-    return claims.select(
-        "claim_id", doy.alias(NUMERIC[0]), month.alias(NUMERIC[1]), S.age_years(F.col("date_of_birth"), F.col(at)).alias("patient_age"), S.gender_code(F.col("gender")).alias("gender"),
+    return [
+        doy.alias(NUMERIC[0]), month.alias(NUMERIC[1]), S.age_years(F.col("date_of_birth"), F.col(at)).alias("patient_age"), S.gender_code(F.col("gender")).alias("gender"),
         *S.one_hot(F.col("insurance_type"), S.INSURANCE_TYPES, INS), *S.one_hot(F.col("claim_type"), S.CLAIM_TYPES, TYP), *S.one_hot(F.col("admission_type"), S.ADMISSION_TYPES, ADM), *S.one_hot(F.col("admission_source"), S.ADMISSION_SOURCES, SRC),
-    )
+    ]
 
 
 def procedure_vector(claims: DataFrame, codes: DataFrame, procedures: DataFrame, length: int = PROCEDURES) -> DataFrame:
@@ -104,6 +113,39 @@ def payer(claims: DataFrame, era: DataFrame, contracts: DataFrame) -> DataFrame:
     return rows.select("claim_id", "payer_historical_denial_rate", "payer_historical_denial_rate_by_type", "days_since_last_payment", "payer_contract_stop_loss")
 
 
+def behaviour(claims: DataFrame, era: DataFrame, contracts: DataFrame, *more: Column) -> DataFrame:
+    """What provider() and payer() give, with ``more`` columns of the claims, by one day cube and one join of its cells to the claims."""
+    outcome, kind = F.col("adjudication_outcome"), F.coalesce(F.lower("claim_type"), F.lit(""))
+    number = lambda test: F.coalesce(test.cast("int"), F.lit(0))
+    counts = {
+        "known": number(outcome.isin("paid", "denied")), "denied": number(outcome == "denied"), "volume": F.lit(1),
+        "known_any": number(F.lower(outcome).isin("paid", "denied")), "denied_any": number(F.lower(outcome) == "denied"),
+    }
+    typed = claims.withColumn("_type", kind)
+    cells = trailing_cube(typed, {"all": (), "provider": ("provider_npi",), "payer": ("payer_name",), "type": ("payer_name", "_type")}, counts)
+    days = days_since_payment(cells.select("payer_name", "submission_date").distinct(), era)
+    days = any_interval(days, contracts, "payer_name", "submission_date", "stop_loss", "payer_contract_stop_loss")
+    days = days.select(F.col("payer_name").alias("_p"), F.col("submission_date").alias("_d"), "days_since_last_payment", "payer_contract_stop_loss")
+    cells = cells.join(days, F.col("payer_name").eqNullSafe(F.col("_p")) & F.col("submission_date").eqNullSafe(F.col("_d"))).drop("_p", "_d")
+    keys = ("provider_npi", "payer_name", "_type", "submission_date")
+    met = typed.join(cells.withColumnsRenamed({k: f"_cell_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_cell_{k}")) for k in keys])
+
+    def rate(name: str, suffix: str, least: int, default: float) -> tuple[Column, Column]:
+        """(own rate from ``least`` known claims on, else everyone's; everyone's)."""
+        share = lambda of: F.col(f"{of}_denied{suffix}").cast("double") / F.nullif(F.col(f"{of}_known{suffix}"), F.lit(0))
+        everyone = F.coalesce(share("all"), F.lit(default))
+        return F.when(F.col(f"{name}_known{suffix}") >= least, share(name)).otherwise(everyone), everyone
+
+    name = "provider_historical_denial_rate"
+    own, everyone = rate("provider", "", 30, 0.0)
+    met = met.withColumns({name: own, f"{name}_population": everyone, f"{name}_known": F.col("provider_known"), f"{name}_denied": F.col("provider_denied")})
+    return met.select(
+        "claim_id", *more, name, leave_one_out(name).alias("billing_provider_id_encoded"), F.coalesce("provider_volume", F.lit(0)).alias("provider_claim_volume"),
+        rate("payer", "_any", 50, 0.5)[0].alias("payer_historical_denial_rate"), rate("type", "_any", 50, 0.5)[0].alias("payer_historical_denial_rate_by_type"),
+        "days_since_last_payment", "payer_contract_stop_loss",
+    )
+
+
 def unknown_payers(claims: DataFrame, contracts: DataFrame) -> DataFrame:
     return claims.select("payer_name").distinct().join(contracts.select("payer_name"), "payer_name", "left_anti")
 
@@ -151,13 +193,14 @@ def impute(df: DataFrame, columns: tuple[str, ...] = NUMERIC) -> DataFrame:
 def feature_table(claims: DataFrame, era: DataFrame, contracts: DataFrame, *groups: DataFrame) -> DataFrame:
     """One wide row a claim of the claims view: all groups, joined by claim_id. What the view has ready is taken over.
 
+    The claims are read more than once, so hand in a stored frame of them.
+
     ``groups`` are more frames with a row a claim, as clinical() and provider_facility() give them; where they have a column
     that the view has ready, theirs is taken. With both, the table has all of NUMERIC.
     """
-    ready = claims.select("claim_id", "submission_date", "claim_status", "adjudication_outcome", "length_of_stay", "comorbidity_risk_score", "documents_medical_necessity", "mentions_lack_of_pre_auth")
-    ready = ready.drop(*(c for g in groups for c in g.columns if c != "claim_id"))
-    out = ready.join(claim_level(claims), "claim_id").join(provider(claims).drop("provider_npi"), "claim_id")
-    out = out.join(payer(claims, era, contracts), "claim_id")
+    ready = ("submission_date", "claim_status", "adjudication_outcome", "length_of_stay", "comorbidity_risk_score", "documents_medical_necessity", "mentions_lack_of_pre_auth", *FLAGS)
+    taken = {c for g in groups for c in g.columns if c != "claim_id"}
+    out = behaviour(claims, era, contracts, *(F.col(c) for c in ready if c in claims.columns and c not in taken), *claim_level_columns())
     for group in groups:
         out = out.join(group, "claim_id")
     return out

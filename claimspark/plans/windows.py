@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimspark.plans.views import cut
+
 DAYS = 90
 
 
@@ -46,6 +48,29 @@ def trailing_rate(claims: DataFrame, keys: list[str], least: int, default: float
     return rows.drop("_day", "_date", "population", *(f"_{k}" for k in keys))
 
 
+def trailing_cube(claims: DataFrame, sets: dict[str, tuple[str, ...]], counts: dict[str, Column], date: str = "submission_date", days: int = DAYS) -> DataFrame:
+    """(keys, date, {set}_{count}): for each combination of all keys and day with claims, the sums of ``counts`` over [date - days, date] by each set of keys.
+
+    Claims are summed by all keys and day once. From these cells come the sums by each set and day (grouping sets), one window
+    over all of them, and one row a cell with what its sets have; the empty set is everyone, and has a row a day. A cell
+    without a date has nulls. Cells and sums are stored, as each set reads them.
+    """
+    keys = list(dict.fromkeys(k for s in sets.values() for k in s))
+    cells = cut(claims.groupBy(*keys, date).agg(*(F.sum(c).alias(name) for name, c in counts.items())))
+    daily = cells.filter(F.col(date).isNotNull()).groupingSets([[*map(F.col, s), F.col(date)] for s in sets.values()], *keys, date)
+    daily = daily.agg(F.grouping_id().alias("_set"), *(F.sum(F.col(c)).alias(f"_{c}") for c in counts))
+    over = Window.partitionBy("_set", *keys).orderBy(day_number(date)).rangeBetween(-days, 0)
+    sums = cut(daily.select("_set", *keys, date, *(F.sum(f"_{c}").over(over).alias(c) for c in counts)))
+    out = cells.drop(*counts)
+    for name, mine in sets.items():
+        number = sum(1 << (len(keys) - i) for i, k in enumerate(keys) if k not in mine)  # a bit for each key that is summed over
+        found = sums.filter(F.col("_set") == number).select(*(F.col(k).alias(f"_{k}") for k in mine), F.col(date).alias("_date"), *(F.col(c).alias(f"{name}_{c}") for c in counts))
+        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in mine] + [F.col(date) == F.col("_date")]
+        # without keys it has a row for each day of history
+        out = out.join(found if mine else F.broadcast(found), on, "left").drop("_date", *(f"_{k}" for k in mine))
+    return out
+
+
 def leave_one_out(name: str, least: int = 30, outcome: str = "adjudication_outcome") -> Column:
     """From trailing_rate() columns: the rate of the other claims where more than ``least`` are known, else the population's."""
     own_known = F.col(outcome).isin("paid", "denied").cast("int")

@@ -14,7 +14,7 @@ from claimspark.plans import exchange, intake, windows
 from claimspark.plans.joins import keyed_upsert, longest_prefix
 from claimspark.plans.oracle import analytics_sql
 from claimspark.plans.oracle_features import SQL
-from claimspark.plans.views import claims_view, shared_checkpoints, table
+from claimspark.plans.views import claims_view, cut, shared_checkpoints, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,10 +28,10 @@ def contracts(spark: SparkSession) -> DataFrame:
     return rows.select("payer_name", F.col("a").cast("date").alias("start"), F.col("b").cast("date").alias("end"), "stop_loss")
 
 
-def era(spark: SparkSession, sf_dir: str) -> DataFrame:
+def era(spark: SparkSession, sf_dir: str, claims: DataFrame | None = None) -> DataFrame:
     """Remittances: a line's payer is that of its order, its shipping date the payment date; returned lines are denied."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("date").alias("payment_date"), F.when(F.col("l_returnflag") == "R", "denied").otherwise("paid").alias("status"))
-    claims = claims_view(spark, sf_dir).select("claim_id", "payer_name")
+    claims = (claims_view(spark, sf_dir) if claims is None else claims).select("claim_id", "payer_name")
     return lines.withColumn("claim_id", F.concat(F.lit("CLM-"), F.col("l_orderkey").cast("string"))).join(claims, "claim_id").select("claim_id", "payer_name", "payment_date", "status")
 
 
@@ -120,10 +120,10 @@ def prefix_matches(spark, sf_dir):
     return longest_prefix(codes, "code", spark.createDataFrame(PREFIXES, "prefix string, weight int"))
 
 
-def provider_lookups(spark, sf_dir):
+def provider_lookups(spark, sf_dir, claims=None):
     taxonomy = spark.range(10).select(F.concat(F.lit("NPI-"), F.col("id").cast("string")).alias("npi"), F.when(F.col("id") < 3, F.concat(F.lit("T"), F.col("id").cast("string"))).when(F.col("id") == 3, F.lit("  ")).alias("code"))
     facility = spark.range(4).select(F.concat(F.lit("NPI-"), F.col("id").cast("string")).alias("npi"), (F.lit(100) + (F.col("id") / 2).cast("int")).alias("bed_size"))
-    return features.provider_facility(claims_view(spark, sf_dir), taxonomy, facility)
+    return features.provider_facility(claims_view(spark, sf_dir) if claims is None else claims, taxonomy, facility)
 
 
 def filtered_claims(spark, sf_dir):
@@ -202,7 +202,8 @@ def failure_streaks(spark, sf_dir):
 
 def feature_table(spark, sf_dir):
     """All 37 numeric features, the specialty and the procedure vector."""
-    return features.feature_table(claims_view(spark, sf_dir), era(spark, sf_dir), contracts(spark), clinical_features(spark, sf_dir), provider_lookups(spark, sf_dir))
+    claims = cut(claims_view(spark, sf_dir))
+    return features.feature_table(claims, era(spark, sf_dir, claims), contracts(spark), clinical_features(spark, sf_dir, claims), provider_lookups(spark, sf_dir, claims))
 
 
 def scored_claims(spark, sf_dir):
@@ -212,11 +213,12 @@ def scored_claims(spark, sf_dir):
     return scored.select("claim_id", F.round("predicted_denial_score", 6).alias("predicted_denial_score"), "score_quality_flag", "score_error")
 
 
-def clinical_features(spark, sf_dir):
+def clinical_features(spark, sf_dir, claims=None):
     """Brands as diagnoses, part numbers as procedures, the last shipping date as the discharge."""
     lines = _lines(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     per = lines.groupBy("claim_id").agg(F.collect_list("p_brand").alias("secondary_icd10_codes"), F.collect_list((F.col("l_partkey") % 40).cast("string")).alias("cpt_codes"), F.max(F.col("l_shipdate").cast("date")).alias("discharge_date"))
-    claims = claims_view(spark, sf_dir).select("claim_id", F.col("principal_icd10").alias("principal_icd10_code"), F.col("submission_date").alias("admission_date")).join(per, "claim_id", "left")
+    heads = (claims_view(spark, sf_dir) if claims is None else claims).select("claim_id", F.col("principal_icd10").alias("principal_icd10_code"), F.col("submission_date").alias("admission_date"))
+    claims = cut(heads.join(per, "claim_id", "left"))  # five steps read it
     brands = table(spark, sf_dir, "part").select(S.norm_icd10(F.col("p_brand")).alias("icd10")).distinct()
     ccs = brands.withColumn("category", F.substring("icd10", 7, 9).cast("int") % 12).filter("category % 2 = 0")
     cpt = spark.range(30).select(F.col("id").cast("string").alias("cpt"), F.col("id").cast("int").alias("idx"))
