@@ -40,20 +40,32 @@ def claim_level_columns(at: str = "submission_date") -> list[Column]:
     ]
 
 
+def procedure_sets(codes: DataFrame, procedures: DataFrame, length: int = PROCEDURES) -> DataFrame:
+    """(claim_id, _set): the indices below ``length`` that codes of the claim have. codes: claim_id, cpt."""
+    known = procedures.filter(F.col("idx").between(0, length - 1))
+    return codes.select("claim_id", S.utrim0(F.col("cpt")).alias("cpt")).join(known, "cpt").groupBy("claim_id").agg(F.collect_set("idx").alias("_set"))
+
+
+def vector_of(indices: str, length: int = PROCEDURES) -> Column:
+    """A bit for each number below ``length``: whether it is among the indices."""
+    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.array_contains(indices, i), F.lit(False)).cast("int"))
+
+
 def procedure_vector(claims: DataFrame, codes: DataFrame, procedures: DataFrame, length: int = PROCEDURES) -> DataFrame:
     """(claim_id, procedure_vector): a bit for each index that any code of the claim has. codes: claim_id, cpt."""
-    known = procedures.filter(F.col("idx").between(0, length - 1))
-    bits = codes.select("claim_id", S.utrim0(F.col("cpt")).alias("cpt")).join(known, "cpt").groupBy("claim_id").agg(F.collect_set("idx").alias("_set"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.array_contains("_set", i), F.lit(False)).cast("int"))
-    return claims.select("claim_id").join(bits, "claim_id", "left").select("claim_id", vector.alias("procedure_vector"))
+    return claims.select("claim_id").join(procedure_sets(codes, procedures, length), "claim_id", "left").select("claim_id", vector_of("_set", length).alias("procedure_vector"))
 
 
 def comorbidity(claims: DataFrame, diagnoses: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(claim_id, comorbidity_risk_score): weights of the distinct longest prefixes. diagnoses: claim_id, code."""
+    return claims.select("claim_id").join(comorbidity_totals(diagnoses, prefixes), "claim_id", "left").select("claim_id", F.coalesce("_w", F.lit(0)).alias("comorbidity_risk_score"))
+
+
+def comorbidity_totals(diagnoses: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(claim_id, _w) of the claims that have a listed prefix. Distinct codes are matched once, not once a claim."""
     codes = diagnoses.select("claim_id", S.norm_icd10(F.col("code")).alias("code")).filter("code is not null").distinct()
-    found = longest_prefix(codes, "code", prefixes).select("claim_id", "prefix", "weight").distinct()
-    total = found.groupBy("claim_id").agg(F.sum("weight").cast("int").alias("_w"))
-    return claims.select("claim_id").join(total, "claim_id", "left").select("claim_id", F.coalesce("_w", F.lit(0)).alias("comorbidity_risk_score"))
+    matched = longest_prefix(codes.select("code").distinct(), "code", prefixes)
+    return codes.join(matched, "code").select("claim_id", "prefix", "weight").distinct().groupBy("claim_id").agg(F.sum("weight").cast("int").alias("_w"))
 
 
 def clinical(claims: DataFrame, ccs: DataFrame, procedures: DataFrame, prefixes: DataFrame, expected: DataFrame) -> DataFrame:
@@ -62,9 +74,13 @@ def clinical(claims: DataFrame, ccs: DataFrame, procedures: DataFrame, prefixes:
     secondary = claims.select("claim_id", F.explode("secondary_icd10_codes").alias("code"))
     base = claims.select("claim_id", S.norm_icd10(F.col("principal_icd10_code")).alias("icd10"), S.size0(F.col("secondary_icd10_codes")).alias("secondary_dx_count"), S.length_of_stay(F.col("admission_date"), F.col("discharge_date")).alias("length_of_stay"))
     rows = base.join(ccs, "icd10", "left").withColumn("category", F.coalesce("category", F.lit(0)))
-    rows = rows.join(procedure_vector(claims, codes, procedures), "claim_id").join(comorbidity(claims, secondary, prefixes), "claim_id").join(expected, "category", "left")
-    met = F.exists("indices", lambda i: F.get("procedure_vector", i) == 1)
-    return rows.select("claim_id", F.col("category").alias("principal_dx_ccs_category"), "secondary_dx_count", "length_of_stay", "comorbidity_risk_score", "procedure_vector", F.when(F.col("indices").isNotNull() & ~met, 1).otherwise(0).alias("diagnosis_procedure_mismatch"))
+    # the few indices of a claim go through the joins, the long vector is made of them at the end
+    rows = rows.join(procedure_sets(codes, procedures), "claim_id", "left").join(comorbidity_totals(secondary, prefixes), "claim_id", "left").join(expected, "category", "left")
+    met = F.coalesce(F.arrays_overlap("indices", "_set"), F.lit(False))
+    return rows.select(
+        "claim_id", F.col("category").alias("principal_dx_ccs_category"), "secondary_dx_count", "length_of_stay", F.coalesce("_w", F.lit(0)).alias("comorbidity_risk_score"),
+        vector_of("_set").alias("procedure_vector"), F.when(F.col("indices").isNotNull() & ~met, 1).otherwise(0).alias("diagnosis_procedure_mismatch"),
+    )
 
 
 def specialty(npi: DataFrame, taxonomy: DataFrame) -> DataFrame:
