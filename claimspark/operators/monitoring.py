@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.scalars import alert_tier
-from claimspark.plans.windows import day_number
+from claimspark.plans.windows import day_number, in_order, running
 
 KNOWN = "adjudication_outcome in ('denied', 'paid')"
 
@@ -24,32 +24,28 @@ def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label"
     return rows.withColumn("f1", F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0)))
 
 
-def _curve(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """For each distinct score its positives and negatives, and those with a higher or equal score; one row a distinct score.
+def _curve(scored: DataFrame, score: str, label: str, by: tuple[str, ...]) -> DataFrame:
+    """For each distinct score of ``by`` its positives and negatives, and those with a higher or equal score; one row a distinct score.
 
-    Sums run within ranges of the score (4,096 in [0, 1]) and the ranges' totals give each its start, so that no task meets all scores.
+    Distinct scores lie in stretches of their order, about as many in each, wherever in [0, 1] they are; sums run within these,
+    and the stretches' totals give each its start.
     """
-    per = scored.filter(F.col(label).isin(0, 1)).groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
-    per = per.withColumn("_range", F.when(F.col("s").isNull(), -1).otherwise(F.floor(F.greatest(F.least("s", F.lit(1.0)), F.lit(0.0)) * 4096)))
-    above = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    totals = per.groupBy("_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    starts = totals.select(F.col("_range").alias("_r"), *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("_p", "_n")))
-    down = Window.partitionBy("_range").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = per.join(F.broadcast(starts), F.col("_range") == F.col("_r"))  # a row for each of 4,098 ranges at most
-    return rows.select("s", "pos", "neg", (F.sum("pos").over(down) + F.col("_p")).alias("pos_up"), (F.sum("neg").over(down) + F.col("_n")).alias("neg_up"))
-
-
-def auc_roc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Ties count half; 0 with one class only."""
+    per = scored.filter(F.col(label).isin(0, 1)).groupBy(*by, F.col(score).alias("s")).agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
+    rows = in_order(per, [*(F.col(b).asc() for b in by), F.col("s").desc_nulls_last()])
+    return running(rows, {"pos_up": F.col("pos"), "neg_up": F.col("neg")}, by)
+
+
+def auc_roc(scored: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    """Ties count half; 0 with one class only. One row, or one for each value of ``by``."""
     area = F.sum(F.col("neg") * ((F.col("pos_up") - F.col("pos")).cast("double") + F.col("pos") / F.lit(2.0)))
-    return _curve(scored, score, label).agg(F.coalesce(area / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0)), F.lit(0.0)).alias("auc_roc"))
+    return _curve(scored, score, label, by).groupBy(*by).agg(F.coalesce(area / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0)), F.lit(0.0)).alias("auc_roc"))
 
 
-def average_precision(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """The step sum of precision over the gains in recall; 0 with one class only."""
+def average_precision(scored: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    """The step sum of precision over the gains in recall; 0 with one class only. One row, or one for each value of ``by``."""
     precision = F.col("pos_up").cast("double") / (F.col("pos_up") + F.col("neg_up"))
     area = F.when(F.sum("neg") > 0, F.sum(F.col("pos") * precision) / F.nullif(F.sum("pos"), F.lit(0)))
-    return _curve(scored, score, label).agg(F.coalesce(area, F.lit(0.0)).alias("auc_pr"))
+    return _curve(scored, score, label, by).groupBy(*by).agg(F.coalesce(area, F.lit(0.0)).alias("auc_pr"))
 
 
 def ece(scored: DataFrame, score: str = "score", label: str = "label", bins: int = 10) -> DataFrame:

@@ -11,17 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.scalars import PRIOR_AUTH, necessity_score, phrase_flag
+from claimspark.plans.windows import in_order, running
 
 TOKENS = 10_000
 DIMENSION = 768
 
 
 def prepare_notes(notes: DataFrame, key: str, order: list[str], text: str = "text", most: int = TOKENS) -> DataFrame:
-    """(key, text): the notes of a key in order, blank ones left out, cut to ``most`` tokens joined by one space."""
-    rows = notes.filter(F.col(text).rlike(r"\S")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("_n"))
-    whole = F.concat_ws(" ", F.transform("_n", lambda n: n[text]))
-    tokens = F.filter(F.split(whole, r"\s+"), lambda t: t != "")
-    return rows.select(key, F.concat_ws(" ", F.slice(tokens, 1, most)).alias(text))
+    """(key, text): the notes of a key in order, blank ones left out, cut to ``most`` tokens joined by one space.
+
+    Tokens are counted along each key's notes first, in stretches of the whole order and over these, and notes that begin beyond
+    the cut are dropped where they are; so at most ``most`` notes of a key are gathered, and a key of any size is spread.
+    """
+    tokens = F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")
+    rows = notes.filter(F.col(text).rlike(r"\S")).select(key, *order, F.col(text).alias("_sort"), F.slice(tokens, 1, most).alias("_tokens"))
+    rows = in_order(rows, [F.col(key), *map(F.col, order), F.col("_sort")])
+    early = running(rows, {"_before": F.size("_tokens")}, (key,), include=False).filter(F.col("_before") < most)
+    kept = early.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_part", "_at", "_tokens"))).alias("_n"))
+    return kept.select(key, F.concat_ws(" ", F.slice(F.flatten(F.transform("_n", lambda n: n["_tokens"])), 1, most)).alias(text))
 
 
 def hash_encoder(dimension: int = DIMENSION) -> Callable[[str], np.ndarray]:

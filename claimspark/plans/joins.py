@@ -9,25 +9,36 @@ from pyspark.sql import functions as F
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, value: Column, name: str, strict: bool) -> DataFrame:
     """left with ``name``: ``value`` of the latest right row of the same keys before left_date (or on it, unless strict).
 
-    Both sides are stacked and sorted once by key and date; right rows of one key and date must be reduced to one before.
-    Null keys or dates match nothing.
+    The distinct keys and dates of left are stacked with the right rows and sorted once by key and date, so a key has two rows a
+    date there however many rows it has, and what is found is joined back by key and date: one key's rows are spread by date.
+    Right rows of one key and date must be reduced to one before. Null keys or dates match nothing.
     """
-    order = F.lit(1) if strict else F.lit(-1)
-    rows = left.select(F.struct("*").alias("_row"), *(F.col(k).alias(f"_{k}") for k in keys), F.col(left_date).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(right.select(value).schema[0].dataType).alias("_value"))
-    marks = right.filter(F.col(right_date).isNotNull()).select(F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"), *(F.col(k).alias(f"_{k}") for k in keys), F.col(right_date).alias("_at"), order.alias("_side"), value.alias("_value"))
-    over = Window.partitionBy(*(f"_{k}" for k in keys)).orderBy(F.col("_at"), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.unionByName(marks).withColumn(name, F.last("_value", ignorenulls=True).over(over)).filter(F.col("_row").isNotNull())
-    usable = F.col("_at").isNotNull()
-    for k in keys:
-        usable = usable & F.col(f"_{k}").isNotNull()
-    return found.select("_row.*", F.when(usable, F.col(name)).alias(name))
+    ends = [*(f"_{k}" for k in keys), "_at"]
+    named = lambda df, date: df.filter(F.col(date).isNotNull()).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(date).alias("_at"), "*")
+    marks = named(right, right_date).select(*ends, F.lit(1 if strict else -1).alias("_side"), F.struct(value.alias("v")).alias("_value"))
+    asked = named(left, left_date).dropna(subset=ends).select(*ends).distinct()
+    rows = asked.select(*ends, F.lit(0).alias("_side"), F.lit(None).cast(marks.schema["_value"].dataType).alias("_value")).unionByName(marks)
+    over = Window.partitionBy(*ends[:-1]).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.col("_value")["v"], ignorenulls=True).over(over)
+    found = rows.withColumn("_found", last).filter("_side = 0").select(*ends, "_found")
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(left_date) == F.col("_at")]
+    return left.join(found, on, "left").withColumn(name, F.col("_found")).drop(*ends, "_found")
 
 
 def any_interval(left: DataFrame, ranges: DataFrame, key: str, date: str, flag: str, name: str) -> DataFrame:
-    """left with ``name``: 1 if any range of the key that covers the date, ends included and open ends allowed, has its flag."""
-    r = ranges.select(F.col(key).alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col(flag).alias("_flag"))
-    met = left.select(key, date).distinct().join(r, (F.col(key) == F.col("_key")) & (F.col("_start") <= F.col(date)) & (F.col("_end").isNull() | (F.col(date) <= F.col("_end"))))
-    hits = met.groupBy(F.col(key).alias("_key"), F.col(date).alias("_at")).agg(F.max(F.col("_flag").cast("int")).alias("_hit"))
+    """left with ``name``: 1 if any range of the key that covers the date, ends included and open ends allowed, has its flag.
+
+    A sweep line: each flagged range opens on its first day and closes on the day after its last; these changes, summed by key
+    and day, are stacked with the days asked for, and a running sum by key tells how many ranges are open. So a key has two
+    rows a day there, however many of its ranges overlap.
+    """
+    key_, at = F.col(key).alias("_key"), F.col(date).alias("_at")
+    flagged = ranges.filter(F.col(flag).cast("int") == 1).filter(F.col(key).isNotNull() & F.col("start").isNotNull() & (F.col("end").isNull() | (F.col("start") <= F.col("end"))))
+    opened, closed = flagged.select(key_, F.col("start").cast("date").alias("_at"), F.lit(1).alias("_change")), flagged.filter(F.col("end").isNotNull()).select(key_, F.date_add("end", 1).alias("_at"), F.lit(-1).alias("_change"))
+    changes = opened.unionAll(closed).groupBy("_key", "_at").agg(F.sum("_change").alias("_change"), F.lit(0).alias("_day"))
+    days = left.select(key_, at).distinct().dropna().select("_key", F.col("_at").cast("date").alias("_at"), F.lit(0).cast("long").alias("_change"), F.lit(1).alias("_day"))
+    open_ = F.sum("_change").over(Window.partitionBy("_key").orderBy("_at", "_day").rowsBetween(Window.unboundedPreceding, 0))
+    hits = changes.unionByName(days).withColumn("_open", open_).filter("_day = 1 and _open > 0").select("_key", "_at", F.lit(1).alias("_hit"))
     return left.join(hits, (F.col(key) == F.col("_key")) & (F.col(date) == F.col("_at")), "left").withColumn(name, F.coalesce("_hit", F.lit(0))).drop("_key", "_at", "_hit")
 
 

@@ -101,27 +101,53 @@ def leave_last_out(claims: DataFrame, key: str, order: list[str], anchor: str, l
     return per.crossJoin(F.broadcast(population)).select(key, rate.alias("rate"))
 
 
+def in_order(df: DataFrame, order: list[Column], rows_a_part: int = 500_000) -> DataFrame:
+    """df, stored in ``order``, with ``_part`` (its stretch of that order) and ``_at`` (its place in the stretch, from 0).
+
+    Spark samples the whole order, ties included, for stretches of about equal numbers of rows, so one value that most rows
+    share is spread like any other where the order goes on to a key. There are as many as the rows ask for, and no fewer than
+    shuffles have.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_a_part))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return cut(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+
+
+def running(rows: DataFrame, sums: dict[str, Column], by: tuple[str, ...] = (), include: bool = True) -> DataFrame:
+    """From in_order() rows: with the sums over all rows of the same ``by`` up to each one, or before it.
+
+    A scan in two levels: within a stretch, and over the totals of stretches, a row for each stretch and value of ``by`` in it.
+    """
+    names = {name: f"_sum_{name}" for name in sums}
+    within = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0 if include else -1)
+    before = Window.partitionBy(*(by or (F.lit(0),))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_part", *by).agg(*(F.sum(c).alias(names[n]) for n, c in sums.items()))
+    starts = totals.select(F.col("_part").alias("_p"), *(F.col(b).alias(f"_{b}") for b in by), *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in names.values()))
+    met = rows.join(starts, [F.col("_part") == F.col("_p"), *(F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by)])
+    return met.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(names[n]) for n, c in sums.items()}).drop("_p", *(f"_{b}" for b in by), *names.values())
+
+
 def global_rank(df: DataFrame, value: str, tie: str, descending: bool = False, ntiles: int | None = None, prefix: str = "") -> DataFrame:
     """df with ``prefix``percent_rank of ``value`` and, if asked for, ``prefix``ntile, ordered by ``value`` then ``tie`` over all rows.
 
-    Rows are numbered within ranges of the value; the ranges' counts give each its offset. Nulls of ``value`` come last.
+    Rows lie in stretches of the whole order, ties included, and the stretches' counts give each its offset. The rank of a value
+    is its least row; values that hold over 1/1024 of all rows (at most 1,024 of them) are sent to the rows, the others
+    joined. Nulls of ``value`` come last.
     """
-    # one row of 63 quantiles cuts the values into ranges of about equal numbers
-    edges = df.agg(F.array_distinct(F.coalesce(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 10_000), F.array().cast("array<double>"))).alias("_edges"))
     at = F.col(value)
-    bucket = F.size(F.filter("_edges", lambda e: e < at))
-    bucket = F.when(at.isNull(), 64).otherwise(-bucket if descending else bucket)
-    rows = df.crossJoin(F.broadcast(edges)).withColumn("_bucket", bucket).drop("_edges")
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = in_order(df, [at.desc_nulls_last() if descending else at.asc_nulls_last(), F.col(tie)])
+    counts = rows.groupBy("_part").count()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = rows.groupBy("_bucket").count().select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"), F.sum("count").over(everything).alias("_n"))
-    order = [at.desc_nulls_last() if descending else at.asc_nulls_last()]
-    within = Window.partitionBy("_bucket")
-    rows = rows.join(F.broadcast(offsets), F.col("_bucket") == F.col("_b"))  # a row for each of some 66 ranges
-    rows = rows.withColumns({"_rank": F.rank().over(within.orderBy(*order)) + F.col("_before"), "_row": F.row_number().over(within.orderBy(*order, F.col(tie))) + F.col("_before")})
+    offsets = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"), F.sum("count").over(everything).alias("_n"))
+    rows = rows.join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn("_row", F.col("_at") + F.col("_before") + 1)
+    values = cut(rows.groupBy(at.alias("_value")).agg(F.min("_row").alias("_rank"), F.count("*").alias("_same"), F.max("_n").alias("_all")))
+    many, same = F.col("_same") * 1024 > F.col("_all"), at.eqNullSafe(F.col("_value"))
+    hot, few = values.filter(many).select("_value", "_rank"), values.filter(~many).select("_value", "_rank")
+    rows = rows.join(F.broadcast(hot), same).unionByName(rows.join(F.broadcast(hot.select("_value")), same, "left_anti").join(few, same))
     out = {f"{prefix}percent_rank": F.when(F.col("_n") > 1, (F.col("_rank") - 1).cast("double") / (F.col("_n") - 1)).otherwise(F.lit(0.0))}
     if ntiles:
         small, extra, row = F.floor(F.col("_n") / ntiles), F.col("_n") % ntiles, F.col("_row") - 1
         head = extra * (small + 1)
         out[f"{prefix}ntile"] = F.when(row < head, F.floor(row / (small + 1)) + 1).otherwise(extra + F.floor((row - head) / F.greatest(small, F.lit(1))) + 1).cast("int")
-    return rows.withColumns(out).drop("_bucket", "_b", "_before", "_n", "_rank", "_row")
+    return rows.withColumns(out).drop("_part", "_at", "_p", "_before", "_n", "_row", "_value", "_rank")
