@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from claimspark.functions.scalars import clamp01
 from claimspark.operators.features import NUMERIC, impute, quality_flag
@@ -54,15 +53,14 @@ def score(claims: DataFrame, model: object, features: tuple[str, ...] = NUMERIC)
         raise PipelineBlockedError("no production model")
     rows = impute(claims.withColumn("score_quality_flag", quality_flag(features)), features).drop("predicted_denial_score", "score_error")
     sent = claims.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # any callable, lambdas too
-    schema = T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("score_error", T.StringType())])
-    names = list(features)
 
+    # of a wide row only the features go to Python and the score comes back
+    @F.pandas_udf("score double, error string")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = call_model(cloudpickle.loads(sent.value))
-        for batch in batches:
-            x = batch[names].astype(float)
+        for x in batches:
             try:
-                yield batch.assign(_score=predict(x).astype(float), score_error=None)
+                yield pd.DataFrame({"score": predict(x).astype(float), "error": None})
             except Exception:
                 found = []
                 for i in range(len(x)):
@@ -70,10 +68,22 @@ def score(claims: DataFrame, model: object, features: tuple[str, ...] = NUMERIC)
                         found.append((float(predict(x.iloc[i : i + 1]).iloc[0]), None))
                     except Exception as e:
                         found.append((None, str(e) or type(e).__name__))
-                yield batch.assign(_score=pd.array([s for s, _ in found], "Float64"), score_error=[e for _, e in found])
-
-    out = rows.mapInPandas(run, schema)
-    return out.withColumn("predicted_denial_score", F.when(F.col("_score").isNotNull(), clamp01(F.col("_score")))).drop("_score")
+                yield pd.DataFrame({"score": pd.array([s for s, _ in found], "Float64"), "error": [e for _, e in found]})
+
+    out = rows.withColumn("_s", run(F.struct(*(F.col(c).cast("double").alias(c) for c in features))))
+    score = F.nanvl(F.col("_s.score"), F.lit(None).cast("double"))
+    return out.withColumns({"score_error": F.col("_s.error"), "predicted_denial_score": F.when(score.isNotNull(), clamp01(score))}).drop("_s")
+
+
+def run_record(store: DataFrame, model: object, features: tuple[str, ...] = NUMERIC) -> DataFrame:
+    """One row about a scoring run over the active claims: ``status`` blocked without a model, else done; active, scored, degraded, failed."""
+    claims = active(store)
+    try:
+        scored, status = score(claims, model, features), "done"
+    except PipelineBlockedError:
+        nothing = {"predicted_denial_score": F.lit(None).cast("double"), "score_quality_flag": F.lit(None).cast("string")}
+        return run_stats(claims.withColumns(nothing)).select(F.lit("blocked").alias("status"), "active", "scored", "degraded", F.lit(0).cast("long").alias("failed"))
+    return run_stats(scored).select(F.lit(status).alias("status"), "active", "scored", "degraded", "failed")
 
 
 def linear_score(claims: DataFrame, weights: dict[str, float]) -> DataFrame:

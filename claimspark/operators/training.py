@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.scalars import gate_stage
-from claimspark.operators.features import impute
+from claimspark.operators.features import NUMERIC, impute
 from claimspark.operators.monitoring import auc_roc, average_precision, binary_metrics, ece
 from claimspark.plans.views import cut
 
@@ -34,12 +34,20 @@ def labelled(df: DataFrame, outcome: str = "adjudication_outcome") -> DataFrame:
 
 def select_window(df: DataFrame, as_of: str, min_records: int = 1000, days: int = 90, wide: int = 180) -> DataFrame:
     """Labelled rows of the window, widened when it has fewer than min_records; InsufficientDataError if that isn't enough."""
-    rows = labelled(df)
-    count = lambda d: F.sum(F.when(in_window(as_of, d), 1).otherwise(0))
-    near, far = rows.agg(F.coalesce(count(days), F.lit(0)), F.coalesce(count(wide), F.lit(0))).first()
-    if far < min_records:
-        raise InsufficientDataError(f"{far} labelled rows in {wide} days, {min_records} needed")
-    return rows.filter(in_window(as_of, days if near >= min_records else wide))
+    found = window_record(df, as_of, min_records, days, wide).first()
+    if found["halted"]:
+        raise InsufficientDataError(f"{found['far']} labelled rows in {wide} days, {min_records} needed")
+    return labelled(df).filter(in_window(as_of, found["days"]))
+
+
+def window_record(df: DataFrame, as_of: str, min_records: int = 1000, days: int = 90, wide: int = 180, outcome: str = "adjudication_outcome") -> DataFrame:
+    """One row, what select_window() goes by: ``near`` and ``far`` labelled rows of both windows, ``excluded`` rows of the wide one
+    that have no label, the ``days`` of the window chosen (null if none), and whether training is ``halted``."""
+    known = F.col(outcome).isin("denied", "paid")
+    number = lambda test: F.coalesce(F.sum(F.when(test, 1).otherwise(0)), F.lit(0)).cast("long")
+    rows = df.agg(number(in_window(as_of, days) & known).alias("near"), number(in_window(as_of, wide) & known).alias("far"), number(in_window(as_of, wide) & ~F.coalesce(known, F.lit(False))).alias("excluded"))
+    chosen = F.when(F.col("near") >= min_records, days).when(F.col("far") >= min_records, wide)
+    return rows.withColumns({"days": chosen, "halted": chosen.isNull()})
 
 
 def _cuts(df: DataFrame, at: dict[str, Column], date: str) -> DataFrame:
@@ -73,10 +81,20 @@ def class_weight(df: DataFrame) -> DataFrame:
     return rows.select("denied", "n", F.when((share > 0) & (share < 0.05), (F.col("n") - F.col("denied")).cast("double") / F.col("denied")).otherwise(F.lit(1.0)).alias("weight"))
 
 
+def assembler(features: list[str] | tuple[str, ...] = NUMERIC, output: str = "_features") -> VectorAssembler:
+    """The stage that makes one vector of the features, in their order; nulls become NaN."""
+    return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="keep")
+
+
+def assemble(df: DataFrame, features: list[str] | tuple[str, ...] = NUMERIC, output: str = "features") -> DataFrame:
+    """df with the vector of its features, nulls as 0."""
+    return assembler(features, output).transform(impute(df, tuple(features)))
+
+
 def fit(train: DataFrame, features: list[str], weight: float = 1.0, **params) -> PipelineModel:  # noqa: ANN003
     rows = train.withColumn("_weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
     trees = GBTClassifier(labelCol="label", featuresCol="_features", weightCol="_weight", seed=7, **params)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep"), trees]).fit(rows)
+    return Pipeline(stages=[assembler(features), trees]).fit(rows)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from claimspark.functions import scalars as S
 from claimspark.operators import analytics, features, monitoring, notes, scoring, training
-from claimspark.plans import exchange, intake, windows
+from claimspark.plans import exchange, intake, models, windows
 from claimspark.plans.joins import keyed_upsert, longest_prefix
 from claimspark.plans.oracle import analytics_sql
-from claimspark.plans.oracle_features import SQL
+from claimspark.plans.oracle_features import NUMERIC, SQL
 from claimspark.plans.views import claims_view, cut, shared_checkpoints, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,11 +264,9 @@ def run_health(spark, sf_dir):
 
 
 def training_run(spark, sf_dir):
-    """Test metrics and gate of a model of the feature table, with set parameters instead of a search."""
+    """Test metrics and gate of a model of all features, with set parameters instead of a search."""
     shared_checkpoints(spark)
-    columns = ["claim_submission_date_doy", "patient_age", "gender", "provider_historical_denial_rate", "payer_historical_denial_rate", "days_since_last_payment", "comorbidity_risk_score", "documents_medical_necessity", "mentions_lack_of_pre_auth"]
-    rows = feature_table(spark, sf_dir)
-    return training.run_training(rows, columns, "1995-07-31", min_records=20, params={"maxDepth": 3, "maxIter": 5}).metrics
+    return training.run_training(feature_table(spark, sf_dir), list(NUMERIC), "1995-07-31", min_records=20, params={"maxDepth": 3, "maxIter": 5}).metrics
 
 
 MORE = (
@@ -284,8 +282,11 @@ def _over_claims(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _over_claims(f) for f in analytics.QUERIES} | {f.__name__: f for f in (*MORE, *intake.QUERIES, *exchange.QUERIES)}
+    over_features = {f.__name__: lambda spark, sf_dir, f=f: f(feature_table(spark, sf_dir)) for f in models.OVER_FEATURES}
+    return {f.__name__: _over_claims(f) for f in analytics.QUERIES} | {f.__name__: f for f in (*MORE, *intake.QUERIES, *exchange.QUERIES, *models.QUERIES)} | over_features
 
 
 def oracle_sql() -> dict[str, str]:
-    return analytics_sql() | SQL | intake.SQL | exchange.SQL
+    places = " + ".join(f"coalesce(CAST({c} AS DOUBLE), 0) * {i}" for i, c in enumerate(NUMERIC))
+    vectors = f"SELECT claim_id, CAST({len(NUMERIC)} AS INTEGER) AS n, round(({places}) / 4096, 6) AS total FROM ({SQL['feature_table']}) t"
+    return analytics_sql() | SQL | intake.SQL | exchange.SQL | models.SQL | {"scored_by_probability": SQL["scored_claims"], "assembled_vectors": vectors}
