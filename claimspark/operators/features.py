@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimspark.functions import scalars as S
 from claimspark.functions.reference import PROCEDURES
 from claimspark.plans.joins import any_interval, asof, keyed_upsert, longest_prefix
+from claimspark.plans.views import cut
 from claimspark.plans.windows import leave_one_out, trailing_cube, trailing_rate
 
 # The names of the features.
@@ -129,22 +130,24 @@ def payer(claims: DataFrame, era: DataFrame, contracts: DataFrame) -> DataFrame:
     return rows.select("claim_id", "payer_historical_denial_rate", "payer_historical_denial_rate_by_type", "days_since_last_payment", "payer_contract_stop_loss")
 
 
+#: Tables of at most so many rows are sent to all tasks.
+SEND_ROWS = 200_000
+
+
 def behaviour(claims: DataFrame, era: DataFrame, contracts: DataFrame, *more: Column) -> DataFrame:
-    """What provider() and payer() give, with ``more`` columns of the claims, by one day cube and one join of its cells to the claims."""
+    """What provider() and payer() give, with ``more`` columns of the claims, by one day cube."""
     outcome, kind = F.col("adjudication_outcome"), F.coalesce(F.lower("claim_type"), F.lit(""))
     number = lambda test: F.coalesce(test.cast("int"), F.lit(0))
     counts = {
         "known": number(outcome.isin("paid", "denied")), "denied": number(outcome == "denied"), "volume": F.lit(1),
         "known_any": number(F.lower(outcome).isin("paid", "denied")), "denied_any": number(F.lower(outcome) == "denied"),
     }
-    typed = claims.withColumn("_type", kind)
-    cells = trailing_cube(typed, {"all": (), "provider": ("provider_npi",), "payer": ("payer_name",), "type": ("payer_name", "_type")}, counts)
-    days = days_since_payment(cells.select("payer_name", "submission_date").distinct(), era)
-    days = any_interval(days, contracts, "payer_name", "submission_date", "stop_loss", "payer_contract_stop_loss")
-    days = days.select(F.col("payer_name").alias("_p"), F.col("submission_date").alias("_d"), "days_since_last_payment", "payer_contract_stop_loss")
-    cells = cells.join(days, F.col("payer_name").eqNullSafe(F.col("_p")) & F.col("submission_date").eqNullSafe(F.col("_d"))).drop("_p", "_d")
-    keys = ("provider_npi", "payer_name", "_type", "submission_date")
-    met = typed.join(cells.withColumnsRenamed({k: f"_cell_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_cell_{k}")) for k in keys])
+    met = trailing_cube(claims.withColumn("_type", kind), {"all": (), "provider": ("provider_npi",), "payer": ("payer_name",), "type": ("payer_name", "_type")}, counts)
+    days = cut(claims.select("payer_name", "submission_date").distinct())  # a row for each payer and day
+    found = cut(any_interval(days_since_payment(days, era), contracts, "payer_name", "submission_date", "stop_loss", "payer_contract_stop_loss"))
+    found = found.select(F.col("payer_name").alias("_p"), F.col("submission_date").alias("_d"), "days_since_last_payment", "payer_contract_stop_loss")
+    found = F.broadcast(found) if found.count() <= SEND_ROWS else found
+    met = met.join(found, F.col("payer_name").eqNullSafe(F.col("_p")) & F.col("submission_date").eqNullSafe(F.col("_d")))
 
     def rate(name: str, suffix: str, least: int, default: float) -> tuple[Column, Column]:
         """(own rate from ``least`` known claims on, else everyone's; everyone's)."""

@@ -48,12 +48,12 @@ def trailing_rate(claims: DataFrame, keys: list[str], least: int, default: float
     return rows.drop("_day", "_date", "population", *(f"_{k}" for k in keys))
 
 
-def trailing_cube(claims: DataFrame, sets: dict[str, tuple[str, ...]], counts: dict[str, Column], date: str = "submission_date", days: int = DAYS) -> DataFrame:
-    """(keys, date, {set}_{count}): for each combination of all keys and day with claims, the sums of ``counts`` over [date - days, date] by each set of keys.
+def trailing_cube(claims: DataFrame, sets: dict[str, tuple[str, ...]], counts: dict[str, Column], date: str = "submission_date", days: int = DAYS, send_rows: int = 200_000) -> DataFrame:
+    """claims with {set}_{count}: for each set of keys the sums of ``counts`` over [date - days, date]; the empty set is everyone.
 
-    Claims are summed by all keys and day once. From these cells come the sums by each set and day (grouping sets), one window
-    over all of them, and one row a cell with what its sets have; the empty set is everyone, and has a row a day. A cell
-    without a date has nulls. Cells and sums are stored, as each set reads them.
+    Claims are summed by all keys and day once. From these cells come the sums by each set and day (grouping sets), and one
+    window over all of them. Sets with at most ``send_rows`` keys and days are sent to the claims; where one has more, all sets
+    are joined to the cells, and these once to the claims. A claim without a date has nulls.
     """
     keys = list(dict.fromkeys(k for s in sets.values() for k in s))
     cells = cut(claims.groupBy(*keys, date).agg(*(F.sum(c).alias(name) for name, c in counts.items())))
@@ -61,14 +61,19 @@ def trailing_cube(claims: DataFrame, sets: dict[str, tuple[str, ...]], counts: d
     daily = daily.agg(F.grouping_id().alias("_set"), *(F.sum(F.col(c)).alias(f"_{c}") for c in counts))
     over = Window.partitionBy("_set", *keys).orderBy(day_number(date)).rangeBetween(-days, 0)
     sums = cut(daily.select("_set", *keys, date, *(F.sum(f"_{c}").over(over).alias(c) for c in counts)))
-    out = cells.drop(*counts)
+    sizes = {r["_set"]: r["count"] for r in sums.groupBy("_set").count().collect()}  # a row for each set
+    small = max(sizes.values(), default=0) <= send_rows
+    out = claims if small else cells.drop(*counts)
     for name, mine in sets.items():
         number = sum(1 << (len(keys) - i) for i, k in enumerate(keys) if k not in mine)  # a bit for each key that is summed over
         found = sums.filter(F.col("_set") == number).select(*(F.col(k).alias(f"_{k}") for k in mine), F.col(date).alias("_date"), *(F.col(c).alias(f"{name}_{c}") for c in counts))
         on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in mine] + [F.col(date) == F.col("_date")]
-        # without keys it has a row for each day of history
-        out = out.join(found if mine else F.broadcast(found), on, "left").drop("_date", *(f"_{k}" for k in mine))
-    return out
+        out = out.join(F.broadcast(found) if sizes.get(number, 0) <= send_rows else found, on, "left").drop("_date", *(f"_{k}" for k in mine))
+    if small:
+        return out
+    ends = [*keys, date]
+    named = out.withColumnsRenamed({k: f"_{k}" for k in ends})
+    return claims.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ends]).drop(*(f"_{k}" for k in ends))
 
 
 def leave_one_out(name: str, least: int = 30, outcome: str = "adjudication_outcome") -> Column:
@@ -131,23 +136,23 @@ def global_rank(df: DataFrame, value: str, tie: str, descending: bool = False, n
     """df with ``prefix``percent_rank of ``value`` and, if asked for, ``prefix``ntile, ordered by ``value`` then ``tie`` over all rows.
 
     Rows lie in stretches of the whole order, ties included, and the stretches' counts give each its offset. The rank of a value
-    is its least row; values that hold over 1/1024 of all rows (at most 1,024 of them) are sent to the rows, the others
-    joined. Nulls of ``value`` come last.
+    is its least row: that of its rows in the stretch, or, for the first value of a stretch, which may have begun before,
+    that of all its rows; there are no more of these than stretches. Nulls of ``value`` come last.
     """
     at = F.col(value)
     rows = in_order(df, [at.desc_nulls_last() if descending else at.asc_nulls_last(), F.col(tie)])
-    counts = rows.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"), F.sum("count").over(everything).alias("_n"))
+    totals = cut(rows.groupBy("_part").agg(F.count("*").alias("count"), F.min_by(F.struct(at.alias("v")), "_at").alias("first")))
+    offsets = totals.select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"), F.sum("count").over(everything).alias("_n"))
     rows = rows.join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn("_row", F.col("_at") + F.col("_before") + 1)
-    values = cut(rows.groupBy(at.alias("_value")).agg(F.min("_row").alias("_rank"), F.count("*").alias("_same"), F.max("_n").alias("_all")))
-    many, same = F.col("_same") * 1024 > F.col("_all"), at.eqNullSafe(F.col("_value"))
-    hot, few = values.filter(many).select("_value", "_rank"), values.filter(~many).select("_value", "_rank")
-    rows = rows.join(F.broadcast(hot), same).unionByName(rows.join(F.broadcast(hot.select("_value")), same, "left_anti").join(few, same))
+    firsts = totals.select(F.col("first.v").alias("_value")).distinct()
+    long = rows.join(F.broadcast(firsts), at.eqNullSafe(F.col("_value"))).groupBy("_value").agg(F.min("_row").alias("_begin"))
+    rows = rows.withColumn("_least", F.min("_row").over(Window.partitionBy("_part", value)))
+    rows = rows.join(F.broadcast(long), at.eqNullSafe(F.col("_value")), "left").withColumn("_rank", F.coalesce("_begin", "_least"))
     out = {f"{prefix}percent_rank": F.when(F.col("_n") > 1, (F.col("_rank") - 1).cast("double") / (F.col("_n") - 1)).otherwise(F.lit(0.0))}
     if ntiles:
         small, extra, row = F.floor(F.col("_n") / ntiles), F.col("_n") % ntiles, F.col("_row") - 1
         head = extra * (small + 1)
         out[f"{prefix}ntile"] = F.when(row < head, F.floor(row / (small + 1)) + 1).otherwise(extra + F.floor((row - head) / F.greatest(small, F.lit(1))) + 1).cast("int")
-    return rows.withColumns(out).drop("_part", "_at", "_p", "_before", "_n", "_row", "_value", "_rank")
+    return rows.withColumns(out).drop("_part", "_at", "_p", "_before", "_n", "_row", "_value", "_begin", "_least", "_rank")

@@ -117,3 +117,19 @@ def test_importance_is_one_pass(spark):
             assert all(r[c] == (base[before] if c == r["feature"] else base[r["id"]])[c] for c in names)
     found = {r["feature"]: r["importance"] for r in training.importance_of(training.exchanged(rows, names, F.col("id") % 3, F.col("id")).withColumn("score", F.col("a"))).collect()}
     assert found["a"] > 0.2 and found["b"] == found["c"] == 0.0
+
+
+def test_trailing_sums_of_several_keys(spark):
+    draw = random.Random(6)
+    rows = [(i, draw.choice("ab") if i % 7 else None, draw.choice("xyz"), day(draw.randrange(200)) if i % 31 else None, draw.randrange(3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, p string, q string, submission_date date, n int")
+    sets = {"all": (), "p": ("p",), "pq": ("p", "q")}
+    within = lambda a, b: a and b and 0 <= (a - b).days <= 90
+    want = {}
+    for i, p, q, d, _ in rows:
+        near = [r for r in rows if within(d, r[3])]
+        same = {"all": near, "p": [r for r in near if r[1] == p], "pq": [r for r in near if (r[1], r[2]) == (p, q)]}
+        want[i] = tuple(sum(r[4] for r in x) if d else None for x in same.values())
+    for send in (200_000, 10):
+        found = windows.trailing_cube(df, sets, {"n_sum": F.col("n")}, send_rows=send)
+        assert {r["id"]: tuple(r[f"{s}_n_sum"] for s in sets) for r in found.collect()} == want
