@@ -71,12 +71,18 @@ def comorbidity_totals(diagnoses: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def clinical(claims: DataFrame, ccs: DataFrame, procedures: DataFrame, prefixes: DataFrame, expected: DataFrame) -> DataFrame:
     """claims: claim_id, principal_icd10_code, secondary_icd10_codes, cpt_codes, admission_date, discharge_date."""
-    codes = claims.select("claim_id", F.explode("cpt_codes").alias("cpt"))
     secondary = claims.select("claim_id", F.explode("secondary_icd10_codes").alias("code"))
-    base = claims.select("claim_id", S.norm_icd10(F.col("principal_icd10_code")).alias("icd10"), S.size0(F.col("secondary_icd10_codes")).alias("secondary_dx_count"), S.length_of_stay(F.col("admission_date"), F.col("discharge_date")).alias("length_of_stay"))
+    # one row of the reference table: the indices of each code
+    known = procedures.filter(F.col("cpt").isNotNull() & F.col("idx").between(0, PROCEDURES - 1)).groupBy("cpt").agg(F.collect_set("idx").alias("i"))
+    known = known.agg(F.map_from_entries(F.collect_list(F.struct("cpt", "i"))).alias("_known"))
+    own = F.array_distinct(F.flatten(F.array_compact(F.transform("cpt_codes", lambda c: F.try_element_at("_known", S.utrim0(c))))))
+    base = claims.crossJoin(F.broadcast(known)).select(
+        "claim_id", S.norm_icd10(F.col("principal_icd10_code")).alias("icd10"), S.size0(F.col("secondary_icd10_codes")).alias("secondary_dx_count"),
+        S.length_of_stay(F.col("admission_date"), F.col("discharge_date")).alias("length_of_stay"), own.alias("_set"),
+    )
     rows = base.join(ccs, "icd10", "left").withColumn("category", F.coalesce("category", F.lit(0)))
     # the few indices of a claim go through the joins, the long vector is made of them at the end
-    rows = rows.join(procedure_sets(codes, procedures), "claim_id", "left").join(comorbidity_totals(secondary, prefixes), "claim_id", "left").join(expected, "category", "left")
+    rows = rows.join(comorbidity_totals(secondary, prefixes), "claim_id", "left").join(expected, "category", "left")
     met = F.coalesce(F.arrays_overlap("indices", "_set"), F.lit(False))
     return rows.select(
         "claim_id", F.col("category").alias("principal_dx_ccs_category"), "secondary_dx_count", "length_of_stay", F.coalesce("_w", F.lit(0)).alias("comorbidity_risk_score"),
@@ -111,7 +117,7 @@ def provider(claims: DataFrame) -> DataFrame:
 
 def days_since_payment(claims: DataFrame, era: DataFrame) -> DataFrame:
     """claims with ``days_since_last_payment``: from the payer's last paid day on or before the claim; 0 if paid only later; -1 if never."""
-    paid = era.filter("status = 'paid'").select("payer_name", "payment_date").distinct()
+    paid = cut(era.filter("status = 'paid'").select("payer_name", "payment_date").distinct())  # a row for each payer and day, read twice
     ever = paid.groupBy(F.col("payer_name").alias("_payer")).agg(F.min("payment_date").alias("_first"))
     # a payer's days, not its claims, meet in one window
     seen = asof(claims.select("payer_name", "submission_date").distinct(), paid, ["payer_name"], "submission_date", "payment_date", F.col("payment_date"), "_paid", strict=False)
