@@ -108,6 +108,7 @@ def necessity_score(vector: Column) -> Column:
     return F.bround(clamp01(total / F.nullif(F.size(vector), F.lit(0))), 4)
 
 
+# Fixed values of the next three: the thresholds of alerts and of the gate, and the minutes a run may take.
 def alert_tier(precision: Column) -> Column:
     return F.when(precision < 0.80, "urgent").when(precision < 0.85, "degradation").otherwise("none")
 

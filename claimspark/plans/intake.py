@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimspark.plans.views import cut, new_folder, table
 from claimspark.sources import edi
 
+# Fixed by the format: the first segment without its first letter, up to its control number.
 HEAD = "SA*00*          *00*          *ZZ*CLAIMS         *ZZ*PAYER          *240101*1200*^*00501*"
 
 
