@@ -1,17 +1,19 @@
 """Cross-entropy difference of a target and a background language model (Moore and Lewis, 2010).
 
-Both models are bigram models over one shared vocabulary: the most frequent words of the two corpora together, at least
-``min_count`` times there and at most ``vocabulary`` of them, and one word for all others. They are smoothed alike, by
-absolute discounting with a discount of one: p(w|v) = (max(c(v,w) - 1, 0) + types(v) p(w)) / c(v), where types(v) is the
-number of different words after v and p(w) = (c(w) + add) / (N + add words); after a word never seen before, p(w) stands.
-So p(.|v) sums to one for every v, and a pair of words seen once tells nothing that the single words don't: a document that
-is in its own background, as all are here, isn't known to it by heart. Counts cover both corpora whole. The score is the
-mean difference of the losses per token; low means like the target.
-
-Tokens are lower-cased runs of ASCII letters and digits and of all other non-ASCII characters. Word tables have a bound, the
-vocabulary. Of the pairs with a count over one, the most frequent (at most ``hot_pairs``) are sent to the tasks; documents
-send only their tokens of the others, through a bitmap of fixed size first, to a join by pair, so that no pair of words is
-a hot key there.
+Both models are bigram models over one shared vocabulary: all words that occur at least twice in the two corpora together,
+and one word for those that occur once. They are smoothed alike, by absolute discounting with a discount of one:
+p(w|v) = (max(c(v,w) - 1, 0) + types(v) p(w)) / c(v), where types(v) is the number of different words after v, words that
+occur once counting each, and p(w) = (c(w) + add) / (N + add words); after a word never seen before, or outside the
+vocabulary, p(w) stands. So p(.|v) sums to one for every v, and a pair of words seen once tells nothing that the single words
+don't: a document that is in its own background, as all are here, isn't known to it by heart. Counts cover both corpora
+whole. The score is the mean difference of the losses per token; low means like the target.
+
+Tokens are lower-cased runs of ASCII letters and digits and of all other non-ASCII characters. The vocabulary has no bound;
+what is sent to the tasks has: the figures of the most frequent words (at most ``hot_words``), the gains of the most frequent
+pairs (at most ``hot_pairs``), and two bitmaps of fixed size that pass over words and pairs without figures. The loss of a
+token is a term of v, a term of w and the gain of their pair, so documents send their other words to a join by word and their
+other pairs to a join by pair. Both are rare by choice, so no word or pair is a hot key there. ``hot_words`` and
+``hot_pairs`` don't change results.
 
 Defined results: null or blank text has 0 tokens and null scores; an empty target gives a model in which all words are
 equally likely; repeated rows count each; an empty table gives an empty result.
@@ -32,10 +34,12 @@ from pyspark.sql import types as T
 from claimspark.llm.common import cut, least_count, saved, utf8_rows
 from claimspark.llm.tiling import token_hashes_of
 
-START, OTHER, FIRST = 0, 1, 2  # ids: before the first token, a word outside the vocabulary, the vocabulary's first
+START, OTHER, FIRST = 0, 1, 2  # ids: before the first token, a word outside the vocabulary, the first of the hot words
 _SHIFT = 21
+_MASK = (1 << _SHIFT) - 1
 _HELD = 1 << 21
 _BITS = 1 << 26
+_TOP = np.uint64(1 << 63)  # set in the hash of every word, so that as longs hashes are below zero and ids are not
 
 
 def _documents(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -48,146 +52,256 @@ def _documents(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int
         if size >= most or k == len(texts):
             begins = np.cumsum([0, *(len(x) + 1 for x in held[:-1])])
             hashed, start = token_hashes_of(b" ".join(held))
-            yield at, len(held), np.searchsorted(begins, start, "right") - 1, hashed
+            yield at, len(held), np.searchsorted(begins, start, "right") - 1, hashed | _TOP
             held, size, at = [], 0, k
 
 
-def _pairs(vocabulary: np.ndarray, row: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(v, w) of each token as ids; vocabulary: sorted hashes."""
-    w = np.full(len(hashed), OTHER, np.int64)
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, hashed), len(vocabulary) - 1)
-        w = np.where(vocabulary[at] == hashed, at + FIRST, OTHER)
-    v = np.roll(w, 1)
-    v[np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])] = START
-    return v, w
+@dataclass(frozen=True)
+class Words:
+    """The hot words, and a bitmap in which the hashes of all others of the vocabulary are set."""
+
+    hot: np.ndarray  # sorted hashes
+    bits: np.ndarray
+
+    def codes(self, row: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(v, w) of each token: the id of a hot word, OTHER where the bitmap rules a word out, else its hash."""
+        w = np.where(_set(self.bits, hashed.view(np.int64)), hashed.view(np.int64), OTHER)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, hashed), len(self.hot) - 1)
+            w = np.where(self.hot[at] == hashed, at + FIRST, w)
+        v = np.roll(w, 1)
+        v[np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])] = START
+        return v, w
+
+
+def _packed(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of pairs of codes: both ids in a and b zero, or v in a and w in b, ids of w plus one."""
+    ids = (v >= 0) & (w >= 0)
+    return np.where(ids, v << _SHIFT | w, v), np.where(ids, 0, np.where(w >= 0, w + 1, w))
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One long for each packed pair: a where that holds both ids, else a hash below zero."""
+    mixed = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = ((mixed ^ (mixed >> np.uint64(32))) + b.view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.where(b == 0, a, ((mixed ^ (mixed >> np.uint64(29))) | _TOP).view(np.int64))
+
+
+def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different rows of the columns and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [x[order] for x in columns]
+    new = np.append(True, np.any([x[1:] != x[:-1] for x in columns], axis=0))[: len(order)]
+    first = np.flatnonzero(new)
+    return [x[first] for x in columns], np.diff(np.append(first, len(order)))
 
 
-def _partial_counts(texts: DataFrame, text_col: str, vocabulary: np.ndarray | None, side: str) -> DataFrame:
-    """(key, n_t, n_b): counts of word hashes, or of pairs of the vocabulary's ids, within parts of a task; of ``side`` t or b."""
+def _partial_counts(texts: DataFrame, text_col: str, words: Words | None, side: str) -> DataFrame:
+    """(a, b, n_t, n_b): counts of word hashes (b zero), or of packed pairs, within parts of a task; of ``side`` t or b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
+        def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            zero = np.zeros(len(a), np.int64)
+            for i in range(0, len(a), 1 << 16):
+                part = [pa.array(x[i : i + (1 << 16)]) for x in (a, b, *((n, zero) if side == "t" else (zero, n)))]
+                yield pa.RecordBatch.from_arrays(part, names=["a", "b", "n_t", "n_b"])
+
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                key, n = np.unique(np.concatenate(held), return_counts=True)
-                zero = np.zeros(len(key), np.int64)
-                for i in range(0, len(key), 1 << 16):
-                    part = [pa.array(x[i : i + (1 << 16)]) for x in (key, *((n, zero) if side == "t" else (zero, n)))]
-                    yield pa.RecordBatch.from_arrays(part, names=["key", "n_t", "n_b"])
+                a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+                one = b == 0
+                key, n = np.unique(a[one], return_counts=True)
+                yield from rows(key, np.zeros(len(key), np.int64), n)
+                (v, w), n = _distinct([a[~one], b[~one]])
+                yield from rows(v, w, n)
 
         for batch in batches:
             for _, _, row, hashed in _documents(batch.column(0)):
-                if vocabulary is None:
-                    held.append(hashed.view(np.int64))
+                if words is None:
+                    held.append((hashed.view(np.int64), np.zeros(len(hashed), np.int64)))
                 else:
-                    v, w = _pairs(vocabulary, row, hashed)
-                    held.append(v << _SHIFT | w)
+                    v, w = words.codes(row, hashed)
+                    after = v != OTHER  # what comes after a word outside the vocabulary has no figures
+                    held.append(_packed(v[after], w[after]))
                 size += len(hashed)
                 if size >= _HELD:
                     yield from flush()
                     held, size = [], 0
         yield from flush()
 
-    return texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, n_t long, n_b long")
+    return texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "a long, b long, n_t long, n_b long")
+
+
+def _counts(target: DataFrame, target_text: str, background: DataFrame, text_col: str, words: Words | None = None) -> DataFrame:
+    both = _partial_counts(target, target_text, words, "t").union(_partial_counts(background, text_col, words, "b"))
+    return both.groupBy("a", "b").agg(F.sum("n_t").alias("n_t"), F.sum("n_b").alias("n_b"))
 
 
-def _counts(target: DataFrame, target_text: str, background: DataFrame, text_col: str, vocabulary: np.ndarray | None = None) -> DataFrame:
-    both = _partial_counts(target, target_text, vocabulary, "t").union(_partial_counts(background, text_col, vocabulary, "b"))
-    return both.groupBy("key").agg(F.sum("n_t").alias("n_t"), F.sum("n_b").alias("n_b"))
+def _known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n_t, n_b) of words that occur twice or more; the sums of the others in a row without a word."""
+    once, names = np.zeros(2, np.int64), ["word", "n_t", "n_b"]
+    for batch in batches:
+        batch = batch.select(["a", "n_t", "n_b"]).rename_columns(names)
+        n = np.stack([batch.column(c).to_numpy() for c in names[1:]], axis=1)
+        known = n.sum(axis=1) > 1
+        once += n[~known].sum(axis=0)
+        yield batch.filter(pa.array(known))
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([x]) for x in once)], names=names)
 
 
 @dataclass(frozen=True)
 class Models:
-    """Both models over one vocabulary; arrays have a row for each id, or a column for target and background."""
+    """Both models; arrays have a row for each id, or a column for target and background."""
 
-    vocabulary: np.ndarray  # sorted hashes
-    words: np.ndarray  # p(w)
-    after: np.ndarray  # c(v)
-    types: np.ndarray  # types(v)
-    hot: np.ndarray  # sorted pairs
+    words: Words
+    p: np.ndarray  # p(w)
+    back: np.ndarray  # log(types(v) / c(v)), zero where v was never seen
+    hot: np.ndarray  # sorted keys of pairs
     gain: np.ndarray  # what each saves over its words alone, in nats
 
-    def base(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log p(w|v) under both models of pairs whose count is one or none."""
-        seen = self.after[v]
-        return np.log(np.where(seen > 0, self.types[v] / np.maximum(seen, 1), 1.0) * self.words[w])
-
-    def gains(self, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
-        seen = self.after[v]
-        back = np.where(seen > 0, self.types[v] / np.maximum(seen, 1), 1.0) * self.words[w]
-        return np.log1p(np.maximum(n - 1, 0) / np.maximum(seen, 1) / back)
-
-
-def models(target: DataFrame, background: DataFrame, target_text: str = "text", text_col: str = "text", min_count: int = 2, vocabulary: int = 1 << 20, hot_pairs: int = 1 << 19, add: float = 0.5) -> tuple[Models, DataFrame]:
-    """The models, and (key, t, b): the gains of the pairs that aren't hot."""
-    if vocabulary + FIRST >= 1 << _SHIFT:
-        raise ValueError(f"vocabulary must be below {(1 << _SHIFT) - FIRST}")
-    both = F.col("n_t") + F.col("n_b")
-    words = saved(_counts(target, target_text, background, text_col))
-    total = np.array(words.agg(F.coalesce(F.sum("n_t"), F.lit(0)), F.coalesce(F.sum("n_b"), F.lit(0))).first(), float)
-    known = words.filter(both >= least_count(words.select(both.alias("n")), vocabulary, min_count)).toArrow()
-    hashed = known["key"].to_numpy().view(np.uint64)
-    order = np.argsort(hashed)
-    hashed = hashed[order]
-    count = np.zeros((len(hashed) + FIRST, 2))
-    count[FIRST:] = np.stack([known["n_t"].to_numpy(), known["n_b"].to_numpy()], axis=1)[order]
-    count[OTHER] = total - count.sum(axis=0)
-    p = (count + add) / (total + add * (len(count) - 1))
-    p[START] = 1.0  # no word; never asked for
-    width = len(count)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pairs with a count over one, and the sums of all pairs by their first word."""
-        names, after = ["v", "key", "n_t", "n_b", "types_t", "types_b"], np.zeros((width, 4), np.int64)
+@dataclass(frozen=True)
+class Rest:
+    """The figures that aren't sent to the tasks."""
+
+    words: DataFrame  # (word, p_t, p_b, types_t, types_b, back_t, back_b)
+    pairs: DataFrame  # (key, t, b): gains
+
+
+_SUMS = ("n_t", "n_b", "types_t", "types_b")
+
+
+def _history_sums(width: int):  # noqa: ANN202
+    """For packed pairs with their counts: those with a count over one, and sums and types of all by their first word."""
+    names = ["v", "a", "b", *_SUMS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((width, 4), np.int64)
+
+        def by_word(v: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+            none = pa.nulls(len(v), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(v), none, none, *map(pa.array, columns)], names=names)
+
         for batch in batches:
-            key, *n = (batch.column(c).to_numpy() for c in ("key", "n_t", "n_b"))
-            for i, x in enumerate((*n, n[0] > 0, n[1] > 0)):
-                np.add.at(after[:, i], key >> _SHIFT, x)
-            many = pa.array(np.flatnonzero((n[0] > 1) | (n[1] > 1)))
+            a, b, *n = (batch.column(c).to_numpy() for c in ("a", "b", "n_t", "n_b"))
+            v = np.where(b == 0, a >> _SHIFT, a)
+            other = np.where(b == 0, a & _MASK, b - 1) == OTHER  # so many words that occur once
+            columns = [*n, *(np.where(other, x, x > 0) for x in n)]
+            hot = v >= 0
+            for i, x in enumerate(columns):
+                np.add.at(sums[:, i], v[hot], x[hot])
+            rare, at = np.unique(v[~hot], return_inverse=True)
+            if len(rare):
+                yield by_word(rare, [np.bincount(at, x[~hot], len(rare)).astype(np.int64) for x in columns])
+            many = pa.array(np.flatnonzero(((n[0] > 1) | (n[1] > 1)) & ~other))
             none = pa.nulls(len(many), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, *(batch.column(c).take(many) for c in ("key", "n_t", "n_b")), none, none], names=names)
-        there = np.flatnonzero(after.any(axis=1))
-        columns = [pa.array(after[there, i]) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.nulls(len(there), pa.int64()), *columns], names=names)
-
-    pairs = _counts(target, target_text, background, text_col, hashed).mapInArrow(sums, "v long, key long, n_t long, n_b long, types_t long, types_b long")
-    pairs = saved(pairs)
-    first = pairs.filter("v is not null").groupBy("v").agg(*(F.sum(c).alias(c) for c in ("n_t", "n_b", "types_t", "types_b"))).toArrow()
-    by_first = np.zeros((width, 4))
-    by_first[first["v"].to_numpy()] = np.stack([first[c].to_numpy() for c in ("n_t", "n_b", "types_t", "types_b")], axis=1)
-    made = Models(hashed, p, by_first[:, :2], by_first[:, 2:], np.zeros(0, np.int64), np.zeros((0, 2)))
-
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, n_t, n_b = (batch.column(c).to_numpy() for c in ("key", "n_t", "n_b"))
-            gain = made.gains(key >> _SHIFT, key & ((1 << _SHIFT) - 1), np.stack([n_t, n_b], axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gain[:, 0].copy()), pa.array(gain[:, 1].copy())], names=["key", "t", "b"])
+            yield pa.RecordBatch.from_arrays([none, *(batch.column(c).take(many) for c in ("a", "b", "n_t", "n_b")), none, none], names=names)
+        there = np.flatnonzero(sums.any(axis=1))
+        yield by_word(there, [sums[there, i].copy() for i in range(4)])
+
+    return run
+
 
-    many = pairs.filter("v is null").select("key", "n_t", "n_b")
+def _pair_gains(p: np.ndarray, types: np.ndarray):  # noqa: ANN202
+    """(key, t, b) of pairs with their counts; figures of ids from the arrays, of other words from the columns that are joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in "ab")
+            v = np.where(b == 0, a >> _SHIFT, a)
+            w = np.where(b == 0, a & _MASK, np.where(b > 0, b - 1, b))
+            found = []
+            for i, c in enumerate("tb"):
+                n = batch.column(f"n_{c}").to_numpy()
+                after, alone = types[np.maximum(v, 0), i], p[np.maximum(w, 0), i]
+                if f"types_{c}" in batch.schema.names:
+                    after = np.where(v < 0, batch.column(f"types_{c}").to_numpy(zero_copy_only=False), after)
+                    alone = np.where(w < 0, batch.column(f"p_{c}").to_numpy(zero_copy_only=False), alone)
+                gain = np.zeros(len(n))
+                more = n > 1
+                gain[more] = np.log1p((n[more] - 1) / (after[more] * alone[more]))
+                found.append(pa.array(gain))
+            yield pa.RecordBatch.from_arrays([pa.array(_key(a, b)), *found], names=["key", "t", "b"])
+
+    return run
+
+
+def models(target: DataFrame, background: DataFrame, target_text: str = "text", text_col: str = "text", hot_words: int = 1 << 19, hot_pairs: int = 1 << 19, add: float = 0.5) -> tuple[Models, Rest]:
+    """The models of the hot words and pairs, and the figures of all others."""
+    if hot_words + FIRST >= 1 << _SHIFT:
+        raise ValueError(f"hot_words must be below {(1 << _SHIFT) - FIRST}")
+    both, gains = F.col("n_t") + F.col("n_b"), "key long, t double, b double"
+    words = saved(_counts(target, target_text, background, text_col).mapInArrow(_known_words, "word long, n_t long, n_b long"))
+    known = words.filter("word is not null")
+    row = words.agg(F.count("word"), *(F.coalesce(F.sum(x), F.lit(0)) for n in ("n_t", "n_b") for x in (n, F.when(F.col("word").isNull(), F.col(n))))).first()
+    total, once = np.array([row[1], row[3]], float), np.array([row[2], row[4]], float)
+    whole = total + add * (row[0] + 1)
+    least = least_count(known.select(both.alias("n")), hot_words, 2)
+    hot = known.filter(both >= least).toArrow()
+    hashed = hot["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashed)
+    count = np.zeros((len(order) + FIRST, 2))
+    count[FIRST:] = np.stack([hot["n_t"].to_numpy(), hot["n_b"].to_numpy()], axis=1)[order]
+    count[OTHER] = once
+    p = (count + add) / whole
+    p[START] = 1.0  # no word; never asked for
+    rare = known.filter(both < least)
+    lexicon = Words(hashed[order], _bitmap(rare.select(F.col("word").alias("key"))))
+
+    pairs = _counts(target, target_text, background, text_col, lexicon)
+    pairs = saved(pairs.mapInArrow(_history_sums(len(count)), "v long, a long, b long, " + ", ".join(f"{c} long" for c in _SUMS)))
+    first = pairs.filter("v is not null").groupBy("v").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    found = first.filter("v >= 0").toArrow()
+    sums = np.zeros((len(count), 4))
+    sums[found["v"].to_numpy()] = np.stack([found[c].to_numpy() for c in _SUMS], axis=1)
+    after, types = sums[:, :2], sums[:, 2:]
+    back = np.log(np.where(after > 0, types / np.maximum(after, 1), 1.0))
+
+    seen = first.filter("v < 0").select(F.col("v").alias("word"), F.col("n_t").alias("after_t"), F.col("n_b").alias("after_b"), "types_t", "types_b")
+    figures = []
+    for c, n in zip("tb", whole, strict=True):
+        figures += [((F.col(f"n_{c}") + add) / float(n)).alias(f"p_{c}"), F.coalesce(f"types_{c}", F.lit(0)).cast("double").alias(f"types_{c}")]
+        figures.append(F.when(F.col(f"after_{c}") > 0, F.log(F.col(f"types_{c}") / F.col(f"after_{c}"))).otherwise(0.0).alias(f"back_{c}"))
+    rest = saved(rare.join(seen, "word", "left").select("word", *figures))
+
+    many = pairs.filter("v is null").select("a", "b", "n_t", "n_b")
     least = least_count(many.select(both.alias("n")), hot_pairs, 2)
-    hot = many.filter(both >= least).mapInArrow(gains, "key long, t double, b double").toArrow()
+    ids = many.filter("b = 0")
+    hot = ids.filter(both >= least).mapInArrow(_pair_gains(p, types), gains).toArrow()
     order = np.argsort(hot["key"].to_numpy())
     table = np.stack([hot["t"].to_numpy(), hot["b"].to_numpy()], axis=1)[order]
-    made_hot = Models(hashed, p, made.after, made.types, hot["key"].to_numpy()[order], table)
-    return made_hot, many.filter(both < least).mapInArrow(gains, "key long, t double, b double")
+    # a pair's id has no row to meet, so its place in the join is a hash above zero, and frequent words aren't hot keys
+    spread = F.shiftrightunsigned(F.xxhash64("a", "b"), 1)
+    mixed = many.filter("b <> 0").select("*", F.when(F.col("a") < 0, F.col("a")).otherwise(spread).alias("v"), F.when(F.col("b") < 0, F.col("b")).otherwise(spread).alias("w"))
+    mixed = mixed.join(rest.select(F.col("word").alias("v"), "types_t", "types_b"), "v", "left").join(rest.select(F.col("word").alias("w"), "p_t", "p_b"), "w", "left")
+    mixed = mixed.select("a", "b", "n_t", "n_b", "types_t", "types_b", "p_t", "p_b").mapInArrow(_pair_gains(p, types), gains)
+    left = ids.filter(both < least).mapInArrow(_pair_gains(p, types), gains).union(mixed)
+    return Models(lexicon, p, back, hot["key"].to_numpy()[order], table), Rest(rest, saved(left))
 
 
-def _spot(key: np.ndarray) -> np.ndarray:
-    """The place of each pair among _BITS bits."""
+def _spot(key: np.ndarray, size: int) -> np.ndarray:
+    """The place of each key among ``size`` bits, a power of two."""
     mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(38)).astype(np.int64)
+    return (mixed >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _set(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether each key's bit is set."""
+    spot = _spot(key, len(bits) << 6)
+    return (bits[spot >> 6] >> (spot & 63) & 1) == 1
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """_BITS bits in words of 64, set at the places of all keys; its size is fixed."""
+    size = _BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(_BITS >> 6, np.uint64)
+        bits = np.zeros(size >> 6, np.uint64)
         for batch in batches:
-            spot = _spot(batch.column("key").to_numpy())
+            spot = _spot(batch.column("key").to_numpy(), size)
             np.bitwise_or.at(bits, spot >> 6, np.uint64(1) << (spot & 63).astype(np.uint64))
         at = np.flatnonzero(bits)
         for i in range(0, len(at), 1 << 16):
@@ -195,42 +309,60 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(bits[part].view(np.int64))], names=["at", "bits"])
 
     rows = keys.select("key").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(_BITS >> 6, np.int64)
+    out = np.zeros(size >> 6, np.int64)
     out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", **options) -> DataFrame:  # noqa: ANN003
     """(id, n_tokens, ce_target, ce_background, ce_difference) for each row of docs; docs are the background too."""
-    made, cold = models(target, docs, target_text, text_col, **options)
-    cold = saved(cold)
+    made, rest = models(target, docs, target_text, text_col, **options)
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((made, _bitmap(cold)))
+    sent = spark.sparkContext.broadcast((made, _bitmap(rest.pairs)))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["row"], rows.schema["id"], *(T.StructField(c, t) for c, t in (("n", T.LongType()), ("t", T.DoubleType()), ("b", T.DoubleType()), ("rest", T.ArrayType(T.LongType()))))])
+    keys = T.ArrayType(T.LongType())
+    more = (("n", T.LongType()), ("t", T.DoubleType()), ("b", T.DoubleType()), ("pairs", keys), ("words", keys), ("last", T.LongType()))
+    schema = T.StructType([rows.schema["row"], rows.schema["id"], *(T.StructField(c, t) for c, t in more)])
+
+    def lists(row: np.ndarray, key: np.ndarray, many: int) -> pa.Array:
+        ends = np.cumsum(np.bincount(row, minlength=many))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, bits = sent.value
+        log_p = np.log(m.p)
         for batch in batches:
             for at, many, row, hashed in _documents(batch.column("text")):
-                v, w = _pairs(m.vocabulary, row, hashed)
-                key, loss = v << _SHIFT | w, -m.base(v, w)
-                rest = np.ones(len(key), bool)
+                v, w = m.words.codes(row, hashed)
+                loss = -np.where(v[:, None] >= 0, m.back[np.maximum(v, 0)], 0.0) - np.where(w[:, None] >= 0, log_p[np.maximum(w, 0)], 0.0)
+                key = _key(*_packed(v, w))
+                open_ = (v != OTHER) & (w != OTHER)
                 if len(m.hot):
                     place = np.minimum(np.searchsorted(m.hot, key), len(m.hot) - 1)
                     hit = m.hot[place] == key
                     loss[hit] -= m.gain[place[hit]]
-                    rest = ~hit
-                spot = _spot(key)
-                rest &= (bits[spot >> 6] >> (spot & 63) & 1) == 1
-                counts = np.bincount(row[rest], minlength=many)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(key[rest]))
+                    open_ &= ~hit
+                open_ &= _set(bits, key)
                 sums = [np.bincount(row, x, many) for x in loss.T] if len(row) else [np.zeros(many)] * 2
+                ends = np.flatnonzero(np.append(row[1:] != row[:-1], True)[: len(row)])
+                ends = ends[w[ends] < 0]
+                last = np.zeros(many, np.int64)
+                last[row[ends]] = w[ends]
                 part = batch.slice(at, many)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(np.bincount(row, minlength=many)), *map(pa.array, sums), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("row"), part.column("id"), pa.array(np.bincount(row, minlength=many)), *map(pa.array, sums),
+                    lists(row[open_], key[open_], many), lists(row[w < 0], w[w < 0], many), pa.array(last, mask=last == 0),
+                ], names=schema.names)
 
     found = cut(rows.mapInArrow(run, schema))
-    met = found.select("row", F.explode("rest").alias("key")).join(cold, "key").groupBy("row").agg(F.sum("t").alias("more_t"), F.sum("b").alias("more_b"))
+    gains = found.select("row", F.explode("pairs").alias("key")).join(rest.pairs, "key").select("row", "t", "b")
+    # a word outside the vocabulary that the bitmap lets pass has no row
+    other = np.log(made.p[OTHER])
+    words = found.select("row", F.explode("words").alias("word")).join(rest.words, "word", "left")
+    words = words.select("row", *(F.coalesce(F.log(f"p_{c}") + F.col(f"back_{c}"), F.lit(float(x))).alias(c) for c, x in zip("tb", other, strict=True)))
+    # nothing comes after the last word of a text
+    last = found.filter("last is not null").select("row", F.col("last").alias("word")).join(rest.words, "word").select("row", *((-F.col(f"back_{c}")).alias(c) for c in "tb"))
+    met = gains.union(words).union(last).groupBy("row").agg(F.sum("t").alias("more_t"), F.sum("b").alias("more_b"))
     out = found.select("row", "id", "n", "t", "b").join(met, "row", "left")
     mean = lambda c: F.when(F.col("n") > 0, (F.col(c) - F.coalesce(f"more_{c}", F.lit(0.0))) / F.col("n"))
     return out.select("id", F.col("n").alias("n_tokens"), mean("t").alias("ce_target"), mean("b").alias("ce_background"), (mean("t") - mean("b")).alias("ce_difference"))

@@ -132,18 +132,14 @@ def test_licences_of_the_table(spark):
         assert set(r["families"]) == {f for f, m in marks.items() if m in texts[r["doc_id"]]}
 
 
-def slow_models(docs, target, min_count=2, size=1 << 16, add=0.5):
-    """p(w | v) under the target's and the background's model, by their definition."""
+def slow_models(docs, target, add=0.5):
+    """p(w | v) under the target's and the background's model, by their definition; None is the word for all that occur once."""
     words = lambda t: re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (t or "").lower())
     both = [[words(x) for x in rows] for rows in (target, docs)]
     total = Counter(w for rows in both for x in rows for w in x)
-    least = min_count
-    while sum(n >= least for n in total.values()) > size:
-        least += 1
-    known = {w for w, n in total.items() if n >= least}
-    mapped = [[[w if w in known else None for w in x] for x in rows] for rows in both]
-    one = [Counter(w for x in rows for w in x) for rows in mapped]
-    two = [Counter(p for x in rows for p in zip(["<s>", *x], x, strict=False)) for rows in mapped]
+    known = {w for w, n in total.items() if n >= 2}
+    one = [Counter(w if w in known else None for x in rows for w in x) for rows in both]
+    two = [Counter(p for x in rows for p in zip(["<s>", *x], x, strict=False)) for rows in both]
     after = [Counter(), Counter()]
     types = [Counter(), Counter()]
     for i in (0, 1):
@@ -152,14 +148,14 @@ def slow_models(docs, target, min_count=2, size=1 << 16, add=0.5):
             types[i][v] += 1
 
     def p(i, w, v):
-        alone = (one[i][w] + add) / (sum(one[i].values()) + add * (len(known) + 1))
-        return (max(two[i][v, w] - 1, 0) + types[i][v] * alone) / after[i][v] if after[i][v] else alone
+        alone = (one[i][w if w in known else None] + add) / (sum(one[i].values()) + add * (len(known) + 1))
+        return (max(two[i][v, w] - 1, 0) + types[i][v] * alone) / after[i][v] if after[i][v] and (v in known or v == "<s>") else alone
 
-    return p, mapped[1], known
+    return p, both[1], known
 
 
-def slow_lm(docs, target, **options):
-    p, rows, _ = slow_models(docs, target, **options)
+def slow_lm(docs, target):
+    p, rows, _ = slow_models(docs, target)
     mean = lambda i, x: round(sum(-math.log(p(i, w, v)) for v, w in zip(["<s>", *x], x, strict=False)) / len(x), 9) if x else None
     return sorted(((len(x), mean(0, x), mean(1, x)) for x in rows), key=str)
 
@@ -179,15 +175,28 @@ def test_lm_scores_equal_brute_force(spark):
     docs = awkward(spark, ["a b a b a c", "the quick fox", PROSE + " a b"])
     target = spark.createDataFrame([(x,) for x in LM_TARGET], "text string")
     texts = [r["text"] for r in docs.collect()]
-    for size, hot in ((1 << 16, 1 << 19), (1 << 16, 0), (9, 3)):
-        got = lm.score(docs, target, vocabulary=size, hot_pairs=hot).collect()
+    for size, hot in ((1 << 16, 1 << 19), (1 << 16, 0), (9, 3), (0, 0)):
+        got = lm.score(docs, target, hot_words=size, hot_pairs=hot).collect()
         figures = [(r["n_tokens"], *(None if r[c] is None else round(r[c], 9) for c in ("ce_target", "ce_background"))) for r in got]
-        assert sorted(figures, key=str) == slow_lm(texts, LM_TARGET, size=size)
+        assert sorted(figures, key=str) == slow_lm(texts, LM_TARGET)
     alone = lm.score(docs, target.limit(0)).collect()
     assert len(alone) == len(texts) and len({round(r["ce_target"], 9) for r in alone if r["n_tokens"]}) == 1
     assert lm.score(empty(spark), target).collect() == []
 
 
+def test_rare_words_and_pairs_count_whatever_is_sent(spark, monkeypatch):
+    """Random texts over a long tail of words; a bitmap of 64 bits lets nearly all words pass."""
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in draw.zipf(1.3, size=n) % 3000) for n in draw.integers(0, 60, size=80)]
+    target = [" ".join(f"w{i}" for i in draw.zipf(1.3, size=50) % 3000) for _ in range(20)]
+    docs, rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(x,) for x in target], "text string")
+    want = slow_lm(texts, target)
+    for size, hot, bits in ((20, 5, 1 << 26), (0, 0, 1 << 6)):
+        monkeypatch.setattr(lm, "_BITS", bits)
+        got = lm.score(docs, rows, hot_words=size, hot_pairs=hot).collect()
+        assert sorted(((r["n_tokens"], *(None if r[c] is None else round(r[c], 9) for c in ("ce_target", "ce_background"))) for r in got), key=str) == want
+
+
 def test_documents_that_occur_twice_are_told_apart(spark):
     draw = np.random.default_rng(3)
     texts = [" ".join(f"w{i}" for i in draw.integers(60, size=40)) for _ in range(300)]
