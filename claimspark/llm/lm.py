@@ -11,9 +11,8 @@ whole. The score is the mean difference of the losses per token; low means like
 Tokens are lower-cased runs of ASCII letters and digits and of all other non-ASCII characters. The vocabulary has no bound;
 what is sent to the tasks has: the figures of the most frequent words (at most ``hot_words``), the gains of the most frequent
 pairs (at most ``hot_pairs``), and two bitmaps of fixed size that pass over words and pairs without figures. The loss of a
-token is a term of v, a term of w and the gain of their pair, so documents send their other words to a join by word and their
-other pairs to a join by pair. Both are rare by choice, so no word or pair is a hot key there. ``hot_words`` and
-``hot_pairs`` don't change results.
+token is a term of v, a term of w and the gain of their pair, so documents send their other words and pairs to one join by
+key. These are rare by choice, so no word or pair is a hot key there. ``hot_words`` and ``hot_pairs`` don't change results.
 
 Defined results: null or blank text has 0 tokens and null scores; an empty target gives a model in which all words are
 equally likely; repeated rows count each; an empty table gives an empty result.
@@ -165,10 +164,10 @@ class Models:
 
 @dataclass(frozen=True)
 class Rest:
-    """The figures that aren't sent to the tasks."""
+    """What the words and pairs that aren't sent to the tasks add to log p(w|v), as (key, t, b)."""
 
-    words: DataFrame  # (word, p_t, p_b, types_t, types_b, back_t, back_b)
-    pairs: DataFrame  # (key, t, b): gains
+    figures: DataFrame  # a pair's gain; a word's terms as w and as v, over those of a word outside the vocabulary
+    last: DataFrame  # a word's term as v, to take off after the last word of a text
 
 
 _SUMS = ("n_t", "n_b", "types_t", "types_b")
@@ -205,21 +204,18 @@ def _history_sums(width: int):  # noqa: ANN202
     return run
 
 
-def _pair_gains(p: np.ndarray, types: np.ndarray):  # noqa: ANN202
-    """(key, t, b) of pairs with their counts; figures of ids from the arrays, of other words from the columns that are joined."""
+def _pair_gains(p: np.ndarray, types: np.ndarray, add: float, whole: np.ndarray):  # noqa: ANN202
+    """(key, t, b) of pairs with their counts; types of v and p(w) from the arrays, or from the types and counts that are joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(c).to_numpy() for c in "ab")
-            v = np.where(b == 0, a >> _SHIFT, a)
-            w = np.where(b == 0, a & _MASK, np.where(b > 0, b - 1, b))
+            there = batch.schema.names
             found = []
             for i, c in enumerate("tb"):
                 n = batch.column(f"n_{c}").to_numpy()
-                after, alone = types[np.maximum(v, 0), i], p[np.maximum(w, 0), i]
-                if f"types_{c}" in batch.schema.names:
-                    after = np.where(v < 0, batch.column(f"types_{c}").to_numpy(zero_copy_only=False), after)
-                    alone = np.where(w < 0, batch.column(f"p_{c}").to_numpy(zero_copy_only=False), alone)
+                after = batch.column(f"types_{c}").to_numpy() if "types_t" in there else types[np.where(b == 0, a >> _SHIFT, a), i]
+                alone = (batch.column(f"w_{c}").to_numpy() + add) / whole[i] if "w_t" in there else p[np.where(b == 0, a & _MASK, b - 1), i]
                 gain = np.zeros(len(n))
                 more = n > 1
                 gain[more] = np.log1p((n[more] - 1) / (after[more] * alone[more]))
@@ -261,25 +257,27 @@ def models(target: DataFrame, background: DataFrame, target_text: str = "text",
     back = np.log(np.where(after > 0, types / np.maximum(after, 1), 1.0))
 
     seen = first.filter("v < 0").select(F.col("v").alias("word"), F.col("n_t").alias("after_t"), F.col("n_b").alias("after_b"), "types_t", "types_b")
-    figures = []
-    for c, n in zip("tb", whole, strict=True):
-        figures += [((F.col(f"n_{c}") + add) / float(n)).alias(f"p_{c}"), F.coalesce(f"types_{c}", F.lit(0)).cast("double").alias(f"types_{c}")]
-        figures.append(F.when(F.col(f"after_{c}") > 0, F.log(F.col(f"types_{c}") / F.col(f"after_{c}"))).otherwise(0.0).alias(f"back_{c}"))
-    rest = saved(rare.join(seen, "word", "left").select("word", *figures))
+    rest = saved(rare.join(seen, "word", "left").na.fill(0))
+    back_of = {c: F.when(F.col(f"after_{c}") > 0, F.log(F.col(f"types_{c}") / F.col(f"after_{c}"))).otherwise(0.0) for c in "tb"}
+    over = [F.log((F.col(f"n_{c}") + add) / (float(o) + add)) + back_of[c] for c, o in zip("tb", once, strict=True)]
+    words = rest.select(F.col("word").alias("key"), *(x.alias(c) for x, c in zip(over, "tb", strict=True)))
+    last = rest.select(F.col("word").alias("key"), *((-back_of[c]).alias(c) for c in "tb"))
 
-    many = pairs.filter("v is null").select("a", "b", "n_t", "n_b")
+    many, of_gains = pairs.filter("v is null").select("a", "b", "n_t", "n_b"), _pair_gains(p, types, add, whole)
     least = least_count(many.select(both.alias("n")), hot_pairs, 2)
     ids = many.filter("b = 0")
-    hot = ids.filter(both >= least).mapInArrow(_pair_gains(p, types), gains).toArrow()
+    hot = ids.filter(both >= least).mapInArrow(of_gains, gains).toArrow()
     order = np.argsort(hot["key"].to_numpy())
     table = np.stack([hot["t"].to_numpy(), hot["b"].to_numpy()], axis=1)[order]
-    # a pair's id has no row to meet, so its place in the join is a hash above zero, and frequent words aren't hot keys
-    spread = F.shiftrightunsigned(F.xxhash64("a", "b"), 1)
-    mixed = many.filter("b <> 0").select("*", F.when(F.col("a") < 0, F.col("a")).otherwise(spread).alias("v"), F.when(F.col("b") < 0, F.col("b")).otherwise(spread).alias("w"))
-    mixed = mixed.join(rest.select(F.col("word").alias("v"), "types_t", "types_b"), "v", "left").join(rest.select(F.col("word").alias("w"), "p_t", "p_b"), "w", "left")
-    mixed = mixed.select("a", "b", "n_t", "n_b", "types_t", "types_b", "p_t", "p_b").mapInArrow(_pair_gains(p, types), gains)
-    left = ids.filter(both < least).mapInArrow(_pair_gains(p, types), gains).union(mixed)
-    return Models(lexicon, p, back, hot["key"].to_numpy()[order], table), Rest(rest, saved(left))
+    # figures of one word or both are joined to the pair; counts and types, as they are shorter than what follows from them
+    as_v = rest.select(F.col("word").alias("a"), "types_t", "types_b")
+    as_w = rest.select(F.col("word").alias("b"), F.col("n_t").alias("w_t"), F.col("n_b").alias("w_b"))
+    by_v, by_w = many.filter("a < 0 and b > 0").join(as_v, "a"), many.filter("a >= 0 and b < 0").join(as_w, "b")
+    by_both = many.filter("a < 0 and b < 0").join(as_v, "a").join(as_w, "b")
+    left = words
+    for some in (ids.filter(both < least), by_v, by_w, by_both):
+        left = left.union(some.mapInArrow(of_gains, gains))
+    return Models(lexicon, p, back, hot["key"].to_numpy()[order], table), Rest(saved(left), last)
 
 
 def _spot(key: np.ndarray, size: int) -> np.ndarray:
@@ -318,7 +316,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     """(id, n_tokens, ce_target, ce_background, ce_difference) for each row of docs; docs are the background too."""
     made, rest = models(target, docs, target_text, text_col, **options)
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((made, _bitmap(rest.pairs)))
+    sent = spark.sparkContext.broadcast((made, _bitmap(rest.figures)))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     keys = T.ArrayType(T.LongType())
     more = (("n", T.LongType()), ("t", T.DoubleType()), ("b", T.DoubleType()), ("pairs", keys), ("words", keys), ("last", T.LongType()))
@@ -334,7 +332,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at, many, row, hashed in _documents(batch.column("text")):
                 v, w = m.words.codes(row, hashed)
-                loss = -np.where(v[:, None] >= 0, m.back[np.maximum(v, 0)], 0.0) - np.where(w[:, None] >= 0, log_p[np.maximum(w, 0)], 0.0)
+                loss = -m.back[np.where(v < 0, OTHER, v)] - log_p[np.where(w < 0, OTHER, w)]
                 key = _key(*_packed(v, w))
                 open_ = (v != OTHER) & (w != OTHER)
                 if len(m.hot):
@@ -343,6 +341,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
                     loss[hit] -= m.gain[place[hit]]
                     open_ &= ~hit
                 open_ &= _set(bits, key)
+                rare = (w < 0) & _set(bits, w)
                 sums = [np.bincount(row, x, many) for x in loss.T] if len(row) else [np.zeros(many)] * 2
                 ends = np.flatnonzero(np.append(row[1:] != row[:-1], True)[: len(row)])
                 ends = ends[w[ends] < 0]
@@ -351,18 +350,13 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
                 part = batch.slice(at, many)
                 yield pa.RecordBatch.from_arrays([
                     part.column("row"), part.column("id"), pa.array(np.bincount(row, minlength=many)), *map(pa.array, sums),
-                    lists(row[open_], key[open_], many), lists(row[w < 0], w[w < 0], many), pa.array(last, mask=last == 0),
+                    lists(row[open_], key[open_], many), lists(row[rare], w[rare], many), pa.array(last, mask=last == 0),
                 ], names=schema.names)
 
     found = cut(rows.mapInArrow(run, schema))
-    gains = found.select("row", F.explode("pairs").alias("key")).join(rest.pairs, "key").select("row", "t", "b")
-    # a word outside the vocabulary that the bitmap lets pass has no row
-    other = np.log(made.p[OTHER])
-    words = found.select("row", F.explode("words").alias("word")).join(rest.words, "word", "left")
-    words = words.select("row", *(F.coalesce(F.log(f"p_{c}") + F.col(f"back_{c}"), F.lit(float(x))).alias(c) for c, x in zip("tb", other, strict=True)))
-    # nothing comes after the last word of a text
-    last = found.filter("last is not null").select("row", F.col("last").alias("word")).join(rest.words, "word").select("row", *((-F.col(f"back_{c}")).alias(c) for c in "tb"))
-    met = gains.union(words).union(last).groupBy("row").agg(F.sum("t").alias("more_t"), F.sum("b").alias("more_b"))
+    met = found.select("row", F.explode(F.concat("pairs", "words")).alias("key")).join(rest.figures, "key")
+    ends = found.filter("last is not null").select("row", F.col("last").alias("key")).join(rest.last, "key")
+    met = met.union(ends).groupBy("row").agg(F.sum("t").alias("more_t"), F.sum("b").alias("more_b"))
     out = found.select("row", "id", "n", "t", "b").join(met, "row", "left")
     mean = lambda c: F.when(F.col("n") > 0, (F.col(c) - F.coalesce(f"more_{c}", F.lit(0.0))) / F.col("n"))
     return out.select("id", F.col("n").alias("n_tokens"), mean("t").alias("ce_target"), mean("b").alias("ce_background"), (mean("t") - mean("b")).alias("ce_difference"))
