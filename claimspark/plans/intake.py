@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.plans.views import cut, new_folder, table
+from claimspark.plans.views import new_folder, stored, table
 from claimspark.sources import edi
 
 # Fixed by the format: the first segment without its first letter, up to its control number.
@@ -70,7 +70,7 @@ def interchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     delimiters = F.when(cust % 2 == 0, "|\n").otherwise("*~")
     content = F.when(cust % 23 == 7, "  ").otherwise(F.call_function("translate", content, F.lit("*~"), delimiters))
     # written once, as files are: the readers refer to the content many times
-    return cut(_loops(spark, sf_dir).select(F.concat(F.lit("customer-"), cust.cast("string")).alias("file_name"), content.alias("content")))
+    return stored(_loops(spark, sf_dir).select(F.concat(F.lit("customer-"), cust.cast("string")).alias("file_name"), content.alias("content")))
 
 
 def one_interchange(spark: SparkSession, sf_dir: str) -> str:
@@ -112,7 +112,7 @@ def _claim_columns(rows: DataFrame, *more: str) -> DataFrame:
 
 def ingested_lines(spark, sf_dir):
     """The service lines of all claims of valid files, before the check of required fields."""
-    valid = cut(edi.validate_envelope(interchanges(spark, sf_dir))).filter("is_valid")
+    valid = stored(edi.validate_envelope(interchanges(spark, sf_dir))).filter("is_valid")
     return _line_columns(edi.assemble_claims(edi.explode_segments(valid)))
 
 

@@ -92,6 +92,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as compressed columns below the shared folder, for large rows that several plans read; unlike cut(), it is computed
+    once for that, keeps no partitions and lets plans read some of the columns."""
+    path = new_folder(df.sparkSession, "stored")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_sql(spark: SparkSession, sql: str, claims: DataFrame) -> DataFrame:
     """Ad-hoc SQL over claims, which the text names ``{claims}``."""
     return spark.sql(sql, claims=claims)

@@ -1,13 +1,16 @@
 """X12 837 files to claims: delimiters, envelope checks, segments, loops and lines, rejects, and the sinks.
 
-Loops are numbered by running counts in segment order, and claims are grouped by those numbers, so no parser state is
-carried. Fields go to the loop that holds them: patient, payer and member to the subscriber loop of the claim, service dates
-to the line that they stand in.
-
-Files come in two ways. Small ones are a row each until they are split into segments. A huge one is read by its terminator as
-line separator, so Spark splits it as it splits any text, and its segments are never together. The running counts are a scan
-in two levels: within a chunk of segments (a split of a huge file, ``CHUNK`` segments of a small one), and over one row of
-totals for each chunk, which carries counts and last values into the next. No window holds more segments than a chunk.
+Segments are gathered in blocks, each begun by an HL or a CLM segment: a CLM's block is a whole claim, so its dates, diagnoses and
+lines are read within its row. Providers and subscribers come before claims, or reach over blocks: the few segments that tell them
+are numbered by running counts in file order, and claims are joined to them by those numbers, so no parser state is carried.
+Fields go to the loop that holds them: patient, payer and member to the subscriber loop of the claim, service dates to the line
+that they stand in.
+
+Files come in two ways. Small ones are a row each, which is cut into blocks where it is. A huge one is read by its terminator as
+line separator, so Spark splits it as it splits any text, and its segments are never together: each goes to the chunk in which its
+block begins, and blocks are gathered there. The running counts are a scan in two levels: within a chunk (``CHUNK`` segments at
+most), and over one row of totals for each chunk, which carries counts and last values into the next. No window holds more
+segments than a chunk and the block that it ends in.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.scalars import code5, npi_ok, pad4, sex, trim0, x12_amount, x12_date, x12_units
-from claimspark.plans.views import cut
+from claimspark.plans.views import stored
 from claimspark.sources.files import names, read_head
 
 CHUNK = 50_000
@@ -27,6 +30,8 @@ RETENTION = {"retention_policy": "regulatory", "retention_years": 7, "retention_
 REQUIRED = ("provider_npi", "payer_id", "patient_account_number", "principal_icd10_code")
 ENVELOPE = ("ISA", "GS", "ST", "SE", "GE", "IEA")
 ISA_PARTS = 17  # the name and 16 elements
+BEGINS = ("HL", "CLM")  # the segments that begin a block
+ROWS = 1 << 33  # monotonically_increasing_id() counts the rows of a partition below this
 
 
 def read_edi(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -40,8 +45,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
     The driver reads the first 106 bytes of each file, which tell its delimiters; files that don't begin with a whole ISA segment
     are left out (read_edi() and the quarantine are for them). Then files with the same terminator are read together, split
-    where Spark splits text; ``chunk`` is a split's first byte and ``at`` grows within it. The rows are stored once, so that a
-    task that is tried again finds the same numbers.
+    where Spark splits text; ``chunk`` is a split's first byte, one more for each CHUNK segments of it, and ``at`` grows within it.
+    The rows are stored once, so that all who read them find the same numbers.
     """
     found: dict[str, list[tuple[str, str]]] = {}
     for name in names(spark, path) or [""]:
@@ -55,18 +60,19 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.option("lineSep", terminator).text([p for p, _ in some])
         rows = raw.select("_metadata.file_name", F.lit(terminator).alias("terminator"), F.col("_metadata.file_block_start").alias("chunk"), F.monotonically_increasing_id().alias("at"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("text"))
         heads = spark.createDataFrame([(p.rsplit("/", 1)[-1], e) for p, e in some], "file_name string, element string")
-        rows = rows.join(F.broadcast(heads), "file_name").select("file_name", "element", "terminator", "chunk", "at", "text")
+        chunk = F.col("chunk") + F.floor(F.col("at") % ROWS / CHUNK)
+        rows = rows.join(F.broadcast(heads), "file_name").select("file_name", "element", "terminator", chunk.alias("chunk"), "at", "text")
         out = rows if out is None else out.unionAll(rows)
     schema = "file_name string, element string, terminator string, chunk long, at long, text string"
-    return cut(out) if out is not None else spark.createDataFrame([], schema)
+    return stored(out) if out is not None else spark.createDataFrame([], schema)
 
 
 def check_segments(raw: DataFrame) -> DataFrame:
     """(file_name, is_valid, segment_ref, description) of files as read_segments() gives them, by the rules of validate_envelope()."""
     rows = raw.select("file_name", "chunk", "at", F.split(_bare(F.col("text")), _quoted("element")).alias("e")).withColumn("name", F.get("e", F.lit(0)))
-    per = rows.filter(F.col("name") != "").groupBy("file_name").agg(
-        F.min(F.struct("chunk", "at", F.size("e").alias("n")))["n"].alias("n"), *(F.max((F.col("name") == n).cast("int")).alias(n) for n in ENVELOPE)
-    )
+    found = [F.max((F.col("name") == n).cast("int")).alias(n) for n in ENVELOPE]
+    chunks = rows.filter(F.col("name") != "").groupBy("file_name", "chunk").agg(F.min_by(F.size("e"), F.col("at")).alias("n"), *found)
+    per = chunks.groupBy("file_name").agg(F.min_by("n", "chunk").alias("n"), *(F.max(n).alias(n) for n in ENVELOPE))
     broken = lambda test, ref, text: F.when(test, F.struct(F.lit(ref).alias("ref"), F.lit(text).alias("text")))
     first = F.coalesce(broken(F.col("n") != ISA_PARTS, "ISA", "ISA has the wrong number of elements"), *(broken(F.col(n) == 0, n, f"{n} is missing") for n in ENVELOPE))
     return per.withColumn("_b", first).select("file_name", F.col("_b").isNull().alias("is_valid"), F.col("_b.ref").alias("segment_ref"), F.col("_b.text").alias("description"))
@@ -85,7 +91,8 @@ def with_delimiters(files: DataFrame) -> DataFrame:
 
 
 def _quoted(c: str) -> Column:
-    return F.concat(F.lit("\\Q"), F.col(c), F.lit("\\E"))
+    """The character as a pattern that matches only itself."""
+    return F.when(F.col(c).rlike("^[0-9A-Za-z]$"), F.col(c)).otherwise(F.concat(F.lit("\\"), F.col(c)))
 
 
 def _bare(text: Column) -> Column:
@@ -118,59 +125,135 @@ def explode_segments(files: DataFrame) -> DataFrame:
     return each.select("file_name", chunk, F.col("pos").cast("long").alias("pos"), F.split(F.col("_s"), _quoted("element")).alias("e")).withColumn("seg_id", F.upper(F.trim(F.get("e", F.lit(0)))))
 
 
-def _e(i: int) -> Column:
-    return F.trim(F.get("e", F.lit(i)))
+def file_blocks(files: DataFrame) -> DataFrame:
+    """(file_name, chunk, pos, segments): the blocks of whole files in order of chunk and pos, cut where the file's row is."""
+    rows = files.select("file_name", _quoted("element").alias("_q"), _parts().alias("_s"))
+    rows = rows.select("file_name", F.transform(F.transform("_s", lambda s: F.split(s, F.col("_q"))), lambda e: F.struct(F.upper(F.trim(F.get(e, F.lit(0)))).alias("seg_id"), e.alias("e"))).alias("_s"))
+    rows = rows.withColumn("_at", _starts(F.col("_s"), lambda s: s["seg_id"].isin(*BEGINS), first=True))
+    # the outer form: of the inner one Spark makes filters on the array, which would cut each file anew
+    each = rows.select("file_name", F.explode_outer(_slices(F.col("_s"), F.col("_at"))).alias("b")).filter("b is not null")
+    return each.select("file_name", F.floor(F.col("b.at") / CHUNK).alias("chunk"), F.col("b.at").cast("long").alias("pos"), F.col("b.segments").alias("segments"))
+
+
+def _starts(segments: Column, test, first: bool = False) -> Column:  # noqa: ANN001
+    """Where the segments stand that pass the test, from 0; with ``first``, 0 is there in any case."""
+    places = F.filter(F.transform(segments, lambda s, i: F.when(test(s) | (i == 0) if first else test(s), i)), lambda i: i.isNotNull())
+    return F.when(F.size(segments) > 0, places).otherwise(F.array().cast("array<int>"))
+
+
+def _slices(segments: Column, starts: Column) -> Column:
+    """For each start its place and the segments from there to the next."""
+    end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(segments))
+    return F.transform(starts, lambda at, j: F.struct(at.alias("at"), F.slice(segments, at + 1, end(j) - at).alias("segments")))
+
+
+def gathered_blocks(segments: DataFrame) -> DataFrame:
+    """As file_blocks(), from the rows of explode_segments() or segments_of().
+
+    One row a chunk tells where its first block begins; what stands before goes to the last chunk before that begins a block. So
+    a block is in one chunk, and one shuffle brings its segments together.
+    """
+    begins = F.col("seg_id").isin(*BEGINS)
+    firsts = segments.groupBy("file_name", "chunk").agg(F.min(F.when(begins, F.col("pos"))).alias("_first"))
+    before = Window.partitionBy("file_name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    home = F.coalesce(F.last(F.when(F.col("_first").isNotNull(), F.col("chunk")), ignorenulls=True).over(before), F.lit(-1).cast("long"))
+    # stored, so that its size is known before the join
+    homes = stored(firsts.withColumn("_home", home))
+    rows = segments.join(homes, ["file_name", "chunk"]).withColumn("_home", F.when(F.col("pos") >= F.col("_first"), F.col("chunk")).otherwise(F.col("_home")))
+    upto = Window.partitionBy("file_name", "_home").orderBy("chunk", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_block", F.sum(begins.cast("long")).over(upto))
+    per = rows.groupBy("file_name", "_home", "_block").agg(F.array_sort(F.collect_list(F.struct("chunk", "pos", "seg_id", "e"))).alias("_s"))
+    return per.select("file_name", F.col("_home").alias("chunk"), F.col("_block").alias("pos"), F.transform("_s", lambda s: F.struct(s["seg_id"].alias("seg_id"), s["e"].alias("e"))).alias("segments"))
+
+
+def _e(i: int, e: Column | None = None) -> Column:
+    return F.trim(F.get("e" if e is None else e, F.lit(i)))
 
 
 def _first(test: Column, value: Column, name: str) -> Column:
-    return F.min_by(F.when(test, value), F.when(test, F.col("pos"))).alias(name)
+    place = F.struct("chunk", "pos", "i")
+    return F.min_by(F.when(test, value), F.when(test, place)).alias(name)
+
+
+def _claim() -> Column:
+    """The claim of a CLM's block, from its segments and the columns of _parsed(): head, diagnoses and lines in file order."""
+    segments, codes, dates, starts = F.col("segments"), F.col("_codes"), F.col("_dates"), F.col("_starts")
+    head = F.get(segments, F.lit(0))["e"]
+    days = lambda among, q: F.array_max(F.transform(F.filter(among, lambda s: (s["seg_id"] == "DTP") & (_e(1, s["e"]) == q)), lambda s: x12_date(F.substring(_e(3, s["e"]), 1, 8))))
+    of = lambda *qs: F.filter(codes, lambda c: c["q"].isin(*qs))
+    part = lambda c: F.get(F.split(c, ":"), F.lit(1))
 
+    def line(x: Column) -> Column:
+        sv = F.get(x["segments"], F.lit(0))
+        of_kind = lambda one, two: F.when(sv["seg_id"] == "SV1", _e(one, sv["e"])).otherwise(_e(two, sv["e"]))
+        return F.struct(
+            F.when(sv["seg_id"] == "SV2", pad4(_e(1, sv["e"]))).alias("revenue_code"), code5(part(of_kind(1, 2))).alias("cpt_hcpcs_code"), days(x["segments"], "472").alias("service_date"),
+            x12_amount(of_kind(2, 3)).alias("charge_amount"), x12_units(of_kind(4, 5)).alias("units_of_service"),
+        )
+
+    return F.struct(
+        _e(1, head).alias("patient_account_number"), x12_amount(_e(2, head)).alias("charge_amount"), F.get(F.split(_e(5, head), ":"), F.lit(0)).alias("facility_code"),
+        days(dates, "291").alias("statement_period_start"), days(dates, "292").alias("statement_period_end"), days(dates, "435").alias("admission_date"), days(dates, "096").alias("discharge_date"),
+        F.get(of("ABK", "BK"), F.lit(0))["code"].alias("principal_icd10_code"), F.when(F.size(codes) > 0, F.transform(of("ABF", "BF", "DR"), lambda c: c["code"])).alias("secondary_icd10_codes"),
+        F.when(F.size(starts) > 0, F.transform(_slices(segments, starts), line)).alias("service_lines"),
+    )
+
+
+def _parsed(blocks: DataFrame) -> DataFrame:
+    """blocks with ``inside`` (of a claim), and of claims the diagnosis codes, the dates and where the lines start, each found once."""
+    inside, segments = F.get("segments", F.lit(0))["seg_id"] == "CLM", F.col("segments")
+    named = lambda name: F.filter(segments, lambda s: s["seg_id"] == name)
+    pairs = lambda s: F.transform(F.transform(F.slice(s["e"], F.lit(2), F.size(s["e"])), lambda c: F.split(c, ":")), lambda c: F.struct(F.trim(F.get(c, F.lit(0))).alias("q"), F.trim(F.get(c, F.lit(1))).alias("code")))
+    return blocks.withColumns({
+        "inside": inside, "_codes": F.when(inside, F.flatten(F.transform(named("HI"), pairs))), "_dates": F.when(inside, named("DTP")),
+        "_starts": F.when(inside, _starts(segments, lambda s: s["seg_id"].isin("SV1", "SV2"))),
+    })
 
-def number_segments(segments: DataFrame) -> DataFrame:
-    """segments with what came before each in its file: ``prov``, ``sub`` and ``clm`` (how many such loops have begun), ``nm1`` (the last
-    entity), ``start`` and ``loop`` (where the last CLM and the last HL stand), ``inside`` (in a claim); ``pos`` counts from the file's begin.
 
-    Stored once, as five groupings read it.
+def _context(segments: Column, inside: Column) -> Column:
+    """What a block tells of loops: its first segment, names with addresses, and outside of claims references and demographics."""
+    told = F.filter(segments, lambda s: s["seg_id"].isin(*BEGINS, "NM1", "N3", "N4") | (~inside & s["seg_id"].isin("REF", "DMG")))
+    return F.transform(told, lambda s, i: F.struct(i.alias("i"), s["seg_id"].alias("seg_id"), F.when(s["seg_id"] != "CLM", s["e"]).alias("e")))
+
+
+def number_segments(context: DataFrame) -> DataFrame:
+    """context (file_name, chunk, pos, i, seg_id, e) with what came before each in its file: ``prov``, ``sub`` and ``clm`` (how many such
+    loops have begun) and ``nm1`` (the last entity).
+
+    Stored once, as three groupings read it.
     """
     seg = F.col("seg_id")
     marks = {"prov": (seg == "NM1") & (_e(1) == "85"), "sub": (seg == "HL") & (_e(3) == "22"), "clm": seg == "CLM"}
-    upto = Window.partitionBy("file_name", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("file_name", "chunk").orderBy("pos", "i").rowsBetween(Window.unboundedPreceding, 0)
     counts = {c: F.sum(F.coalesce(test.cast("long"), F.lit(0))).over(upto) for c, test in marks.items()}
-    rows = segments.withColumns({**counts, "nm1": F.last(F.when(seg == "NM1", _e(1)), ignorenulls=True).over(upto), "_n": F.row_number().over(upto).cast("long") - 1})
-    rows = cut(rows.withColumns({"start": F.max(F.when(seg == "CLM", F.col("_n"))).over(upto), "loop": F.max(F.when(seg == "HL", F.col("_n"))).over(upto)}))
+    rows = stored(context.withColumns({**counts, "nm1": F.last(F.when(seg == "NM1", _e(1)), ignorenulls=True).over(upto)}))
 
     # one row a chunk: what it adds, and from all before it what it starts with
-    totals = rows.groupBy("file_name", "chunk").agg(F.count("*").alias("_rows"), *(F.max(c).alias(f"_{c}") for c in (*counts, "start", "loop")), F.max_by("nm1", F.col("pos")).alias("_nm1"))
+    totals = rows.groupBy("file_name", "chunk").agg(*(F.max(c).alias(f"_{c}") for c in counts), F.max_by("nm1", F.struct("pos", "i")).alias("_nm1"))
     before = Window.partitionBy("file_name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    carried = {
-        **{f"_{c}": F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)) for c in counts}, "_nm1": F.last("_nm1", ignorenulls=True).over(before),
-        **{f"_{c}": F.max(F.col(f"_{c}") + F.col("_base")).over(before) for c in ("start", "loop")},
-    }
-    carry = totals.select(F.col("file_name").alias("_file"), F.col("chunk").alias("_chunk"), "_base", *(c.alias(name) for name, c in carried.items()))
-    met = rows.join(carry, (F.col("file_name") == F.col("_file")) & (F.col("chunk") == F.col("_chunk")))
-    met = met.withColumns({
-        **{c: F.col(c) + F.col(f"_{c}") for c in counts}, "nm1": F.coalesce("nm1", "_nm1"), "pos": F.col("_n") + F.col("_base"),
-        **{c: F.coalesce(F.col(c) + F.col("_base"), F.col(f"_{c}")) for c in ("start", "loop")},
-    })
-    # headers of the next loop come after a claim: from the next HL on, a segment belongs to no claim
-    met = met.withColumn("inside", F.coalesce(F.col("start") > F.coalesce("loop", F.lit(-1)), F.lit(False)))
-    return met.select("file_name", "pos", "seg_id", "e", *counts, "nm1", "inside")
+    carried = {**{f"_{c}": F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)) for c in counts}, "_nm1": F.last("_nm1", ignorenulls=True).over(before)}
+    # chunks that begin a file need nothing
+    carry = totals.select("file_name", "chunk", *(c.alias(name) for name, c in carried.items())).filter("_prov > 0 or _sub > 0 or _clm > 0 or _nm1 is not null")
+    met = rows.join(carry, ["file_name", "chunk"], "left")
+    return stored(met.withColumns({**{c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in counts}, "nm1": F.coalesce("nm1", "_nm1")}).drop(*carried))
 
 
 def assemble_claims(segments: DataFrame) -> DataFrame:
     """One row a CLM segment, with nested service lines and secondary diagnoses in file order."""
+    return claims_of_blocks(gathered_blocks(segments))
+
+
+def claims_of_blocks(blocks: DataFrame) -> DataFrame:
+    """As assemble_claims(), from blocks."""
+    # stored once, for the context and for the claims
+    context, claim = _context(F.col("segments"), F.col("inside")).alias("context"), F.when(F.col("inside"), _claim()).alias("claim")
+    blocks = stored(_parsed(blocks).select("file_name", "chunk", "pos", "inside", context, claim))
+    each = blocks.select("file_name", "chunk", "pos", "inside", F.explode("context").alias("s"))
+    rows = number_segments(each.select("file_name", "chunk", "pos", "inside", "s.*"))
+
     seg = F.col("seg_id")
-    rows = number_segments(segments)
-    # a claim's segments; those outside of claims are numbered nowhere
-    within = Window.partitionBy("file_name", "clm").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lined = rows.filter("inside").withColumn("line", F.sum(F.when(seg.isin("SV1", "SV2"), 1).otherwise(0)).over(within))
-    rows = rows.filter("not inside").withColumn("line", F.lit(0).cast("long")).unionByName(lined)
-
-    # numbered once, for the five groupings
-    rows = cut(rows)
     nm1 = lambda *q: (seg == "NM1") & _e(1).isin(*q)
-    provider = rows.filter("prov > 0").groupBy("file_name", "prov").agg(
+    provider = rows.filter("prov > 0 and seg_id in ('NM1', 'N3', 'N4')").groupBy("file_name", "prov").agg(
         _first(nm1("85"), _e(9), "provider_npi"), _first((seg == "N3") & (F.col("nm1") == "85"), _e(1), "billing_provider_street"),
         *(_first((seg == "N4") & (F.col("nm1") == "85"), _e(i), f"billing_provider_{n}") for i, n in ((1, "city"), (2, "state"), (3, "zip"))),
     )
@@ -178,29 +261,12 @@ def assemble_claims(segments: DataFrame) -> DataFrame:
         _first(nm1("PR"), _e(9), "payer_id"), _first(nm1("IL", "QC"), _e(3), "patient_last_name"), _first(nm1("IL", "QC"), _e(4), "patient_first_name"), _first(nm1("IL", "QC"), _e(9), "member_id"),
         _first((seg == "REF") & (_e(1) == "6P"), _e(2), "group_number"), _first(seg == "DMG", x12_date(_e(2)), "date_of_birth"), _first(seg == "DMG", _e(3), "gender"),
     )
-    mine = rows.filter("clm > 0 and inside")
-    date = lambda q: F.max(F.when((seg == "DTP") & (_e(1) == q), x12_date(F.substring(_e(3), 1, 8))))
-    facility = F.get(F.split(_e(5), ":"), F.lit(0))
-    head = mine.groupBy("file_name", "clm").agg(
-        F.max("prov").alias("prov"), F.max("sub").alias("sub"), _first(seg == "CLM", _e(1), "patient_account_number"), _first(seg == "CLM", x12_amount(_e(2)), "charge_amount"), _first(seg == "CLM", facility, "facility_code"),
-        date("291").alias("statement_period_start"), date("292").alias("statement_period_end"), date("435").alias("admission_date"), date("096").alias("discharge_date"),
-    )
-    codes = mine.filter(seg == "HI").select("file_name", "clm", "pos", F.posexplode(F.slice("e", F.lit(2), F.size("e"))).alias("i", "c")).withColumn("c", F.split("c", ":"))
-    codes = codes.select("file_name", "clm", "pos", "i", F.trim(F.get("c", F.lit(0))).alias("q"), F.trim(F.get("c", F.lit(1))).alias("code"))
-    diagnoses = codes.groupBy("file_name", "clm").agg(
-        _first(F.col("q").isin("ABK", "BK"), F.col("code"), "principal_icd10_code"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("q").isin("ABF", "BF", "DR"), F.struct("pos", "i", "code")))), lambda x: x["code"]).alias("secondary_icd10_codes"),
-    )
-    part = lambda c: F.get(F.split(c, ":"), F.lit(1))
-    sv = lambda one, two: F.when(seg == "SV1", one).when(seg == "SV2", two)
-    lines = mine.filter("line > 0").groupBy("file_name", "clm", "line").agg(
-        F.max(F.when(seg == "SV2", pad4(_e(1)))).alias("revenue_code"), F.max(code5(sv(part(_e(1)), part(_e(2))))).alias("cpt_hcpcs_code"),
-        F.max(F.when((seg == "DTP") & (_e(1) == "472"), x12_date(F.substring(_e(3), 1, 8)))).alias("service_date"),
-        F.max(sv(x12_amount(_e(2)), x12_amount(_e(3)))).alias("charge_amount"), F.max(sv(x12_units(_e(4)), x12_units(_e(5)))).alias("units_of_service"),
-    )
-    fields = ("revenue_code", "cpt_hcpcs_code", "service_date", "charge_amount", "units_of_service")
-    nested = lines.groupBy("file_name", "clm").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", *fields))), lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("service_lines"))
-    out = head.join(provider, ["file_name", "prov"], "left").join(subscriber, ["file_name", "sub"], "left").join(diagnoses, ["file_name", "clm"], "left").join(nested, ["file_name", "clm"], "left")
+    loops = rows.filter("seg_id = 'CLM'").select("file_name", "chunk", "pos", "prov", "sub", "clm")
+    # a provider that is named within the claim counts for it
+    named = F.size(F.filter("context", lambda s: (s["seg_id"] == "NM1") & (_e(1, s["e"]) == "85"))).cast("long")
+    heads = blocks.filter("inside").select("file_name", "chunk", "pos", "claim.*", named.alias("_named"))
+    out = heads.join(loops, ["file_name", "chunk", "pos"]).withColumn("prov", F.col("prov") + F.col("_named")).drop("_named", "chunk", "pos")
+    out = out.join(provider, ["file_name", "prov"], "left").join(subscriber, ["file_name", "sub"], "left")
     out = out.withColumns({c: trim0(F.col(c)) for c in ("provider_npi", "payer_id", "patient_account_number", "principal_icd10_code")})
     kind = F.when(F.col("facility_code").rlike("^[0-9]{2}$"), "institutional").otherwise("professional")
     return out.withColumns({"claim_id": F.concat_ws("#", "file_name", "clm"), "gender": sex(F.col("gender")), "claim_type": kind}).drop("clm", "sub", "prov", "facility_code")
@@ -223,35 +289,36 @@ def ingest_edi(spark: SparkSession, path: str, out: str, ingestion_date: str, gl
 def ingest_files(files: DataFrame, out: str, ingestion_date: str, batch: str) -> dict[str, str]:
     """The four sinks, partitioned by date and batch; a batch that is tried again replaces its own partitions and no others."""
     # each file is checked once, for its three sinks and its claims
-    checked = cut(validate_envelope(files))
+    checked = stored(validate_envelope(files))
     paths = {k: f"{out}/{k}" for k in ("raw", "parsed", "quarantine", "rejects")}
     invalid = checked.filter("not is_valid").select("file_name", "content", "segment_ref", "description")
-    _write_sinks(paths, checked.select("file_name", "content"), invalid, explode_segments(checked.filter("is_valid")), ingestion_date, batch)
+    _write_sinks(paths, checked.select("file_name", "content"), invalid, file_blocks(checked.filter("is_valid")), ingestion_date, batch)
     return paths
 
 
 def ingest_huge(spark: SparkSession, path: str, out: str, ingestion_date: str) -> dict[str, str]:
     """As ingest_edi(), for files that are split: the raw sink has a row for each segment, and the quarantine no content."""
     raw = read_segments(spark, path)
-    checked = cut(check_segments(raw))
+    checked = stored(check_segments(raw))
     paths = {"raw": f"{out}/raw_segments", **{k: f"{out}/{k}" for k in ("parsed", "quarantine", "rejects")}}
     invalid = checked.filter("not is_valid").select("file_name", F.lit(None).cast("string").alias("content"), "segment_ref", "description")
     valid = raw.join(checked.filter("is_valid").select("file_name"), "file_name", "left_semi")
-    _write_sinks(paths, raw, invalid, segments_of(valid), ingestion_date, hashlib.md5(path.encode()).hexdigest()[:12])
+    _write_sinks(paths, raw, invalid, gathered_blocks(segments_of(valid)), ingestion_date, hashlib.md5(path.encode()).hexdigest()[:12])
     return paths
 
 
-def _write_sinks(paths: dict[str, str], raw: DataFrame, invalid: DataFrame, segments: DataFrame, ingestion_date: str, batch: str) -> None:
+def _write_sinks(paths: dict[str, str], raw: DataFrame, invalid: DataFrame, blocks: DataFrame, ingestion_date: str, batch: str) -> None:
     dated = {"ingestion_date": F.lit(ingestion_date).cast("date"), "batch": F.lit(f"b{batch}")}
     tag = {**{name: F.lit(value) for name, value in RETENTION.items()}, "ingestion_ts": F.current_timestamp(), **dated}
 
     def write(df: DataFrame, kind: str, form: str = "parquet") -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*dated).format(form).save(paths[kind])
+        packed = {"compression": "zstd"} if form == "parquet" else {}
+        df.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **packed).partitionBy(*dated).format(form).save(paths[kind])
 
     write(raw.withColumns(tag), "raw")
     write(invalid.withColumns(dated), "quarantine")
     # parsed once, for the claims and for their rejects
-    good, missing = split_required(cut(assemble_claims(segments)))
+    good, missing = split_required(stored(claims_of_blocks(blocks)))
     write(good.withColumns(dated), "parsed")
     none = F.lit(None).cast("string")
     bad = invalid.select("file_name", F.lit("INVALID_ENVELOPE").alias("error_type"), "segment_ref", none.alias("field_name"), none.alias("claim_segment_ref"))

@@ -133,3 +133,22 @@ def test_trailing_sums_of_several_keys(spark):
     for send in (200_000, 10):
         found = windows.trailing_cube(df, sets, {"n_sum": F.col("n")}, send_rows=send)
         assert {r["id"]: tuple(r[f"{s}_n_sum"] for s in sets) for r in found.collect()} == want
+
+
+def test_claims_of_files_are_assembled_without_a_shuffle_of_segments(spark):
+    """Blocks of whole files are cut within their rows; those of split files need one shuffle, and both give the same claims, whatever a claim holds."""
+    from claimspark.sources import edi
+    from tests.test_fixtures import claim_file
+
+    odd = claim_file().replace("LX*2~", "NM1*82*1*DOC~NM1*85*2*OTHER*****XX*9999999999~N3*9 SIDE~REF*6P*NOT~").replace("CLM*A2", "~ clm *A2").replace("HI*ABK:I10*", "HI~HI*ABF:Z1:x*BK*")
+    files = spark.createDataFrame([("odd", odd), ("fine", claim_file()), ("blank", claim_file()[:106])], "file_name string, content string")
+    rows = edi.with_delimiters(files)
+    blocks = edi.file_blocks(rows)
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+    told = lambda df: sorted(str(sorted(r.asDict(recursive=True).items())) for r in df.collect())
+    got = told(edi.claims_of_blocks(blocks))
+    assert got == told(edi.assemble_claims(edi.explode_segments(rows))) and len(got) == 4
+    claims = {(r["file_name"], r["patient_account_number"]): r for r in edi.claims_of_blocks(blocks).collect()}
+    # a provider named within a claim counts from that claim on, with the address that follows it
+    assert {claims["odd", a]["provider_npi"] for a in ("A1", "A2")} == {"9999999999"} and claims["odd", "A1"]["billing_provider_street"] == "9 SIDE" and claims["odd", "A1"]["billing_provider_city"] is None
+    assert claims["odd", "A1"]["secondary_icd10_codes"] == ["Z1", "E119", "I500"] and claims["odd", "A1"]["principal_icd10_code"] == "" and claims["odd", "A1"]["group_number"] is None
