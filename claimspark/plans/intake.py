@@ -112,8 +112,8 @@ def _claim_columns(rows: DataFrame, *more: str) -> DataFrame:
 
 def ingested_lines(spark, sf_dir):
     """The service lines of all claims of valid files, before the check of required fields."""
-    valid = stored(edi.validate_envelope(interchanges(spark, sf_dir))).filter("is_valid")
-    return _line_columns(edi.assemble_claims(edi.explode_segments(valid)))
+    valid = edi.validate_envelope(interchanges(spark, sf_dir)).filter("is_valid")
+    return _line_columns(edi.claims_of_blocks(edi.file_blocks(valid)))
 
 
 def _line_columns(claims: DataFrame) -> DataFrame:
