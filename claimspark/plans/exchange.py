@@ -15,9 +15,9 @@ from claimspark.sources.store import ClaimStore
 from claimspark.streaming.incremental import fold_outcomes, linked_store, stream_outcomes
 
 
-def _write_lines(rows: DataFrame, path: str) -> str:
+def _write_lines(rows: DataFrame, path: str, mode: str = "error", compression: str = "none") -> str:
     """One JSON document a line."""
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).option("compression", compression).text(path)
     return path
 
 
@@ -162,18 +162,18 @@ def widened_window(spark, sf_dir):
     return training.select_window(claims_view(spark, sf_dir), "1998-03-01", 20, 60, 720).select("claim_id", "submission_date", "label")
 
 
-def _remittances(spark, sf_dir, out: str) -> list[str]:
-    """Three folders of remittances, each row twice: those of the last years first, and the oldest last."""
+def _remittances(spark, sf_dir) -> list[DataFrame]:
+    """Three parts of remittances, each row twice: those of the last years first, and the oldest last."""
     status = F.when(F.col("l_returnflag") == "R", "denied").otherwise("paid").alias("adjudication_status")
     lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("CLM-"), F.col("l_orderkey")).alias("claim_id"), status, F.col("l_shipdate").alias("processed"))
     parts = ("processed >= '1997-01-01'", "processed >= '1994-01-01' and processed < '1997-01-01'", "processed < '1994-01-01'")
-    return [_write_lines(lines.unionAll(lines).filter(part), f"{out}/part{i}") for i, part in enumerate(parts)]
+    return [lines.unionAll(lines).filter(part) for part in parts]
 
 
 def _streamed(spark, sf_dir, out: str, after) -> None:  # noqa: ANN001
-    """The remittances through the stream, folder by folder, and ``after`` each of them."""
-    for number, part in enumerate(_remittances(spark, sf_dir, out)):
-        spark.read.text(part).write.mode("append").text(f"{out}/era")
+    """The remittances through the stream, part by part, and ``after`` each of them. Their files are written once, where the stream finds them, and compressed."""
+    for number, part in enumerate(_remittances(spark, sf_dir)):
+        _write_lines(part, f"{out}/era", "append", "gzip")
         stream_outcomes(spark, f"{out}/era", f"{out}/changes", f"{out}/checkpoint", files_per_batch=3 + number).awaitTermination()
         after()
 

@@ -235,3 +235,14 @@ def test_chunks_of_whole_files(spark, tmp_path, monkeypatch):
     segments = edi.explode_segments(edi.with_delimiters(rows))
     assert segments.groupBy("file_name", "chunk").count().agg(F.max("count")).first()[0] == 4
     assert claims_of(edi.assemble_claims(segments)) == want
+
+
+def test_streamed_remittances_are_written_once_and_compressed(spark, tmp_path, sf):
+    from claimspark.plans import exchange
+
+    calls = []
+    exchange._streamed(spark, sf, str(tmp_path / "o"), lambda: calls.append(1))
+    texts = [p for p in tmp_path.rglob("part-*") if p.suffix in (".txt", ".json", ".gz")]
+    assert calls == [1, 1, 1] and texts and {(p.parent.name, p.suffix) for p in texts} == {("era", ".gz")}
+    rows = spark.read.json(str(tmp_path / "o" / "era"))
+    assert rows.count() == 2 * spark.read.parquet(f"{sf}/lineitem.parquet").count()
