@@ -117,7 +117,9 @@ def comorbidity_scores(spark, sf_dir):
 
 def prefix_matches(spark, sf_dir):
     codes = claims_view(spark, sf_dir).filter("principal_icd10 is not null").select("claim_id", S.norm_icd10(F.col("principal_icd10")).alias("code"))
-    return longest_prefix(codes, "code", spark.createDataFrame(PREFIXES, "prefix string, weight int"))
+    # a code is matched once, not once a claim
+    matched = longest_prefix(codes.select("code").distinct(), "code", spark.createDataFrame(PREFIXES, "prefix string, weight int"))
+    return codes.join(matched, "code").select("claim_id", "code", "prefix", "weight")
 
 
 def provider_lookups(spark, sf_dir, claims=None):

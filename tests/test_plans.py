@@ -152,3 +152,12 @@ def test_claims_of_files_are_assembled_without_a_shuffle_of_segments(spark):
     # a provider named within a claim counts from that claim on, with the address that follows it
     assert {claims["odd", a]["provider_npi"] for a in ("A1", "A2")} == {"9999999999"} and claims["odd", "A1"]["billing_provider_street"] == "9 SIDE" and claims["odd", "A1"]["billing_provider_city"] is None
     assert claims["odd", "A1"]["secondary_icd10_codes"] == ["Z1", "E119", "I500"] and claims["odd", "A1"]["principal_icd10_code"] == "" and claims["odd", "A1"]["group_number"] is None
+
+
+def test_prefixes_are_matched_once_a_code(spark, sf):
+    """No aggregation by claim: what is grouped for the longest prefix are the distinct codes."""
+    from claimspark import queries
+
+    plan = queries.prefix_matches(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    groups = [line for line in plan.splitlines() if "max_by" in line]
+    assert groups and not any("claim_id" in line for line in groups)
