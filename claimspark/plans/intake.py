@@ -129,7 +129,7 @@ def huge_interchange_claims(spark, sf_dir):
 
 def huge_interchange_lines(spark, sf_dir):
     """The service lines of all claims of that file."""
-    return _line_columns(edi.assemble_claims(edi.segments_of(edi.read_segments(spark, one_interchange(spark, sf_dir)))))
+    return _line_columns(edi.claims_of_segments(edi.read_segments(spark, one_interchange(spark, sf_dir))))
 
 
 def ingest_rejects(spark, sf_dir):

@@ -7,16 +7,19 @@ Fields go to the loop that holds them: patient, payer and member to the subscrib
 that they stand in.
 
 Files come in two ways. Small ones are a row each, which is cut into blocks where it is. A huge one is read by its terminator as
-line separator, so Spark splits it as it splits any text, and its segments are never together: each goes to the chunk in which its
-block begins, and blocks are gathered there. The running counts are a scan in two levels: within a chunk (``CHUNK`` segments at
-most), and over one row of totals for each chunk, which carries counts and last values into the next. No window holds more
-segments than a chunk and the block that it ends in.
+line separator, so Spark splits it as it splits any text. Its blocks are gathered batch by batch where the rows stand; only the
+blocks that a batch cuts are put together by a shuffle of their segments, each to the chunk in which its block begins. The running
+counts are a scan in two levels: within a chunk (``CHUNK`` segments at most), and over one row of totals for each chunk, which
+carries counts and last values into the next. No window holds more segments than a chunk and the block that it ends in.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ REQUIRED = ("provider_npi", "payer_id", "patient_account_number", "principal_icd
 ENVELOPE = ("ISA", "GS", "ST", "SE", "GE", "IEA")
 ISA_PARTS = 17  # the name and 16 elements
 BEGINS = ("HL", "CLM")  # the segments that begin a block
+SEGMENTS = "file_name string, element string, terminator string, chunk long, at long, text string"
+PIECES = "file_name string, element string, chunk long, pos long, whole boolean, texts array<string>"
 ROWS = 1 << 33  # monotonically_increasing_id() counts the rows of a partition below this
 
 
@@ -48,6 +53,11 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     where Spark splits text; ``chunk`` is a split's first byte, one more for each CHUNK segments of it, and ``at`` grows within it.
     The rows are stored once, so that all who read them find the same numbers.
     """
+    return stored(_segment_rows(spark, path))
+
+
+def _segment_rows(spark: SparkSession, path: str) -> DataFrame:
+    """read_segments(), not stored."""
     found: dict[str, list[tuple[str, str]]] = {}
     for name in names(spark, path) or [""]:
         place = f"{path}/{name}" if name else path
@@ -63,25 +73,56 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
         chunk = F.col("chunk") + F.floor(F.col("at") % ROWS / CHUNK)
         rows = rows.join(F.broadcast(heads), "file_name").select("file_name", "element", "terminator", chunk.alias("chunk"), "at", "text")
         out = rows if out is None else out.unionAll(rows)
-    schema = "file_name string, element string, terminator string, chunk long, at long, text string"
-    return stored(out) if out is not None else spark.createDataFrame([], schema)
+    return out if out is not None else spark.createDataFrame([], SEGMENTS)
 
 
 def check_segments(raw: DataFrame) -> DataFrame:
     """(file_name, is_valid, segment_ref, description) of files as read_segments() gives them, by the rules of validate_envelope()."""
-    rows = raw.select("file_name", "chunk", "at", F.split(_bare(F.col("text")), _quoted("element")).alias("e")).withColumn("name", F.get("e", F.lit(0)))
+    rows = raw.select("file_name", "chunk", "at", "element", _bare(F.col("text")).alias("text")).filter("text <> ''").withColumn("name", _name(F.col("text")))
+    parts = F.length("text") - F.length(F.call_function("translate", "text", "element", F.lit(""))) + 1
     found = [F.max((F.col("name") == n).cast("int")).alias(n) for n in ENVELOPE]
-    chunks = rows.filter(F.col("name") != "").groupBy("file_name", "chunk").agg(F.min_by(F.size("e"), F.col("at")).alias("n"), *found)
+    chunks = rows.filter("name <> ''").groupBy("file_name", "chunk").agg(F.min_by(parts, F.col("at")).alias("n"), *found)
     per = chunks.groupBy("file_name").agg(F.min_by("n", "chunk").alias("n"), *(F.max(n).alias(n) for n in ENVELOPE))
     broken = lambda test, ref, text: F.when(test, F.struct(F.lit(ref).alias("ref"), F.lit(text).alias("text")))
     first = F.coalesce(broken(F.col("n") != ISA_PARTS, "ISA", "ISA has the wrong number of elements"), *(broken(F.col(n) == 0, n, f"{n} is missing") for n in ENVELOPE))
     return per.withColumn("_b", first).select("file_name", F.col("_b").isNull().alias("is_valid"), F.col("_b.ref").alias("segment_ref"), F.col("_b.text").alias("description"))
 
 
-def segments_of(raw: DataFrame) -> DataFrame:
-    """As explode_segments(), from read_segments(); ``pos`` grows within a chunk."""
-    each = raw.withColumn("text", _bare(F.col("text"))).filter("text <> ''")
-    return each.select("file_name", "chunk", F.col("at").alias("pos"), F.split("text", _quoted("element")).alias("e")).withColumn("seg_id", F.upper(F.trim(F.get("e", F.lit(0)))))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments to pieces: from one that begins a block to the next, or to where rows stop following each other. ``whole`` are those that
+    begin a block and end where the next begins."""
+    for b in batches:
+        chunk, at, begins = (b.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "at", "begins"))
+        name = b.column("file_name").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        apart = (name[1:] != name[:-1]) | (chunk[1:] != chunk[:-1]) | (at[1:] != at[:-1] + 1)
+        filled = b.column("filled").to_numpy(zero_copy_only=False)
+        run = np.cumsum(np.concatenate([np.zeros(min(len(at), 1), bool), apart]))[filled]
+        kept, begins = b.filter(pa.array(filled)), begins[filled]
+        if not kept.num_rows:
+            continue
+        starts = np.flatnonzero(begins | np.concatenate([[True], run[1:] != run[:-1]]))
+        ended = np.concatenate([run[starts][1:] == run[starts][:-1], [False]])
+        texts = pa.ListArray.from_arrays(pa.array(np.append(starts, kept.num_rows), pa.int32()), kept.column("text"))
+        heads = [kept.column(c).take(pa.array(starts)) for c in ("file_name", "element", "chunk", "at")]
+        yield pa.RecordBatch.from_arrays([*heads, pa.array(begins[starts] & ended), texts], names=["file_name", "element", "chunk", "pos", "whole", "texts"])
+
+
+def claims_of_segments(raw: DataFrame) -> DataFrame:
+    """As assemble_claims(), from the rows of read_segments().
+
+    Blocks are gathered and parsed in the task that reads their segments, as many as come in one batch; of the others, two at most a
+    batch, the segments are shuffled. So no more than these few and what claims tell of loops is moved.
+    """
+    rows = raw.select("file_name", "element", "chunk", "at", _bare(F.col("text")).alias("text"))
+    rows = rows.withColumns({"filled": F.col("text") != "", "begins": F.upper(F.trim(_name(F.col("text")))).isin(*BEGINS)})
+    each = rows.mapInArrow(_pieces, PIECES)
+    parsed = _contents(each.withColumn("segments", F.when(F.col("whole"), _split_all(F.col("texts"), _quoted("element")))), "element", "whole", F.when(~F.col("whole"), F.col("texts")).alias("texts"))
+    # stored once: what is whole in a batch depends on where batches end
+    parsed = stored(parsed)
+    cut = parsed.filter("not whole").select("file_name", "element", "chunk", F.col("pos").alias("_at"), F.posexplode("texts").alias("_i", "_s"))
+    cut = cut.select("file_name", "chunk", (F.col("_at") + F.col("_i")).alias("pos"), F.split("_s", _quoted("element")).alias("e")).withColumn("seg_id", F.upper(F.trim(F.get("e", F.lit(0)))))
+    mended = stored(_contents(gathered_blocks(cut)))
+    return _claims_of_contents(parsed.filter("whole").select(*mended.columns).unionAll(mended))
 
 
 def with_delimiters(files: DataFrame) -> DataFrame:
@@ -92,11 +133,17 @@ def with_delimiters(files: DataFrame) -> DataFrame:
 
 def _quoted(c: str) -> Column:
     """The character as a pattern that matches only itself."""
-    return F.when(F.col(c).rlike("^[0-9A-Za-z]$"), F.col(c)).otherwise(F.concat(F.lit("\\"), F.col(c)))
+    alone = F.col(c).between("0", "9") | F.col(c).between("A", "Z") | F.col(c).between("a", "z")
+    return F.when(alone, F.col(c)).otherwise(F.concat(F.lit("\\"), F.col(c)))
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s]+|[\s]+$", "")
+    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def _name(text: Column) -> Column:
+    """What stands before the first delimiter."""
+    return F.call_function("substring_index", text, F.col("element"), F.lit(1))
 
 
 def _parts() -> Column:
@@ -106,7 +153,7 @@ def _parts() -> Column:
 def validate_envelope(files: DataFrame) -> DataFrame:
     """with_delimiters() and is_valid, segment_ref and description of the first rule that a file breaks."""
     rows = with_delimiters(files).withColumn("_s", _parts())
-    rows = rows.withColumn("_names", F.transform("_s", lambda s: F.call_function("substring_index", s, F.col("element"), F.lit(1))))
+    rows = rows.withColumn("_names", F.transform("_s", _name))
     broken = lambda test, ref, text: F.when(test, F.struct(F.lit(ref).alias("ref"), F.lit(text).alias("text")))
     first = F.coalesce(
         broken(F.trim(F.coalesce("content", F.lit(""))) == "", "", "empty file"),
@@ -128,13 +175,18 @@ def explode_segments(files: DataFrame) -> DataFrame:
 def file_blocks(files: DataFrame) -> DataFrame:
     """(file_name, chunk, pos, segments): the blocks of whole files in order of chunk and pos, cut where the file's row is."""
     rows = files.select("file_name", _quoted("element").alias("_q"), _parts().alias("_s"))
-    rows = rows.select("file_name", F.transform(F.transform("_s", lambda s: F.split(s, F.col("_q"))), lambda e: F.struct(F.upper(F.trim(F.get(e, F.lit(0)))).alias("seg_id"), e.alias("e"))).alias("_s"))
+    rows = rows.select("file_name", _split_all(F.col("_s"), F.col("_q")).alias("_s"))
     rows = rows.withColumn("_at", _starts(F.col("_s"), lambda s: s["seg_id"].isin(*BEGINS), first=True))
     # the outer form: of the inner one Spark makes filters on the array, which would cut each file anew
     each = rows.select("file_name", F.explode_outer(_slices(F.col("_s"), F.col("_at"))).alias("b")).filter("b is not null")
     return each.select("file_name", F.floor(F.col("b.at") / CHUNK).alias("chunk"), F.col("b.at").cast("long").alias("pos"), F.col("b.segments").alias("segments"))
 
 
+def _split_all(texts: Column, pattern: Column) -> Column:
+    """The segments of texts: seg_id and their elements e, the name at 0."""
+    return F.transform(F.transform(texts, lambda s: F.split(s, pattern)), lambda e: F.struct(F.upper(F.trim(F.get(e, F.lit(0)))).alias("seg_id"), e.alias("e")))
+
+
 def _starts(segments: Column, test, first: bool = False) -> Column:  # noqa: ANN001
     """Where the segments stand that pass the test, from 0; with ``first``, 0 is there in any case."""
     places = F.filter(F.transform(segments, lambda s, i: F.when(test(s) | (i == 0) if first else test(s), i)), lambda i: i.isNotNull())
@@ -148,7 +200,7 @@ def _slices(segments: Column, starts: Column) -> Column:
 
 
 def gathered_blocks(segments: DataFrame) -> DataFrame:
-    """As file_blocks(), from the rows of explode_segments() or segments_of().
+    """As file_blocks(), from the rows of explode_segments(), or those of them that claims_of_segments() shuffles.
 
     One row a chunk tells where its first block begins; what stands before goes to the last chunk before that begins a block. So
     a block is in one chunk, and one shuffle brings its segments together.
@@ -163,7 +215,8 @@ def gathered_blocks(segments: DataFrame) -> DataFrame:
     upto = Window.partitionBy("file_name", "_home").orderBy("chunk", "pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_block", F.sum(begins.cast("long")).over(upto))
     per = rows.groupBy("file_name", "_home", "_block").agg(F.array_sort(F.collect_list(F.struct("chunk", "pos", "seg_id", "e"))).alias("_s"))
-    return per.select("file_name", F.col("_home").alias("chunk"), F.col("_block").alias("pos"), F.transform("_s", lambda s: F.struct(s["seg_id"].alias("seg_id"), s["e"].alias("e"))).alias("segments"))
+    head = F.get("_s", F.lit(0))
+    return per.select("file_name", head["chunk"].alias("chunk"), head["pos"].alias("pos"), F.transform("_s", lambda s: F.struct(s["seg_id"].alias("seg_id"), s["e"].alias("e"))).alias("segments"))
 
 
 def _e(i: int, e: Column | None = None) -> Column:
@@ -246,8 +299,16 @@ def assemble_claims(segments: DataFrame) -> DataFrame:
 def claims_of_blocks(blocks: DataFrame) -> DataFrame:
     """As assemble_claims(), from blocks."""
     # stored once, for the context and for the claims
+    return _claims_of_contents(stored(_contents(blocks)))
+
+
+def _contents(blocks: DataFrame, *more: str | Column) -> DataFrame:
+    """(file_name, chunk, pos, inside, context, claim): what blocks tell of loops, and the claims of those that are one."""
     context, claim = _context(F.col("segments"), F.col("inside")).alias("context"), F.when(F.col("inside"), _claim()).alias("claim")
-    blocks = stored(_parsed(blocks).select("file_name", "chunk", "pos", "inside", context, claim))
+    return _parsed(blocks).select("file_name", "chunk", "pos", "inside", context, claim, *more)
+
+
+def _claims_of_contents(blocks: DataFrame) -> DataFrame:
     each = blocks.select("file_name", "chunk", "pos", "inside", F.explode("context").alias("s"))
     rows = number_segments(each.select("file_name", "chunk", "pos", "inside", "s.*"))
 
@@ -291,35 +352,50 @@ def ingest_files(files: DataFrame, out: str, ingestion_date: str, batch: str) ->
     # each file is checked once, for its three sinks and its claims
     checked = stored(validate_envelope(files))
     paths = {k: f"{out}/{k}" for k in ("raw", "parsed", "quarantine", "rejects")}
+    write = _writer(paths, ingestion_date, batch)
+    write(_kept(checked.select("file_name", "content")), "raw")
     invalid = checked.filter("not is_valid").select("file_name", "content", "segment_ref", "description")
-    _write_sinks(paths, checked.select("file_name", "content"), invalid, file_blocks(checked.filter("is_valid")), ingestion_date, batch)
+    _write_sinks(write, invalid, claims_of_blocks(file_blocks(checked.filter("is_valid"))))
     return paths
 
 
 def ingest_huge(spark: SparkSession, path: str, out: str, ingestion_date: str) -> dict[str, str]:
     """As ingest_edi(), for files that are split: the raw sink has a row for each segment, and the quarantine no content."""
-    raw = read_segments(spark, path)
-    checked = stored(check_segments(raw))
+    batch = hashlib.md5(path.encode()).hexdigest()[:12]
     paths = {"raw": f"{out}/raw_segments", **{k: f"{out}/{k}" for k in ("parsed", "quarantine", "rejects")}}
+    write = _writer(paths, ingestion_date, batch)
+    raw = _segment_rows(spark, path)
+    write(_kept(raw), "raw")
+    if not raw.isEmpty():
+        # the sink's own rows, so that segments are stored once; an empty batch writes no folder, and leaves one of an earlier try
+        raw = spark.read.schema(SEGMENTS).parquet(f"{paths['raw']}/ingestion_date={ingestion_date}/batch=b{batch}")
+    checked = stored(check_segments(raw))
     invalid = checked.filter("not is_valid").select("file_name", F.lit(None).cast("string").alias("content"), "segment_ref", "description")
-    valid = raw.join(checked.filter("is_valid").select("file_name"), "file_name", "left_semi")
-    _write_sinks(paths, raw, invalid, gathered_blocks(segments_of(valid)), ingestion_date, hashlib.md5(path.encode()).hexdigest()[:12])
+    valid = raw.join(F.broadcast(checked.filter("is_valid").select("file_name")), "file_name", "left_semi")
+    _write_sinks(write, invalid, claims_of_segments(valid))
     return paths
 
 
-def _write_sinks(paths: dict[str, str], raw: DataFrame, invalid: DataFrame, blocks: DataFrame, ingestion_date: str, batch: str) -> None:
+def _kept(raw: DataFrame) -> DataFrame:
+    """raw with how long it is kept, and since when."""
+    return raw.withColumns({**{name: F.lit(value) for name, value in RETENTION.items()}, "ingestion_ts": F.current_timestamp()})
+
+
+def _writer(paths: dict[str, str], ingestion_date: str, batch: str) -> Callable[..., None]:
     dated = {"ingestion_date": F.lit(ingestion_date).cast("date"), "batch": F.lit(f"b{batch}")}
-    tag = {**{name: F.lit(value) for name, value in RETENTION.items()}, "ingestion_ts": F.current_timestamp(), **dated}
 
     def write(df: DataFrame, kind: str, form: str = "parquet") -> None:
         packed = {"compression": "zstd"} if form == "parquet" else {}
-        df.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **packed).partitionBy(*dated).format(form).save(paths[kind])
+        df.withColumns(dated).write.mode("overwrite").options(partitionOverwriteMode="dynamic", **packed).partitionBy(*dated).format(form).save(paths[kind])
+
+    return write
+
 
-    write(raw.withColumns(tag), "raw")
-    write(invalid.withColumns(dated), "quarantine")
-    # parsed once, for the claims and for their rejects
-    good, missing = split_required(stored(claims_of_blocks(blocks)))
-    write(good.withColumns(dated), "parsed")
+def _write_sinks(write: Callable[..., None], invalid: DataFrame, claims: DataFrame) -> None:
+    """The quarantine, the parsed claims and the rejects."""
+    write(invalid, "quarantine")
+    good, missing = split_required(claims)
+    write(good, "parsed")
     none = F.lit(None).cast("string")
     bad = invalid.select("file_name", F.lit("INVALID_ENVELOPE").alias("error_type"), "segment_ref", none.alias("field_name"), none.alias("claim_segment_ref"))
-    write(bad.unionByName(missing).withColumns({"failure_timestamp": F.current_timestamp(), **dated}), "rejects", "json")
+    write(bad.unionByName(missing).withColumn("failure_timestamp", F.current_timestamp()), "rejects", "json")

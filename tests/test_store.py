@@ -228,6 +228,27 @@ def test_huge_files_give_the_rows_of_small_ones(spark, tmp_path, size):
     assert [(r["file_name"], r["segment_ref"]) for r in spark.read.parquet(split["quarantine"]).collect()] == [("noiea", "IEA")]
 
 
+def test_huge_files_shuffle_only_blocks_that_a_batch_cuts(spark, tmp_path, monkeypatch):
+    text = claim_file()
+    body = text[text.index("HL*") : text.index("SE*")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f").write_text(text.replace(body, body * 100))
+    shuffled, real = [], edi.gathered_blocks
+    monkeypatch.setattr(edi, "gathered_blocks", lambda rows: (shuffled.append(rows.count()), real(rows))[1])
+    paths = edi.ingest_huge(spark, str(tmp_path / "in"), str(tmp_path / "out"), "2024-01-01")
+    assert shuffled[0] * 20 < spark.read.parquet(paths["raw"]).count()
+    assert spark.read.parquet(paths["parsed"]).count() == 100 * body.count("CLM*")
+
+
+def test_pieces_end_where_rows_do_not_follow():
+    import pyarrow as pa
+
+    at, begins, texts = [0, 1, 2, 3, 5, 6, 7, 8], [False, True, False, True, False, True, False, True], ["a", "B", "", "C", "d", "E", "f", "G"]
+    columns = {"file_name": ["f"] * 8, "element": ["*"] * 8, "chunk": pa.array([0] * 8, pa.int64()), "at": pa.array(at, pa.int64()), "text": texts, "filled": [t != "" for t in texts], "begins": begins}
+    (got,) = edi._pieces([pa.RecordBatch.from_pydict(columns), pa.RecordBatch.from_pydict(columns).slice(2, 1)])
+    assert [(r["pos"], r["whole"], r["texts"]) for r in got.to_pylist()] == [(0, False, ["a"]), (1, True, ["B"]), (3, False, ["C"]), (5, False, ["d"]), (6, True, ["E", "f"]), (8, False, ["G"])]
+
+
 def test_chunks_of_whole_files(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([("f", claim_file()), ("g", claim_file(payer="") * 1)], "file_name string, content string")
     want = claims_of(edi.assemble_claims(edi.explode_segments(edi.with_delimiters(rows))))
