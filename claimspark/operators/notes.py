@@ -15,6 +15,7 @@ from claimspark.plans.windows import in_order, running
 
 TOKENS = 10_000
 DIMENSION = 768
+HELD = 256  # vectors that a Python worker holds at once
 
 
 def prepare_notes(notes: DataFrame, key: str, order: list[str], text: str = "text", most: int = TOKENS) -> DataFrame:
@@ -36,21 +37,25 @@ def hash_encoder(dimension: int = DIMENSION) -> Callable[[str], np.ndarray]:
     return lambda text: np.random.default_rng(int.from_bytes(hashlib.md5(text.encode()).digest()[:8])).random(dimension, np.float32)
 
 
+def encoded(batches: Iterator[pd.Series], encode: Callable[[str], np.ndarray], dimension: int) -> Iterator[pd.DataFrame]:
+    """(embedding, error) of each text, in frames of ``HELD`` rows at most."""
+    for texts in (t[i : i + HELD] for t in batches for i in range(0, len(t), HELD)):
+        rows = []
+        for t in texts:
+            try:
+                v = np.asarray(encode(t), np.float32)
+                rows.append((v, None) if v.shape == (dimension,) else (None, f"dimension {v.shape}"))
+            except Exception as e:  # one bad text must not fail the batch
+                rows.append((None, str(e) or type(e).__name__))
+        yield pd.DataFrame(rows, columns=["embedding", "error"])
+
+
 def embed(df: DataFrame, load: Callable[[], Callable[[str], np.ndarray]] = hash_encoder, text: str = "text", dimension: int = DIMENSION) -> DataFrame:
     """df with ``embedding`` and ``embedding_error`` (null if none); ``load`` makes the encoder, once a Python worker's task."""
 
     @F.pandas_udf("embedding array<float>, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encode = load()
-        for texts in batches:
-            rows = []
-            for t in texts:
-                try:
-                    v = np.asarray(encode(t), np.float32)
-                    rows.append((v.tolist(), None) if v.shape == (dimension,) else (None, f"dimension {v.shape}"))
-                except Exception as e:  # one bad text must not fail the batch
-                    rows.append((None, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["embedding", "error"])
+        return encoded(batches, load(), dimension)
 
     return df.withColumn("_e", run(F.col(text))).withColumns({"embedding": F.col("_e.embedding"), "embedding_error": F.col("_e.error")}).drop("_e")
 

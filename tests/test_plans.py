@@ -161,3 +161,16 @@ def test_prefixes_are_matched_once_a_code(spark, sf):
     plan = queries.prefix_matches(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     groups = [line for line in plan.splitlines() if "max_by" in line]
     assert groups and not any("claim_id" in line for line in groups)
+
+
+def test_vectors_are_held_few_at_a_time():
+    import numpy as np
+    import pandas as pd
+
+    from claimspark.operators import notes
+
+    frames = list(notes.encoded(iter([pd.Series([str(i) for i in range(1000)])]), lambda t: np.full(2, float(t)) if t != "7" else np.zeros(3), 2))
+    assert max(len(f) for f in frames) <= notes.HELD
+    rows = [r for f in frames for r in f.itertuples(index=False)]
+    assert [r.error for r in rows if r.error] == ["dimension (3,)"] and rows[7].embedding is None
+    assert all(r.embedding.dtype == np.float32 and r.embedding.tolist() == [i, i] for i, r in enumerate(rows) if i != 7)
