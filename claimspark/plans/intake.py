@@ -33,7 +33,7 @@ def _service(line: Column, institutional: Column) -> Column:
 def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_custkey, loops): the segments of each customer's claims, those of provider and subscriber before them."""
     fields = F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(fields)).alias("lines"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(fields)).alias("lines"))
     orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
 
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -46,7 +46,7 @@ def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.concat_ws("*", F.lit("HI"), principal, others), F.lit("~")),
         F.array_join(F.transform("lines", lambda x: _service(x, institutional)), ""),
     )
-    files = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", claim.alias("text")))).alias("claims"))
+    files = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", claim.alias("text")))).alias("claims"))
     number = F.lpad(cust.cast("string"), 9, "0")
     loops = F.concat(
         _seg("HL", "1", "", "20", "1"),

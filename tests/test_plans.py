@@ -174,3 +174,10 @@ def test_vectors_are_held_few_at_a_time():
     rows = [r for f in frames for r in f.itertuples(index=False)]
     assert [r.error for r in rows if r.error] == ["dimension (3,)"] and rows[7].embedding is None
     assert all(r.embedding.dtype == np.float32 and r.embedding.tolist() == [i, i] for i, r in enumerate(rows) if i != 7)
+
+
+def test_interchanges_sort_without_a_comparator(spark, sf):
+    from claimspark.plans import intake
+
+    plan = intake._loops(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "array_sort" not in plan
