@@ -214,7 +214,7 @@ def gathered_blocks(segments: DataFrame) -> DataFrame:
     rows = segments.join(homes, ["file_name", "chunk"]).withColumn("_home", F.when(F.col("pos") >= F.col("_first"), F.col("chunk")).otherwise(F.col("_home")))
     upto = Window.partitionBy("file_name", "_home").orderBy("chunk", "pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_block", F.sum(begins.cast("long")).over(upto))
-    per = rows.groupBy("file_name", "_home", "_block").agg(F.array_sort(F.collect_list(F.struct("chunk", "pos", "seg_id", "e"))).alias("_s"))
+    per = rows.groupBy("file_name", "_home", "_block").agg(F.sort_array(F.collect_list(F.struct("chunk", "pos", "seg_id", "e"))).alias("_s"))
     head = F.get("_s", F.lit(0))
     return per.select("file_name", head["chunk"].alias("chunk"), head["pos"].alias("pos"), F.transform("_s", lambda s: F.struct(s["seg_id"].alias("seg_id"), s["e"].alias("e"))).alias("segments"))
 
