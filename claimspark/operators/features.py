@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,25 +71,49 @@ def comorbidity_totals(diagnoses: DataFrame, prefixes: DataFrame) -> DataFrame:
     return codes.join(matched, "code").select("claim_id", "prefix", "weight").distinct().groupBy("claim_id").agg(F.sum("weight").cast("int").alias("_w"))
 
 
+#: What clinical() gives, in this order.
+CLINICAL = ("principal_dx_ccs_category", "secondary_dx_count", "length_of_stay", "comorbidity_risk_score", "procedure_vector", "diagnosis_procedure_mismatch")
+#: So many distinct codes with a listed prefix at most, as the claims write them, are sent as one map; each claim looks its codes up there.
+MAP_CODES = 256
+
+
 def clinical(claims: DataFrame, ccs: DataFrame, procedures: DataFrame, prefixes: DataFrame, expected: DataFrame) -> DataFrame:
     """claims: claim_id, principal_icd10_code, secondary_icd10_codes, cpt_codes, admission_date, discharge_date."""
-    secondary = claims.select("claim_id", F.explode("secondary_icd10_codes").alias("code"))
+    return clinical_rows(claims, claims, ccs, procedures, prefixes, expected).select("claim_id", *CLINICAL)
+
+
+def clinical_rows(rows: DataFrame, claims: DataFrame, ccs: DataFrame, procedures: DataFrame, prefixes: DataFrame, expected: DataFrame) -> DataFrame:
+    """rows with the columns of CLINICAL in place of their own of these names. rows: the claims, with any more columns.
+
+    What a claim's codes are worth is found in its own row, by maps of the reference tables; no claims are shuffled for it while
+    the codes with a prefix are few.
+    """
     # one row of the reference table: the indices of each code
     known = procedures.filter(F.col("cpt").isNotNull() & F.col("idx").between(0, PROCEDURES - 1)).groupBy("cpt").agg(F.collect_set("idx").alias("i"))
     known = known.agg(F.map_from_entries(F.collect_list(F.struct("cpt", "i"))).alias("_known"))
     own = F.array_distinct(F.flatten(F.array_compact(F.transform("cpt_codes", lambda c: F.try_element_at("_known", S.utrim0(c))))))
-    base = claims.crossJoin(F.broadcast(known)).select(
-        "claim_id", S.norm_icd10(F.col("principal_icd10_code")).alias("icd10"), S.size0(F.col("secondary_icd10_codes")).alias("secondary_dx_count"),
-        S.length_of_stay(F.col("admission_date"), F.col("discharge_date")).alias("length_of_stay"), own.alias("_set"),
-    )
-    rows = base.join(ccs, "icd10", "left").withColumn("category", F.coalesce("category", F.lit(0)))
-    # the few indices of a claim go through the joins, the long vector is made of them at the end
-    rows = rows.join(comorbidity_totals(secondary, prefixes), "claim_id", "left").join(expected, "category", "left")
-    met = F.coalesce(F.arrays_overlap("indices", "_set"), F.lit(False))
-    return rows.select(
-        "claim_id", F.col("category").alias("principal_dx_ccs_category"), "secondary_dx_count", "length_of_stay", F.coalesce("_w", F.lit(0)).alias("comorbidity_risk_score"),
-        vector_of("_set").alias("procedure_vector"), F.when(F.col("indices").isNotNull() & ~met, 1).otherwise(0).alias("diagnosis_procedure_mismatch"),
+    rows = rows.drop(*CLINICAL).crossJoin(F.broadcast(known)).withColumns({"_icd10": S.norm_icd10(F.col("principal_icd10_code")), "_set": own})
+    codes = claims.select(F.explode("secondary_icd10_codes").alias("_raw")).distinct().select("_raw", S.norm_icd10(F.col("_raw")).alias("code")).filter("code is not null")
+    matched = cut(longest_prefix(codes, "code", prefixes))
+    if matched.count() <= MAP_CODES:
+        worth = matched.agg(F.map_from_entries(F.collect_list(F.struct("_raw", F.struct("prefix", "weight")))).alias("_worth"))
+        met = F.array_distinct(F.array_compact(F.transform("secondary_icd10_codes", lambda c: F.try_element_at("_worth", c))))
+        total = F.aggregate(met, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["weight"], F.lit(0)))
+        rows = rows.crossJoin(F.broadcast(worth)).withColumn("_w", total.cast("int"))
+    else:
+        secondary = claims.select("claim_id", F.explode("secondary_icd10_codes").alias("code"))
+        rows = rows.join(comorbidity_totals(secondary, prefixes), "claim_id", "left")
+    ccs = cut(ccs.select(F.col("icd10").alias("_code"), F.col("category").alias("_category")))
+    ccs = F.broadcast(ccs) if ccs.count() <= SEND_ROWS else ccs
+    rows = rows.join(ccs, F.col("_icd10") == F.col("_code"), "left").withColumn("_category", F.coalesce("_category", F.lit(0)))
+    rows = rows.join(expected.select(F.col("category").alias("_of"), F.col("indices").alias("_indices")), F.col("_category") == F.col("_of"), "left")
+    overlap = F.coalesce(F.arrays_overlap("_indices", "_set"), F.lit(False))
+    made = (
+        F.col("_category"), S.size0(F.col("secondary_icd10_codes")), S.length_of_stay(F.col("admission_date"), F.col("discharge_date")), F.coalesce("_w", F.lit(0)),
+        vector_of("_set"), F.when(F.col("_indices").isNotNull() & ~overlap, 1).otherwise(0),
     )
+    rows = rows.withColumns(dict(zip(CLINICAL, made, strict=True)))
+    return rows.drop("_known", "_worth", "_icd10", "_set", "_w", "_code", "_category", "_of", "_indices")
 
 
 def specialty(npi: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -215,17 +241,21 @@ def impute(df: DataFrame, columns: tuple[str, ...] = NUMERIC) -> DataFrame:
     return df.withColumns(empty | {c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in columns if c in df.columns})
 
 
-def feature_table(claims: DataFrame, era: DataFrame, contracts: DataFrame, *groups: DataFrame) -> DataFrame:
-    """One wide row a claim of the claims view: all groups, joined by claim_id. What the view has ready is taken over.
+def feature_table(claims: DataFrame, era: DataFrame, contracts: DataFrame, *groups: DataFrame, within: Callable[[DataFrame], DataFrame] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One wide row a claim of the claims view: all groups. What the view has ready is taken over.
 
     The claims are read more than once, so hand in a stored frame of them.
 
-    ``groups`` are more frames with a row a claim, as clinical() and provider_facility() give them; where they have a column
-    that the view has ready, theirs is taken. With both, the table has all of NUMERIC.
+    ``within`` adds columns to the rows where they are, as clinical_rows(), specialty() and bed_size() do, and may replace what
+    the view has ready; ``carried`` are the columns of the claims that it needs, which aren't returned. ``groups`` are frames
+    with a row a claim from elsewhere, joined by claim_id; where they have a column that the view has ready, theirs is taken.
+    With clinical_rows(), specialty() and bed_size() the table has all of NUMERIC.
     """
     ready = ("submission_date", "claim_status", "adjudication_outcome", "length_of_stay", "comorbidity_risk_score", "documents_medical_necessity", "mentions_lack_of_pre_auth", *FLAGS)
     taken = {c for g in groups for c in g.columns if c != "claim_id"}
-    out = behaviour(claims, era, contracts, *(F.col(c) for c in ready if c in claims.columns and c not in taken), *claim_level_columns())
+    kept = (c for c in ready if c in claims.columns and c not in taken)
+    out = behaviour(claims, era, contracts, *map(F.col, (*kept, *carried)), *claim_level_columns())
+    out = within(out).drop(*carried) if within else out
     for group in groups:
         out = out.join(group, "claim_id")
     return out

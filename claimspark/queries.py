@@ -14,7 +14,7 @@ from claimspark.plans import exchange, intake, models, windows
 from claimspark.plans.joins import keyed_upsert, longest_prefix
 from claimspark.plans.oracle import analytics_sql
 from claimspark.plans.oracle_features import NUMERIC, SQL
-from claimspark.plans.views import claims_view, cut, shared_checkpoints, table
+from claimspark.plans.views import claims_view, cut, shared_checkpoints, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,10 +122,14 @@ def prefix_matches(spark, sf_dir):
     return codes.join(matched, "code").select("claim_id", "code", "prefix", "weight")
 
 
-def provider_lookups(spark, sf_dir, claims=None):
+def _provider_tables(spark):
     taxonomy = spark.range(10).select(F.concat(F.lit("NPI-"), F.col("id").cast("string")).alias("npi"), F.when(F.col("id") < 3, F.concat(F.lit("T"), F.col("id").cast("string"))).when(F.col("id") == 3, F.lit("  ")).alias("code"))
     facility = spark.range(4).select(F.concat(F.lit("NPI-"), F.col("id").cast("string")).alias("npi"), (F.lit(100) + (F.col("id") / 2).cast("int")).alias("bed_size"))
-    return features.provider_facility(claims_view(spark, sf_dir) if claims is None else claims, taxonomy, facility)
+    return taxonomy, facility
+
+
+def provider_lookups(spark, sf_dir):
+    return features.provider_facility(claims_view(spark, sf_dir), *_provider_tables(spark))
 
 
 def filtered_claims(spark, sf_dir):
@@ -204,8 +208,18 @@ def failure_streaks(spark, sf_dir):
 
 def feature_table(spark, sf_dir):
     """All 37 numeric features, the specialty and the procedure vector."""
-    claims = cut(claims_view(spark, sf_dir))
-    return features.feature_table(claims, era(spark, sf_dir, claims), contracts(spark), clinical_features(spark, sf_dir, claims), provider_lookups(spark, sf_dir, claims))
+    # what no feature is made of, and what the clinical features replace, isn't stored
+    view = claims_view(spark, sf_dir).drop("patient_account_number", "provider_specialty", "provider_state", "department", "diagnosis_description", "charge_amount", "predicted_denial_score", "denial_reason", "score_quality_flag", "revenue_at_risk", *features.CLINICAL)
+    codes = _codes_of_claims(spark, sf_dir)
+    claims = stored(view.join(codes, "claim_id", "left").withColumns({"principal_icd10_code": F.col("principal_icd10"), "admission_date": F.col("submission_date")}))
+
+    def within(rows: DataFrame) -> DataFrame:
+        rows = features.clinical_rows(rows, claims, *_clinical_tables(spark, sf_dir)).withColumn("procedure_vector", F.array_join("procedure_vector", ""))
+        return features.bed_size(features.specialty(rows, taxonomy), facility)
+
+    taxonomy, facility = _provider_tables(spark)
+    carried = (*codes.columns[1:], "principal_icd10_code", "admission_date", "provider_npi")
+    return features.feature_table(claims, era(spark, sf_dir, claims), contracts(spark), within=within, carried=carried)
 
 
 def scored_claims(spark, sf_dir):
@@ -215,17 +229,25 @@ def scored_claims(spark, sf_dir):
     return scored.select("claim_id", F.round("predicted_denial_score", 6).alias("predicted_denial_score"), "score_quality_flag", "score_error")
 
 
-def clinical_features(spark, sf_dir, claims=None):
+def _codes_of_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands as diagnoses, part numbers as procedures, the last shipping date as the discharge."""
     lines = _lines(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    per = lines.groupBy("claim_id").agg(F.collect_list("p_brand").alias("secondary_icd10_codes"), F.collect_list((F.col("l_partkey") % 40).cast("string")).alias("cpt_codes"), F.max(F.col("l_shipdate").cast("date")).alias("discharge_date"))
-    heads = (claims_view(spark, sf_dir) if claims is None else claims).select("claim_id", F.col("principal_icd10").alias("principal_icd10_code"), F.col("submission_date").alias("admission_date"))
-    claims = cut(heads.join(per, "claim_id", "left"))  # five steps read it
+    return lines.groupBy("claim_id").agg(F.collect_list("p_brand").alias("secondary_icd10_codes"), F.collect_list((F.col("l_partkey") % 40).cast("string")).alias("cpt_codes"), F.max(F.col("l_shipdate").cast("date")).alias("discharge_date"))
+
+
+def _clinical_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(ccs, procedures, prefixes, expected) for these codes."""
     brands = table(spark, sf_dir, "part").select(S.norm_icd10(F.col("p_brand")).alias("icd10")).distinct()
     ccs = brands.withColumn("category", F.substring("icd10", 7, 9).cast("int") % 12).filter("category % 2 = 0")
     cpt = spark.range(30).select(F.col("id").cast("string").alias("cpt"), F.col("id").cast("int").alias("idx"))
     expected = spark.range(2, 10, 2).select(F.col("id").cast("int").alias("category"), F.array(F.col("id").cast("int"), F.col("id").cast("int") + 1).alias("indices"))
-    out = features.clinical(claims, ccs, cpt, spark.createDataFrame(PREFIXES, "prefix string, weight int"), expected)
+    return ccs, cpt, spark.createDataFrame(PREFIXES, "prefix string, weight int"), expected
+
+
+def clinical_features(spark, sf_dir):
+    heads = claims_view(spark, sf_dir).select("claim_id", F.col("principal_icd10").alias("principal_icd10_code"), F.col("submission_date").alias("admission_date"))
+    claims = cut(heads.join(_codes_of_claims(spark, sf_dir), "claim_id", "left"))  # read twice
+    out = features.clinical(claims, *_clinical_tables(spark, sf_dir))
     return out.withColumn("procedure_vector", F.array_join("procedure_vector", ""))
 
 

@@ -163,6 +163,18 @@ def test_prefixes_are_matched_once_a_code(spark, sf):
     assert groups and not any("claim_id" in line for line in groups)
 
 
+def test_codes_of_claims_are_looked_up_in_their_rows(spark, sf, monkeypatch):
+    from claimspark import queries
+    from claimspark.operators import features
+
+    plan = queries.feature_table(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(claim_id" not in plan
+    want = sorted(map(tuple, queries.clinical_features(spark, sf).collect()))
+    assert any(r[4] > 0 for r in want)
+    monkeypatch.setattr(features, "MAP_CODES", 0)  # more codes than that: joined
+    assert sorted(map(tuple, queries.clinical_features(spark, sf).collect())) == want
+
+
 def test_vectors_are_held_few_at_a_time():
     import numpy as np
     import pandas as pd
