@@ -8,11 +8,14 @@ vocabulary, p(w) stands. So p(.|v) sums to one for every v, and a pair of words
 don't: a document that is in its own background, as all are here, isn't known to it by heart. Counts cover both corpora
 whole. The score is the mean difference of the losses per token; low means like the target.
 
-Tokens are lower-cased runs of ASCII letters and digits and of all other non-ASCII characters. The vocabulary has no bound;
-what is sent to the tasks has: the figures of the most frequent words (at most ``hot_words``), the gains of the most frequent
-pairs (at most ``hot_pairs``), and two bitmaps of fixed size that pass over words and pairs without figures. The loss of a
-token is a term of v, a term of w and the gain of their pair, so documents send their other words and pairs to one join by
-key. These are rare by choice, so no word or pair is a hot key there. ``hot_words`` and ``hot_pairs`` don't change results.
+Tokens are lower-cased runs of ASCII letters and digits and of all other non-ASCII characters. Texts are stored in blocks of
+about ``_BLOCK`` tokens. A block sends its different words, then its different pairs, sorted and packed, to the buckets that
+they fall to, which follow the input in number. A bucket adds up what all blocks sent and answers each with the counts of
+what it sent, in the same order, so that no key goes along; a block scores its texts from its answers. So a pair is shuffled
+once a block, about three bytes, and comes back as less than one; neither vocabulary nor pairs have a bound, and none are
+sent to all tasks. The pairs of the words that occur most often are dealt over several buckets each (at most ``hot_words``
+words, of over an eighth of a bucket's tokens); only the sums of these words are sent. ``hot_words`` doesn't change results;
+``hot_pairs`` bounded the pairs that were sent to the tasks and has no effect.
 
 Defined results: null or blank text has 0 tokens and null scores; an empty target gives a model in which all words are
 equally likely; repeated rows count each; an empty table gives an empty result.
@@ -20,6 +23,7 @@ equally likely; repeated rows count each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,15 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import cut, least_count, saved, utf8_rows
+from claimspark.llm.common import saved, slices, utf8_rows
 from claimspark.llm.tiling import token_hashes_of
 
-START, OTHER, FIRST = 0, 1, 2  # ids: before the first token, a word outside the vocabulary, the first of the hot words
-_SHIFT = 21
-_MASK = (1 << _SHIFT) - 1
-_HELD = 1 << 21
-_BITS = 1 << 26
-_TOP = np.uint64(1 << 63)  # set in the hash of every word, so that as longs hashes are below zero and ids are not
+START, OTHER, FIRST = 0, 1, 2  # ids: before the first token, a word that occurs once, the first of the vocabulary
+_BLOCK = 1 << 20  # tokens and texts of a block
+_BUCKET = 1 << 21  # words or tokens of a bucket, about
+_BITS = 1 << 26  # places that the hashes of words fall to; a bucket of words is a run of them
+_TOP = np.uint64(1 << 63)  # set in the hash of every word, so that as longs they are in the same order
+_HEAD = "<IB"
+_NONE = np.zeros(0, np.int64)
 
 
 def _documents(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -55,308 +60,296 @@ def _documents(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int
             held, size, at = [], 0, k
 
 
-@dataclass(frozen=True)
-class Words:
-    """The hot words, and a bitmap in which the hashes of all others of the vocabulary are set."""
-
-    hot: np.ndarray  # sorted hashes
-    bits: np.ndarray
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of longs, compressed together: of each the first bytes of all, then the second bytes, as far as any is set."""
+    heads, planes = [bytes([len(columns)])], []
+    for x in columns:
+        x = np.ascontiguousarray(x).view(np.uint64)
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        heads.append(struct.pack(_HEAD, len(x), width))
+        planes.append(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return b"".join([*heads, pa.compress(b"".join(planes), codec="zstd", asbytes=True)])
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    size = struct.calcsize(_HEAD)
+    heads = [struct.unpack_from(_HEAD, data, 1 + i * size) for i in range(data[0])]
+    planes = np.frombuffer(pa.decompress(data[1 + len(heads) * size :], sum(n * width for n, width in heads), codec="zstd"), np.uint8)
+    out, at = [], 0
+    for n, width in heads:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = planes[at : at + n * width].reshape(width, n).T
+        out.append(x.view(np.int64)[:, 0])
+        at += n * width
+    return out
 
-    def codes(self, row: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(v, w) of each token: the id of a hot word, OTHER where the bitmap rules a word out, else its hash."""
-        w = np.where(_set(self.bits, hashed.view(np.int64)), hashed.view(np.int64), OTHER)
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, hashed), len(self.hot) - 1)
-            w = np.where(self.hot[at] == hashed, at + FIRST, w)
-        v = np.roll(w, 1)
-        v[np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])] = START
-        return v, w
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """What each of the sorted longs adds to the one before; their cumulative sum gives them back."""
+    return np.diff(x, prepend=np.zeros(1, np.int64))
 
-def _packed(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) of pairs of codes: both ids in a and b zero, or v in a and w in b, ids of w plus one."""
-    ids = (v >= 0) & (w >= 0)
-    return np.where(ids, v << _SHIFT | w, v), np.where(ids, 0, np.where(w >= 0, w + 1, w))
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before in any column."""
+    return np.append(True, np.any([x[1:] != x[:-1] for x in columns], axis=0))[: len(columns[0])]
 
-def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One long for each packed pair: a where that holds both ids, else a hash below zero."""
-    mixed = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = ((mixed ^ (mixed >> np.uint64(32))) + b.view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.where(b == 0, a, ((mixed ^ (mixed >> np.uint64(29))) | _TOP).view(np.int64))
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([_NONE, *parts])
 
-def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The different rows of the columns and how often each occurs."""
-    order = np.lexsort(columns[::-1])
-    columns = [x[order] for x in columns]
-    new = np.append(True, np.any([x[1:] != x[:-1] for x in columns], axis=0))[: len(order)]
-    first = np.flatnonzero(new)
-    return [x[first] for x in columns], np.diff(np.append(first, len(order)))
 
+def _blocks(texts: DataFrame, text_col: str, ids: T.DataType, id_col: str | None, side: int) -> DataFrame:
+    """Blocks of the texts of side 0 (target) or 1, which is the remainder of their number: ids, figures, packed words and tokens."""
+    number = (F.monotonically_increasing_id() * 2 + side).alias("block")
+    rows = texts.select(number, (F.col(id_col) if id_col else F.lit(None).cast(ids)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    names, most = ["block", "ids", "n", "texts", "n_words", "words", "tokens"], _BLOCK
 
-def _partial_counts(texts: DataFrame, text_col: str, words: Words | None, side: str) -> DataFrame:
-    """(a, b, n_t, n_b): counts of word hashes (b zero), or of packed pairs, within parts of a task; of ``side`` t or b."""
+    def block(held: list[tuple]) -> pa.RecordBatch:
+        numbers, of, sizes, hashed = zip(*held, strict=True)
+        of, sizes = pa.concat_arrays(of), np.concatenate(sizes)
+        words, local, count = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
+        rank = np.empty(len(words), np.int64)  # frequent words have small numbers
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(words))
+        values = [[numbers[0]], None, [len(local)], [int((sizes > 0).sum())], [len(words)], [_pack(_steps(words.view(np.int64)), count)], [_pack(sizes, count, rank[local])]]
+        arrays = [pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of) if x is None else pa.array(x) for x in values]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            zero = np.zeros(len(a), np.int64)
-            for i in range(0, len(a), 1 << 16):
-                part = [pa.array(x[i : i + (1 << 16)]) for x in (a, b, *((n, zero) if side == "t" else (zero, n)))]
-                yield pa.RecordBatch.from_arrays(part, names=["a", "b", "n_t", "n_b"])
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-                one = b == 0
-                key, n = np.unique(a[one], return_counts=True)
-                yield from rows(key, np.zeros(len(key), np.int64), n)
-                (v, w), n = _distinct([a[~one], b[~one]])
-                yield from rows(v, w, n)
-
-        for batch in batches:
-            for _, _, row, hashed in _documents(batch.column(0)):
-                if words is None:
-                    held.append((hashed.view(np.int64), np.zeros(len(hashed), np.int64)))
-                else:
-                    v, w = words.codes(row, hashed)
-                    after = v != OTHER  # what comes after a word outside the vocabulary has no figures
-                    held.append(_packed(v[after], w[after]))
-                size += len(hashed)
-                if size >= _HELD:
-                    yield from flush()
+        held, size = [], 0
+        for batch in slices(batches):
+            for at, many, row, hashed in _documents(batch.column("text")):
+                part = batch.slice(at, many)
+                held.append((part.column("block")[0].as_py(), part.column("id"), np.bincount(row, minlength=many), hashed))
+                size += many + len(hashed)
+                if size >= most:
+                    yield block(held)
                     held, size = [], 0
-        yield from flush()
+        if held:
+            yield block(held)
 
-    return texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "a long, b long, n_t long, n_b long")
+    kinds = [T.LongType(), T.ArrayType(ids), *[T.LongType()] * 3, *[T.BinaryType()] * 2]
+    return rows.mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in zip(names, kinds, strict=True)]))
 
 
-def _counts(target: DataFrame, target_text: str, background: DataFrame, text_col: str, words: Words | None = None) -> DataFrame:
-    both = _partial_counts(target, target_text, words, "t").union(_partial_counts(background, text_col, words, "b"))
-    return both.groupBy("a", "b").agg(F.sum("n_t").alias("n_t"), F.sum("n_b").alias("n_b"))
+_SENT = "bucket int, block long, data binary"
 
 
-def _known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n_t, n_b) of words that occur twice or more; the sums of the others in a row without a word."""
-    once, names = np.zeros(2, np.int64), ["word", "n_t", "n_b"]
-    for batch in batches:
-        batch = batch.select(["a", "n_t", "n_b"]).rename_columns(names)
-        n = np.stack([batch.column(c).to_numpy() for c in names[1:]], axis=1)
-        known = n.sum(axis=1) > 1
-        once += n[~known].sum(axis=0)
-        yield batch.filter(pa.array(known))
-    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([x]) for x in once)], names=names)
+def _sent(bucket: list[int], block: list[int | None], data: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "data"])
 
 
-@dataclass(frozen=True)
-class Models:
-    """Both models; arrays have a row for each id, or a column for target and background."""
-
-    words: Words
-    p: np.ndarray  # p(w)
-    back: np.ndarray  # log(types(v) / c(v)), zero where v was never seen
-    hot: np.ndarray  # sorted keys of pairs
-    gain: np.ndarray  # what each saves over its words alone, in nats
+def _dealt(block: int, bucket: np.ndarray, keys: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, with the keys that fall to it and how often each occurs; bucket is sorted, and keys within it."""
+    begins = np.flatnonzero(_runs(bucket))
+    ends = np.append(begins[1:], len(bucket))[: len(begins)]
+    data = [_pack(_steps(keys[a:z]), count[a:z]) for a, z in zip(begins, ends, strict=True)]
+    return _sent(bucket[begins].tolist(), [block] * len(begins), data)
 
 
-@dataclass(frozen=True)
-class Rest:
-    """What the words and pairs that aren't sent to the tasks add to log p(w|v), as (key, t, b)."""
-
-    figures: DataFrame  # a pair's gain; a word's terms as w and as v, over those of a word outside the vocabulary
-    last: DataFrame  # a word's term as v, to take off after the last word of a text
+def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[int], list[np.ndarray]]:
+    """The different keys that blocks sent to a bucket, their counts on both sides; the blocks and the places of what each sent."""
+    blocks = table["block"].to_pylist()
+    steps, counts = zip(*(_unpack(x.as_py()) for x in table["data"]), strict=True)
+    keys, at = np.unique(np.concatenate([np.cumsum(x) for x in steps]), return_inverse=True)
+    sizes, count = [len(x) for x in steps], np.concatenate(counts)
+    side = np.repeat(np.array(blocks) & 1, sizes)
+    n = [np.bincount(at, count * (side == i), len(keys)).astype(np.int64) for i in (0, 1)]
+    return keys, np.stack(n), blocks, np.split(at, np.cumsum(sizes)[:-1])
 
 
-_SUMS = ("n_t", "n_b", "types_t", "types_b")
+def _word_counts(blocks: DataFrame, buckets: int, least: int) -> DataFrame:
+    """To each block, for each bucket: places in the vocabulary and counts of the words that it sent. For each bucket a row
+    without a block: words of the vocabulary, totals and words that occur once on both sides, words of over ``least`` tokens."""
+    bits = _BITS
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
+                steps, count = _unpack(data.as_py())
+                words = np.cumsum(steps)
+                place = (words.view(np.uint64) << np.uint64(1)) >> np.uint64(65 - bits.bit_length())
+                yield _dealt(block, place.astype(np.int64) * buckets // bits, words, count)
 
-def _history_sums(width: int):  # noqa: ANN202
-    """For packed pairs with their counts: those with a count over one, and sums and types of all by their first word."""
-    names = ["v", "a", "b", *_SUMS]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((width, 4), np.int64)
-
-        def by_word(v: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-            none = pa.nulls(len(v), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(v), none, none, *map(pa.array, columns)], names=names)
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        _, n, blocks, places = _met(table)
+        both = n.sum(axis=0)
+        rank = np.cumsum(both > 1)
+        data = [_pack(_steps(rank[at]), *n[:, at]) for at in places]
+        hot = np.flatnonzero(both > least)
+        data.append(_pack(np.array([rank[-1], *n.sum(axis=1), *n[:, both == 1].sum(axis=1)]), rank[hot], both[hot]))
+        return pa.Table.from_batches([_sent([key[0].as_py()] * len(data), [*blocks, None], data)])
 
-        for batch in batches:
-            a, b, *n = (batch.column(c).to_numpy() for c in ("a", "b", "n_t", "n_b"))
-            v = np.where(b == 0, a >> _SHIFT, a)
-            other = np.where(b == 0, a & _MASK, b - 1) == OTHER  # so many words that occur once
-            columns = [*n, *(np.where(other, x, x > 0) for x in n)]
-            hot = v >= 0
-            for i, x in enumerate(columns):
-                np.add.at(sums[:, i], v[hot], x[hot])
-            rare, at = np.unique(v[~hot], return_inverse=True)
-            if len(rare):
-                yield by_word(rare, [np.bincount(at, x[~hot], len(rare)).astype(np.int64) for x in columns])
-            many = pa.array(np.flatnonzero(((n[0] > 1) | (n[1] > 1)) & ~other))
-            none = pa.nulls(len(many), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, *(batch.column(c).take(many) for c in ("a", "b", "n_t", "n_b")), none, none], names=names)
-        there = np.flatnonzero(sums.any(axis=1))
-        yield by_word(there, [sums[there, i].copy() for i in range(4)])
-
-    return run
-
-
-def _pair_gains(p: np.ndarray, types: np.ndarray, add: float, whole: np.ndarray):  # noqa: ANN202
-    """(key, t, b) of pairs with their counts; types of v and p(w) from the arrays, or from the types and counts that are joined."""
+    return blocks.select("block", "words").mapInArrow(ask, _SENT).groupBy("bucket").applyInArrow(answer, _SENT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(c).to_numpy() for c in "ab")
-            there = batch.schema.names
-            found = []
-            for i, c in enumerate("tb"):
-                n = batch.column(f"n_{c}").to_numpy()
-                after = batch.column(f"types_{c}").to_numpy() if "types_t" in there else types[np.where(b == 0, a >> _SHIFT, a), i]
-                alone = (batch.column(f"w_{c}").to_numpy() + add) / whole[i] if "w_t" in there else p[np.where(b == 0, a & _MASK, b - 1), i]
-                gain = np.zeros(len(n))
-                more = n > 1
-                gain[more] = np.log1p((n[more] - 1) / (after[more] * alone[more]))
-                found.append(pa.array(gain))
-            yield pa.RecordBatch.from_arrays([pa.array(_key(a, b)), *found], names=["key", "t", "b"])
-
-    return run
-
-
-def models(target: DataFrame, background: DataFrame, target_text: str = "text", text_col: str = "text", hot_words: int = 1 << 19, hot_pairs: int = 1 << 19, add: float = 0.5) -> tuple[Models, Rest]:
-    """The models of the hot words and pairs, and the figures of all others."""
-    if hot_words + FIRST >= 1 << _SHIFT:
-        raise ValueError(f"hot_words must be below {(1 << _SHIFT) - FIRST}")
-    both, gains = F.col("n_t") + F.col("n_b"), "key long, t double, b double"
-    words = saved(_counts(target, target_text, background, text_col).mapInArrow(_known_words, "word long, n_t long, n_b long"))
-    known = words.filter("word is not null")
-    row = words.agg(F.count("word"), *(F.coalesce(F.sum(x), F.lit(0)) for n in ("n_t", "n_b") for x in (n, F.when(F.col("word").isNull(), F.col(n))))).first()
-    total, once = np.array([row[1], row[3]], float), np.array([row[2], row[4]], float)
-    whole = total + add * (row[0] + 1)
-    least = least_count(known.select(both.alias("n")), hot_words, 2)
-    hot = known.filter(both >= least).toArrow()
-    hashed = hot["word"].to_numpy().view(np.uint64)
-    order = np.argsort(hashed)
-    count = np.zeros((len(order) + FIRST, 2))
-    count[FIRST:] = np.stack([hot["n_t"].to_numpy(), hot["n_b"].to_numpy()], axis=1)[order]
-    count[OTHER] = once
-    p = (count + add) / whole
-    p[START] = 1.0  # no word; never asked for
-    rare = known.filter(both < least)
-    lexicon = Words(hashed[order], _bitmap(rare.select(F.col("word").alias("key"))))
-
-    pairs = _counts(target, target_text, background, text_col, lexicon)
-    pairs = saved(pairs.mapInArrow(_history_sums(len(count)), "v long, a long, b long, " + ", ".join(f"{c} long" for c in _SUMS)))
-    first = pairs.filter("v is not null").groupBy("v").agg(*(F.sum(c).alias(c) for c in _SUMS))
-    found = first.filter("v >= 0").toArrow()
-    sums = np.zeros((len(count), 4))
-    sums[found["v"].to_numpy()] = np.stack([found[c].to_numpy() for c in _SUMS], axis=1)
-    after, types = sums[:, :2], sums[:, 2:]
-    back = np.log(np.where(after > 0, types / np.maximum(after, 1), 1.0))
-
-    seen = first.filter("v < 0").select(F.col("v").alias("word"), F.col("n_t").alias("after_t"), F.col("n_b").alias("after_b"), "types_t", "types_b")
-    rest = saved(rare.join(seen, "word", "left").na.fill(0))
-    back_of = {c: F.when(F.col(f"after_{c}") > 0, F.log(F.col(f"types_{c}") / F.col(f"after_{c}"))).otherwise(0.0) for c in "tb"}
-    over = [F.log((F.col(f"n_{c}") + add) / (float(o) + add)) + back_of[c] for c, o in zip("tb", once, strict=True)]
-    words = rest.select(F.col("word").alias("key"), *(x.alias(c) for x, c in zip(over, "tb", strict=True)))
-    last = rest.select(F.col("word").alias("key"), *((-back_of[c]).alias(c) for c in "tb"))
-
-    many, of_gains = pairs.filter("v is null").select("a", "b", "n_t", "n_b"), _pair_gains(p, types, add, whole)
-    least = least_count(many.select(both.alias("n")), hot_pairs, 2)
-    ids = many.filter("b = 0")
-    hot = ids.filter(both >= least).mapInArrow(of_gains, gains).toArrow()
-    order = np.argsort(hot["key"].to_numpy())
-    table = np.stack([hot["t"].to_numpy(), hot["b"].to_numpy()], axis=1)[order]
-    # figures of one word or both are joined to the pair; counts and types, as they are shorter than what follows from them
-    as_v = rest.select(F.col("word").alias("a"), "types_t", "types_b")
-    as_w = rest.select(F.col("word").alias("b"), F.col("n_t").alias("w_t"), F.col("n_b").alias("w_b"))
-    by_v, by_w = many.filter("a < 0 and b > 0").join(as_v, "a"), many.filter("a >= 0 and b < 0").join(as_w, "b")
-    by_both = many.filter("a < 0 and b < 0").join(as_v, "a").join(as_w, "b")
-    left = words
-    for some in (ids.filter(both < least), by_v, by_w, by_both):
-        left = left.union(some.mapInArrow(of_gains, gains))
-    return Models(lexicon, p, back, hot["key"].to_numpy()[order], table), Rest(saved(left), last)
-
-
-def _spot(key: np.ndarray, size: int) -> np.ndarray:
-    """The place of each key among ``size`` bits, a power of two."""
-    mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(65 - size.bit_length())).astype(np.int64)
-
-
-def _set(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether each key's bit is set."""
-    spot = _spot(key, len(bits) << 6)
-    return (bits[spot >> 6] >> (spot & 63) & 1) == 1
-
-
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """_BITS bits in words of 64, set at the places of all keys; its size is fixed."""
-    size = _BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size >> 6, np.uint64)
-        for batch in batches:
-            spot = _spot(batch.column("key").to_numpy(), size)
-            np.bitwise_or.at(bits, spot >> 6, np.uint64(1) << (spot & 63).astype(np.uint64))
-        at = np.flatnonzero(bits)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(bits[part].view(np.int64))], names=["at", "bits"])
-
-    rows = keys.select("key").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(size >> 6, np.int64)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    return out
+@dataclass(frozen=True)
+class Whole:
+    """What is known of all words together, and how pairs are dealt."""
+
+    first: np.ndarray  # for each bucket of words, the id before its first word's
+    width: int  # ids
+    once: np.ndarray  # words that occur once, on both sides
+    total: np.ndarray  # tokens smoothed
+    buckets: int  # of pairs
+    hot: np.ndarray  # sorted ids
+    ways: np.ndarray  # buckets over which the pairs of each are dealt
+
+    def bucket(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Runs of v; hot words' go on to as many buckets as they have ways, by runs of w."""
+        hit, at = _found(self.hot, v)
+        ways = np.ones(len(v), np.int64)
+        ways[hit] = self.ways[at]
+        return (v * self.buckets // self.width + w * ways // self.width) % self.buckets
+
+
+def _found(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where x has a value of the sorted array, and the places of these values there."""
+    if not len(known):
+        return _NONE, _NONE
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    hit = np.flatnonzero(known[at] == x)
+    return hit, at[hit]
+
+
+def _whole(answers: DataFrame, buckets: int, tokens: int, texts: int, least: int, hot_words: int, add: float) -> Whole:
+    known, figures, hot = np.zeros(buckets, np.int64), np.zeros(4, np.int64), []
+    for row in answers.filter("block is null").select("bucket", "data").collect():
+        sums, *found = _unpack(bytes(row["data"]))
+        known[row["bucket"]] = sums[0]
+        figures += sums[1:]
+        hot.append((row["bucket"], *found))
+    if known.sum() + FIRST >= 1 << 31:
+        raise ValueError("a pair of words must fit in a long: the vocabulary has over 2,147,483,645 words")
+    first = FIRST - 1 + np.cumsum(known) - known
+    ids = _joined([first[b] + rank for b, rank, _ in hot])
+    count = _joined([n for *_, n in hot])
+    most = np.argsort(-count, kind="stable")[:hot_words]
+    ids, count = ids[most], count[most]
+    if texts > least:
+        ids, count = np.append(ids, START), np.append(count, texts)
+    order, parts = np.argsort(ids), max(1, -(-tokens // _BUCKET))
+    return Whole(first, FIRST + int(known.sum()), figures[2:] + 0.0, figures[:2] + add * (known.sum() + 1), parts, ids[order], np.minimum(-(-count[order] // least), parts))
 
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", **options) -> DataFrame:  # noqa: ANN003
+@dataclass(frozen=True)
+class Block:
+    """A block that met its answers."""
+
+    number: int
+    ids: pa.Array
+    sizes: np.ndarray  # tokens of each text
+    words: np.ndarray  # of each token, the place among the block's words
+    known: np.ndarray  # whether each word is of the vocabulary
+    n: np.ndarray  # counts of each word on both sides
+    after: np.ndarray  # tokens after a word of the vocabulary or at the start of a text
+    pairs: np.ndarray  # different pairs of these with the word before, by bucket: v * width + w
+    at: np.ndarray  # the pair of each
+    bucket: np.ndarray
+    answers: list[list[np.ndarray]]  # by bucket
+
+
+def _block(table: pa.Table, whole: Whole) -> Block:
+    kind, bucket = table["kind"].to_numpy(), table["bucket"].to_numpy()
+    order = np.lexsort([bucket, kind])
+    data = [_unpack(table["data"][int(i)].as_py()) for i in order]
+    asked, met = int((kind == 1).sum()) + 1, bucket[order]
+    sizes, count, rank = data[0]
+    ids = _joined([whole.first[b] + np.cumsum(x[0]) for b, x in zip(met[1:asked], data[1:asked], strict=True)])
+    n = np.stack([_joined([x[i] for x in data[1:asked]]) for i in (1, 2)])
+    known = n.sum(axis=0) > 1
+    words = np.argsort(-count, kind="stable")[rank]
+    w = np.where(known, ids, OTHER)[words]
+    v = np.roll(w, 1)
+    v[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    after = np.flatnonzero(v != OTHER)
+    pairs, at = np.unique(v[after] * whole.width + w[after], return_inverse=True)
+    to = whole.bucket(pairs // whole.width, pairs % whole.width)
+    by = np.argsort(to, kind="stable")
+    back = np.empty(len(by), np.int64)
+    back[by] = np.arange(len(by))
+    own = int(order[0])
+    return Block(table["block"][own].as_py(), table["ids"][own].values, sizes, words, known, n, after, pairs[by], back[at], to[by], data[asked:])
+
+
+def _pair_counts(met: DataFrame, whole: Whole) -> DataFrame:
+    """To each block of side 1, for each bucket: counts of the pairs that it sent, zero where a side has none that counts, and
+    counts and types of the words before, a row for each. For each bucket a row without a block: these sums of hot words."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        b = _block(table, whole)
+        return pa.Table.from_batches([_dealt(b.number, b.bucket, b.pairs, np.bincount(b.at, minlength=len(b.pairs)))])
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        pairs, n, blocks, places = _met(table)
+        v, other = pairs // whole.width, pairs % whole.width == OTHER  # so many words that occur once
+        begins = np.flatnonzero(_runs(v))
+        sums = np.add.reduceat(np.concatenate([n, np.where(other, n, n > 0)]), begins, axis=1)
+        n[:, other] = 0
+        n[n < 2] = 0
+        group = np.cumsum(_runs(v)) - 1
+        asked = [(block, at) for block, at in zip(blocks, places, strict=True) if block & 1]
+        data = [_pack(*n[:, at], *sums[:, group[at][_runs(group[at])]]) for _, at in asked]
+        hit, hot = _found(whole.hot, v[begins])
+        data.append(_pack(hot, *sums[:, hit]))
+        return pa.Table.from_batches([_sent([key[0].as_py()] * len(data), [*(block for block, _ in asked), None], data)])
+
+    return met.groupBy("block").applyInArrow(ask, _SENT).groupBy("bucket").applyInArrow(answer, _SENT)
+
+
+def _losses(b: Block, whole: Whole, hot: np.ndarray, add: float) -> np.ndarray:
+    """The losses of each text's tokens together, a row for target and background."""
+    v = b.pairs // whole.width
+    group = np.cumsum(_runs(v, b.bucket)) - 1
+    count = [_joined([x[i] for x in b.answers]) for i in (0, 1)]
+    sums = np.stack([_joined([x[i] for x in b.answers]) for i in range(2, 6)])[:, group]
+    hit, at = _found(whole.hot, v)
+    sums[:, hit] = hot[:, at]
+    word = np.empty(len(b.pairs), np.int64)
+    word[b.at] = b.words[b.after]
+    text = np.repeat(np.arange(len(b.sizes)), b.sizes)
+    out = []
+    for i in (0, 1):
+        p = (np.where(b.known, b.n[i], whole.once[i]) + add) / whole.total[i]
+        log_p = np.log(p)
+        seen, types = sums[i], sums[i + 2]
+        more = np.log(np.where(seen > 0, types / np.maximum(seen, 1), 1.0))
+        many = np.flatnonzero(count[i])
+        more[many] += np.log1p((count[i][many] - 1) / (types[many] * p[word[many]]))
+        loss = -log_p[b.words]
+        loss[b.after] -= more[b.at]
+        out.append(np.bincount(text, loss, len(b.sizes)))
+    return np.stack(out)
+
+
+def score(
+    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text",
+    hot_words: int = 1 << 19, hot_pairs: int = 1 << 19, add: float = 0.5,
+) -> DataFrame:
     """(id, n_tokens, ce_target, ce_background, ce_difference) for each row of docs; docs are the background too."""
-    made, rest = models(target, docs, target_text, text_col, **options)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((made, _bitmap(rest.figures)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = T.ArrayType(T.LongType())
-    more = (("n", T.LongType()), ("t", T.DoubleType()), ("b", T.DoubleType()), ("pairs", keys), ("words", keys), ("last", T.LongType()))
-    schema = T.StructType([rows.schema["row"], rows.schema["id"], *(T.StructField(c, t) for c, t in more)])
-
-    def lists(row: np.ndarray, key: np.ndarray, many: int) -> pa.Array:
-        ends = np.cumsum(np.bincount(row, minlength=many))
-        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(key))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, bits = sent.value
-        log_p = np.log(m.p)
-        for batch in batches:
-            for at, many, row, hashed in _documents(batch.column("text")):
-                v, w = m.words.codes(row, hashed)
-                loss = -m.back[np.where(v < 0, OTHER, v)] - log_p[np.where(w < 0, OTHER, w)]
-                key = _key(*_packed(v, w))
-                open_ = (v != OTHER) & (w != OTHER)
-                if len(m.hot):
-                    place = np.minimum(np.searchsorted(m.hot, key), len(m.hot) - 1)
-                    hit = m.hot[place] == key
-                    loss[hit] -= m.gain[place[hit]]
-                    open_ &= ~hit
-                open_ &= _set(bits, key)
-                rare = (w < 0) & _set(bits, w)
-                sums = [np.bincount(row, x, many) for x in loss.T] if len(row) else [np.zeros(many)] * 2
-                ends = np.flatnonzero(np.append(row[1:] != row[:-1], True)[: len(row)])
-                ends = ends[w[ends] < 0]
-                last = np.zeros(many, np.int64)
-                last[row[ends]] = w[ends]
-                part = batch.slice(at, many)
-                yield pa.RecordBatch.from_arrays([
-                    part.column("row"), part.column("id"), pa.array(np.bincount(row, minlength=many)), *map(pa.array, sums),
-                    lists(row[open_], key[open_], many), lists(row[rare], w[rare], many), pa.array(last, mask=last == 0),
-                ], names=schema.names)
-
-    found = cut(rows.mapInArrow(run, schema))
-    met = found.select("row", F.explode(F.concat("pairs", "words")).alias("key")).join(rest.figures, "key")
-    ends = found.filter("last is not null").select("row", F.col("last").alias("key")).join(rest.last, "key")
-    met = met.union(ends).groupBy("row").agg(F.sum("t").alias("more_t"), F.sum("b").alias("more_b"))
-    out = found.select("row", "id", "n", "t", "b").join(met, "row", "left")
-    mean = lambda c: F.when(F.col("n") > 0, (F.col(c) - F.coalesce(f"more_{c}", F.lit(0.0))) / F.col("n"))
-    return out.select("id", F.col("n").alias("n_tokens"), mean("t").alias("ce_target"), mean("b").alias("ce_background"), (mean("t") - mean("b")).alias("ce_difference"))
+    of = docs.select(F.col(id_col)).schema[0].dataType
+    blocks = saved(_blocks(target, target_text, of, None, 0).union(_blocks(docs, text_col, of, id_col, 1)))
+    tokens, texts, n_words = (x or 0 for x in blocks.agg(F.sum("n"), F.sum("texts"), F.sum("n_words")).first())
+    least, buckets = max(1, _BUCKET // 8), min(_BITS, max(1, -(-n_words // _BUCKET)))
+
+    def answers(found: DataFrame, kind: int) -> DataFrame:
+        return found.filter("block is not null").select("block", F.lit(kind).alias("kind"), "bucket", "data", F.lit(None).cast(T.ArrayType(of)).alias("ids"))
+
+    words = saved(_word_counts(blocks, buckets, least))
+    whole = _whole(words, buckets, tokens, texts, least, hot_words, add)
+    met = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("tokens").alias("data"), "ids").union(answers(words, 1))
+    pairs = saved(_pair_counts(met, whole))
+    hot = np.zeros((4, len(whole.hot)), np.int64)
+    for row in pairs.filter("block is null").select("data").collect():
+        at, *sums = _unpack(bytes(row["data"]))
+        hot[:, at] += np.stack(sums)
+
+    def run(table: pa.Table) -> pa.Table:
+        b = _block(table, whole)
+        none = b.sizes == 0
+        t, back = _losses(b, whole, hot, add) / np.maximum(b.sizes, 1)
+        figures = (pa.array(x, mask=none) for x in (t, back, t - back))
+        return pa.Table.from_arrays([b.ids, pa.array(b.sizes), *figures], names=out.names)
+
+    out = T.StructType([T.StructField("id", of), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background", "ce_difference"))])
+    return met.union(answers(pairs, 2)).filter("block % 2 = 1").groupBy("block").applyInArrow(run, out)

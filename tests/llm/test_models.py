@@ -197,6 +197,38 @@ def test_rare_words_and_pairs_count_whatever_is_sent(spark, monkeypatch):
         assert sorted(((r["n_tokens"], *(None if r[c] is None else round(r[c], 9) for c in ("ce_target", "ce_background"))) for r in got), key=str) == want
 
 
+def zipf_texts(draw, n, most, words):
+    return [" ".join(f"w{i}" for i in draw.zipf(1.3, size=k) % words) for k in draw.integers(0, most, size=n)]
+
+
+def test_words_and_pairs_meet_whatever_the_blocks_and_buckets(spark, monkeypatch):
+    """Many small blocks and buckets, so that frequent words are dealt over several of these; ids are strings."""
+    draw = np.random.default_rng(7)
+    texts, target = zipf_texts(draw, 80, 60, 3000), zipf_texts(draw, 20, 50, 3000)
+    docs = spark.createDataFrame([(f"d{i}", x) for i, x in enumerate(texts)], "doc_id string, text string")
+    rows = spark.createDataFrame([(x,) for x in target], "text string")
+    want = slow_lm(texts, target)
+    for block, bucket, hot in ((100, 64, 1 << 19), (1, 200, 2), (100, 64, 0)):
+        monkeypatch.setattr(lm, "_BLOCK", block)
+        monkeypatch.setattr(lm, "_BUCKET", bucket)
+        got = lm.score(docs, rows, hot_words=hot).collect()
+        assert sorted(((r["n_tokens"], *(None if r[c] is None else round(r[c], 9) for c in ("ce_target", "ce_background"))) for r in got), key=str) == want
+        assert sorted(r["id"] for r in got) == sorted(f"d{i}" for i in range(80))
+
+
+def test_lm_shuffles_no_row_for_each_pair(spark):
+    """100,000 tokens and nearly as many pairs; blocks send theirs together, so no task holds a row for each."""
+    draw, jvm = np.random.default_rng(8), spark.sparkContext._jvm
+    texts = [" ".join(f"w{i}" for i in draw.integers(20_000, size=500)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    written = lambda: sum(s.shuffleWriteRecords() for s in (x.apply(i) for x in [stages()] for i in range(x.size())))
+    before = written()
+    assert len(lm.score(docs, docs.limit(20)).collect()) == 200
+    assert written() - before < 2_000
+
+
 def test_documents_that_occur_twice_are_told_apart(spark):
     draw = np.random.default_rng(3)
     texts = [" ".join(f"w{i}" for i in draw.integers(60, size=40)) for _ in range(300)]
