@@ -30,33 +30,46 @@ def _service(line: Column, institutional: Column) -> Column:
     return F.concat(_seg("LX", line["l_linenumber"]), F.when(institutional, two).otherwise(one), _seg("DTP", "472", "D8", _day(line["l_shipdate"])))
 
 
-def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_custkey, loops): the segments of each customer's claims, those of provider and subscriber before them."""
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders, each with its lines; what is shuffled is numbers and days, and texts are made of them after the last shuffle."""
     fields = F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(fields)).alias("lines"))
-    orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority").join(lines, "o_orderkey", "left")
+    return orders.withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
 
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+
+def _claim() -> Column:
+    """The segments of an order's claim."""
+    key = F.col("o_orderkey")
     institutional = F.substring("o_orderpriority", 1, 1).isin("1", "2")
     principal = F.when(key % 9 != 4, F.concat(F.lit("ABK:I"), F.lpad((key % 1000).cast("string"), 3, "0")))
     others = F.transform("lines", lambda x: F.concat(F.lit("ABF:D"), x["l_partkey"].cast("string")))
-    claim = F.concat(
+    return F.concat(
         _seg("CLM", key, F.col("o_totalprice").cast("decimal(18,2)"), "", "", F.when(institutional, "11:B:1").otherwise("A:B:1")),
         _seg("DTP", "435", "D8", _day(F.col("o_orderdate"))),
         F.concat(F.concat_ws("*", F.lit("HI"), principal, others), F.lit("~")),
         F.array_join(F.transform("lines", lambda x: _service(x, institutional)), ""),
     )
-    files = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", claim.alias("text")))).alias("claims"))
-    number = F.lpad(cust.cast("string"), 9, "0")
-    loops = F.concat(
+
+
+def _names() -> Column:
+    """The segments of provider and subscriber, which stand before a customer's claims."""
+    cust = F.col("o_custkey")
+    return F.concat(
         _seg("HL", "1", "", "20", "1"),
         _seg("NM1", "85", "2", "CLINIC", "", "", "", "", "XX", F.when(cust % 5 == 2, "12345").otherwise((cust + 1000000000).cast("string"))),
         _seg("N3", F.concat(cust.cast("string"), F.lit(" MAIN ST"))), _seg("N4", "SPRINGFIELD", "IL", "62701"), _seg("HL", "2", "1", "22", "0"),
-        _seg("NM1", "IL", "1", "DOE", "JO", "", "", "", "MI", F.concat(F.lit("M"), number)), _seg("DMG", "D8", _day(F.date_add(F.lit("1930-01-01").cast("date"), (cust * 37 % 23000).cast("int"))), F.when(cust % 3 == 0, "f").when(cust % 3 == 1, "M")),
+        _seg("NM1", "IL", "1", "DOE", "JO", "", "", "", "MI", F.concat(F.lit("M"), F.lpad(cust.cast("string"), 9, "0"))),
+        _seg("DMG", "D8", _day(F.date_add(F.lit("1930-01-01").cast("date"), (cust * 37 % 23000).cast("int"))), F.when(cust % 3 == 0, "f").when(cust % 3 == 1, "M")),
         _seg("NM1", "PR", "2", "PAYER", "", "", "", "", "PI", F.when(cust % 19 != 3, F.concat(F.lit("P"), (cust % 7).cast("string")))),
-        F.array_join(F.transform("claims", lambda x: x["text"]), ""),
     )
-    return files.select("o_custkey", loops.alias("loops"))
+
+
+def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_custkey, loops): the segments of each customer's claims, those of provider and subscriber before them."""
+    orders = _orders(spark, sf_dir).repartition("o_custkey")
+    files = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", _claim().alias("text")))).alias("claims"))
+    return files.select("o_custkey", F.concat(_names(), F.array_join(F.transform("claims", lambda x: x["text"]), "")).alias("loops"))
 
 
 def interchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +82,12 @@ def interchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     delimiters = F.when(cust % 2 == 0, "|\n").otherwise("*~")
     content = F.when(cust % 23 == 7, "  ").otherwise(F.call_function("translate", content, F.lit("*~"), delimiters))
-    # written once, as files are: the readers refer to the content many times
-    return stored(_loops(spark, sf_dir).select(F.concat(F.lit("customer-"), cust.cast("string")).alias("file_name"), content.alias("content")))
+    return _loops(spark, sf_dir).select(F.concat(F.lit("customer-"), cust.cast("string")).alias("file_name"), content.alias("content"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """interchanges(), written once, as files are: the readers refer to the content many times."""
+    return stored(interchanges(spark, sf_dir))
 
 
 def one_interchange(spark: SparkSession, sf_dir: str) -> str:
@@ -87,11 +104,11 @@ def one_interchange(spark: SparkSession, sf_dir: str) -> str:
 
 def _sinks(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """The four sinks of all interchanges, below the shared folder."""
-    return edi.ingest_files(interchanges(spark, sf_dir), new_folder(spark, "intake"), "2024-01-01", "tables")
+    return edi.ingest_files(_files(spark, sf_dir), new_folder(spark, "intake"), "2024-01-01", "tables")
 
 
 def envelope_checks(spark, sf_dir):
-    rows = edi.validate_envelope(interchanges(spark, sf_dir))
+    rows = edi.validate_envelope(_files(spark, sf_dir))
     terminator = F.when(F.col("terminator") == "\n", "newline").otherwise(F.col("terminator"))
     return rows.select("file_name", "is_valid", "segment_ref", "description", "element", terminator.alias("terminator"))
 
@@ -112,8 +129,8 @@ def _claim_columns(rows: DataFrame, *more: str) -> DataFrame:
 
 def ingested_lines(spark, sf_dir):
     """The service lines of all claims of valid files, before the check of required fields."""
-    valid = edi.validate_envelope(interchanges(spark, sf_dir)).filter("is_valid")
-    return _line_columns(edi.claims_of_blocks(edi.file_blocks(valid)))
+    valid = edi.validate_envelope(_files(spark, sf_dir)).filter("is_valid")
+    return _line_columns(edi.claims_of_files(valid))
 
 
 def _line_columns(claims: DataFrame) -> DataFrame:

@@ -20,22 +20,36 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from claimspark.functions.scalars import code5, npi_ok, pad4, sex, trim0, x12_amount, x12_date, x12_units
 from claimspark.plans.views import stored
 from claimspark.sources.files import names, read_head
 
 CHUNK = 50_000
+BYTES = 1 << 22
 # How long raw files are kept, and by what rule.
 RETENTION = {"retention_policy": "regulatory", "retention_years": 7, "retention_rule": "HIPAA / CMS 7-year raw EDI retention", "purge_after_years": 7}
 REQUIRED = ("provider_npi", "payer_id", "patient_account_number", "principal_icd10_code")
 ENVELOPE = ("ISA", "GS", "ST", "SE", "GE", "IEA")
 ISA_PARTS = 17  # the name and 16 elements
+BLANKS = " \t\n\x0b\f\r"
 BEGINS = ("HL", "CLM")  # the segments that begin a block
 SEGMENTS = "file_name string, element string, terminator string, chunk long, at long, text string"
-PIECES = "file_name string, element string, chunk long, pos long, whole boolean, texts array<string>"
+PIECES = "file_name string, element string, chunk long, pos long, whole boolean, texts array<string>, run long"
+LINE = pa.struct([("revenue", pa.string()), ("code", pa.string()), ("days", pa.list_(pa.string())), ("amount", pa.string()), ("units", pa.string())])
+PROVIDER = ("provider_npi", *(f"billing_provider_{c}" for c in ("street", "city", "state", "zip")))
+# which segment of a subscriber's loop tells a field, the field's name and its place in the segment
+SUBSCRIBER = (("PR", "payer_id", 9), ("IL", "patient_last_name", 3), ("IL", "patient_first_name", 4), ("IL", "member_id", 9), ("6P", "group_number", 2), ("DMG", "date_of_birth", 2), ("DMG", "gender", 3))
+# what _read_pieces() gives: texts as they stand in the segments
+READ = pa.schema([
+    *((c, pa.string()) for c in ("kind", "file_name")), *((c, pa.int64()) for c in ("chunk", "pos", "run", "nth", "prov", "sub", "clm")), *((c, pa.bool_()) for c in ("prov_open", "sub_open", "within")),
+    *((c, pa.string()) for c in ("account", "amount", "facility")), *((f"d{q}", pa.list_(pa.string())) for q in ("291", "292", "435", "096")), ("principal", pa.string()), ("secondary", pa.list_(pa.string())),
+    ("lines", pa.list_(LINE)), *((c, pa.string()) for c in (*PROVIDER, *(c for _, c, _ in SUBSCRIBER), "element")), ("texts", pa.list_(pa.string())), *((c, pa.string()) for c in ("loop", "field", "value", "needs", "nm1")),
+])
 ROWS = 1 << 33  # monotonically_increasing_id() counts the rows of a partition below this
 
 
@@ -88,13 +102,15 @@ def check_segments(raw: DataFrame) -> DataFrame:
     return per.withColumn("_b", first).select("file_name", F.col("_b").isNull().alias("is_valid"), F.col("_b.ref").alias("segment_ref"), F.col("_b.text").alias("description"))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments to pieces: from one that begins a block to the next, or to where rows stop following each other. ``whole`` are those that
-    begin a block and end where the next begins."""
+def _pieces(batches: Iterator[pa.RecordBatch], files: bool = False) -> Iterator[pa.RecordBatch]:
+    """Segments to pieces: from one that begins a block to the next, or to where rows stop following each other; ``run`` numbers these
+    stretches. ``whole`` are those that begin a block and end where the next begins. With ``files``, a file begins where ``at`` is 0."""
     for b in batches:
         chunk, at, begins = (b.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "at", "begins"))
         name = b.column("file_name").dictionary_encode().indices.to_numpy(zero_copy_only=False)
         apart = (name[1:] != name[:-1]) | (chunk[1:] != chunk[:-1]) | (at[1:] != at[:-1] + 1)
+        if files:
+            apart |= at[1:] == 0
         filled = b.column("filled").to_numpy(zero_copy_only=False)
         run = np.cumsum(np.concatenate([np.zeros(min(len(at), 1), bool), apart]))[filled]
         kept, begins = b.filter(pa.array(filled)), begins[filled]
@@ -104,7 +120,240 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ended = np.concatenate([run[starts][1:] == run[starts][:-1], [False]])
         texts = pa.ListArray.from_arrays(pa.array(np.append(starts, kept.num_rows), pa.int32()), kept.column("text"))
         heads = [kept.column(c).take(pa.array(starts)) for c in ("file_name", "element", "chunk", "at")]
-        yield pa.RecordBatch.from_arrays([*heads, pa.array(begins[starts] & ended), texts], names=["file_name", "element", "chunk", "pos", "whole", "texts"])
+        # runs of blank rows only have no pieces
+        runs = np.cumsum(np.concatenate([[False], run[starts][1:] != run[starts][:-1]]))
+        yield pa.RecordBatch.from_arrays([*heads, pa.array(begins[starts] & ended), texts, pa.array(runs)], names=["file_name", "element", "chunk", "pos", "whole", "texts", "run"])
+
+
+def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The claims of whole files, those of some BYTES of content at once, one terminator after the other."""
+    for b in batches:
+        sizes = np.cumsum(pc.binary_length(b.column("content")).to_numpy(zero_copy_only=False))
+        ends = np.unique(np.append(np.flatnonzero(np.diff(sizes // BYTES)) + 1, b.num_rows))
+        for start, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+            files = b.slice(start, end - start)
+            for terminator in pc.unique(files.column("terminator")).to_pylist():
+                some = files.filter(pc.equal(files.column("terminator"), terminator))
+                texts = pc.split_pattern(some.column("content"), terminator)
+                starts = texts.offsets.to_numpy()
+                file = np.repeat(np.arange(some.num_rows), np.diff(starts))
+                at = np.arange(len(file)) - starts[file]
+                columns = {"file_name": some.column("file_name").take(pa.array(file)), "element": some.column("element").take(pa.array(file)), "chunk": np.zeros(len(file), int), "at": at, "text": texts.values}
+                yield from _read(pa.RecordBatch.from_pydict(columns), True)
+
+
+def _read_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What CHUNK segments or a few more tell, in rows of the kinds claim, cut, fact, run and piece."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(h.num_rows for h in held) >= CHUNK:
+            yield from _read(_joined(held), False)
+            held = []
+    if sum(h.num_rows for h in held):
+        yield from _read(_joined(held), False)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _read(batch: pa.RecordBatch, whole: bool) -> Iterator[pa.RecordBatch]:
+    """READ rows of a batch of segments, one element separator after the other."""
+    elements = pc.unique(batch.column("element")).to_pylist()
+    for element in elements:
+        some = batch if len(elements) == 1 else batch.filter(pc.equal(batch.column("element"), element))
+        text = pc.utf8_trim(some.column("text"), BLANKS)
+        names = pc.list_element(pc.split_pattern(text, element, max_splits=1), 0)
+        columns = {c: some.column(c) for c in ("file_name", "element", "chunk", "at")}
+        marked = {**columns, "text": text, "filled": pc.not_equal(text, ""), "begins": pc.is_in(pc.utf8_upper(pc.utf8_trim(names, " ")), pa.array(BEGINS))}
+        for pieces in _pieces(iter([pa.RecordBatch.from_pydict(marked)]), whole):
+            yield from _read_pieces(pieces, element, whole)
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:  # noqa: ANN003
+    """n rows of READ, null in all other columns."""
+    of = lambda f: columns[f.name] if f.name in columns else pa.nulls(n, f.type)
+    arrays = [a if isinstance(a := of(f), pa.Array) else pa.array([a] * n if isinstance(a, str) else a, f.type) for f in READ]
+    return pa.RecordBatch.from_arrays(arrays, schema=READ)
+
+
+def _lists(values: pa.Array, owner: np.ndarray, n: int, none: bool = False) -> pa.Array:
+    """For each of n owners the list of its values, which stand in order of owner; with ``none``, null where there are no values."""
+    counts = np.bincount(owner, minlength=n)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, values, mask=pa.array(counts == 0)) if none else pa.ListArray.from_arrays(offsets, values)
+
+
+def _first_of(segs: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """For each of n groups the first of segs that is in it, -1 where none is."""
+    out = np.full(n, -1)
+    out[group[segs][::-1]] = segs[::-1]
+    return out
+
+
+def _part(values: pa.Array, i: int) -> pa.Array:
+    """The i-th of what colons part, null where there is none."""
+    parts = pc.split_pattern(values, ":")
+    there = pc.fill_null(pc.greater(pc.list_value_length(parts), i), False).to_numpy(zero_copy_only=False)
+    at = np.where(there, parts.offsets.to_numpy()[:-1] + i, 0)
+    return parts.values.take(pa.array(at, mask=~there))
+
+
+def _read_pieces(pieces: pa.RecordBatch, element: str, whole: bool) -> Iterator[pa.RecordBatch]:
+    """READ rows of pieces, all segments at once.
+
+    ``run`` numbers the stretches of rows that follow each other: whole files with ``whole``, else what this batch has of a file. A loop
+    is told here where it begins and ends within its run. Of the others the claims are left ``open``, and what the run has of them
+    is told in facts, by loop and field, with what must be known of the rows before (``needs``).
+    """
+    starts, run_of = pieces.column("texts").offsets.to_numpy()[:-1], pieces.column("run").to_numpy()
+    split = pc.split_pattern(pieces.column("texts").values, element)
+    at, count, cells = split.offsets.to_numpy()[:-1], np.diff(split.offsets.to_numpy()), split.values
+    n = len(at)
+    ends = np.append(starts[1:], n)
+    piece = np.repeat(np.arange(len(starts)), ends - starts)
+    run = run_of[piece]
+    n_runs = run_of[-1] + 1
+    run_start = starts[np.searchsorted(run_of, np.arange(n_runs))]
+
+    def field(segs: np.ndarray, i: int) -> pa.Array:
+        there = (segs >= 0) & (count[segs] > i)
+        return pc.utf8_trim(cells.take(pa.array(np.where(there, at[segs] + i, 0), mask=~there)), " ")
+
+    def among(values: pa.Array, *known: str) -> np.ndarray:
+        return pc.is_in(values, pa.array(known, pa.string())).to_numpy(zero_copy_only=False)
+
+    names = pc.utf8_upper(field(np.arange(n), 0)).dictionary_encode()
+    codes, known = names.indices.to_numpy(), {name: i for i, name in enumerate(names.dictionary.to_pylist())}
+    named = lambda *which: np.flatnonzero(np.isin(codes, [known[w] for w in which if w in known]))
+
+    # loops: groups number them over all runs, the one that is open where a run begins as well
+    nm1, clm, hl = named("NM1"), named("CLM"), named("HL")
+    entity = field(nm1, 1)
+    provs, subs = nm1[among(entity, "85")], hl[among(field(hl, 3), "22")]
+
+    def loops(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The group of each segment, the first segment of each group, and its ordinal in the run."""
+        begun = np.bincount(marks, minlength=n)
+        group = np.cumsum(begun) + run
+        firsts = np.sort(np.concatenate([run_start, marks]), kind="stable")
+        # a run that begins with a mark has an empty group before it
+        base = np.searchsorted(marks, run_start) + np.arange(n_runs)
+        return group, firsts, np.arange(len(firsts)) - np.repeat(base, np.diff(np.append(base, len(firsts))))
+
+    prov, prov_firsts, prov_nth = loops(provs)
+    sub, sub_firsts, sub_nth = loops(subs)
+    n_clm = np.cumsum(np.bincount(clm, minlength=n))
+    clm_nth = n_clm - (n_clm[run_start] - np.isin(run_start, clm))[run]
+
+    claim_piece = np.isin(starts, clm)
+    complete = np.ones(len(starts), bool) if whole else pieces.column("whole").to_numpy(zero_copy_only=False)
+    begun = np.isin(starts, np.concatenate([clm, hl]))
+    inside, unknown = claim_piece[piece], (~begun & (not whole))[piece]
+
+    last_nm1 = np.maximum.accumulate(np.where(np.bincount(nm1, minlength=n) > 0, np.arange(n), -1))
+    after = last_nm1 >= run_start[run]
+    is_prov = np.bincount(provs, minlength=n) > 0
+    addressed = lambda name: (s := named(name))[after[s] & is_prov[last_nm1[s]]]
+    outside = lambda segs: segs[~inside[segs] & ~unknown[segs]]
+    ref, dmg = named("REF"), named("DMG")
+    told = {"PR": nm1[among(entity, "PR")], "IL": nm1[among(entity, "IL", "QC")], "6P": ref[among(field(ref, 1), "6P")], "DMG": dmg}
+    # the segment of each loop that tells a field, the field's name and its place in the segment
+    of_prov = [(provs, "provider_npi", 9), (addressed("N3"), "billing_provider_street", 1), *((addressed("N4"), f"billing_provider_{c}", i) for i, c in ((1, "city"), (2, "state"), (3, "zip")))]
+    of_sub = [(told[k], name, i) for k, name, i in SUBSCRIBER]
+    found = {"prov": [(_first_of(segs, prov, len(prov_nth)), name, i) for segs, name, i in of_prov], "sub": [(_first_of(outside(segs), sub, len(sub_nth)), name, i) for segs, name, i in of_sub]}
+
+    def open_loops(firsts: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        """Those that reach over an end of their run, or begin in a block that does."""
+        return np.zeros(len(nth), bool) if whole else (nth == 0) | np.append(nth[1:] == 0, True) | ~complete[piece[firsts]]
+
+    prov_open, sub_open = open_loops(prov_firsts, prov_nth), open_loops(sub_firsts, sub_nth)
+
+    # claims that are whole
+    mine = np.flatnonzero(claim_piece & complete)
+    heads, k = starts[mine], len(mine)
+    of_piece = np.full(len(starts), -1)
+    of_piece[mine] = np.arange(k)
+    of_claim = of_piece[piece]
+    within = lambda segs: segs[of_claim[segs] >= 0]
+    dtp, hi, sv = within(named("DTP")), within(named("HI")), within(named("SV1", "SV2"))
+    q, day = field(dtp, 1), field(dtp, 3)
+    dates = {}
+    for kind in ("291", "292", "435", "096"):
+        these = among(q, kind)
+        dates[f"d{kind}"] = _lists(day.filter(pa.array(these)), of_claim[dtp[these]], k)
+    # a service date stands after its line's segment, within the claim
+    line = np.searchsorted(sv, dtp, side="right") - 1
+    these = among(q, "472") & (line >= 0)
+    these[these] = sv[line[these]] >= starts[piece[dtp[these]]]
+    two = np.isin(sv, named("SV2"))
+    either = lambda one, other: field(sv, one) if not two.any() else pc.if_else(pa.array(two), field(sv, other), field(sv, one))
+    lines = pa.StructArray.from_arrays([
+        pc.if_else(pa.array(two), pc.fill_null(field(sv, 1), ""), pa.scalar(None, pa.string())), _part(either(1, 2), 1), _lists(day.filter(pa.array(these)), line[these], len(sv)), either(2, 3), either(4, 5),
+    ], fields=list(LINE))
+    # diagnoses: all elements of an HI
+    many = count[hi] - 1
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at[hi] + 1, many)
+    pairs, owner = cells.take(pa.array(place)), np.repeat(of_claim[hi], many)
+    kind, code = pc.utf8_trim(_part(pairs, 0), " "), pc.utf8_trim(_part(pairs, 1), " ")
+    principal = _first_of(np.flatnonzero(among(kind, "ABK", "BK")), owner, k)
+    other = among(kind, "ABF", "BF", "DR")
+    secondary = _lists(code.filter(pa.array(other)), owner[other], k)
+    some = np.bincount(owner, minlength=k) > 0
+    secondary = pa.ListArray.from_arrays(secondary.offsets, secondary.values, mask=pa.array(~some))
+
+    row = lambda name, which: pieces.column(name).take(pa.array(which))
+    key = lambda which: {"file_name": row("file_name", which), "chunk": row("chunk", which), "pos": row("pos", which), "run": row("pos", np.searchsorted(run_of, run_of[which]))}
+    prov_of, sub_of = prov[ends[mine] - 1], sub[heads]
+    # a loop that no segment begins tells nothing
+    value = lambda segs, nth, of, i: field(np.where(nth[of] > 0, segs[of], -1), i)
+    fields = {name: value(segs, prov_nth, prov_of, i) for segs, name, i in found["prov"]} | {name: value(segs, sub_nth, sub_of, i) for segs, name, i in found["sub"]}
+    yield _rows(
+        k, kind="claim", **key(mine), prov=prov_nth[prov_of], sub=sub_nth[sub_of], clm=clm_nth[heads], prov_open=prov_open[prov_of], sub_open=sub_open[sub_of],
+        account=field(heads, 1), amount=field(heads, 2), facility=_part(field(heads, 5), 0), **dates, principal=code.take(pa.array(np.maximum(principal, 0), mask=principal < 0)), secondary=secondary,
+        lines=_lists(lines, of_claim[sv], k, none=True), **fields,
+    )
+    if whole:
+        return
+
+    cut = np.flatnonzero(claim_piece & ~complete)
+    yield _rows(len(cut), kind="cut", **key(cut), prov=prov_nth[prov[starts[cut]]], sub=sub_nth[sub[starts[cut]]], clm=clm_nth[starts[cut]])
+    parts = np.flatnonzero(~complete)
+    yield _rows(len(parts), kind="piece", **key(parts), element=element, texts=row("texts", parts))
+
+    # facts: of open loops, and of the first loop what counts only if the rows before it end outside a claim, or with the provider's name
+    def facts(segs: np.ndarray, nth: np.ndarray, loop: str, name: str, i: int, needs: str) -> pa.RecordBatch:
+        return _rows(len(segs), kind="fact", **key(piece[segs]), nth=segs - run_start[run[segs]], **{loop: nth}, loop=loop, field=name, value=field(segs, i), needs=needs)
+
+    for loop, nth, is_open in (("prov", prov_nth, prov_open), ("sub", sub_nth, sub_open)):
+        for first, name, i in found[loop]:
+            these = np.flatnonzero(is_open & (first >= 0))
+            yield facts(first[these], nth[these], loop, name, i, "")
+    none = np.zeros(n_runs, int)
+    for name, columns in (("N3", ((1, "street"),)), ("N4", ((1, "city"), (2, "state"), (3, "zip")))):
+        first = _first_of((s := named(name))[~after[s]], run, n_runs)
+        for i, c in columns:
+            yield facts(first[first >= 0], none[first >= 0], "prov", f"billing_provider_{c}", i, "nm1")
+    for k_, name, i in SUBSCRIBER:
+        first = _first_of(told[k_][unknown[told[k_]]], run, n_runs)
+        yield facts(first[first >= 0], none[first >= 0], "sub", name, i, "outside")
+
+    run_end = np.append(run_start[1:], n) - 1
+    here = after[run_end]
+    entities = pa.array(np.where(here, np.searchsorted(nm1, last_nm1[run_end]), 0), mask=~here)
+    last_begun = np.maximum.accumulate(np.where(begun, np.arange(len(starts)), -1))[piece[run_end]]
+    has = last_begun >= piece[run_start]
+    yield _rows(
+        n_runs, kind="run", **key(piece[run_start]), prov=prov_nth[prov[run_end]], sub=sub_nth[sub[run_end]], clm=clm_nth[run_end],
+        nm1=entity.take(entities), within=pa.array(claim_piece[last_begun], mask=~has),
+    )
+
+
+def claims_of_files(files: DataFrame) -> DataFrame:
+    """As assemble_claims(), from whole files with their delimiters: a file's loops and claims are told where its row is, without a shuffle."""
+    read = files.filter("terminator is not null").select("file_name", "element", "terminator", "content").mapInArrow(_read_whole, from_arrow_schema(READ))
+    return _finished(_typed(read, "clm", *PROVIDER, *(c for _, c, _ in SUBSCRIBER)).withColumn("date_of_birth", x12_date(F.col("date_of_birth"))))
 
 
 def claims_of_segments(raw: DataFrame) -> DataFrame:
@@ -125,9 +374,24 @@ def claims_of_segments(raw: DataFrame) -> DataFrame:
     return _claims_of_contents(parsed.filter("whole").select(*mended.columns).unionAll(mended))
 
 
+def _typed(read: DataFrame, *more: str) -> DataFrame:
+    """The claims of READ rows, in the columns of _claim()."""
+    day = lambda days: F.array_max(F.transform(days, lambda d: x12_date(F.substring(d, 1, 8))))
+    line = lambda x: F.struct(
+        F.when(x["revenue"].isNotNull(), pad4(x["revenue"])).alias("revenue_code"), code5(x["code"]).alias("cpt_hcpcs_code"), day(x["days"]).alias("service_date"),
+        x12_amount(x["amount"]).alias("charge_amount"), x12_units(x["units"]).alias("units_of_service"),
+    )
+    return read.select(
+        "file_name", F.col("account").alias("patient_account_number"), x12_amount(F.col("amount")).alias("charge_amount"), F.col("facility").alias("facility_code"),
+        day("d291").alias("statement_period_start"), day("d292").alias("statement_period_end"), day("d435").alias("admission_date"), day("d096").alias("discharge_date"),
+        F.col("principal").alias("principal_icd10_code"), F.col("secondary").alias("secondary_icd10_codes"), F.transform("lines", line).alias("service_lines"), *more,
+    )
+
+
 def with_delimiters(files: DataFrame) -> DataFrame:
     """files with ``element`` and ``terminator``, null unless the content begins with a whole ISA segment."""
-    usable = F.substring("content", 1, 3).eqNullSafe("ISA") & (F.length("content") >= 106)
+    # not the length of the content, which is counted character by character wherever these columns are used
+    usable = F.substring("content", 1, 3).eqNullSafe("ISA") & (F.length(F.substring("content", 1, 106)) == 106)
     return files.withColumns({"element": F.when(usable, F.substring("content", 4, 1)), "terminator": F.when(usable, F.substring("content", 106, 1))})
 
 
@@ -138,7 +402,7 @@ def _quoted(c: str) -> Column:
 
 
 def _bare(text: Column) -> Column:
-    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.trim(text, F.lit(BLANKS))
 
 
 def _name(text: Column) -> Column:
@@ -150,19 +414,27 @@ def _parts() -> Column:
     return F.filter(F.transform(F.split(F.col("content"), _quoted("terminator")), _bare), lambda s: s != "")
 
 
+def _has_segment(name: str) -> Column:
+    """Whether content has a segment of this name: at once where one follows a terminator and has elements, else by a pattern for all forms."""
+    blank, end = r"[ \t\n\x0B\f\r]*", F.concat(F.lit("("), _quoted("element"), F.lit(r"|[ \t\n\x0B\f\r]*("), _quoted("terminator"), F.lit(r"|\z))"))
+    pattern = F.concat(F.lit(r"(\A|"), _quoted("terminator"), F.lit(f"){blank}{name}"), end)
+    return F.when(F.contains("content", F.concat("terminator", F.lit(name), "element")), True).otherwise(F.rlike("content", pattern))
+
+
 def validate_envelope(files: DataFrame) -> DataFrame:
     """with_delimiters() and is_valid, segment_ref and description of the first rule that a file breaks."""
-    rows = with_delimiters(files).withColumn("_s", _parts())
-    rows = rows.withColumn("_names", F.transform("_s", _name))
+    rows = with_delimiters(files)
+    first = _bare(F.call_function("substring_index", "content", "terminator", F.lit(1)))
+    first = F.when(first != "", first).otherwise(F.get(_parts(), F.lit(0)))
     broken = lambda test, ref, text: F.when(test, F.struct(F.lit(ref).alias("ref"), F.lit(text).alias("text")))
     first = F.coalesce(
         broken(F.trim(F.coalesce("content", F.lit(""))) == "", "", "empty file"),
         broken(F.substring("content", 1, 3) != "ISA", "ISA", "does not begin with ISA"),
-        broken(F.length("content") < 106, "ISA", "ISA is cut short"),
-        broken(F.size(F.split(F.get("_s", F.lit(0)), _quoted("element"))) != ISA_PARTS, "ISA", "ISA has the wrong number of elements"),
-        *(broken(~F.array_contains("_names", n), n, f"{n} is missing") for n in ENVELOPE),
+        broken(F.length(F.substring("content", 1, 106)) < 106, "ISA", "ISA is cut short"),
+        broken(F.size(F.split(first, _quoted("element"))) != ISA_PARTS, "ISA", "ISA has the wrong number of elements"),
+        *(broken(~_has_segment(n), n, f"{n} is missing") for n in ENVELOPE),
     )
-    return rows.withColumn("_broken", first).withColumns({"is_valid": F.col("_broken").isNull(), "segment_ref": F.col("_broken.ref"), "description": F.col("_broken.text")}).drop("_s", "_names", "_broken")
+    return rows.withColumn("_broken", first).withColumns({"is_valid": F.col("_broken").isNull(), "segment_ref": F.col("_broken.ref"), "description": F.col("_broken.text")}).drop("_broken")
 
 
 def explode_segments(files: DataFrame) -> DataFrame:
@@ -324,13 +596,21 @@ def _claims_of_contents(blocks: DataFrame) -> DataFrame:
     )
     loops = rows.filter("seg_id = 'CLM'").select("file_name", "chunk", "pos", "prov", "sub", "clm")
     # a provider that is named within the claim counts for it
-    named = F.size(F.filter("context", lambda s: (s["seg_id"] == "NM1") & (_e(1, s["e"]) == "85"))).cast("long")
-    heads = blocks.filter("inside").select("file_name", "chunk", "pos", "claim.*", named.alias("_named"))
+    heads = blocks.filter("inside").select("file_name", "chunk", "pos", "claim.*", _named().alias("_named"))
     out = heads.join(loops, ["file_name", "chunk", "pos"]).withColumn("prov", F.col("prov") + F.col("_named")).drop("_named", "chunk", "pos")
-    out = out.join(provider, ["file_name", "prov"], "left").join(subscriber, ["file_name", "sub"], "left")
+    return _finished(out.join(provider, ["file_name", "prov"], "left").join(subscriber, ["file_name", "sub"], "left").drop("prov", "sub"))
+
+
+def _named() -> Column:
+    """How many providers a block names."""
+    return F.size(F.filter("context", lambda s: (s["seg_id"] == "NM1") & (_e(1, s["e"]) == "85"))).cast("long")
+
+
+def _finished(out: DataFrame) -> DataFrame:
+    """Claims with their id, type and required fields."""
     out = out.withColumns({c: trim0(F.col(c)) for c in ("provider_npi", "payer_id", "patient_account_number", "principal_icd10_code")})
     kind = F.when(F.col("facility_code").rlike("^[0-9]{2}$"), "institutional").otherwise("professional")
-    return out.withColumns({"claim_id": F.concat_ws("#", "file_name", "clm"), "gender": sex(F.col("gender")), "claim_type": kind}).drop("clm", "sub", "prov", "facility_code")
+    return out.withColumns({"claim_id": F.concat_ws("#", "file_name", "clm"), "gender": sex(F.col("gender")), "claim_type": kind}).drop("clm", "facility_code")
 
 
 def split_required(claims: DataFrame) -> tuple[DataFrame, DataFrame]:

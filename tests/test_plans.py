@@ -154,6 +154,45 @@ def test_claims_of_files_are_assembled_without_a_shuffle_of_segments(spark):
     assert claims["odd", "A1"]["secondary_icd10_codes"] == ["Z1", "E119", "I500"] and claims["odd", "A1"]["principal_icd10_code"] == "" and claims["odd", "A1"]["group_number"] is None
 
 
+@pytest.mark.parametrize("size", [1, 3000, 1 << 22])
+def test_claims_of_files_are_told_where_their_rows_are(spark, monkeypatch, size):
+    """Without a shuffle, and as from shuffled segments, whatever files are read at once."""
+    from claimspark.sources import edi
+    from tests.test_fixtures import claim_file
+
+    fine = claim_file()
+    odd = fine.replace("LX*2~", "NM1*82*1*DOC~NM1*85*2*OTHER*****XX*9999999999~N3*9 SIDE~REF*6P*NOT~").replace("CLM*A2", "~ clm *A2").replace("HI*ABK:I10*", "HI~HI*ABF:Z1:x*BK*")
+    texts = {
+        "odd": odd, "fine": fine, "blank": fine[:106], "other": fine.replace("*", "|").replace("~", "\n"), "mixed": odd.replace("*", "|"), "early": fine.replace("GS*HC~", "GS*HC~CLM*A0*7~SV1*HC:1~"),
+        "bare": fine.replace("SV2*450", "SV2*").replace("DTP*472*D8*20240104", "DTP*472*D8*2024~DTP*472*D8*20240102").replace("HI*", "HJ*"), "late": fine.replace("SE*1", "HL*4*3*23*0~NM1*QC*1*KID*A~REF*6P*G7~CLM*A3*1~SE*1"),
+    }
+    rows = edi.with_delimiters(spark.createDataFrame(list(texts.items()), "file_name string, content string").coalesce(1))
+    monkeypatch.setattr(edi, "BYTES", size)
+    claims = edi.claims_of_files(rows)
+    assert "Exchange" not in claims._jdf.queryExecution().executedPlan().toString()
+    told = lambda df: sorted(str(sorted(r.asDict(recursive=True).items())) for r in df.collect())
+    got = told(claims)
+    assert got == told(edi.assemble_claims(edi.explode_segments(rows))) and len(got) == 16
+
+
+def test_service_lines_of_interchanges_need_no_shuffle_of_claims(spark, sf):
+    from claimspark.plans import intake
+
+    assert "Exchange" not in intake.ingested_lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_that_an_envelope_needs(spark):
+    """A name counts in all forms that a segment has once it is trimmed, and in no others."""
+    from claimspark.sources import edi
+    from tests.test_fixtures import claim_file
+
+    text = claim_file()
+    forms = {"GS*HC~": True, " \n GS*HC~": True, "GS~": True, "GS \t~": True, "~GS*~": True, "GSX*HC~": False, "GS *HC~": False, "gs*HC~": False, "X*GS*~": False, "XGS*HC~": False}
+    rows = [(f"{i}", text.replace("GS*HC~", form)) for i, form in enumerate(forms)] + [("end", text.replace("IEA*1~", "") + " IEA \n")]
+    got = {r["file_name"]: (r["is_valid"], r["segment_ref"]) for r in edi.validate_envelope(spark.createDataFrame(rows, "file_name string, content string")).collect()}
+    assert got == {**{f"{i}": (fine, None if fine else "GS") for i, fine in enumerate(forms.values())}, "end": (True, None)}
+
+
 def test_prefixes_are_matched_once_a_code(spark, sf):
     """No aggregation by claim: what is grouped for the longest prefix are the distinct codes."""
     from claimspark import queries
