@@ -93,12 +93,14 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_interchange(spark: SparkSession, sf_dir: str) -> str:
     """The path of one file with the claims of all customers; as any one file, it is written by one task."""
     out = new_folder(spark, "interchange")
-    number, ends = F.lit("000000001"), "o_custkey long, text string"
+    number = F.lit("000000001")
     head, tail = F.concat(_seg(F.concat(F.lit("I" + HEAD), number, F.lit("*0*P*:"))), _seg("GS", "HC"), _seg("ST", "837", number)), F.concat(_seg("SE", "1", number), _seg("GE", "1"), _seg("IEA", "1", number))
-    around = spark.range(2).select(F.when(F.col("id") == 0, -1).otherwise((1 << 62)).alias("o_custkey"), F.when(F.col("id") == 0, head).otherwise(tail).alias("text"))
-    rows = _loops(spark, sf_dir).select(F.col("o_custkey").cast("long"), F.col("loops").alias("text")).unionAll(around.to(spark.createDataFrame([], ends).schema))
+    around = spark.range(2).select(F.when(F.col("id") == 0, -1).otherwise((1 << 62)).alias("o_custkey"), F.lit(0).alias("n"), F.lit(0).alias("o_orderkey"), F.when(F.col("id") == 0, head).otherwise(tail).alias("text"))
+    names = table(spark, sf_dir, "orders").select("o_custkey").distinct().select("o_custkey", F.lit(0).alias("n"), F.lit(0).alias("o_orderkey"), _names().alias("text"))
+    # ordered claim by claim, so that no shuffle brings a customer's together before
+    rows = around.unionByName(names).unionByName(_orders(spark, sf_dir).select("o_custkey", F.lit(1).alias("n"), "o_orderkey", _claim().alias("text")))
     # the writer ends each row with the terminator
-    rows.orderBy("o_custkey").select(F.expr("substring(text, 1, length(text) - 1)").alias("value")).coalesce(1).write.option("lineSep", "~").text(out)
+    rows.orderBy("o_custkey", "n", "o_orderkey", "text").select(F.expr("substring(text, 1, length(text) - 1)").alias("value")).coalesce(1).write.option("lineSep", "~").text(out)
     return out
 
 

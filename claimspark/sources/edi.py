@@ -30,6 +30,7 @@ from claimspark.plans.views import stored
 from claimspark.sources.files import names, read_head
 
 CHUNK = 50_000
+SEND_ROWS = 500_000
 BYTES = 1 << 22
 # How long raw files are kept, and by what rule.
 RETENTION = {"retention_policy": "regulatory", "retention_years": 7, "retention_rule": "HIPAA / CMS 7-year raw EDI retention", "purge_after_years": 7}
@@ -39,7 +40,6 @@ ISA_PARTS = 17  # the name and 16 elements
 BLANKS = " \t\n\x0b\f\r"
 BEGINS = ("HL", "CLM")  # the segments that begin a block
 SEGMENTS = "file_name string, element string, terminator string, chunk long, at long, text string"
-PIECES = "file_name string, element string, chunk long, pos long, whole boolean, texts array<string>, run long"
 LINE = pa.struct([("revenue", pa.string()), ("code", pa.string()), ("days", pa.list_(pa.string())), ("amount", pa.string()), ("units", pa.string())])
 PROVIDER = ("provider_npi", *(f"billing_provider_{c}" for c in ("street", "city", "state", "zip")))
 # which segment of a subscriber's loop tells a field, the field's name and its place in the segment
@@ -359,19 +359,43 @@ def claims_of_files(files: DataFrame) -> DataFrame:
 def claims_of_segments(raw: DataFrame) -> DataFrame:
     """As assemble_claims(), from the rows of read_segments().
 
-    Blocks are gathered and parsed in the task that reads their segments, as many as come in one batch; of the others, two at most a
-    batch, the segments are shuffled. So no more than these few and what claims tell of loops is moved.
+    Blocks and loops that begin and end in one batch are told in the task that reads it. Of the other blocks, two at most for each
+    stretch of rows in a batch, the segments are shuffled; of the other loops, what each stretch tells of them, some rows each. What
+    was before a stretch comes from a window over one row a stretch. Claims are not shuffled while these few rows can be sent to them.
     """
-    rows = raw.select("file_name", "element", "chunk", "at", _bare(F.col("text")).alias("text"))
-    rows = rows.withColumns({"filled": F.col("text") != "", "begins": F.upper(F.trim(_name(F.col("text")))).isin(*BEGINS)})
-    each = rows.mapInArrow(_pieces, PIECES)
-    parsed = _contents(each.withColumn("segments", F.when(F.col("whole"), _split_all(F.col("texts"), _quoted("element")))), "element", "whole", F.when(~F.col("whole"), F.col("texts")).alias("texts"))
     # stored once: what is whole in a batch depends on where batches end
-    parsed = stored(parsed)
-    cut = parsed.filter("not whole").select("file_name", "element", "chunk", F.col("pos").alias("_at"), F.posexplode("texts").alias("_i", "_s"))
+    read = stored(raw.select("file_name", "element", "chunk", "at", "text").mapInArrow(_read_split, from_arrow_schema(READ)))
+    before = Window.partitionBy("file_name").orderBy("chunk", "run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("prov", "sub", "clm")}
+    carried = {**sums, "_nm1": F.last("nm1", ignorenulls=True).over(before), "_within": F.coalesce(F.last("within", ignorenulls=True).over(before), F.lit(False))}
+    carry = _sent(read.filter("kind = 'run'").select("file_name", "chunk", "run", *(c.alias(name) for name, c in carried.items())))
+
+    def placed(kind: str) -> DataFrame:
+        """Rows of the kind, their loops and claims numbered within the file."""
+        return read.filter(F.col("kind") == kind).join(carry, ["file_name", "chunk", "run"]).withColumns({c: F.col(c) + F.col(f"_{c}") for c in ("prov", "sub", "clm")})
+
+    facts = placed("fact").filter("needs = '' or (needs = 'nm1' and _nm1 = '85') or (needs = 'outside' and not _within)")
+    place, told = F.struct("chunk", "run", "nth"), {"prov": PROVIDER, "sub": [c for _, c, _ in SUBSCRIBER]}
+    first = lambda c: F.min_by("value", F.when(F.col("field") == c, place)).alias(f"_{c}")
+    loops = {loop: _sent(facts.filter((F.col("loop") == loop) & (F.col(loop) > 0)).groupBy("file_name", loop).agg(*map(first, fields))) for loop, fields in told.items()}
+
+    whole = _typed(placed("claim"), "prov", "sub", "clm", "prov_open", "sub_open", *told["prov"], *told["sub"])
+    cut = read.filter("kind = 'piece'").select("file_name", "element", "chunk", F.col("pos").alias("_at"), F.posexplode("texts").alias("_i", "_s"))
     cut = cut.select("file_name", "chunk", (F.col("_at") + F.col("_i")).alias("pos"), F.split("_s", _quoted("element")).alias("e")).withColumn("seg_id", F.upper(F.trim(F.get("e", F.lit(0)))))
-    mended = stored(_contents(gathered_blocks(cut)))
-    return _claims_of_contents(parsed.filter("whole").select(*mended.columns).unionAll(mended))
+    mended = stored(_contents(gathered_blocks(cut))).filter("inside").select("file_name", "chunk", "pos", "claim.*", _named().alias("_named"))
+    # a provider that is named within the claim counts for it
+    mended = mended.join(placed("cut").select("file_name", "chunk", "pos", "prov", "sub", "clm"), ["file_name", "chunk", "pos"]).withColumn("prov", F.col("prov") + F.col("_named"))
+    rows = whole.unionByName(mended.drop("chunk", "pos", "_named").withColumns({"prov_open": F.lit(True), "sub_open": F.lit(True)}), allowMissingColumns=True)
+    for loop, fields in told.items():
+        rows = rows.join(loops[loop], ["file_name", loop], "left").withColumns({c: F.when(F.col(f"{loop}_open"), F.col(f"_{c}")).otherwise(F.col(c)) for c in fields})
+        rows = rows.drop(loop, f"{loop}_open", *(f"_{c}" for c in fields))
+    return _finished(rows.withColumn("date_of_birth", x12_date(F.col("date_of_birth"))))
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df stored, and sent to the tasks that join it unless it has more than SEND_ROWS rows."""
+    rows = stored(df)
+    return F.broadcast(rows) if rows.count() <= SEND_ROWS else rows
 
 
 def _typed(read: DataFrame, *more: str) -> DataFrame:
@@ -643,19 +667,21 @@ def ingest_huge(spark: SparkSession, path: str, out: str, ingestion_date: str) -
     """As ingest_edi(), for files that are split: the raw sink has a row for each segment, and the quarantine no content."""
     batch = hashlib.md5(path.encode()).hexdigest()[:12]
     paths = {"raw": f"{out}/raw_segments", **{k: f"{out}/{k}" for k in ("parsed", "quarantine", "rejects")}}
-    write = _writer(paths, ingestion_date, batch)
-    raw = _segment_rows(spark, path)
-    write(_kept(raw), "raw")
-    if not raw.isEmpty():
-        # the sink's own rows, so that segments are stored once; an empty batch writes no folder, and leaves one of an earlier try
-        raw = spark.read.schema(SEGMENTS).parquet(f"{paths['raw']}/ingestion_date={ingestion_date}/batch=b{batch}")
+    raw = _raw_sink(_segment_rows(spark, path), paths["raw"], ingestion_date, batch)
     checked = stored(check_segments(raw))
     invalid = checked.filter("not is_valid").select("file_name", F.lit(None).cast("string").alias("content"), "segment_ref", "description")
     valid = raw.join(F.broadcast(checked.filter("is_valid").select("file_name")), "file_name", "left_semi")
-    _write_sinks(write, invalid, claims_of_segments(valid))
+    _write_sinks(_writer(paths, ingestion_date, batch), invalid, claims_of_segments(valid))
     return paths
 
 
+def _raw_sink(rows: DataFrame, path: str, ingestion_date: str, batch: str) -> DataFrame:
+    """rows as the raw sink has them, which is the batch's own folder, replaced whole."""
+    folder = f"{path}/ingestion_date={ingestion_date}/batch=b{batch}"
+    _kept(rows).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def _kept(raw: DataFrame) -> DataFrame:
     """raw with how long it is kept, and since when."""
     return raw.withColumns({**{name: F.lit(value) for name, value in RETENTION.items()}, "ingestion_ts": F.current_timestamp()})
@@ -665,7 +691,7 @@ def _writer(paths: dict[str, str], ingestion_date: str, batch: str) -> Callable[
     dated = {"ingestion_date": F.lit(ingestion_date).cast("date"), "batch": F.lit(f"b{batch}")}
 
     def write(df: DataFrame, kind: str, form: str = "parquet") -> None:
-        packed = {"compression": "zstd"} if form == "parquet" else {}
+        packed = {"compression": "zstd" if form == "parquet" else "gzip"}
         df.withColumns(dated).write.mode("overwrite").options(partitionOverwriteMode="dynamic", **packed).partitionBy(*dated).format(form).save(paths[kind])
 
     return write

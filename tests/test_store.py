@@ -4,6 +4,7 @@ import datetime
 import json
 import os
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -240,6 +241,30 @@ def test_huge_files_shuffle_only_blocks_that_a_batch_cuts(spark, tmp_path, monke
     assert spark.read.parquet(paths["parsed"]).count() == 100 * body.count("CLM*")
 
 
+def test_claims_of_huge_files_stay_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Loops cut anywhere are told by what each stretch of rows has of them; claims are joined to these without a shuffle, or with one, with the same result."""
+    text = claim_file()
+    body = text[text.index("HL*") : text.index("SE*")]
+    more = body.replace("HL*3", "N3*9 ELSE~N4*FAR*TX*7~HL*9*3*23*0~NM1*QC*1*KID*A~HL*3").replace("LX*2", "NM1*85*2*OTHER*****XX*9999999999~N3*9 SIDE~LX*2")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f").write_text(text.replace(body, body.replace("N3*1 MAIN~", "") + body[body.index("CLM") :] * 3 + more * 2 + body))
+    want = claims_of(edi.claims_of_files(edi.with_delimiters(edi.read_edi(spark, str(tmp_path / "in")))))
+    assert want == claims_of(edi.assemble_claims(edi.explode_segments(edi.with_delimiters(edi.read_edi(spark, str(tmp_path / "in"))))))
+    for key, value in (("files.maxPartitionBytes", 700), ("files.openCostInBytes", 1), ("autoBroadcastJoinThreshold", -1)):
+        spark.conf.set(f"spark.sql.{key}", value)
+    try:
+        raw = edi.read_segments(spark, str(tmp_path / "in"))
+        for rows in (500_000, -1):
+            monkeypatch.setattr(edi, "SEND_ROWS", rows, raising=False)
+            claims = edi.claims_of_segments(raw)
+            plan = claims._jdf.queryExecution().executedPlan().toString()
+            assert bool(re.search(r"hashpartitioning\(file_name#\d+, (prov|sub)#", plan)) == (rows < 0)
+            assert claims_of(claims) == want
+    finally:
+        for key in ("files.maxPartitionBytes", "files.openCostInBytes", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.{key}")
+
+
 def test_pieces_end_where_rows_do_not_follow():
     import pyarrow as pa
 
