@@ -653,13 +653,11 @@ def ingest_edi(spark: SparkSession, path: str, out: str, ingestion_date: str, gl
 
 def ingest_files(files: DataFrame, out: str, ingestion_date: str, batch: str) -> dict[str, str]:
     """The four sinks, partitioned by date and batch; a batch that is tried again replaces its own partitions and no others."""
-    # each file is checked once, for its three sinks and its claims
-    checked = stored(validate_envelope(files))
     paths = {k: f"{out}/{k}" for k in ("raw", "parsed", "quarantine", "rejects")}
-    write = _writer(paths, ingestion_date, batch)
-    write(_kept(checked.select("file_name", "content")), "raw")
+    # the sink's own rows are what is checked and read, so that contents are stored once
+    checked = validate_envelope(_raw_sink(files.select("file_name", "content"), paths["raw"], ingestion_date, batch))
     invalid = checked.filter("not is_valid").select("file_name", "content", "segment_ref", "description")
-    _write_sinks(write, invalid, claims_of_blocks(file_blocks(checked.filter("is_valid"))))
+    _write_sinks(_writer(paths, ingestion_date, batch), invalid, claims_of_files(checked.filter("is_valid")))
     return paths
 
 

@@ -265,6 +265,16 @@ def test_claims_of_huge_files_stay_where_they_are_read(spark, tmp_path, monkeypa
             spark.conf.unset(f"spark.sql.{key}")
 
 
+def test_contents_are_stored_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f").write_text(claim_file(payer=""))
+    (tmp_path / "in" / "g").write_text(claim_file())
+    monkeypatch.setattr(edi, "stored", lambda df: pytest.fail("stored beside the sinks"))
+    paths = edi.ingest_edi(spark, str(tmp_path / "in"), str(tmp_path / "out"), "2024-01-01")
+    assert spark.read.parquet(paths["parsed"]).count() == 3 and spark.read.json(paths["rejects"]).count() == 1
+    assert not list((tmp_path / "out" / "rejects").glob("*/*/*.json")) and list((tmp_path / "out" / "rejects").glob("*/*/*.json.gz"))
+
+
 def test_pieces_end_where_rows_do_not_follow():
     import pyarrow as pa
 
