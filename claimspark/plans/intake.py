@@ -105,8 +105,8 @@ def one_interchange(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _sinks(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """The four sinks of all interchanges, below the shared folder."""
-    return edi.ingest_files(_files(spark, sf_dir), new_folder(spark, "intake"), "2024-01-01", "tables")
+    """The four sinks of all interchanges, below the shared folder; the raw one is where their content is written."""
+    return edi.ingest_files(interchanges(spark, sf_dir), new_folder(spark, "intake"), "2024-01-01", "tables")
 
 
 def envelope_checks(spark, sf_dir):
