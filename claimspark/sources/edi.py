@@ -2,15 +2,16 @@
 
 Segments are gathered in blocks, each begun by an HL or a CLM segment: a CLM's block is a whole claim, so its dates, diagnoses and
 lines are read within its row. Providers and subscribers come before claims, or reach over blocks: the few segments that tell them
-are numbered by running counts in file order, and claims are joined to them by those numbers, so no parser state is carried.
+are numbered by running counts in file order, and claims find them by those numbers, so no parser state is carried.
 Fields go to the loop that holds them: patient, payer and member to the subscriber loop of the claim, service dates to the line
 that they stand in.
 
-Files come in two ways. Small ones are a row each, which is cut into blocks where it is. A huge one is read by its terminator as
-line separator, so Spark splits it as it splits any text. Its blocks are gathered batch by batch where the rows stand; only the
-blocks that a batch cuts are put together by a shuffle of their segments, each to the chunk in which its block begins. The running
-counts are a scan in two levels: within a chunk (``CHUNK`` segments at most), and over one row of totals for each chunk, which
-carries counts and last values into the next. No window holds more segments than a chunk and the block that it ends in.
+Files come in two ways. Small ones are a row each and are read where that row is, all loops included (``claims_of_files``). A huge one
+is read by its terminator as line separator, so Spark splits it as it splits any text (``claims_of_segments``). Both are read as
+columns in batches: what begins and ends in a batch is told there. The blocks that a batch cuts are put together by a shuffle of their
+segments, each to the chunk in which its block begins (``CHUNK`` segments of a split at most), and the loops that it cuts from a few
+rows for each batch, numbered over one row of totals a batch. ``assemble_claims`` does the same for segments in any order, by windows
+over them: a scan in two levels, within a chunk, and over one row of totals for each chunk.
 """
 
 from __future__ import annotations
